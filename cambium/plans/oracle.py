@@ -293,8 +293,8 @@ def correlation(x: str, y: str) -> str:
 # Student's t from its density by Simpson's rule, independent of the closed sum.
 P_VALUE = """CASE WHEN res_cor IS NULL OR n_years < 3 THEN NULL WHEN res_cor >= 1 THEN 0 WHEN res_cor <= -1 THEN 1
     ELSE (SELECT sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
-            * power(cos(lo + i * (pi() / 2 - lo) / 4000), n_years - 3)) * (pi() / 2 - lo) / 4000 / 3
-            * exp(lgamma((n_years - 1) / 2.0::DOUBLE) - lgamma((n_years - 2) / 2.0::DOUBLE)) / sqrt(pi())
+            * power(cos(lo + i * (pi() / 2 - lo) / 4000), n_years - 3) * (pi() / 2 - lo) / 4000 / 3
+            * exp(lgamma((n_years - 1) / 2.0::DOUBLE) - lgamma((n_years - 2) / 2.0::DOUBLE)) / sqrt(pi()))
         FROM (SELECT unnest(generate_series(0, 4000)) AS i, asin(res_cor) AS lo)) END"""
 for name, source in (("cor_spearman", "ranked"), ("cor_pearson", "pairs")):
     view(
@@ -609,7 +609,7 @@ view(
     "resampled",
     "draws",
     f"""SELECT {COEF_KEYS}, b, covar_pop(value, std) / sqrt(nullif(var_pop(value) * var_pop(std), 0)) AS r,
-        var_pop(value) * var_pop(std) * n * n AS spread
+        var_pop(value) * var_pop(std) * v.n * v.n AS spread
     FROM numbered v JOIN draws d ON v.n = d.n AND v.i = d.pick GROUP BY {COEF_KEYS}, b, v.n, d.n""",
 )
 query(
