@@ -115,6 +115,7 @@ def biweight_mean(
     value: str,
     spread_by: Sequence[str],
     max_group: int = MAX_GROUP,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Robust mean per group as ``(keys, n, robust)``.
 
@@ -122,7 +123,7 @@ def biweight_mean(
     ``max_group`` take the distributed route.  Both give the same numbers.
     """
     keys = list(keys)
-    small, large = split_hot(df, keys, value, spread_by, max_group)
+    small, large = split_hot(df, keys, spread_by, max_group, sizes)
     # As a generated row the mean is computed once, even where later steps filter on it.
     robust = F.struct(
         F.size("_v").cast("bigint").alias("n"), array_biweight(F.col("_v")).alias("robust")
@@ -137,12 +138,17 @@ def biweight_mean(
     return result.unionByName(large_biweight(large, keys, value, list(spread_by), max_group))
 
 
-def chronology(rwi: DataFrame, biweight: bool = True, max_group: int = MAX_GROUP) -> DataFrame:
+def chronology(
+    rwi: DataFrame,
+    biweight: bool = True,
+    max_group: int = MAX_GROUP,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """Site chronology: yearly mean index and the number of trees behind it."""
     values = rwi.select("rwl", "tree", "year", finite_or_null(F.col("rwi")).alias("rwi"))
     if not biweight:
         return values.groupBy(*SITE_YEAR).agg(
             F.avg("rwi").alias("std"), F.count("rwi").alias("samp_depth")
         )
-    means = biweight_mean(values, SITE_YEAR, "rwi", ["tree"], max_group)
+    means = biweight_mean(values, SITE_YEAR, "rwi", ["tree"], max_group, sizes)
     return means.select("rwl", "year", F.col("robust").alias("std"), F.col("n").alias("samp_depth"))

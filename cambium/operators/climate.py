@@ -367,7 +367,7 @@ def quartiles(values: DataFrame, keys: Sequence[str], value: str, spread_by: Seq
     """Exact linear-interpolated quartiles per group, distributed for large groups."""
     keys = list(keys)
     names = ["q1", "q2", "q3"]
-    small, large = split_hot(values, keys, value, spread_by, max_group)
+    small, large = split_hot(values, keys, spread_by, max_group)
     result = (
         small.groupBy(*keys)
         .agg(F.percentile(value, QUARTILES).alias("_q"), F.count(value).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from cambium.functions.numeric import finite_or_null, is_finite
 from cambium.operators.skew import SALT, lookup_join
@@ -21,15 +21,16 @@ def clean_widths(widths: DataFrame) -> DataFrame:
 def tree_stats(widths: DataFrame) -> DataFrame:
     """First and last year, age, mean, sd and lag-1 autocorrelation of every tree.
 
-    One shuffle by tree: the window and the aggregation share it.  The
-    autocorrelation pairs neighbouring measured rings.
+    One shuffle and one sort by tree: both windows and the aggregation share
+    them.  The autocorrelation pairs neighbouring measured rings.
     """
-    tree = Window.partitionBy(*TREE)
+    by_year = Window.partitionBy(*TREE).orderBy("year")
+    whole = by_year.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     centred = (
         clean_widths(widths)
         .filter(F.col("width").isNotNull())
-        .withColumn("dev", F.col("width") - F.avg("width").over(tree))
-        .withColumn("prev_dev", F.lag("dev").over(tree.orderBy("year")))
+        .withColumn("dev", F.col("width") - F.avg("width").over(whole))
+        .withColumn("prev_dev", F.lag("dev").over(by_year))
     )
     first, last = F.min("year"), F.max("year")
     return centred.groupBy(*TREE).agg(
@@ -103,30 +104,37 @@ def site_years(widths: DataFrame) -> DataFrame:
     return widths.groupBy("rwl").agg(F.min("year").alias("site_first"), F.max("year").alias("site_last"))
 
 
-def dense_years(values: DataFrame, spans: DataFrame, column: str) -> DataFrame:
+def _with_site_years(values: DataFrame, spans: DataFrame) -> tuple[DataFrame, WindowSpec]:
+    """Values with the span of their site, and the window of a tree that fits.
+
+    The join is salted by tree, and the salt is part of the window's partition
+    key, so joining and all windows over a tree share one shuffle even where
+    one site holds most of the trees.
+    """
+    joined = lookup_join(values, spans, "rwl", "tree", keep_salt=True)
+    return joined, Window.partitionBy("rwl", SALT, "tree").orderBy("year")
+
+
+def _fill_years(values: DataFrame, tree: WindowSpec, column: str) -> DataFrame:
     """Every tree over every year of its site; years without a value are NULL.
 
-    Each row also emits the empty years up to the next row of its tree (the
-    first row those before it, the last row those up to the site's end), so the
-    rows are shuffled once and the full grid is never joined.  The join with
-    the site span is salted by tree and the window reuses its partitioning.
+    Each row also emits the empty years up to the next row of its tree, the
+    first row those before it, the last row those up to the site's end.  No
+    table of years is joined.
     """
-    tree = Window.partitionBy("rwl", SALT, "tree").orderBy("year")
-    bounded = (
-        lookup_join(values, spans, "rwl", "tree", keep_salt=True)
-        .withColumn("_next", F.coalesce(F.lead("year").over(tree) - 1, F.col("site_last")))
-        .withColumn("_is_first", F.lag("year").over(tree).isNull())
-        .withColumn("_from", F.when(F.col("_is_first"), F.col("site_first")).otherwise(F.col("year")))
-    )
-    return bounded.select(
-        "rwl",
-        "tree",
-        F.explode(F.sequence("_from", "_next")).alias("_y"),
+    bounded = values.select(
+        *TREE,
         "year",
         column,
+        F.coalesce(F.lead("year").over(tree) - 1, F.col("site_last")).alias("_to"),
+        F.when(F.lag("year").over(tree).isNull(), F.col("site_first"))
+        .otherwise(F.col("year"))
+        .alias("_from"),
+    )
+    return bounded.select(
+        *TREE, F.explode(F.sequence("_from", "_to")).alias("_y"), "year", column
     ).select(
-        "rwl",
-        "tree",
+        *TREE,
         F.col("_y").alias("year"),
         F.when(F.col("_y") == F.col("year"), F.col(column)).alias(column),
     )
@@ -134,12 +142,19 @@ def dense_years(values: DataFrame, spans: DataFrame, column: str) -> DataFrame:
 
 def bai_dense(widths: DataFrame) -> DataFrame:
     """Basal area increment for all years of the site, NULL outside a tree's life."""
-    return dense_years(bai(widths), site_years(widths), "bai")
+    measured = clean_widths(widths).filter(F.col("width").isNotNull())
+    bounded, tree = _with_site_years(measured, site_years(widths))
+    radius = F.sum("width").over(tree.rowsBetween(Window.unboundedPreceding, 0))
+    areas = bounded.withColumn("radius", radius).withColumn(
+        "bai", _ring_area(F.col("radius"), F.col("width"))
+    )
+    return _fill_years(areas, tree, "bai")
 
 
-def missing_trees_years(widths: DataFrame) -> DataFrame:
-    """All-missing (tree, year) rows made explicit for plain widths."""
-    return dense_years(clean_widths(widths), site_years(widths), "width")
+def dense_widths(widths: DataFrame) -> DataFrame:
+    """Ring widths for all years of the site, NULL outside a tree's life."""
+    bounded, tree = _with_site_years(clean_widths(widths), site_years(widths))
+    return _fill_years(bounded, tree, "width")
 
 
 def site_trend(chronologies: DataFrame, years: tuple[int, int] = TREND_YEARS) -> DataFrame:

@@ -200,7 +200,12 @@ def _others_distributed(df: DataFrame, value: str, max_group: int) -> DataFrame:
     return picked.select(*TREE, "year", value, (F.col("n") - 1).alias("n_others"), others.alias("master"))
 
 
-def others_chronology(series: DataFrame, value: str = "rwi", max_group: int = MAX_GROUP) -> DataFrame:
+def others_chronology(
+    series: DataFrame,
+    value: str = "rwi",
+    max_group: int = MAX_GROUP,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """For every tree and year, the robust mean of the other trees of the site.
 
     Work and shuffle grow with the number of trees, not with its square: the
@@ -209,7 +214,7 @@ def others_chronology(series: DataFrame, value: str = "rwi", max_group: int = MA
     present = series.select(*TREE, "year", finite_or_null(F.col(value)).alias(value)).filter(
         F.col(value).isNotNull()
     )
-    small, large = split_hot(present, SITE_YEAR, value, ["tree"], max_group)
+    small, large = split_hot(present, SITE_YEAR, ["tree"], max_group, sizes)
     result = _others_in_arrays(small, value)
     if large is None:
         return result
@@ -230,8 +235,9 @@ def ar_residuals(values: np.ndarray) -> np.ndarray:
     result = np.full(n, np.nan)
     mean = x.mean()
     centred = x - mean
+    # Too short, or nothing to remove: the series stays as it is.
     if n < 4 or not np.any(centred != 0.0):
-        return x if n < 4 else result
+        return x
     max_order = int(min(n - 1, np.floor(10.0 * np.log10(n))))
     cov = np.array([centred[: n - k] @ centred[k:] for k in range(max_order + 1)]) / n
     best, best_aic = np.empty(0), n * np.log(cov[0]) + 2.0
@@ -268,9 +274,8 @@ def prewhiten(series: DataFrame, value: str = "rwi") -> DataFrame:
 
 def scaled_to_mean(series: DataFrame, value: str = "rwi") -> DataFrame:
     tree = Window.partitionBy(*TREE)
-    return series.select(
-        *TREE, "year", F.try_divide(F.col(value), F.avg(value).over(tree)).alias(value)
-    ).filter(F.col(value).isNotNull())
+    scaled = F.try_divide(F.col(value), F.avg(value).over(tree))
+    return series.select(*TREE, "year", F.coalesce(scaled, F.col(value)).alias(value))
 
 
 def interseries_cor(
@@ -278,6 +283,7 @@ def interseries_cor(
     prewhitened: bool = True,
     method: str = "spearman",
     max_group: int = MAX_GROUP,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Correlation of each tree with the others' chronology, with a one-sided p value."""
     clean = rwi.select(*TREE, "year", finite_or_null(F.col("rwi")).alias("rwi")).filter(
@@ -286,31 +292,35 @@ def interseries_cor(
     series = scaled_to_mean(clean)
     if prewhitened:
         series = prewhiten(series)
+    # One shuffle by tree serves the ranks and the final aggregation.
     pairs = (
-        others_chronology(series, "rwi", max_group)
-        .filter(F.col("master").isNotNull())
+        others_chronology(series, "rwi", max_group, sizes)
         .select(
             *TREE,
             F.round("rwi", RANK_DECIMALS).alias("x"),
             F.round("master", RANK_DECIMALS).alias("y"),
         )
+        .repartition(*TREE)
+        .withColumn("paired", F.col("y").isNotNull())
     )
     if method == "spearman":
-        pairs = pairs.withColumn("rx", average_rank("x", TREE)).withColumn("ry", average_rank("y", TREE))
+        group = [*TREE, "paired"]
+        pairs = pairs.withColumn("rx", average_rank("x", group)).withColumn("ry", average_rank("y", group))
         x, y = F.col("rx"), F.col("ry")
     else:
         x, y = F.col("x"), F.col("y")
-    correlated = pairs.groupBy(*TREE).agg(safe_corr(x, y).alias("res_cor"), F.count(F.lit(1)).alias("n_years"))
     # Trees without any other tree at the site keep their row, with a NULL.
     return (
-        clean.select(*TREE)
-        .distinct()
-        .join(correlated, TREE, "left")
+        pairs.groupBy(*TREE)
+        .agg(
+            safe_corr(F.when(F.col("paired"), x), F.when(F.col("paired"), y)).alias("res_cor"),
+            F.count("y").alias("n_years"),
+        )
         .select(
             *TREE,
             "res_cor",
             correlation_p_greater(F.col("res_cor"), F.col("n_years")).alias("p_val"),
-            F.coalesce("n_years", F.lit(0)).alias("n_years"),
+            "n_years",
         )
     )
 

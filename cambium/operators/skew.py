@@ -56,22 +56,24 @@ def lookup_join(
 def split_hot(
     df: DataFrame,
     keys: Sequence[str],
-    value: str,
     spread_by: str | Sequence[str],
     max_group: int = MAX_GROUP,
+    sizes: DataFrame | None = None,
     max_hot_keys: int = MAX_HOT_KEYS,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Separate the groups that have more than ``max_group`` values.
+    """Separate the groups that have more than ``max_group`` rows.
 
     One partially aggregated count decides the plan: no oversized group gives
     ``(df, None)`` and the plain plan; up to ``max_hot_keys`` oversized groups
     are broadcast by key, their number being known by then; more are joined
-    with salting.
+    with salting.  The count reads ``sizes`` if given, a cheaper table with at
+    least the same rows per group (the stored widths behind a computed index).
     """
     keys = list(keys)
     hot = (
-        df.groupBy(*keys)
-        .agg(F.count(value).alias("_n"))
+        (df if sizes is None else sizes)
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > max_group)
         .select(*keys)
     )
@@ -104,8 +106,9 @@ def exact_ranks(
     target; rows below a bracket are only counted, rows inside it are counted
     per distinct value (both partially aggregated, spread by value), and the
     exact rank is read from running counts of the few values inside.  The
-    result holds ``n`` and a column ``v<i>_<j>`` for rank j of fraction i.  Groups must have more than ``max_group`` rows, which
-    makes the bracket wide enough for ranks within 2 of ``fraction * n``.
+    result holds ``n`` and a column ``v<i>_<j>`` for rank j of fraction i.  The
+    bracket holds all ranks within 2 of ``fraction * n`` in groups of more than
+    ``max_group`` values; smaller groups are counted whole.
     """
     keys = list(keys)
     margin = 4.0 / accuracy + 3.0 / max_group
@@ -117,12 +120,18 @@ def exact_ranks(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx(value, probabilities, accuracy).alias("_q"),
     )
+
+    def bound(i: int, end: float, open_end: float) -> Column:
+        if probabilities[i] == end:
+            return F.lit(open_end)
+        return F.when(F.col("n") <= max_group, open_end).otherwise(F.col("_q")[i])
+
     targets = F.array(
         *[
             F.struct(
                 F.lit(i).alias("target"),
-                (F.lit(float("-inf")) if probabilities[2 * i] == 0.0 else F.col("_q")[2 * i]).alias("lo"),
-                (F.lit(float("inf")) if probabilities[2 * i + 1] == 1.0 else F.col("_q")[2 * i + 1]).alias("hi"),
+                bound(2 * i, 0.0, float("-inf")).alias("lo"),
+                bound(2 * i + 1, 1.0, float("inf")).alias("hi"),
             )
             for i in range(len(fractions))
         ]

@@ -177,7 +177,8 @@ def detrend_spline(s, d):
 
 @query
 def spline_chronology(s, d):
-    return rounded(chron.chronology(spline.detrend_spline(fx.ring_width(s, d))))
+    widths = fx.ring_width(s, d)
+    return rounded(chron.chronology(spline.detrend_spline(widths), sizes=widths))
 
 
 # ---- chronologies and inter-series correlation ----------------------------------------------
