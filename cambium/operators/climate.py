@@ -363,11 +363,18 @@ def _quartile_ranks(n: Column) -> list[list[Column]]:
     return ranks
 
 
-def quartiles(values: DataFrame, keys: Sequence[str], value: str, spread_by: Sequence[str], max_group: int = MAX_GROUP) -> DataFrame:
+def quartiles(
+    values: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    spread_by: Sequence[str],
+    max_group: int = MAX_GROUP,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """Exact linear-interpolated quartiles per group, distributed for large groups."""
     keys = list(keys)
     names = ["q1", "q2", "q3"]
-    small, large = split_hot(values, keys, spread_by, max_group)
+    small, large = split_hot(values, keys, spread_by, max_group, sizes)
     result = (
         small.groupBy(*keys)
         .agg(F.percentile(value, QUARTILES).alias("_q"), F.count(value).alias("n"))
@@ -386,10 +393,14 @@ def quartiles(values: DataFrame, keys: Sequence[str], value: str, spread_by: Seq
 
 
 def month_distribution(
-    placed: DataFrame, max_group: int = MAX_GROUP, keys: Sequence[str] = ("spei_month",), value: str = "spei_coef"
+    placed: DataFrame,
+    max_group: int = MAX_GROUP,
+    keys: Sequence[str] = ("spei_month",),
+    value: str = "spei_coef",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Box-plot numbers per month: quartiles, whiskers at 1.5 IQR, outlier count."""
-    fenced = _with_fences(placed, max_group, keys, value)
+    fenced = _with_fences(placed, max_group, keys, value, sizes)
     v = F.col("_value")
     inside = v.between(F.col("_low"), F.col("_high"))
     return fenced.groupBy(*keys, "n", "q1", "q2", "q3").agg(
@@ -400,19 +411,25 @@ def month_distribution(
 
 
 def month_outliers(
-    placed: DataFrame, max_group: int = MAX_GROUP, keys: Sequence[str] = ("spei_month",), value: str = "spei_coef"
+    placed: DataFrame,
+    max_group: int = MAX_GROUP,
+    keys: Sequence[str] = ("spei_month",),
+    value: str = "spei_coef",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """The single sites a box plot draws beyond its whiskers."""
-    fenced = _with_fences(placed, max_group, keys, value)
+    fenced = _with_fences(placed, max_group, keys, value, sizes)
     outside = ~F.col("_value").between(F.col("_low"), F.col("_high"))
     return fenced.filter(outside).select("rwl", *keys, F.col("_value").alias(value))
 
 
-def _with_fences(placed: DataFrame, max_group: int, keys: Sequence[str], value: str) -> DataFrame:
+def _with_fences(
+    placed: DataFrame, max_group: int, keys: Sequence[str], value: str, sizes: DataFrame | None
+) -> DataFrame:
     keys = list(keys)
     values = placed.select(*keys, "rwl", finite_or_null(F.col(value)).alias("_value"))
     # One row per month label (16 for one variable): small by definition.
-    boxes = quartiles(values, keys, "_value", ["rwl"], max_group)
+    boxes = quartiles(values, keys, "_value", ["rwl"], max_group, sizes)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return (
         values.filter(F.col("_value").isNotNull())

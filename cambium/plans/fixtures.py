@@ -49,10 +49,10 @@ def ring_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ring_width_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def coded(widths: DataFrame) -> DataFrame:
     """Ring widths with some rings coded as missing."""
     supplier = F.substring("tree", 2, 20).cast("bigint")
-    return ring_width(spark, sf_dir).withColumn(
+    return widths.withColumn(
         "width",
         F.when(F.col("year") % 25 == 0, 0.0)
         .when((supplier % 10 == 0) & (F.col("year") % 20 == 0), 0.01)
@@ -84,11 +84,11 @@ def climate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def site_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_metadata(spark: SparkSession, sf_dir: str, widths: DataFrame) -> DataFrame:
     """Nations as sites; every site lies on a cell centre of the grid."""
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
-    spans = ring_width(spark, sf_dir).groupBy("rwl").agg(
+    spans = widths.groupBy("rwl").agg(
         F.min("year").alias("first_year"), F.max("year").alias("last_year")
     )
     col, row = (F.col("n_nationkey") * 7) % 90, (F.col("n_nationkey") * 11) % 80

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,13 @@ R_LIMIT = 0.2
 REPLICATES, SEED = 100, 1
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+    """Register ``fn`` under its own name; it gets the inputs of one data folder."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(Inputs(spark, sf_dir))
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -50,134 +56,186 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 # ---- inputs shared by several queries -------------------------------------------------------
 
 
-def _stats(s: SparkSession, d: str) -> DataFrame:
-    return growth.tree_stats(fx.ring_width(s, d))
-
+class Inputs:
+    """The views of one data folder and the tables derived from them, each built once."""
 
-def _ages(s: SparkSession, d: str) -> DataFrame:
-    return growth.tree_age(_stats(s, d))
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
 
+    def table(self, name: str) -> DataFrame:
+        return fx.table(self.spark, self.sf_dir, name)
 
-def _index(s: SparkSession, d: str) -> DataFrame:
-    return pointer.lowpass13(fx.ring_width(s, d))
+    @cached_property
+    def widths(self) -> DataFrame:
+        return fx.ring_width(self.spark, self.sf_dir)
 
+    @cached_property
+    def coded(self) -> DataFrame:
+        return fx.coded(self.widths)
 
-def _pointers(s: SparkSession, d: str) -> DataFrame:
-    return pointer.pointer_years(pointer.growth_z(_index(s, d)), THRESH)
+    @cached_property
+    def climate(self) -> DataFrame:
+        return fx.climate(self.spark, self.sf_dir)
 
+    @cached_property
+    def metadata(self) -> DataFrame:
+        return fx.site_metadata(self.spark, self.sf_dir, self.widths)
 
-def _guards(s: SparkSession, d: str) -> DataFrame:
-    return pointer.site_guards(fx.ring_width_coded(s, d), _index(s, d))
+    @cached_property
+    def points(self) -> DataFrame:
+        return fx.points(self.spark, self.sf_dir)
 
+    @cached_property
+    def grid_monthly(self) -> DataFrame:
+        return fx.grid_monthly(self.spark, self.sf_dir)
 
-def _negative(s: SparkSession, d: str) -> DataFrame:
-    return pointer.negative_pointer_years(_guards(s, d), _pointers(s, d))
+    @cached_property
+    def grid_static(self) -> DataFrame:
+        return fx.grid_static(self.spark, self.sf_dir)
 
+    @cached_property
+    def stats(self) -> DataFrame:
+        return growth.tree_stats(self.widths)
 
-def _rwi(s: SparkSession, d: str) -> DataFrame:
-    return growth.relative_widths(fx.ring_width(s, d))
+    @cached_property
+    def ages(self) -> DataFrame:
+        return growth.tree_age(self.stats)
 
+    @cached_property
+    def index(self) -> DataFrame:
+        return pointer.lowpass13(self.widths)
 
-def _chronology(s: SparkSession, d: str) -> DataFrame:
-    return chron.chronology(_rwi(s, d))
+    @cached_property
+    def pointers(self) -> DataFrame:
+        return pointer.pointer_years(pointer.growth_z(self.index), THRESH)
 
+    @cached_property
+    def guards(self) -> DataFrame:
+        return pointer.site_guards(self.coded, self.index)
 
-def _interseries(s: SparkSession, d: str) -> DataFrame:
-    return interseries.interseries_cor(_rwi(s, d), prewhitened=False)
+    @cached_property
+    def negative(self) -> DataFrame:
+        return pointer.negative_pointer_years(self.guards, self.pointers)
 
+    @cached_property
+    def resilience(self) -> DataFrame:
+        years = pointer.frequent_years(self.negative, MIN_N)
+        return resilience.resilience_site(resilience.resilience_tree(self.index), self.guards, years)
 
-def _coefs(s: SparkSession, d: str) -> DataFrame:
-    return clim.climate_coef(_chronology(s, d), fx.climate(s, d), threshold=R_LIMIT)
+    @cached_property
+    def rwi(self) -> DataFrame:
+        return growth.relative_widths(self.widths)
 
+    @cached_property
+    def chronology(self) -> DataFrame:
+        return chron.chronology(self.rwi, sizes=self.widths)
 
-def _spei(s: SparkSession, d: str) -> DataFrame:
-    return clim.spei_names(clim.climate_coef(_chronology(s, d), fx.climate(s, d), ["spei"], threshold=R_LIMIT))
+    @cached_property
+    def interseries(self) -> DataFrame:
+        return interseries.interseries_cor(self.rwi, prewhitened=False, sizes=self.widths)
 
+    @cached_property
+    def coefs(self) -> DataFrame:
+        return clim.climate_coef(self.chronology, self.climate, threshold=R_LIMIT)
 
-def _placed(s: SparkSession, d: str) -> DataFrame:
-    return clim.with_coordinates(_spei(s, d), fx.site_metadata(s, d))
-
+    @cached_property
+    def spei(self) -> DataFrame:
+        return clim.spei_names(
+            clim.climate_coef(self.chronology, self.climate, ["spei"], threshold=R_LIMIT)
+        )
 
-def _samples(s: SparkSession, d: str) -> DataFrame:
-    return grid.sample_grid(fx.points(s, d), fx.grid_monthly(s, d), fx.GRID)
+    @cached_property
+    def placed(self) -> DataFrame:
+        return clim.with_coordinates(self.spei, self.metadata)
 
+    @cached_property
+    def month_sizes(self) -> DataFrame:
+        """Every site in every month: at least the group sizes of ``placed``."""
+        labels = F.array(*[F.lit(row[1]) for row in months.window_labels()])
+        return self.table("nation").select(F.explode(labels).alias("spei_month"))
 
-def _sites(s: SparkSession, d: str) -> DataFrame:
-    return cat.explode_sites(cat.parse_documents(fx.catalogue(s, d), "document"))
+    @cached_property
+    def samples(self) -> DataFrame:
+        return grid.sample_grid(self.points, self.grid_monthly, fx.GRID)
 
+    @cached_property
+    def sites(self) -> DataFrame:
+        documents = fx.catalogue(self.spark, self.sf_dir)
+        return cat.explode_sites(cat.parse_documents(documents, "document"))
 
-def _resilience(s: SparkSession, d: str) -> DataFrame:
-    years = pointer.frequent_years(_negative(s, d), MIN_N)
-    return resilience.resilience_site(resilience.resilience_tree(_index(s, d)), _guards(s, d), years)
+    @cached_property
+    def lines(self) -> DataFrame:
+        rings = self.widths.withColumn("width", F.round("width", 3))
+        return ring_text.format_ring_lines(rings).select("rwl", "line")
 
 
 # ---- growth ---------------------------------------------------------------------------------
 
 
 @query
-def tree_stats(s, d):
-    return rounded(_stats(s, d))
+def tree_stats(x):
+    return rounded(x.stats)
 
 
 @query
-def site_age(s, d):
-    return rounded(_ages(s, d).drop("flag"))
+def site_age(x):
+    return rounded(x.ages.drop("flag"))
 
 
 @query
-def site_rollup(s, d):
-    return rounded(growth.site_rollup(_ages(s, d)))
+def site_rollup(x):
+    return rounded(growth.site_rollup(x.ages))
 
 
 @query
-def metadata_age(s, d):
-    return rounded(growth.metadata_age(_ages(s, d), fx.site_metadata(s, d)))
+def metadata_age(x):
+    return rounded(growth.metadata_age(x.ages, x.metadata))
 
 
 @query
-def site_filter(s, d):
-    chosen = cat.site_filter(fx.site_metadata(s, d), species="EURO", min_last=1980, max_last=2025)
-    return rounded(pointer.select_sites(fx.ring_width(s, d), chosen))
+def site_filter(x):
+    chosen = cat.site_filter(x.metadata, species="EURO", min_last=1980, max_last=2025)
+    return rounded(pointer.select_sites(x.widths, chosen))
 
 
 @query
-def bai_long(s, d):
-    return rounded(growth.bai(fx.ring_width(s, d)))
+def bai_long(x):
+    return rounded(growth.bai(x.widths))
 
 
 @query
-def bai_dense(s, d):
-    return rounded(growth.bai_dense(fx.ring_width(s, d)))
+def bai_dense(x):
+    return rounded(growth.bai_dense(x.widths))
 
 
 @query
-def site_trend(s, d):
-    return rounded(growth.site_trend(_chronology(s, d)), 8)
+def site_trend(x):
+    return rounded(growth.site_trend(x.chronology), 8)
 
 
 @query
-def tree_trend(s, d):
-    return rounded(growth.tree_trend(growth.bai(fx.ring_width(s, d))))
+def tree_trend(x):
+    return rounded(growth.tree_trend(growth.bai(x.widths)))
 
 
 @query
-def growth_trend_flags(s, d):
-    return growth.growth_trend_flags(fx.ring_width(s, d))
+def growth_trend_flags(x):
+    return growth.growth_trend_flags(x.widths)
 
 
 @query
-def relative_widths(s, d):
-    return rounded(_rwi(s, d))
+def relative_widths(x):
+    return rounded(x.rwi)
 
 
 @query
-def detrend_spline(s, d):
-    return rounded(spline.detrend_spline(fx.ring_width(s, d)))
+def detrend_spline(x):
+    return rounded(spline.detrend_spline(x.widths))
 
 
 @query
-def spline_chronology(s, d):
-    widths = fx.ring_width(s, d)
+def spline_chronology(x):
+    widths = x.widths
     return rounded(chron.chronology(spline.detrend_spline(widths), sizes=widths))
 
 
@@ -185,117 +243,117 @@ def spline_chronology(s, d):
 
 
 @query
-def chronology(s, d):
-    return rounded(_chronology(s, d))
+def chronology(x):
+    return rounded(x.chronology)
 
 
 @query
-def chronology_mean(s, d):
-    return rounded(chron.chronology(_rwi(s, d), biweight=False))
+def chronology_mean(x):
+    return rounded(chron.chronology(x.rwi, biweight=False))
 
 
 @query
-def chronology_cv(s, d):
-    return rounded(growth.chronology_cv(_chronology(s, d)))
+def chronology_cv(x):
+    return rounded(growth.chronology_cv(x.chronology))
 
 
 @query
-def others_chronology(s, d):
-    return rounded(interseries.others_chronology(_rwi(s, d)))
+def others_chronology(x):
+    return rounded(interseries.others_chronology(x.rwi, sizes=x.widths))
 
 
 @query
-def interseries_cor(s, d):
-    return rounded(_interseries(s, d))
+def interseries_cor(x):
+    return rounded(x.interseries)
 
 
 @query
-def interseries_pearson(s, d):
-    return rounded(interseries.interseries_cor(_rwi(s, d), prewhitened=False, method="pearson"))
+def interseries_pearson(x):
+    return rounded(interseries.interseries_cor(x.rwi, prewhitened=False, method="pearson", sizes=x.widths))
 
 
 @query
-def interseries_site(s, d):
-    return rounded(interseries.interseries_site(_interseries(s, d)))
+def interseries_site(x):
+    return rounded(interseries.interseries_site(x.interseries))
 
 
 @query
-def interseries_flags(s, d):
-    return interseries.interseries_flags(_interseries(s, d))
+def interseries_flags(x):
+    return interseries.interseries_flags(x.interseries)
 
 
 @query
-def interseries_prewhitened(s, d):
-    return rounded(interseries.interseries_cor(_rwi(s, d)))
+def interseries_prewhitened(x):
+    return rounded(interseries.interseries_cor(x.rwi, sizes=x.widths))
 
 
 # ---- pointer years and resilience -----------------------------------------------------------
 
 
 @query
-def lowpass13(s, d):
-    return rounded(_index(s, d))
+def lowpass13(x):
+    return rounded(x.index)
 
 
 @query
-def growth_z(s, d):
-    return rounded(pointer.growth_z(_index(s, d)))
+def growth_z(x):
+    return rounded(pointer.growth_z(x.index))
 
 
 @query
-def pointer_years(s, d):
-    return rounded(_pointers(s, d))
+def pointer_years(x):
+    return rounded(x.pointers)
 
 
 @query
-def missing_rings(s, d):
-    return rounded(pointer.missing_rings(fx.ring_width_coded(s, d)))
+def missing_rings(x):
+    return rounded(pointer.missing_rings(x.coded))
 
 
 @query
-def pointer_flags(s, d):
-    return rounded(pointer.pointer_flags(_guards(s, d), _pointers(s, d)))
+def pointer_flags(x):
+    return rounded(pointer.pointer_flags(x.guards, x.pointers))
 
 
 @query
-def negative_pointer_years(s, d):
-    return rounded(_negative(s, d))
+def negative_pointer_years(x):
+    return rounded(x.negative)
 
 
 @query
-def pointer_year_freq(s, d):
-    return rounded(pointer.pointer_year_freq(_negative(s, d)))
+def pointer_year_freq(x):
+    return rounded(pointer.pointer_year_freq(x.negative))
 
 
 @query
-def frequent_years(s, d):
-    return rounded(pointer.frequent_years(_negative(s, d), MIN_N))
+def frequent_years(x):
+    return rounded(pointer.frequent_years(x.negative, MIN_N))
 
 
 @query
-def resilience_tree(s, d):
-    return rounded(resilience.resilience_tree(_index(s, d)))
+def resilience_tree(x):
+    return rounded(resilience.resilience_tree(x.index))
 
 
 @query
-def recovery_period(s, d):
-    return rounded(resilience.recovery_period(_index(s, d)))
+def recovery_period(x):
+    return rounded(resilience.recovery_period(x.index))
 
 
 @query
-def resilience_site(s, d):
-    return rounded(_resilience(s, d))
+def resilience_site(x):
+    return rounded(x.resilience)
 
 
 @query
-def resilience_flags(s, d):
-    return resilience.resilience_flags(_guards(s, d))
+def resilience_flags(x):
+    return resilience.resilience_flags(x.guards)
 
 
 @query
-def component_full_join(s, d):
+def component_full_join(x):
     """Component tables kept apart, each with its own years, then joined in full."""
-    site_years = resilience.resilience_site_year(resilience.resilience_tree(_index(s, d)))
+    site_years = resilience.resilience_site_year(resilience.resilience_tree(x.index))
     parts = []
     for k, (mean, sd, count) in enumerate(resilience.COMPONENTS.values()):
         parts.append(
@@ -308,136 +366,136 @@ def component_full_join(s, d):
 
 
 @query
-def climate_long(s, d):
+def climate_long(x):
     """One-variable tables joined on site, year and month."""
-    base = fx.climate(s, d)
+    base = x.climate
     parts = [base.filter(F.col("month") != k).select("rwl", "year", "month", v) for k, v in enumerate(clim.CLIMATE_VARIABLES)]
     return rounded(clim.join_variables(parts))
 
 
 @query
-def climate_samples_long(s, d):
+def climate_samples_long(x):
     """Grid samples at points, by month and variable."""
-    samples = grid.layer_to_month(_samples(s, d).drop("row", "col"))
+    samples = grid.layer_to_month(x.samples.drop("row", "col"))
     return rounded(clim.climate_long(samples, ["pre", "spei"]))
 
 
 @query
-def climate_wide(s, d):
-    wide = grid.climate_wide(_samples(s, d), "pre", range(1, 25))
+def climate_wide(x):
+    wide = grid.climate_wide(x.samples, "pre", range(1, 25))
     return rounded(wide)
 
 
 @query
-def climate_wide_to_long(s, d):
-    wide = grid.climate_wide(_samples(s, d), "pre", range(1, 25))
+def climate_wide_to_long(x):
+    wide = grid.climate_wide(x.samples, "pre", range(1, 25))
     long = grid.wide_to_long(wide, "pre")
     return rounded(long.withColumn("month_number", months.month_number(F.col("month"))))
 
 
 @query
-def lagged_months(s, d):
-    return rounded(clim.lagged_months(fx.climate(s, d), clim.CLIMATE_VARIABLES))
+def lagged_months(x):
+    return rounded(clim.lagged_months(x.climate, clim.CLIMATE_VARIABLES))
 
 
 @query
-def climate_correlation(s, d):
-    return rounded(_coefs(s, d))
+def climate_correlation(x):
+    return rounded(x.coefs)
 
 
 @query
-def spei_correlation(s, d):
-    return rounded(_spei(s, d))
+def spei_correlation(x):
+    return rounded(x.spei)
 
 
 @query
-def bootstrap_ci(s, d):
+def bootstrap_ci(x):
     coefs = clim.climate_coef(
-        _chronology(s, d), fx.climate(s, d), ["pre", "spei"], replicates=REPLICATES, seed=SEED
+        x.chronology, x.climate, ["pre", "spei"], replicates=REPLICATES, seed=SEED
     )
     return rounded(coefs)
 
 
 @query
-def climate_response(s, d):
+def climate_response(x):
     coefs = clim.climate_coef(
-        _chronology(s, d), fx.climate(s, d), ["spei"], method="response", replicates=REPLICATES, seed=SEED
+        x.chronology, x.climate, ["spei"], method="response", replicates=REPLICATES, seed=SEED
     )
     return rounded(coefs)
 
 
 @query
-def signature(s, d):
-    return rounded(clim.signature(_coefs(s, d), mark=0.1))
+def signature(x):
+    return rounded(clim.signature(x.coefs, mark=0.1))
 
 
 @query
-def significant_coefs(s, d):
-    return rounded(clim.split_by_significance(_coefs(s, d))[0])
+def significant_coefs(x):
+    return rounded(clim.split_by_significance(x.coefs)[0])
 
 
 @query
-def spei_mean_map(s, d):
-    return rounded(clim.spei_mean_map(_placed(s, d)))
+def spei_mean_map(x):
+    return rounded(clim.spei_mean_map(x.placed))
 
 
 @query
-def strongest_month(s, d):
-    return rounded(clim.strongest_month(_placed(s, d)))
+def strongest_month(x):
+    return rounded(clim.strongest_month(x.placed))
 
 
 @query
-def significant_by_month(s, d):
-    return rounded(clim.significant_by_month(_placed(s, d)))
+def significant_by_month(x):
+    return rounded(clim.significant_by_month(x.placed))
 
 
 @query
-def month_distribution(s, d):
-    return rounded(clim.month_distribution(_placed(s, d)))
+def month_distribution(x):
+    return rounded(clim.month_distribution(x.placed, sizes=x.month_sizes))
 
 
 @query
-def month_outliers(s, d):
-    return rounded(clim.month_outliers(_placed(s, d)))
+def month_outliers(x):
+    return rounded(clim.month_outliers(x.placed, sizes=x.month_sizes))
 
 
 # ---- grids ----------------------------------------------------------------------------------
 
 
 @query
-def crop_grid(s, d):
-    return rounded(grid.crop(fx.grid_monthly(s, d), fx.GRID, (0.0, 20.0, 40.0, 60.0)))
+def crop_grid(x):
+    return rounded(grid.crop(x.grid_monthly, fx.GRID, (0.0, 20.0, 40.0, 60.0)))
 
 
 @query
-def sample_grid(s, d):
-    return rounded(_samples(s, d))
+def sample_grid(x):
+    return rounded(x.samples)
 
 
 @query
-def distinct_points(s, d):
-    return rounded(grid.distinct_points(fx.points(s, d)))
+def distinct_points(x):
+    return rounded(grid.distinct_points(x.points))
 
 
 @query
-def rasterize_last(s, d):
-    return rounded(grid.rasterize_last(fx.points(s, d), fx.GRID, "balance", "seq", "longitude", "latitude"))
+def rasterize_last(x):
+    return rounded(grid.rasterize_last(x.points, fx.GRID, "balance", "seq", "longitude", "latitude"))
 
 
 @query
-def resample_bilinear(s, d):
-    return rounded(grid.resample_bilinear(fx.grid_static(s, d), fx.GRID, fx.FINE_GRID))
+def resample_bilinear(x):
+    return rounded(grid.resample_bilinear(x.grid_static, fx.GRID, fx.FINE_GRID))
 
 
 @query
-def site_covariates(s, d):
-    return rounded(grid.site_covariates(fx.points(s, d).drop("seq", "balance"), fx.grid_static(s, d), fx.GRID))
+def site_covariates(x):
+    return rounded(grid.site_covariates(x.points.drop("seq", "balance"), x.grid_static, fx.GRID))
 
 
 @query
-def point_casts(s, d):
+def point_casts(x):
     """Point table read as text, numbers that do not parse become NULL."""
-    text = fx.points(s, d).select(
+    text = x.points.select(
         "rwl",
         F.col("longitude").cast("string").alias("lon"),
         F.col("latitude").cast("string").alias("lat"),
@@ -451,78 +509,73 @@ def point_casts(s, d):
 
 
 @query
-def catalogue_explode(s, d):
-    return rounded(cat.site_metadata(_sites(s, d)).drop("rwl"))
+def catalogue_explode(x):
+    return rounded(cat.site_metadata(x.sites).drop("rwl"))
 
 
 @query
-def catalogue_filter(s, d):
-    chosen = cat.filter_catalogue(_sites(s, d))
+def catalogue_filter(x):
+    chosen = cat.filter_catalogue(x.sites)
     return rounded(cat.analysis_metadata(cat.site_metadata(chosen, compat=True)))
 
 
 @query
-def raw_file_list(s, d):
-    return rounded(cat.raw_files(_sites(s, d)))
+def raw_file_list(x):
+    return rounded(cat.raw_files(x.sites))
 
 
 @query
-def usable_files(s, d):
-    files = cat.raw_files(_sites(s, d))
+def usable_files(x):
+    files = cat.raw_files(x.sites)
     failed = F.col("NOAAStudyId").cast("bigint") % 13 == 0
     status = files.select("NOAAStudyId", "linkText", F.when(failed, "Error").otherwise("Good").alias("status"))
     return rounded(cat.usable_files(files, status))
 
 
-def _lines(s: SparkSession, d: str) -> DataFrame:
-    widths = fx.ring_width(s, d).withColumn("width", F.round("width", 3))
-    return ring_text.format_ring_lines(widths).select("rwl", "line")
-
-
 @query
-def ring_text_round_trip(s, d):
-    return rounded(ring_text.parse_ring_lines(_lines(s, d)))
+def ring_text_round_trip(x):
+    return rounded(ring_text.parse_ring_lines(x.lines))
 
 
 @query
-def ring_file_status(s, d):
+def ring_file_status(x):
     """Read status where every fifth site's lines are damaged."""
     bad = F.col("rwl").substr(2, 2).cast("int") % 5 == 0
-    lines = _lines(s, d).withColumn("line", F.when(bad, F.translate("line", "0123", "abcd")).otherwise(F.col("line")))
+    lines = x.lines.withColumn("line", F.when(bad, F.translate("line", "0123", "abcd")).otherwise(F.col("line")))
     return rounded(ring_text.file_status(ring_text.scan_lines(lines)).select("rwl", "status"))
 
 
 @query
-def site_precision(s, d):
-    return rounded(ring_text.site_precision(fx.ring_width(s, d).withColumn("width", F.round("width", 3))))
+def site_precision(x):
+    return rounded(ring_text.site_precision(x.widths.withColumn("width", F.round("width", 3))))
 
 
 @query
-def width_decimals(s, d):
-    widths = fx.ring_width(s, d).withColumn("width", F.round("width", 3))
+def width_decimals(x):
+    widths = x.widths.withColumn("width", F.round("width", 3))
     return rounded(tables.column_profile(widths.select(decimals(F.col("width")).alias("n_decimals")), "n_decimals"))
 
 
 @query
-def species_table(s, d):
-    return rounded(tables.column_profile(fx.site_metadata(s, d), "species_code"))
+def species_table(x):
+    return rounded(tables.column_profile(x.metadata, "species_code"))
 
 
 @query
-def last_year_range(s, d):
-    return rounded(tables.column_range(fx.site_metadata(s, d), "last_year"))
+def last_year_range(x):
+    return rounded(tables.column_range(x.metadata, "last_year"))
 
 
 @query
-def filter_counts(s, d):
-    meta = fx.site_metadata(s, d)
+def filter_counts(x):
+    meta = x.metadata
     return rounded(tables.filter_counts(meta, cat.site_filter(meta, species="EURO")))
 
 
 @query
-def path_site_ids(s, d):
+def path_site_ids(x):
     """Site id from a file path, path labels and month labels of layers."""
-    rows = fx.points(s, d).select(
+    rows = x.points.select(
         "rwl",
         ring_text.site_of_path(F.concat(F.lit("/data/rings/"), F.upper("rwl"), F.lit(".rwl"))).alias("site"),
         months.layer_label((F.col("seq") % 1488 + 1).cast("int")).alias("label"),
@@ -533,65 +586,61 @@ def path_site_ids(s, d):
 # ---- final tables ---------------------------------------------------------------------------
 
 
-def _meta(s: SparkSession, d: str) -> DataFrame:
-    return fx.site_metadata(s, d)
-
-
 @query
-def extended_metadata(s, d):
-    region = fx.table(s, d, "region")
+def extended_metadata(x):
+    region = x.table("region")
     groups = region.filter("r_regionkey < 4").select(
         F.substring("r_name", 1, 4).alias("species_code"),
         F.when(F.col("r_regionkey") % 2 == 0, "conifer").otherwise("broadleaf").alias("con_broad"),
     )
-    return rounded(final.extended_metadata(_meta(s, d), groups))
+    return rounded(final.extended_metadata(x.metadata, groups))
 
 
 @query
-def site_growth_data(s, d):
-    site = interseries.interseries_site(_interseries(s, d))
-    return rounded(final.site_growth_data(_meta(s, d), site, growth.chronology_cv(_chronology(s, d))))
+def site_growth_data(x):
+    site = interseries.interseries_site(x.interseries)
+    return rounded(final.site_growth_data(x.metadata, site, growth.chronology_cv(x.chronology)))
 
 
 @query
-def site_clim_correlation(s, d):
-    return rounded(final.site_clim_correlation(_meta(s, d), _coefs(s, d)))
+def site_clim_correlation(x):
+    return rounded(final.site_clim_correlation(x.metadata, x.coefs))
 
 
 @query
-def site_spei_correlation(s, d):
-    return rounded(final.site_spei_correlation(_meta(s, d), _spei(s, d)))
+def site_spei_correlation(x):
+    return rounded(final.site_spei_correlation(x.metadata, x.spei))
 
 
 @query
-def site_year_chronologies(s, d):
-    return rounded(final.site_year_chronologies(_chronology(s, d), _meta(s, d)))
+def site_year_chronologies(x):
+    return rounded(final.site_year_chronologies(x.chronology, x.metadata))
 
 
 @query
-def site_year_resilience(s, d):
-    return rounded(final.site_year_resilience(_resilience(s, d), _meta(s, d)))
+def site_year_resilience(x):
+    return rounded(final.site_year_resilience(x.resilience, x.metadata))
 
 
 @query
-def site_month_climate(s, d):
-    base = fx.climate(s, d)
+def site_month_climate(x):
+    base = x.climate
     spei = base.filter(F.col("year") % 2 == 0).select("rwl", "year", "month", "spei")
-    return rounded(final.site_month_climate(base.drop("spei"), spei, _meta(s, d)))
+    return rounded(final.site_month_climate(base.drop("spei"), spei, x.metadata))
 
 
 @query
-def site_growth_trend(s, d):
-    return rounded(final.site_growth_trend(_chronology(s, d), _meta(s, d)), 8)
+def site_growth_trend(x):
+    return rounded(final.site_growth_trend(x.chronology, x.metadata), 8)
 
 
 @query
-def tree_year_growth(s, d):
-    dense = growth.bai_dense(fx.ring_width(s, d))
-    return rounded(final.tree_year_growth(dense, _ages(s, d), _interseries(s, d)))
+def tree_year_growth(x):
+    dense = growth.bai_dense(x.widths)
+    return rounded(final.tree_year_growth(dense, x.ages, x.interseries))
 
 
 @query
-def tree_growth_trend(s, d):
-    bai = growth.bai(fx.ring_width(s, d))
-    return rounded(final.tree_growth_trend(bai, _meta(s, d), _interseries(s, d)))
+def tree_growth_trend(x):
+    bai = growth.bai(x.widths)
+    return rounded(final.tree_growth_trend(bai, x.metadata, x.interseries))
