@@ -21,7 +21,7 @@ def read_catalogue(spark: SparkSession, path: str, one_document: bool = True) ->
     """Studies from a search response, or from JSON lines (one study each, splittable)."""
     if not one_document:
         return spark.read.text(path).select(F.from_json("value", schemas.STUDY).alias("s")).select("s.*")
-    document = spark.read.option("wholetext", "true").text(path)
+    document = spark.read.text(path, wholetext=True)
     return parse_documents(document, "value")
 
 
