@@ -82,3 +82,19 @@ def filter_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     b = before.agg(F.count(F.lit(1)).alias("n_before"))
     a = after.agg(F.count(F.lit(1)).alias("n_after"))
     return b.withColumn("_k", F.lit(1)).join(a.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def store_by_tree(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Write ring data bucketed and sorted by tree, and go on from the table.
+
+    Windows and aggregations over a tree then need no shuffle.  The tree, not
+    the site, is the bucket key, so a dominant site fills many buckets.
+    """
+    (
+        df.write.mode("overwrite")
+        .bucketBy(buckets, "rwl", "tree")
+        .sortBy("rwl", "tree", "year")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return df.sparkSession.table(table)
