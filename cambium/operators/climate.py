@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from cambium.functions.months import month_dimension, month_order, window_labels
 from cambium.functions.numeric import finite_or_null, safe_corr
-from cambium.operators.skew import MAX_GROUP, exact_ranks, split_hot
+from cambium.operators.skew import MAX_GROUP, exact_ranks, lookup_join, shuffle_partitions, split_hot
 
 CLIMATE_VARIABLES = ["pre", "tmp", "tmn", "tmx"]
 SITE_MONTH = ["rwl", "year", "month"]
@@ -104,21 +104,28 @@ def _pairs(chronologies: DataFrame, lagged: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=256)
-def resample_draws(seed: int, replicates: int, n: int) -> np.ndarray:
+def resample_draws(
+    seed: int, replicates: int, n: int, mean_block: float | None = None
+) -> np.ndarray:
     """Years drawn for each replicate, from a hash of (seed, replicate, position).
 
-    The draw does not depend on the site, the partition or the engine.
+    The draw does not depend on the site, the partition or the engine.  With
+    ``mean_block`` neighbouring years stay together in blocks of geometric
+    length (stationary bootstrap), otherwise draws are independent.
     """
-    return np.array(
-        [
-            [
-                int(hashlib.md5(f"{seed}/{b}/{i}".encode()).hexdigest()[:8], 16) % n
-                for i in range(1, n + 1)
-            ]
-            for b in range(1, replicates + 1)
-        ],
-        dtype=np.int64,
-    ).reshape(replicates, n)
+    digests = [
+        hashlib.md5(f"{seed}/{b}/{i}".encode()).hexdigest()
+        for b in range(1, replicates + 1)
+        for i in range(1, n + 1)
+    ]
+    draws = np.array([int(h[:8], 16) % n for h in digests], dtype=np.int64).reshape(replicates, n)
+    if mean_block is None:
+        return draws
+    restart = np.array([int(h[8:16], 16) / 2.0**32 for h in digests]).reshape(replicates, n)
+    for i in range(1, n):
+        follow = restart[:, i] >= 1.0 / mean_block
+        draws[follow, i] = (draws[follow, i - 1] + 1) % n
+    return draws
 
 
 def bootstrap_correlations(x: np.ndarray, y: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -138,6 +145,7 @@ def bootstrap_ci(
     replicates: int = 1000,
     seed: int = 1,
     level: float = 0.95,
+    mean_block: float | None = None,
 ) -> DataFrame:
     """Correlation with percentile limits per site, variable and month.
 
@@ -151,7 +159,7 @@ def bootstrap_ci(
         rows = []
         for x, y in zip(xs, ys):
             x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
-            r = bootstrap_correlations(x, y, resample_draws(seed, replicates, len(x)))
+            r = bootstrap_correlations(x, y, resample_draws(seed, replicates, len(x), mean_block))
             r = r[~np.isnan(r)]
             rows.append(tuple(np.percentile(r, [low, high])) if len(r) else (None, None))
         return pd.DataFrame(rows, columns=["lo", "hi"], dtype=float)
@@ -159,7 +167,10 @@ def bootstrap_ci(
     kernel = F.pandas_udf(
         limits, T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
     )
-    grouped = _pairs(chronologies, lagged).groupBy(*COEF_KEYS).agg(
+    # A fixed number of partitions: the work is in the kernel, not in the bytes
+    # by which adaptive execution would merge them.
+    pairs = _pairs(chronologies, lagged)
+    grouped = pairs.repartition(shuffle_partitions(pairs), *COEF_KEYS).groupBy(*COEF_KEYS).agg(
         safe_corr(F.col("value"), F.col("std")).alias("coef"),
         F.sort_array(F.collect_list(F.struct("year", "value", "std"))).alias("_p"),
     )
@@ -212,6 +223,7 @@ def climate_response(
     replicates: int = 1000,
     seed: int = 1,
     level: float = 0.95,
+    mean_block: float | None = None,
     min_years: int = 10,
 ) -> DataFrame:
     """Response function per site: all variables and months enter one regression.
@@ -233,7 +245,7 @@ def climate_response(
             return empty
         coef = response_coefficients(x, growth)
         samples = []
-        for draw in resample_draws(seed, replicates, len(x)):
+        for draw in resample_draws(seed, replicates, len(x), mean_block):
             try:
                 samples.append(response_coefficients(x[draw], growth[draw]))
             except np.linalg.LinAlgError:
@@ -251,7 +263,8 @@ def climate_response(
         "coef double, ci_lower double, ci_upper double"
     )
     pairs = _pairs(chronologies, lagged).select(*COEF_KEYS, "year", "value", "std")
-    fitted = pairs.groupBy("rwl").applyInPandas(per_site, schema)
+    spread = pairs.repartition(shuffle_partitions(pairs), "rwl")
+    fitted = spread.groupBy("rwl").applyInPandas(per_site, schema)
     clean = fitted.select(*COEF_KEYS, *[finite_or_null(F.col(c)).alias(c) for c in ("coef", "ci_lower", "ci_upper")])
     return clean.withColumn("significant", (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))
 
@@ -266,6 +279,7 @@ def climate_coef(
     replicates: int = 1000,
     seed: int = 1,
     threshold: float | None = None,
+    mean_block: float | None = None,
 ) -> DataFrame:
     """Coefficients of growth on monthly climate.
 
@@ -274,11 +288,11 @@ def climate_coef(
     """
     lagged = lagged_months(climate, variables, first, last)
     if method == "response":
-        coefs = climate_response(chronologies, lagged, replicates, seed)
+        coefs = climate_response(chronologies, lagged, replicates, seed, mean_block=mean_block)
     elif threshold is not None:
         coefs = climate_correlation(chronologies, lagged, threshold)
     else:
-        coefs = bootstrap_ci(chronologies, lagged, replicates, seed)
+        coefs = bootstrap_ci(chronologies, lagged, replicates, seed, mean_block=mean_block)
     return _labelled(coefs, len(window_labels(first, last)))
 
 
@@ -428,12 +442,10 @@ def _with_fences(
 ) -> DataFrame:
     keys = list(keys)
     values = placed.select(*keys, "rwl", finite_or_null(F.col(value)).alias("_value"))
-    # One row per month label (16 for one variable): small by definition.
     boxes = quartiles(values, keys, "_value", ["rwl"], max_group, sizes)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return (
-        values.filter(F.col("_value").isNotNull())
-        .join(F.broadcast(boxes), keys)
+        lookup_join(values.filter(F.col("_value").isNotNull()), boxes, keys, "rwl", "inner")
         .withColumn("_low", F.col("q1") - reach)
         .withColumn("_high", F.col("q3") + reach)
     )

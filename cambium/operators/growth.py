@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from cambium.functions.numeric import finite_or_null, is_finite
-from cambium.operators.skew import SALT, lookup_join
+from cambium.operators.skew import SALT, lookup_join, window_salts
 
 TREE = ["rwl", "tree"]
 TREND_YEARS = (1975, 2025)
@@ -111,7 +111,9 @@ def _with_site_years(values: DataFrame, spans: DataFrame) -> tuple[DataFrame, Wi
     key, so joining and all windows over a tree share one shuffle even where
     one site holds most of the trees.
     """
-    joined = lookup_join(values, spans, "rwl", "tree", keep_salt=True)
+    joined = lookup_join(
+        values, spans, "rwl", "tree", salts=window_salts(values), keep_salt=True
+    )
     return joined, Window.partitionBy("rwl", SALT, "tree").orderBy("year")
 
 

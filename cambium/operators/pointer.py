@@ -214,6 +214,11 @@ def pointer_year_freq(negative: DataFrame) -> DataFrame:
     return negative.groupBy("pointer_year").agg(F.count(F.lit(1)).alias("n"))
 
 
+def most_frequent(frequency: DataFrame) -> DataFrame:
+    """The frequency report in reading order; one row per year, so sorting is cheap."""
+    return frequency.orderBy(F.desc("n"), "pointer_year")
+
+
 def frequent_years(negative: DataFrame, min_n: int = 10) -> DataFrame:
     """Pointer years shared by more than ``min_n`` sites."""
     return (

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cambium.functions.numeric import finite_or_null
 from cambium.operators.growth import TREE
+from cambium.operators.skew import lookup_join
 
 # Output column of each component, its spread and its tree count.
 COMPONENTS = {
@@ -82,11 +83,13 @@ def resilience_site(
 ) -> DataFrame:
     """Site components in the frequent pointer years, then one row per failed site.
 
-    Filtering by year comes first: it cuts the trees' rows before they shuffle.
+    The trees are aggregated first, on the map side already, so the year filter
+    sees one row per site and year; a single year holds a row of every site,
+    which is why that join is spread by site.
     """
-    wanted = trees.join(years.select(F.col("pointer_year").alias("year")), "year", "left_semi")
     passing = guards.filter(F.col("guard").isNull()).select("rwl")
-    site_years = resilience_site_year(wanted).join(passing, "rwl", "left_semi")
+    chosen = lookup_join(resilience_site_year(trees), years, "pointer_year", "rwl", "left_semi")
+    site_years = chosen.join(passing, "rwl", "left_semi")
     return site_years.withColumn("flag", F.lit(None).cast("string")).unionByName(
         resilience_flags(guards, read_flags), allowMissingColumns=True
     )

@@ -26,6 +26,19 @@ def salt_of(columns: str | Sequence[str], salts: int = DEFAULT_SALTS) -> Column:
     return F.pmod(F.xxhash64(*as_list(columns)), F.lit(salts)).cast("int")
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def window_salts(df: DataFrame) -> int:
+    """Salts where a window reuses the salted partitioning.
+
+    Adaptive execution cannot split a partition there, so the salts follow the
+    number of shuffle partitions.
+    """
+    return min(max(shuffle_partitions(df), DEFAULT_SALTS), 1024)
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -40,7 +53,8 @@ def lookup_join(
     The key alone may be hot (one site with a third of all trees), so the rows
     are spread over ``salts`` partitions by other columns and the lookup, which
     is one row per key, is repeated once per salt.  Where the lookup is small
-    Spark still turns this into a broadcast join by its own size estimate.
+    Spark still turns this into a broadcast join by its own size estimate, and
+    where a salted partition is still too large adaptive execution splits it.
     With ``keep_salt`` the salt stays, so a later window over
     ``(on, salt, spread_by)`` reuses the partitioning of this join.
     """

@@ -125,7 +125,7 @@ view(
     "grid_static",
     "",
     f"""SELECT {LAYERS}[CAST(l_orderkey % 9 + 1 AS INT)] AS layer, CAST(l_partkey % 80 AS INT) AS row,
-        CAST(l_suppkey * 7 % 90 AS INT) AS col, avg(l_quantity) AS value
+        CAST(l_suppkey * 7 % 90 AS INT) AS col, avg(l_quantity) / 7 AS value
     FROM lineitem GROUP BY 1, 2, 3""",
 )
 
@@ -764,8 +764,7 @@ query("raw_file_list", "studies", f"SELECT {_FILE} FROM studies WHERE key % 4 <>
 query(
     "usable_files",
     "studies",
-    f"""SELECT {_FILE}, 'Good' AS status FROM studies JOIN (SELECT key FROM studies) b USING (key)
-    WHERE key % 4 <> 0 AND key % 13 <> 0""",
+    f"SELECT {_FILE}, 'Good' AS status FROM studies WHERE key % 4 <> 0 AND key % 13 <> 0",
 )
 view("rings3", "ring_width", "SELECT rwl, tree, year, round(width, 3) AS width FROM ring_width")
 _DECIMALS = "length(rtrim(split_part(CAST(CAST(width AS DECIMAL(38, 9)) AS VARCHAR), '.', 2), '0'))"

@@ -130,11 +130,13 @@ def raw_files(sites: DataFrame, all_data_sets: bool = False) -> DataFrame:
 def usable_files(files: DataFrame, status: DataFrame) -> DataFrame:
     """Files of studies without any unreadable file, with their read status.
 
-    ``status`` is ``(NOAAStudyId, linkText, status)``.
+    ``status`` is ``(NOAAStudyId, linkText, status)``.  It is reduced to one row
+    per file first, so files listed for several sites do not multiply.
     """
-    failed = status.filter(F.col("status") == "Error").select("NOAAStudyId").distinct()
-    good = status.join(failed, "NOAAStudyId", "left_anti")
-    return good.join(files, ["NOAAStudyId", "linkText"])
+    per_file = status.groupBy("NOAAStudyId", "linkText").agg(F.min("status").alias("status"))
+    failed = per_file.filter(F.col("status") == "Error").select("NOAAStudyId").distinct()
+    good = per_file.join(failed, "NOAAStudyId", "left_anti")
+    return files.join(good, ["NOAAStudyId", "linkText"])
 
 
 def site_filter(

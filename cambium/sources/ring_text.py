@@ -161,7 +161,8 @@ def site_precision(widths: DataFrame) -> DataFrame:
 def format_ring_lines(widths: DataFrame, precision: DataFrame | None = None) -> DataFrame:
     """``(rwl, tree, year, width)`` to text lines, one per tree and decade."""
     measured = widths.filter(F.col("width").isNotNull())
-    scaled = lookup_join(measured, precision or site_precision(measured), "rwl", "tree")
+    units = site_precision(measured) if precision is None else precision
+    scaled = lookup_join(measured, units, "rwl", "tree")
     decade = F.floor(F.col("year") / 10).cast("int")
     ring = F.struct("year", F.round(F.col("width") * F.col("per_mm")).cast("int").alias("v"))
     lines = (
