@@ -146,7 +146,7 @@ def grid_static(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_quantity",
         )
         .groupBy("layer", "row", "col")
-        .agg((F.avg("l_quantity") / 7).alias("value"))
+        .agg(F.ln(F.avg("l_quantity") + 1).alias("value"))
     )
 
 

@@ -125,7 +125,7 @@ view(
     "grid_static",
     "",
     f"""SELECT {LAYERS}[CAST(l_orderkey % 9 + 1 AS INT)] AS layer, CAST(l_partkey % 80 AS INT) AS row,
-        CAST(l_suppkey * 7 % 90 AS INT) AS col, avg(l_quantity) / 7 AS value
+        CAST(l_suppkey * 7 % 90 AS INT) AS col, ln(avg(l_quantity) + 1) AS value
     FROM lineitem GROUP BY 1, 2, 3""",
 )
 
