@@ -821,6 +821,18 @@ query(
     f"""SELECT {with_meta('rwl', '', 'mean_cor mean_pval sd cv')} FROM meta LEFT JOIN cor_site USING (rwl)
     LEFT JOIN cv USING (rwl)""",
 )
+query(
+    "single_site",
+    "meta coefs",
+    f"SELECT {with_meta(*COEF)} FROM meta LEFT JOIN coefs USING (rwl) WHERE rwl = 's15'",
+)
+query(
+    "widths_dense",
+    "ring_width",
+    f"""SELECT {out('rwl tree', 'year', 'width')} FROM (SELECT DISTINCT rwl, tree FROM ring_width)
+    JOIN (SELECT rwl, unnest(generate_series(min(year), max(year))) AS year FROM ring_width GROUP BY rwl) USING (rwl)
+    LEFT JOIN ring_width USING (rwl, tree, year)""",
+)
 query("site_clim_correlation", "meta coefs", f"SELECT {with_meta(*COEF)} FROM meta LEFT JOIN coefs USING (rwl)")
 query("site_spei_correlation", "meta spei", f"SELECT {with_meta(*SPEI)} FROM meta LEFT JOIN spei USING (rwl)")
 query(

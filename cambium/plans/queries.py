@@ -208,6 +208,17 @@ def bai_dense(x):
     return rounded(growth.bai_dense(x.widths))
 
 
+@query
+def widths_dense(x):
+    return rounded(growth.dense_widths(x.widths))
+
+
+@query
+def single_site(x):
+    """One site's coefficients with its metadata, as a plot of a site needs them."""
+    return rounded(final.site_clim_correlation(x.metadata, x.coefs).filter(F.col("rwl") == "s15"))
+
+
 @query
 def site_trend(x):
     return rounded(growth.site_trend(x.chronology), 8)

@@ -203,3 +203,12 @@ def test_small_reports(spark):
     assert {r["k"]: r["n"] for r in tables.column_profile(df, "k").collect()} == {"x": 2, "y": 1}
     assert tuple(tables.column_range(df, "v").first()) == (1, 3)
     assert tuple(tables.filter_counts(df, df.filter("v > 1")).first()) == (3, 2)
+
+
+def test_grid_tables_are_read_with_their_schema(spark, tmp_path):
+    monthly = spark.createDataFrame([("pre", 1, 2, 3, 4.0)], schemas.GRID_MONTHLY)
+    static = spark.createDataFrame([("slope", 1, 2, 4.0)], schemas.GRID_STATIC)
+    tables.write_table(monthly, str(tmp_path / "m"))
+    tables.write_table(static, str(tmp_path / "s"))
+    assert tables.read_monthly_grid(spark, str(tmp_path / "m")).collect() == monthly.collect()
+    assert tables.read_static_grid(spark, str(tmp_path / "s")).collect() == static.collect()
