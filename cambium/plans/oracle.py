@@ -39,7 +39,7 @@ def query(name: str, needs: str, sql: str) -> None:
     for n in needs.split():
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
-    ORACLE[name] = f"WITH {ctes}\n{sql}" if ctes else sql
+    ORACLE[name] = f"WITH RECURSIVE {ctes}\n{sql}" if ctes else sql
 
 
 def oracle_sql() -> dict[str, str]:
@@ -253,39 +253,62 @@ def biweight(needed: str, keys: str, value: str) -> str:
         GROUP BY {keys})"""
 
 
-view("robust", "rwi", biweight("rwi", "rwl, year", "rwi"))
-view("chron", "robust", "SELECT rwl, year, robust AS std, n AS samp_depth FROM robust")
+# Smoothing spline: the five-diagonal system eliminated year by year, then solved backwards.
 view(
-    "others",
-    "rwi",
-    """SELECT a.rwl, a.tree, a.year, b.rwi FROM rwi a JOIN rwi b
-    ON a.rwl = b.rwl AND a.year = b.year AND a.tree <> b.tree""",
+    "knots",
+    "ring_width",
+    """SELECT *, lead(y, 1) OVER s AS y1, lead(y, 2) OVER s AS y2,
+        (2 + cos(2 * pi() / period)) / (12 * power(1 - cos(2 * pi() / period), 2)) AS w
+    FROM (SELECT rwl, tree, year, CASE WHEN width = 0 THEN 0.001 ELSE width END AS y,
+            row_number() OVER (PARTITION BY rwl, tree ORDER BY year) AS t,
+            count(*) OVER (PARTITION BY rwl, tree) AS n,
+            greatest(2, floor(0.67 * count(*) OVER (PARTITION BY rwl, tree))) AS period FROM ring_width)
+    WINDOW s AS (PARTITION BY rwl, tree ORDER BY year)""",
 )
-view("others_robust", "others", biweight("others", "rwl, tree, year", "rwi"))
 view(
-    "master",
-    "rwi others_robust",
-    """SELECT a.rwl, a.tree, a.year, a.rwi, coalesce(n, 0) AS n_others, robust AS master
-    FROM rwi a LEFT JOIN others_robust USING (rwl, tree, year)""",
+    "forward",
+    "knots",
+    """SELECT rwl, tree, t, n, w, 2 / 3.0::DOUBLE + 6 * w AS d, 0.0::DOUBLE AS d_before, 0.0::DOUBLE AS e,
+        y2 - 2 * y1 + y AS z, 0.0::DOUBLE AS z_before FROM knots WHERE t = 1 AND n >= 3
+    UNION ALL
+    SELECT rwl, tree, t, n, w, 2 / 3.0::DOUBLE + 6 * w - e * e * d - f * f * d_before, d, e, q - e * z - f * z_before, z
+    FROM (SELECT k.rwl, k.tree, k.t, k.n, k.w, d, d_before, z, z_before, y2 - 2 * y1 + y AS q,
+            CASE WHEN k.t > 2 THEN k.w / d_before ELSE 0 END AS f,
+            (1 / 6.0::DOUBLE - 4 * k.w - CASE WHEN k.t > 2 THEN k.w * e ELSE 0 END) / d AS e
+        FROM forward p JOIN knots k ON k.rwl = p.rwl AND k.tree = p.tree AND k.t = p.t + 1 WHERE k.t <= k.n - 2)""",
 )
 view(
-    "pairs",
-    "master",
-    """SELECT rwl, tree, year, round(rwi, 10) AS x, round(master, 10) AS y FROM master
-    WHERE master IS NOT NULL""",
+    "backward",
+    "forward",
+    """SELECT rwl, tree, t, w, z / d AS g, 0.0::DOUBLE AS g_after, e FROM forward WHERE t = n - 2
+    UNION ALL
+    SELECT f.rwl, f.tree, f.t, f.w, f.z / f.d - b.e * b.g - f.w / f.d * b.g_after, b.g, f.e
+    FROM backward b JOIN forward f ON f.rwl = b.rwl AND f.tree = b.tree AND f.t = b.t - 1""",
 )
 view(
-    "ranked",
-    "pairs",
-    """SELECT a.rwl, a.tree, a.year,
-        any_value(1 + (SELECT count(*) FROM pairs b WHERE b.rwl = a.rwl AND b.tree = a.tree AND b.x < a.x)
-          + ((SELECT count(*) FROM pairs b WHERE b.rwl = a.rwl AND b.tree = a.tree AND b.x = a.x) - 1) / 2.0::DOUBLE) AS x,
-        any_value(1 + (SELECT count(*) FROM pairs b WHERE b.rwl = a.rwl AND b.tree = a.tree AND b.y < a.y)
-          + ((SELECT count(*) FROM pairs b WHERE b.rwl = a.rwl AND b.tree = a.tree AND b.y = a.y) - 1) / 2.0::DOUBLE) AS y
-    FROM pairs a GROUP BY a.rwl, a.tree, a.year""",
+    "smooth",
+    "backward",
+    """SELECT k.rwl, k.tree, k.year, k.y, k.y - k.w * (coalesce(a.g, 0) - 2 * coalesce(b.g, 0) + coalesce(c.g, 0)) AS s
+    FROM knots k LEFT JOIN backward a ON a.rwl = k.rwl AND a.tree = k.tree AND a.t = k.t
+    LEFT JOIN backward b ON b.rwl = k.rwl AND b.tree = k.tree AND b.t = k.t - 1
+    LEFT JOIN backward c ON c.rwl = k.rwl AND c.tree = k.tree AND c.t = k.t - 2""",
+)
+view(
+    "spline_rwi",
+    "smooth",
+    """SELECT rwl, tree, year, y / CASE WHEN min(s) OVER t > 0 THEN s ELSE avg(y) OVER t END AS rwi FROM smooth
+    WINDOW t AS (PARTITION BY rwl, tree)""",
+)
+view("spline_robust", "spline_rwi", biweight("spline_rwi", "rwl, year", "rwi"))
+query("detrend_spline", "spline_rwi", f"SELECT {out('rwl tree', 'year', 'rwi')} FROM spline_rwi")
+query(
+    "spline_chronology",
+    "spline_robust",
+    f"SELECT {out('rwl', 'year samp_depth', 'std')} FROM (SELECT rwl, year, n AS samp_depth, robust AS std FROM spline_robust)",
 )
 
-
+view("robust", "rwi", biweight("rwi", "rwl, year", "rwi"))
+view("chron", "robust", "SELECT rwl, year, robust AS std, n AS samp_depth FROM robust")
 def correlation(x: str, y: str) -> str:
     return f"covar_pop({x}, {y}) / nullif(stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) * stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END), 0)"
 
@@ -296,15 +319,91 @@ P_VALUE = """CASE WHEN res_cor IS NULL OR n_years < 3 THEN NULL WHEN res_cor >=
             * power(cos(lo + i * (pi() / 2 - lo) / 4000), n_years - 3) * (pi() / 2 - lo) / 4000 / 3
             * exp(lgamma((n_years - 1) / 2.0::DOUBLE) - lgamma((n_years - 2) / 2.0::DOUBLE)) / sqrt(pi()))
         FROM (SELECT unnest(generate_series(0, 4000)) AS i, asin(res_cor) AS lo)) END"""
-for name, source in (("cor_spearman", "ranked"), ("cor_pearson", "pairs")):
+def interseries(prefix: str, source: str) -> None:
+    """Views of the inter-series correlation of one index table."""
     view(
-        name,
-        f"rwi {source}",
-        f"""SELECT rwl, tree, res_cor, n_years, {P_VALUE} AS p_val FROM (
-        SELECT t.rwl, t.tree, res_cor, coalesce(n_years, 0) AS n_years FROM (SELECT DISTINCT rwl, tree FROM rwi) t
-        LEFT JOIN (SELECT rwl, tree, {correlation('x', 'y')} AS res_cor, count(*) AS n_years FROM {source}
-            GROUP BY rwl, tree) c USING (rwl, tree))""",
+        f"{prefix}others",
+        source,
+        f"""SELECT a.rwl, a.tree, a.year, b.rwi FROM {source} a JOIN {source} b
+        ON a.rwl = b.rwl AND a.year = b.year AND a.tree <> b.tree""",
+    )
+    view(f"{prefix}others_robust", f"{prefix}others", biweight(f"{prefix}others", "rwl, tree, year", "rwi"))
+    view(
+        f"{prefix}master",
+        f"{source} {prefix}others_robust",
+        f"""SELECT a.rwl, a.tree, a.year, a.rwi, coalesce(n, 0) AS n_others, robust AS master
+        FROM {source} a LEFT JOIN {prefix}others_robust USING (rwl, tree, year)""",
+    )
+    view(
+        f"{prefix}pairs",
+        f"{prefix}master",
+        f"""SELECT rwl, tree, year, round(rwi, 10) AS x, round(master, 10) AS y FROM {prefix}master
+        WHERE master IS NOT NULL""",
+    )
+    ranks = ", ".join(
+        f"""(SELECT count(*) FROM {prefix}pairs b WHERE b.rwl = a.rwl AND b.tree = a.tree AND b.{c} < a.{c})
+        + ((SELECT count(*) FROM {prefix}pairs b WHERE b.rwl = a.rwl AND b.tree = a.tree AND b.{c} = a.{c}) + 1)
+        / 2.0::DOUBLE AS {c}"""
+        for c in ("x", "y")
     )
+    view(f"{prefix}ranked", f"{prefix}pairs", f"SELECT a.rwl, a.tree, a.year, {ranks} FROM {prefix}pairs a")
+    for name, pairs in ((f"{prefix}cor_spearman", f"{prefix}ranked"), (f"{prefix}cor_pearson", f"{prefix}pairs")):
+        view(
+            name,
+            f"{source} {pairs}",
+            f"""SELECT rwl, tree, res_cor, n_years, {P_VALUE} AS p_val FROM (
+            SELECT t.rwl, t.tree, res_cor, coalesce(n_years, 0) AS n_years
+            FROM (SELECT DISTINCT rwl, tree FROM {source}) t
+            LEFT JOIN (SELECT rwl, tree, {correlation('x', 'y')} AS res_cor, count(*) AS n_years FROM {pairs}
+                GROUP BY rwl, tree) c USING (rwl, tree))""",
+        )
+
+
+interseries("", "rwi")
+
+# Yule-Walker coefficients order by order (Levinson), the order by AIC.
+view(
+    "centred",
+    "rwi",
+    """SELECT rwl, tree, year, x - avg(x) OVER t AS c, avg(x) OVER t AS m, count(*) OVER t AS n,
+        row_number() OVER (PARTITION BY rwl, tree ORDER BY year) AS i
+    FROM (SELECT *, rwi / avg(rwi) OVER (PARTITION BY rwl, tree) AS x FROM rwi)
+    WINDOW t AS (PARTITION BY rwl, tree)""",
+)
+view(
+    "covariances",
+    "centred",
+    """SELECT rwl, tree, any_value(n) AS n, list(cov ORDER BY k) AS cov FROM (
+        SELECT a.rwl, a.tree, b.i - a.i AS k, any_value(a.n) AS n, sum(a.c * b.c) / any_value(a.n) AS cov
+        FROM centred a JOIN centred b ON a.rwl = b.rwl AND a.tree = b.tree
+            AND b.i - a.i BETWEEN 0 AND least(a.n - 1, floor(10 * log10(a.n)))
+        WHERE a.n >= 4 GROUP BY 1, 2, 3)
+    GROUP BY rwl, tree HAVING list(cov ORDER BY k)[1] > 0""",
+)
+view(
+    "levinson",
+    "covariances",
+    """SELECT rwl, tree, n, cov, 0 AS p, CAST([] AS DOUBLE[]) AS phi, cov[1] AS v, n * ln(cov[1]) + 2 AS aic
+        FROM covariances
+    UNION ALL
+    SELECT rwl, tree, n, cov, p + 1, list_append(list_transform(range(1, p + 1), lambda j: phi[j] - r * phi[p + 1 - j]), r),
+        v * (1 - r * r), n * ln(v * (1 - r * r)) + 2 * (p + 1) + 2
+    FROM (SELECT *, (cov[p + 2] - coalesce(list_sum(list_transform(range(1, p + 1), lambda j: phi[j] * cov[p + 2 - j])), 0)) / v AS r
+        FROM levinson WHERE p + 1 < len(cov))""",
+)
+view(
+    "white",
+    "levinson",
+    """SELECT rwl, tree, year, rwi FROM (
+        SELECT a.rwl, a.tree, a.year, any_value(a.i) AS i, any_value(a.c + a.m) - coalesce(sum(phi[a.i - b.i] * b.c), 0) AS rwi,
+            coalesce(any_value(len(phi)), 0) AS lost
+        FROM centred a LEFT JOIN (SELECT rwl, tree, arg_min(phi, aic) AS phi FROM levinson GROUP BY rwl, tree) f
+            USING (rwl, tree)
+        LEFT JOIN centred b ON b.rwl = a.rwl AND b.tree = a.tree AND a.i - b.i BETWEEN 1 AND len(phi)
+        GROUP BY a.rwl, a.tree, a.year)
+    WHERE i > lost""",
+)
+interseries("white_", "white")
 view(
     "cor_site",
     "cor_spearman",
@@ -334,6 +433,7 @@ query("site_trend", "site_slopes", f"SELECT {out('rwl', 'n_years', 'growth_slope
 query("others_chronology", "master", f"SELECT {out('rwl tree', 'year n_others', 'rwi master')} FROM master")
 query("interseries_cor", "cor_spearman", f"SELECT {out(*COR)} FROM cor_spearman")
 query("interseries_pearson", "cor_pearson", f"SELECT {out(*COR)} FROM cor_pearson")
+query("interseries_prewhitened", "white_cor_spearman", f"SELECT {out(*COR)} FROM white_cor_spearman")
 query("interseries_site", "cor_site", f"SELECT {out('rwl', '', 'mean_cor mean_pval')} FROM cor_site")
 query(
     "interseries_flags",
