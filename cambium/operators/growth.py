@@ -66,8 +66,9 @@ def tree_age(stats: DataFrame, read_flags: DataFrame | None = None) -> DataFrame
 def site_rollup(ages: DataFrame) -> DataFrame:
     """Tree table to site level: ages, mean autocorrelation, oldest and youngest tree."""
     return ages.groupBy("rwl").agg(
-        F.first("rwl_meanage", ignorenulls=True).alias("rwl_meanage"),
-        F.first("rwl_totage", ignorenulls=True).alias("rwl_totage"),
+        # Equal on all rows of a site, so any of them will do.
+        F.max("rwl_meanage").alias("rwl_meanage"),
+        F.max("rwl_totage").alias("rwl_totage"),
         F.avg("ar1").alias("mean_ar1"),
         F.max("age").alias("max_age"),
         F.min("age").alias("min_age"),

@@ -864,7 +864,7 @@ query("raw_file_list", "studies", f"SELECT {_FILE} FROM studies WHERE key % 4 <>
 query(
     "usable_files",
     "studies",
-    f"SELECT {_FILE}, 'Good' AS status FROM studies WHERE key % 4 <> 0 AND key % 13 <> 0",
+    f"SELECT DISTINCT {_FILE}, 'Good' AS status FROM studies WHERE key % 4 <> 0 AND key % 13 <> 0",
 )
 view("rings3", "ring_width", "SELECT rwl, tree, year, round(width, 3) AS width FROM ring_width")
 _DECIMALS = "length(rtrim(split_part(CAST(CAST(width AS DECIMAL(38, 9)) AS VARCHAR), '.', 2), '0'))"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium import schemas
+from cambium.operators.skew import lookup_join
 
 # Fixed values of the study selection and of the wanted data files.
 NAME_PART = "ITRDB"
@@ -130,13 +131,14 @@ def raw_files(sites: DataFrame, all_data_sets: bool = False) -> DataFrame:
 def usable_files(files: DataFrame, status: DataFrame) -> DataFrame:
     """Files of studies without any unreadable file, with their read status.
 
-    ``status`` is ``(NOAAStudyId, linkText, status)``.  It is reduced to one row
-    per file first, so files listed for several sites do not multiply.
+    ``status`` is ``(NOAAStudyId, linkText, status)``.  Both sides are reduced
+    to one row per file first (on the map side already), so files listed for
+    several sites do not multiply; the anti join is spread by file name.
     """
     per_file = status.groupBy("NOAAStudyId", "linkText").agg(F.min("status").alias("status"))
     failed = per_file.filter(F.col("status") == "Error").select("NOAAStudyId").distinct()
-    good = per_file.join(failed, "NOAAStudyId", "left_anti")
-    return files.join(good, ["NOAAStudyId", "linkText"])
+    good = lookup_join(per_file, failed, "NOAAStudyId", "linkText", "left_anti")
+    return files.distinct().join(good, ["NOAAStudyId", "linkText"])
 
 
 def site_filter(

@@ -55,16 +55,27 @@ def _fields(line: Column, id_width: int) -> Column:
 
 
 def scan_lines(lines: DataFrame, long_sites: DataFrame | None = None) -> DataFrame:
-    """Lines cut into fields, each marked as data or not.  Blank lines are dropped."""
-    line = F.rtrim("line")
+    """Lines cut into fields, each marked as data or not.  Blank lines are dropped.
+
+    Equal lines of a site collapse into one with a count before anything is
+    grouped by tree, so copies of a file, however many, never pile up in one
+    task; a line found more than once makes the file faulty later on.
+    """
+    once = (
+        lines.select("rwl", F.rtrim("line").alias("line"))
+        .filter(F.length("line") > 0)
+        .groupBy("rwl", "line")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    line = F.col("line")
     if long_sites is None:
-        cut = lines.select("rwl", _fields(line, ID_WIDTH).alias("f"), line.alias("line"))
+        cut = once.select("rwl", _fields(line, ID_WIDTH).alias("f"), "copies")
     else:
         marked = lookup_join(
-            lines, long_sites.select("rwl", F.lit(True).alias("_long")), "rwl", "line", "left"
+            once, long_sites.select("rwl", F.lit(True).alias("_long")), "rwl", "line", "left"
         )
         fields = F.when(F.col("_long"), _fields(line, ID_WIDTH - 1)).otherwise(_fields(line, ID_WIDTH))
-        cut = marked.select("rwl", fields.alias("f"), line.alias("line"))
+        cut = marked.select("rwl", fields.alias("f"), "copies")
     whole = r"^-?\d+$"
     is_data = (
         (F.col("f.tree") != "")
@@ -72,12 +83,13 @@ def scan_lines(lines: DataFrame, long_sites: DataFrame | None = None) -> DataFra
         & (F.size("f.values") >= 1)
         & F.forall("f.values", lambda v: v.rlike(whole))
     )
-    return cut.filter(F.length("line") > 0).select(
+    return cut.select(
         "rwl",
         F.col("f.tree").alias("tree"),
         F.col("f.year").try_cast("int").alias("year"),
         F.transform("f.values", lambda v: v.try_cast("int")).alias("values"),
         is_data.alias("is_data"),
+        "copies",
     )
 
 
@@ -101,7 +113,11 @@ def decade_lines(scanned: DataFrame) -> DataFrame:
                 F.col("values")
             ),
         )
-        .withColumn("overlap", F.coalesce(next_year < F.col("year") + F.size("values"), F.lit(False)))
+        .withColumn(
+            "overlap",
+            (F.col("copies") > 1)
+            | F.coalesce(next_year < F.col("year") + F.size("values"), F.lit(False)),
+        )
         .withColumn("_stop", F.min("_marker").over(Window.partitionBy(*TREE)))
     )
     per_mm = F.when(F.col("_stop") == STOP_THOUSANDTHS, 1000.0).otherwise(100.0)
@@ -111,7 +127,8 @@ def decade_lines(scanned: DataFrame) -> DataFrame:
 def file_status(scanned: DataFrame) -> DataFrame:
     """``Good`` or ``Error`` per file: no data, too many odd lines, or overlapping lines."""
     counted = scanned.groupBy("rwl").agg(
-        F.count_if("is_data").alias("n_data"), F.count_if(~F.col("is_data")).alias("n_other")
+        F.sum(F.when(F.col("is_data"), F.col("copies")).otherwise(0)).alias("n_data"),
+        F.sum(F.when(F.col("is_data"), 0).otherwise(F.col("copies"))).alias("n_other"),
     )
     overlaps = decade_lines(scanned).groupBy("rwl").agg(F.count_if("overlap").alias("n_overlap"))
     failed = (

@@ -174,20 +174,38 @@ def test_bootstrap_repeats_and_ignores_partitions(season):
     assert first != limits(chron, clim, seed=2)
 
 
-def test_response_equals_full_regression_when_all_components_stay():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 3))
-    x -= x.mean(axis=0)
-    q, _ = np.linalg.qr(x)
-    x = q * np.array([3.0, 2.0, 1.0])
-    y = x @ np.array([1.0, -2.0, 0.5])
-    z = x / x.std(axis=0, ddof=1)
-    assert np.linalg.eigvalsh(np.cov(z.T)).min() > 0.99
-    beta = climate.response_coefficients(x, y)
-    kept = beta != 0
-    full = np.linalg.lstsq(z, (y - y.mean()) / y.std(ddof=1), rcond=None)[0]
-    assert np.linalg.norm(beta) <= np.linalg.norm(full) + 1e-9 and kept.any()
+@pytest.mark.parametrize("n, k", [(60, 5), (40, 20), (30, 40)])
+def test_response_against_singular_values(n, k):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, k)) @ rng.normal(size=(k, k))
+    y = x[:, 0] + rng.normal(size=n)
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    g = (y - y.mean()) / y.std(ddof=1)
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    values = s**2 / (n - 1)
+    kept = next((i for i in range(len(values)) if np.prod(values[: i + 1]) <= 1.0), len(values))
+    kept = max(1, min(kept, n - 2))
+    expected = vt[:kept].T @ ((vt[:kept] @ (z.T @ g)) / s[:kept] ** 2)
+    assert climate.response_coefficients(x, y) == pytest.approx(expected)
+
+
+def test_response_without_variance_is_missing():
     assert np.isnan(climate.response_coefficients(np.ones((9, 2)), np.ones(9))).all()
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.normal(size=20), np.ones(20)])
+    beta = climate.response_coefficients(x, x[:, 0] * 2 + 1)
+    assert beta[0] == pytest.approx(1.0) and np.isnan(beta[1])
+
+
+def test_blocks_keep_neighbouring_years_together():
+    free = climate.resample_draws(3, 200, 50)
+    blocks = climate.resample_draws(3, 200, 50, 10.0)
+    assert free.min() >= 0 and free.max() < 50 and blocks.max() < 50
+
+    def follows(d):
+        return np.mean((d[:, 1:] - d[:, :-1]) % 50 == 1)
+
+    assert follows(free) < 0.05 and follows(blocks) == pytest.approx(0.9, abs=0.02)
 
 
 def test_too_short_sites_have_no_response(season):

@@ -58,12 +58,13 @@ def test_status_of_good_and_bad_files(spark):
         lines_of(spark, ["not a ring file"] * 2, "text"),
         lines_of(spark, good[:2] * 3 + good[3:], "garbled"),
         lines_of(spark, [data("T1", 1990, 100, 101, 102), data("T1", 1991, 100, 999)], "overlap"),
+        lines_of(spark, [data("T1", 1990, 100, 999)] * 500, "copies"),
     ]
     lines = frames[0]
     for f in frames[1:]:
         lines = lines.unionByName(f)
     status = {r["rwl"]: r["status"] for r in ring_text.file_status(ring_text.scan_lines(lines)).collect()}
-    assert status == {"good": "Good", "text": "Error", "garbled": "Error", "overlap": "Error"}
+    assert status == {"good": "Good", "text": "Error", "garbled": "Error", "overlap": "Error", "copies": "Error"}
 
 
 def test_round_trip_through_files(spark, rings, tmp_path):
