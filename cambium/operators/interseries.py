@@ -66,14 +66,17 @@ def _sums(members: Column, centre: Column, mad: Column) -> Column:
     return F.when(mad > 0.0, F.aggregate(members, start, add)).otherwise(start)
 
 
-def _others_mean(n: Column, total: Column, value: Column, centre: Column, mad: Column, sums: Column) -> Column:
-    """Robust mean of the others from sums over everybody minus the own share."""
+def _others_mean(n: Column, value: Column, centre: Column, mad: Column, sums: Column) -> Column:
+    """Robust mean of the others from sums over everybody minus the own share.
+
+    With fewer than three others the mean is their median.  Otherwise half of
+    the others weigh nearly 1, so the difference of the sums loses no digits.
+    """
     own = biweight_weight(value, centre, F.when(mad > 0.0, mad))
     robust = F.try_divide(sums["wv"] - own * value, sums["w"] - own)
     return (
         F.when(n < 2, F.lit(None).cast("double"))
-        .when(n < 4, F.try_divide(total - value, (n - 1).cast("double")))
-        .when(mad == 0.0, centre)
+        .when((n < 4) | (mad == 0.0), centre)
         .otherwise(robust)
     )
 
@@ -106,7 +109,6 @@ def _without_each(members: Column) -> Column:
     def with_values(values: Column) -> Column:
         group = F.struct(
             F.size(values).alias("n"),
-            F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v).alias("total"),
             _middle(values).alias("mid"),
             F.when(F.size(values) >= 4, _weightings(values)).alias("table"),
         )
@@ -116,12 +118,13 @@ def _without_each(members: Column) -> Column:
         n, m, v = g["n"], g["mid"], e["v"]
 
         def with_centre(centre: Column) -> Column:
-            return let(F.element_at(F.filter(g["table"], lambda t: t["centre"] == centre), 1), with_table)
+            about = F.element_at(F.filter(g["table"], lambda t: t["centre"] == centre), 1)
+            return let(about, lambda t: with_table(centre, t))
 
-        def with_table(t: Column) -> Column:
+        def with_table(centre: Column, t: Column) -> Column:
             d = t["dev"]
-            mad = median_without(n, d["low"], d["mid"], d["high"], F.abs(v - t["centre"]))
-            return let(mad, lambda mad: let(sums_for(t, mad), lambda s: result(t["centre"], mad, s)))
+            mad = median_without(n, d["low"], d["mid"], d["high"], F.abs(v - centre))
+            return let(mad, lambda mad: let(sums_for(t, mad), lambda s: result(centre, mad, s)))
 
         def sums_for(t: Column, mad: Column) -> Column:
             return F.element_at(F.filter(t["by_mad"], lambda s: s["mad"] == mad), 1)["sums"]
@@ -131,7 +134,7 @@ def _without_each(members: Column) -> Column:
                 e["tree"].alias("tree"),
                 v.alias("value"),
                 (n - 1).cast("bigint").alias("n_others"),
-                _others_mean(n, g["total"], v, centre, mad, sums).alias("master"),
+                _others_mean(n, v, centre, mad, sums).alias("master"),
             )
 
         return let(median_without(n, m["low"], m["mid"], m["high"], v), with_centre)
@@ -154,8 +157,7 @@ def _others_distributed(df: DataFrame, value: str, max_group: int) -> DataFrame:
     middle = exact_ranks(df, SITE_YEAR, value, by, [0.5], middle_ranks, max_group).select(
         *SITE_YEAR, "n", F.struct(F.col("v0_0").alias("low"), F.col("v0_1").alias("mid"), F.col("v0_2").alias("high")).alias("_mid")
     )
-    totals = df.groupBy(*SITE_YEAR).agg(F.sum(value).alias("_total"))
-    rows = lookup_join(df.select(*TREE, "year", value), middle.join(totals, SITE_YEAR), SITE_YEAR, by, "inner")
+    rows = lookup_join(df.select(*TREE, "year", value), middle, SITE_YEAR, by, "inner")
     m, v = F.col("_mid"), F.col(value)
     rows = rows.withColumn("_centre", median_without(F.col("n"), m["low"], m["mid"], m["high"], v))
     about = rows.select(
@@ -194,9 +196,7 @@ def _others_distributed(df: DataFrame, value: str, max_group: int) -> DataFrame:
             lambda mad: F.element_at(F.filter("_by_mad", lambda s: s["mad"] == mad), 1),
         ),
     )
-    others = _others_mean(
-        F.col("n"), F.col("_total"), v, F.col("_centre"), F.col("_s.mad"), F.col("_s.sums")
-    )
+    others = _others_mean(F.col("n"), v, F.col("_centre"), F.col("_s.mad"), F.col("_s.sums"))
     return picked.select(*TREE, "year", value, (F.col("n") - 1).alias("n_others"), others.alias("master"))
 
 
@@ -292,6 +292,8 @@ def interseries_cor(
     series = scaled_to_mean(clean)
     if prewhitened:
         series = prewhiten(series)
+        # Prewhitening only loses years, so the input bounds the group sizes.
+        sizes = clean if sizes is None else sizes
     # One shuffle by tree serves the ranks and the final aggregation.
     pairs = (
         others_chronology(series, "rwi", max_group, sizes)

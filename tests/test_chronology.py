@@ -78,6 +78,15 @@ def test_others_routes_agree_with_brute_force(index, index_rows, max_group):
             assert r["master"] == pytest.approx(expected, abs=1e-9), (r, others)
 
 
+def test_a_huge_value_does_not_blur_the_others(spark):
+    rows = [(site, f"t{i}", 1, v) for site, vs in {"a": [1e17, 1.1, 1.3], "b": [1e17, 1.7], "c": [1e17, 1.0, 2.0, 3.0, 4.0]}.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "rwl string, tree string, year int, rwi double")
+    for max_group in (50_000, 2):
+        got = {(r["rwl"], r["tree"]): r["master"] for r in interseries.others_chronology(df, max_group=max_group).collect()}
+        assert got[("a", "t0")] == pytest.approx(1.2) and got[("b", "t0")] == 1.7
+        assert got[("c", "t0")] == pytest.approx(robust([1.0, 2.0, 3.0, 4.0]))
+
+
 def test_mean_chronology_and_nulls(spark):
     df = spark.createDataFrame(
         [("a", "t", 1, 1.0), ("a", "u", 1, 3.0), ("a", "v", 1, None), ("a", "v", 2, None)],
