@@ -38,6 +38,9 @@ class Settings:
     # One site per coordinate keeps its climate, as opposed to all of them.
     one_site_per_coordinate: bool = False
     covariate_layers: tuple[str, ...] = tuple(grid.COVARIATE_LAYERS)
+    # Ring tables bucketed by tree, as catalogue tables with this prefix; 0 writes plain folders.
+    tree_buckets: int = 0
+    table_prefix: str = "cambium_"
 
 
 @dataclass
@@ -61,24 +64,33 @@ class Store:
     """Written tables of a run by name."""
 
     path: str
+    conf: Settings
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         self.tables[name] = tables.store(df, f"{self.path}/{name}")
         return self.tables[name]
 
+    def put_rings(self, name: str, df: DataFrame) -> DataFrame:
+        """Tables with a row per tree and year, read by several windows over trees."""
+        if not self.conf.tree_buckets:
+            return self.put(name, df)
+        table = f"{self.conf.table_prefix}{name}"
+        self.tables[name] = tables.store_by_tree(df, table, f"{self.path}/{name}", self.conf.tree_buckets)
+        return self.tables[name]
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
 
 def growth_stage(src: Sources, out: Store, conf: Settings) -> None:
     widths = src.widths if src.sites is None else pointer.select_sites(src.widths, src.sites)
-    widths = out.put("ring_width", widths)
+    widths = out.put_rings("ring_width", widths)
     ages = out.put("tree_age", growth.tree_age(growth.tree_stats(widths), src.read_flags))
     out.put("metadata_age", growth.metadata_age(ages, src.metadata))
     flags = out.put("growth_trend_flags", growth.growth_trend_flags(widths, src.read_flags))
     usable = lookup_join(widths, flags.select("rwl").distinct(), "rwl", "tree", "left_anti")
-    rwi = out.put("rwi", spline.detrend_spline(usable))
+    rwi = out.put_rings("rwi", spline.detrend_spline(usable))
     chron = out.put("chronology", chronology.chronology(rwi))
     out.put("chronology_cv", growth.chronology_cv(chron))
     out.put("bai", growth.bai_dense(usable))
@@ -116,7 +128,7 @@ def climate_stage(src: Sources, out: Store, conf: Settings) -> None:
 
 def pointer_stage(src: Sources, out: Store, conf: Settings) -> None:
     widths = out["ring_width"]
-    index = out.put("lowpass_index", pointer.lowpass13(widths))
+    index = out.put_rings("lowpass_index", pointer.lowpass13(widths))
     guards = out.put("site_guards", pointer.site_guards(widths, index))
     shares = out.put(
         "pointer_shares",
@@ -165,7 +177,7 @@ def final_stage(src: Sources, out: Store, conf: Settings) -> None:
 
 def run(spark: SparkSession, src: Sources, path: str, conf: Settings = Settings()) -> dict[str, DataFrame]:
     """Run all stages and return the written tables by name."""
-    out = Store(path)
+    out = Store(path, conf)
     growth_stage(src, out, conf)
     if src.grid_monthly is not None:
         climate_stage(src, out, conf)

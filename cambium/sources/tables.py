@@ -88,10 +88,12 @@ def store_by_tree(df: DataFrame, table: str, path: str, buckets: int) -> DataFra
     """Write ring data bucketed and sorted by tree, and go on from the table.
 
     Windows and aggregations over a tree then need no shuffle.  The tree, not
-    the site, is the bucket key, so a dominant site fills many buckets.
+    the site, is the bucket key, so a dominant site fills many buckets.  Rows
+    are brought into buckets first, which leaves one file per bucket.
     """
     (
-        df.write.mode("overwrite")
+        df.repartition(buckets, "rwl", "tree")
+        .write.mode("overwrite")
         .bucketBy(buckets, "rwl", "tree")
         .sortBy("rwl", "tree", "year")
         .option("path", path)

@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from cambium.operators import grid, growth
+from cambium.operators import grid, growth, pointer, resilience
 from cambium.plans import run
-from cambium.sources import ring_text, tables
+from cambium.sources import ring_text
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +49,7 @@ def result(spark, tmp_path_factory):
         species_groups=spark.createDataFrame([("PISY", "conifer")], "species_code string, con_broad string"),
         read_flags=ring_text.read_flags(status),
     )
-    conf = run.Settings(frequent_min_sites=3, replicates=20, trend_years=(1910, 1979), climate_method="correlation", box=(0.0, 5.0, 0.0, 4.0))
+    conf = run.Settings(frequent_min_sites=3, replicates=20, trend_years=(1910, 1979), climate_method="correlation", box=(0.0, 5.0, 0.0, 4.0), tree_buckets=3)
     return run.run(spark, src, str(base / "out"), conf)
 
 
@@ -87,11 +87,24 @@ def test_covariates_and_groups_are_attached(result):
     assert meta["site1"]["ecoregion"] is None and meta["site0"]["con_broad"] == "conifer"
 
 
-def test_bucketed_rings_need_no_shuffle(spark, result, tmp_path):
-    stored = tables.store_by_tree(result["ring_width"], "rings_by_tree", str(tmp_path / "b"), 4)
-    plan = growth.tree_stats(stored)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
-    spark.sql("DROP TABLE rings_by_tree")
+def test_bucketed_rings_need_no_shuffle(result):
+    for df in (
+        growth.tree_stats(result["ring_width"]),
+        pointer.growth_z(result["lowpass_index"]),
+        resilience.resilience_tree(result["lowpass_index"]),
+        growth.relative_widths(result["ring_width"]),
+    ):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_plain_run_writes_folders(spark, rings, tmp_path):
+    widths = rings({("a", f"t{k}"): (1950, [1.0 + (i * 7 + k * 3) % 5 for i in range(45)]) for k in range(3)})
+    metadata = spark.createDataFrame(
+        [("a", "X", 1.0, 2.0, "PISY")], "rwl string, country string, latitude double, longitude double, species_code string"
+    )
+    out = run.run(spark, run.Sources(widths, metadata, sites=metadata), str(tmp_path / "out"))
+    assert "climate_coefs" not in out and out["tree_year_growth"].count() == 135
+    assert spark.read.parquet(str(tmp_path / "out" / "ring_width")).count() == 135
 
 
 def test_contract():
