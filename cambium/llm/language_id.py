@@ -212,9 +212,10 @@ def identify_languages(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    keep: list[str] | None = None,
     **training,
 ) -> DataFrame:
-    """The columns of ``docs`` plus ``language``, a struct of ``held_out``, ``lang_pred`` and ``score`` for each whole text.
+    """The columns of ``docs`` (or those in ``keep``) plus ``language``, a struct of ``held_out``, ``lang_pred`` and ``score`` for each whole text.
 
     The network learns from at most ``per_label`` documents of each language (``chars`` characters each) among those with
     crc32(id as text) mod fold[0] other than fold[1]; the rest, and rows without an id, are held out. It is trained on the driver,
@@ -251,6 +252,6 @@ def identify_languages(
             found = pa.StructArray.from_arrays([batch.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["held_out", "lang_pred", "score"])
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["row", "language"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), held_out.alias("held_out"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), text.alias("text"), held_out.alias("held_out"))
     kind = StructType().add("row", rows.schema["row"].dataType).add("language", StructType.fromDDL("held_out boolean, lang_pred string, score double"))
     return rows.mapInArrow(run, kind).select("row.*", "language")

@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium.llm.common import table
+from cambium.llm.embedding_dedup import embedding_groups
 from cambium.llm.language_id import identify_languages
 from cambium.llm.line_dedup import line_dedup
 from cambium.llm.mixing import mix_sources
 from cambium.llm.packing import pack
+from cambium.llm.quality import score_quality
 from cambium.llm.simhash import simhash_groups
+from cambium.llm.substring_dedup import remove_repeats
+from cambium.llm.topk_search import top_k
+from cambium.llm.warc import round_trip
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +30,30 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "language.*")
+    return identify_languages(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "language.*")
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return scored.select("doc_id", "quality_of.*")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_mix_sources,
         op2_line_dedup,
         op3_language_id,
+        op4_topk_search,
+        op5_quality,
+        op6_warc,
+        op7_embedding_dedup,
+        op8_substring_dedup,
         op9_simhash,
         op10_packing,
     )
@@ -50,6 +83,67 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BLANKS = r"[\x20\x09-\x0D]"
 
 ORACLE = {
+    "op4_topk_search": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+    "op6_warc": """
+        WITH page AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), judged AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS head FROM page
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to
+        FROM judged
+    """,
+    "op7_embedding_dedup": """
+        WITH RECURSIVE vector AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        ), link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM vector a JOIN vector b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reached AS (
+            SELECT vec_id AS a, vec_id AS b FROM vector UNION SELECT reached.a, link.b FROM reached JOIN link ON reached.b = link.a
+        ), linked AS (
+            SELECT a, count(*) AS n FROM link GROUP BY a
+        ), component AS (
+            SELECT a, min(b) AS component_id FROM reached GROUP BY a
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM vector JOIN component ON component.a = vec_id LEFT JOIN linked ON linked.a = vec_id
+    """,
+    "op8_substring_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+        ), word AS (
+            SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM split
+        ), win AS (
+            SELECT doc_id, s AS start, ws[s : s + 19] AS w FROM split, range(1, len(ws) - 18) r(s)
+        ), nth AS (
+            SELECT doc_id, start, row_number() OVER (PARTITION BY w ORDER BY doc_id, start) AS n FROM win
+        ), span AS (
+            SELECT doc_id, start AS pos, 1 AS step FROM nth WHERE n > 1 UNION ALL SELECT doc_id, start + 20, -1 FROM nth WHERE n > 1
+        ), step AS (
+            SELECT doc_id, pos, sum(step) AS step FROM span GROUP BY ALL
+        ), depth AS (
+            SELECT word.*, sum(coalesce(step, 0)) OVER (PARTITION BY word.doc_id ORDER BY word.pos) AS depth
+            FROM word LEFT JOIN step ON step.doc_id = word.doc_id AND step.pos = word.pos
+        ), kept AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE depth > 0) AS n_removed,
+                   coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE depth = 0), '') AS kept
+            FROM depth GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (doc_id)
+    """,
     "op2_line_dedup": rf"""
         WITH split AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents
