@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one key that a single task numbers; larger keys are dealt over several tasks.
-ROWS_PER_SALT = 100_000
+ROWS_PER_SALT = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_share(column: Column) -> Column:
+    """A number from 0 to 1, spread evenly over the values of ``column``: what is below x is a sample of that rate."""
+    return F.xxhash64(column).cast("double") / 2.0**64 + 0.5
+
+
 def salted(rows: int, column: Column) -> Column:
     """A salt for keys that may hold many of ``rows`` rows."""
     return F.pmod(F.xxhash64(column), F.lit(max(1, -(-rows // ROWS_PER_SALT)))).cast("int")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cambium.llm.bytesplit import mixed, runs, span_hashes
-from cambium.llm.common import settle
+from cambium.llm.common import hashed_share
 
 #: Hashed vocabulary, length of word vectors, non-zero places of an index vector, words to each side that make the context.
 BUCKETS = 2**14
@@ -220,10 +220,13 @@ def score_quality(
             listed = pa.FixedSizeListArray.from_arrays(pa.array(flat), 2 * SIZE + 1).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], ["id", "held_out", "features"])
 
-    marked = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("label in (0, 1)")
-    known = rows.where("not held_out").select("id", "held_out", "text").join(marked, "id", "left_semi")
-    pooled_known = known.withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(sample_rows).select("id", "held_out", "text")
-    sample = pooled_known.mapInArrow(features, "id long, held_out boolean, features array<float>").join(marked, "id").select("features", "label").collect()
+    marked = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    marked = marked.where("label in (0, 1)").where(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(fold[0])) != fold[1])
+    # a tenth more than wanted by hash, then the least hashes of those
+    marked = marked.where(hashed_share(F.col("id")) < 1.1 * sample_rows / max(1, marked.count()))
+    known = rows.where("not held_out").select("id", "held_out", "text").join(marked.select("id").distinct(), "id", "left_semi")
+    pooled_known = known.mapInArrow(features, "id long, held_out boolean, features array<float>")
+    sample = pooled_known.join(marked, "id").orderBy(hashed_share(F.col("id")), "id", "label").limit(sample_rows).select("features", "label").collect()
     x = np.array([r["features"] for r in sample], np.float64).reshape(-1, 2 * SIZE + 1)
     model = fit(x, np.array([r["label"] for r in sample], np.int64))
     kind = StructType().add("row", rows.schema["row"].dataType).add("quality_of", StructType.fromDDL("held_out boolean, score double, predicted int"))
