@@ -100,8 +100,9 @@ def mix_sources(
     The driver gets one row per source, at most ``max_sources`` (more raise ValueError). Null texts and ids are fine; repeated
     rows are separate documents; an empty table gives an empty result.
     """
+    own = [f"c{i}" for i in range(len(docs.columns))]  # apart, so that unused ones are pruned
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)],
         F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("")).alias("source"),
         F.col(f"`{id_col}`").alias("id"),
         F.greatest(F.lit(1), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(1))).cast("long").alias("size"),
@@ -134,7 +135,7 @@ def mix_sources(
     plan = plan.select(F.col("source").alias("s"), F.col("kind"), F.col("at").alias("p"), "slot_in_round", "first_round", "first_slot", "slots_per_round")
     found = placed.join(plan, (F.col("source") == F.col("s")) & (F.col("kind_of") == F.col("kind")) & (F.col("at_in_round") == F.col("p")))
     slot = F.col("first_slot") + (F.col("k") - F.col("first_round")) * F.col("slots_per_round") + F.col("slot_in_round")
-    return found.select("row.*", F.struct("block", slot.alias("slot"), "at").alias("mix"))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)], F.struct("block", slot.alias("slot"), "at").alias("mix"))
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
