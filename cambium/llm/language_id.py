@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cambium.llm.common import hashed_share
+
 UNDETERMINED = "und"
 #: Bytes of a segment; the network runs over every segment of a text in both directions.
 SEGMENT = 256
@@ -197,10 +199,17 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def training_sample(labelled: DataFrame, per_label: int, chars: int) -> list:
-    """Rows (label, text): for each label ``per_label`` documents by hash order, ``chars`` characters from a hashed place of each."""
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    """Rows (label, text): for each label at most ``per_label`` documents by hash order, ``chars`` characters from a hashed place of each.
+
+    Labels are counted first, so that only about twice as many rows as wanted are ranked, however many there are.
+    """
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n"))
+    share = hashed_share(F.col("id"))
+    few = labelled.join(counts.withColumnRenamed("label", "l"), F.col("label") == F.col("l")).where(share < F.lit(2.0 * per_label + 100) / F.col("n"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(share, "id"))
     spot = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.char_length("text") - chars + 1)) + 1
-    return labelled.withColumn("nth", nth).where(F.col("nth") <= per_label).select("label", F.substring("text", spot.cast("int"), F.lit(chars)).alias("text"), "id").orderBy("label", "id").collect()
+    piece = F.substring("text", spot.cast("int"), F.lit(chars)).alias("text")
+    return few.select("label", "id", piece).withColumn("nth", nth).where(F.col("nth") <= per_label).orderBy("label", "id").collect()
 
 
 def identify_languages(
