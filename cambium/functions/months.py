@@ -37,11 +37,6 @@ def month_dimension(spark: SparkSession, first: int = -6, last: int = 9) -> Data
     )
 
 
-def month_order(label: Column, first: int = -6, last: int = 9) -> Column:
-    labels = F.array(*[F.lit(row[1]) for row in window_labels(first, last)])
-    return F.array_position(labels, label).cast("int")
-
-
 def month_number(name: Column) -> Column:
     """``Jan`` -> 1 ... ``Dec`` -> 12, NULL for anything else."""
     names = F.array(*[F.lit(m) for m in MONTHS])
@@ -58,7 +53,7 @@ def layer_year(layer: Column, first_year: int = FIRST_GRID_YEAR) -> Column:
 
 
 def layer_month(layer: Column) -> Column:
-    return ((layer - 1) % 12 + 1).cast("int")
+    return (F.pmod(layer - 1, F.lit(12)) + 1).cast("int")
 
 
 def layer_label(layer: Column, first_year: int = FIRST_GRID_YEAR) -> Column:

@@ -81,6 +81,7 @@ def large_biweight(
         middle = exact_ranks(rows, keys, column, spread_by, [0.5], middle_ranks, max_group)
         return middle.select(*keys, median_of_middle(F.col("n"), F.col("v0_0"), F.col("v0_1")).alias(name))
 
+    counted = df.groupBy(*keys).agg(F.count(value).alias("n"))
     rows = df.select(*keys, *spread_by, value).filter(F.col(value).isNotNull())
     rows = lookup_join(rows, median(rows, value, "_centre"), keys, spread_by, "inner")
     rows = rows.withColumn("_dev", F.abs(F.col(value) - F.col("_centre")))
@@ -88,7 +89,7 @@ def large_biweight(
     weight = F.when(F.col("_mad") == 0.0, 0.0).otherwise(
         biweight_weight(F.col(value), F.col("_centre"), F.when(F.col("_mad") != 0.0, F.col("_mad")))
     )
-    return (
+    means = (
         rows.withColumn("_w", weight)
         .groupBy(*keys)
         .agg(
@@ -100,13 +101,14 @@ def large_biweight(
         )
         .select(
             *keys,
-            "n",
             F.when(F.col("n") < 3, F.col("_mean"))
             .when(F.col("_mad") == 0.0, F.col("_centre"))
             .otherwise(F.col("_robust"))
             .alias("robust"),
         )
     )
+    # A group of NULLs alone keeps its row.
+    return counted.join(means, keys, "left").select(*keys, "n", "robust")
 
 
 def biweight_mean(
@@ -115,15 +117,14 @@ def biweight_mean(
     value: str,
     spread_by: Sequence[str],
     max_group: int = MAX_GROUP,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Robust mean per group as ``(keys, n, robust)``.
 
-    Ordinary groups take one shuffle and one array; groups beyond
-    ``max_group`` take the distributed route.  Both give the same numbers.
+    Ordinary groups take one array; groups beyond ``max_group`` take the
+    distributed route.  Both give the same rows and numbers.
     """
     keys = list(keys)
-    small, large = split_hot(df, keys, spread_by, max_group, sizes)
+    small, large = split_hot(df, keys, spread_by, max_group)
     # As a generated row the mean is computed once, even where later steps filter on it.
     robust = F.struct(
         F.size("_v").cast("bigint").alias("n"), array_biweight(F.col("_v")).alias("robust")
@@ -133,8 +134,6 @@ def biweight_mean(
         .agg(F.sort_array(F.collect_list(value)).alias("_v"))
         .select(*keys, F.inline(F.array(robust)))
     )
-    if large is None:
-        return result
     return result.unionByName(large_biweight(large, keys, value, list(spread_by), max_group))
 
 
@@ -142,7 +141,6 @@ def chronology(
     rwi: DataFrame,
     biweight: bool = True,
     max_group: int = MAX_GROUP,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Site chronology: yearly mean index and the number of trees behind it."""
     values = rwi.select("rwl", "tree", "year", finite_or_null(F.col("rwi")).alias("rwi"))
@@ -150,5 +148,5 @@ def chronology(
         return values.groupBy(*SITE_YEAR).agg(
             F.avg("rwi").alias("std"), F.count("rwi").alias("samp_depth")
         )
-    means = biweight_mean(values, SITE_YEAR, "rwi", ["tree"], max_group, sizes)
+    means = biweight_mean(values, SITE_YEAR, "rwi", ["tree"], max_group)
     return means.select("rwl", "year", F.col("robust").alias("std"), F.col("n").alias("samp_depth"))

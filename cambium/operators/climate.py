@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cambium.functions.months import month_dimension, month_order, window_labels
+from cambium.functions.months import month_dimension, window_labels
 from cambium.functions.numeric import finite_or_null, safe_corr
 from cambium.operators.skew import MAX_GROUP, exact_ranks, lookup_join, shuffle_partitions, split_hot
 
@@ -299,13 +299,12 @@ def climate_coef(
 def signature(coefs: DataFrame, mark: float = 0.5) -> DataFrame:
     """Mean coefficient and share of significant sites per variable and month."""
     return (
-        coefs.groupBy("varname", "month")
+        coefs.groupBy("varname", "month", "month_order")
         .agg(
             F.avg(finite_or_null(F.col("coef"))).alias("mean_coef"),
             F.avg(F.col("significant").cast("double")).alias("prop_sig"),
         )
         .withColumn("mark_sig", F.col("prop_sig") >= mark)
-        .withColumn("month_order", month_order(F.col("month")))
     )
 
 
@@ -325,7 +324,7 @@ def spei_names(coefs: DataFrame) -> DataFrame:
         "ci_lower": "spei_ci_lower",
         "ci_upper": "spei_ci_upper",
     }
-    return coefs.drop("month_order").withColumnsRenamed(renamed)
+    return coefs.withColumnsRenamed(renamed)
 
 
 def with_coordinates(spei: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -344,11 +343,9 @@ def spei_mean_map(placed: DataFrame) -> DataFrame:
 
 
 def strongest_month(placed: DataFrame) -> DataFrame:
-    """Month with the largest absolute coefficient; the earlier month wins a tie."""
-    columns = [c for c in placed.columns if c != "rwl"]
-    ranked = F.struct(
-        F.abs("spei_coef").alias("strength"), (-month_order(F.col("spei_month"))).alias("early")
-    )
+    """Month with the largest absolute coefficient; the earlier month of the window wins a tie."""
+    columns = [c for c in placed.columns if c not in ("rwl", "month_order")]
+    ranked = F.struct(F.abs("spei_coef").alias("strength"), (-F.col("month_order")).alias("early"))
     best = placed.groupBy("rwl").agg(F.max_by(F.struct(*columns), ranked).alias("_best"))
     sign = F.when(F.col("spei_coef") >= 0, "Positive").when(F.col("spei_coef") < 0, "Negative")
     return best.select("rwl", "_best.*").withColumn("cor_sign", sign)
@@ -383,19 +380,17 @@ def quartiles(
     value: str,
     spread_by: Sequence[str],
     max_group: int = MAX_GROUP,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quartiles per group, distributed for large groups."""
     keys = list(keys)
     names = ["q1", "q2", "q3"]
-    small, large = split_hot(values, keys, spread_by, max_group, sizes)
+    small, large = split_hot(values, keys, spread_by, max_group)
     result = (
         small.groupBy(*keys)
         .agg(F.percentile(value, QUARTILES).alias("_q"), F.count(value).alias("n"))
         .select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
     )
-    if large is None:
-        return result
+    counted = large.groupBy(*keys).agg(F.count(value).alias("n"))
     found = exact_ranks(large, keys, value, spread_by, QUARTILES, _quartile_ranks, max_group)
     n = F.col("n")
     interpolated = []
@@ -403,7 +398,9 @@ def quartiles(
         share = (n - 1) * p - F.floor((n - 1) * p)
         low, high = F.col(f"v{i}_0"), F.col(f"v{i}_1")
         interpolated.append((low + (high - low) * share).alias(names[i]))
-    return result.unionByName(found.select(*keys, "n", *interpolated))
+    # A group of NULLs alone keeps its row.
+    boxes = counted.join(found.select(*keys, *interpolated), keys, "left")
+    return result.unionByName(boxes.select(*keys, "n", *names))
 
 
 def month_distribution(
@@ -411,10 +408,9 @@ def month_distribution(
     max_group: int = MAX_GROUP,
     keys: Sequence[str] = ("spei_month",),
     value: str = "spei_coef",
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Box-plot numbers per month: quartiles, whiskers at 1.5 IQR, outlier count."""
-    fenced = _with_fences(placed, max_group, keys, value, sizes)
+    fenced = _with_fences(placed, max_group, keys, value)
     v = F.col("_value")
     inside = v.between(F.col("_low"), F.col("_high"))
     return fenced.groupBy(*keys, "n", "q1", "q2", "q3").agg(
@@ -429,20 +425,19 @@ def month_outliers(
     max_group: int = MAX_GROUP,
     keys: Sequence[str] = ("spei_month",),
     value: str = "spei_coef",
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """The single sites a box plot draws beyond its whiskers."""
-    fenced = _with_fences(placed, max_group, keys, value, sizes)
+    fenced = _with_fences(placed, max_group, keys, value)
     outside = ~F.col("_value").between(F.col("_low"), F.col("_high"))
     return fenced.filter(outside).select("rwl", *keys, F.col("_value").alias(value))
 
 
 def _with_fences(
-    placed: DataFrame, max_group: int, keys: Sequence[str], value: str, sizes: DataFrame | None
+    placed: DataFrame, max_group: int, keys: Sequence[str], value: str
 ) -> DataFrame:
     keys = list(keys)
     values = placed.select(*keys, "rwl", finite_or_null(F.col(value)).alias("_value"))
-    boxes = quartiles(values, keys, "_value", ["rwl"], max_group, sizes)
+    boxes = quartiles(values, keys, "_value", ["rwl"], max_group)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return (
         lookup_join(values.filter(F.col("_value").isNotNull()), boxes, keys, "rwl", "inner")

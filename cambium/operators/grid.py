@@ -16,6 +16,9 @@ CELL = ["row", "col"]
 # The study window as (lon_min, lon_max, lat_min, lat_max).
 EUROPE = (-10.0, 35.0, 35.0, 75.0)
 
+# Row and column of the points outside the grid while they are joined.
+OUTSIDE = -1
+
 # Points per cell and salt when a cell's time series is repeated for its points.
 POINTS_PER_SALT = 1_000
 
@@ -81,24 +84,33 @@ def sample_grid(
 ) -> DataFrame:
     """Value of the containing cell for every point and every layer of the grid.
 
-    Cells are deduplicated first and only cells with points are taken from the
-    grid.  A cell with very many points repeats its series once per
-    ``points_per_salt`` of them, so its output is spread over as many tasks.
-    Points outside the grid, or over a cell without data, give no row.
+    Every point has a row for every layer: points outside the grid, and layers
+    that a cell lacks, give NULL.  The list of layers is one small array (the
+    distinct keys of the grid besides the cell), read inside the plan.  Cells
+    are deduplicated first and only cells with points are taken from the grid.
+    A cell with very many points repeats its series once per
+    ``points_per_salt`` of them, so its output is spread over as many tasks;
+    the points outside count as one more cell.
     """
-    placed = cells_of(points.select(id_column, lon, lat), geometry, lon, lat).filter(
-        F.col("row").isNotNull()
-    )
+    layer_keys = [c for c in grid.columns if c not in (*CELL, "value")]
+    placed = cells_of(points.select(id_column, lon, lat), geometry, lon, lat)
+    placed = placed.select(id_column, *[F.coalesce(F.col(c), F.lit(OUTSIDE)).alias(c) for c in CELL])
     cells = (
         placed.groupBy(*CELL)
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*CELL, F.ceil(F.col("_n") / points_per_salt).cast("int").alias("_salts"))
     )
-    series = grid.join(cells, CELL).withColumn(SALT, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    salted = lookup_join(placed.select(id_column, *CELL), cells, CELL, id_column, "inner").withColumn(
+    layers = grid.agg(F.collect_set(F.struct(*layer_keys)))
+    wanted = cells.withColumn("_layers", layers.scalar()).select(*CELL, "_salts", F.inline("_layers"))
+    series = wanted.join(grid, [*CELL, *layer_keys], "left").withColumn(
+        SALT, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    )
+    salted = lookup_join(placed, cells, CELL, id_column, "inner").withColumn(
         SALT, F.pmod(F.xxhash64(id_column), F.col("_salts")).cast("int")
     )
-    return salted.drop("_salts").join(series.drop("_salts"), [*CELL, SALT]).drop(SALT)
+    sampled = salted.drop("_salts").join(series.drop("_salts"), [*CELL, SALT])
+    cell = [F.nullif(F.col(c), F.lit(OUTSIDE)).alias(c) for c in CELL]
+    return sampled.select(id_column, *cell, *layer_keys, "value")
 
 
 def sample_layer(
@@ -109,9 +121,13 @@ def sample_layer(
     lon: str = "longitude",
     lat: str = "latitude",
 ) -> DataFrame:
-    """Like ``sample_grid`` for columns of one value per cell; all points are kept."""
+    """Like ``sample_grid`` for columns of one value per cell; all points are kept.
+
+    The layer is reduced to the cells that hold points before it is repeated.
+    """
     placed = cells_of(points, geometry, lon, lat)
-    return lookup_join(placed, layer, CELL, id_column, "left")
+    wanted = layer.join(placed.select(*CELL).distinct(), CELL, "left_semi")
+    return lookup_join(placed, wanted, CELL, id_column, "left")
 
 
 def rasterize_last(
@@ -200,8 +216,9 @@ def site_covariates(
 ) -> DataFrame:
     """Every site with the static layers of its cell, NULL outside the grid."""
     layers = list(layers or COVARIATE_LAYERS)
-    wide = layers_to_columns(grid_static, layers)
-    return sample_layer(sites, wide, geometry).drop(*CELL)
+    cells = cells_of(sites, geometry).select(*CELL).distinct()
+    wide = layers_to_columns(grid_static.join(cells, CELL, "left_semi"), layers)
+    return lookup_join(cells_of(sites, geometry), wide, CELL, "rwl", "left").drop(*CELL)
 
 
 def layer_to_month(samples: DataFrame, spei_variable: str = "spei") -> DataFrame:

@@ -204,7 +204,6 @@ def others_chronology(
     series: DataFrame,
     value: str = "rwi",
     max_group: int = MAX_GROUP,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """For every tree and year, the robust mean of the other trees of the site.
 
@@ -214,10 +213,8 @@ def others_chronology(
     present = series.select(*TREE, "year", finite_or_null(F.col(value)).alias(value)).filter(
         F.col(value).isNotNull()
     )
-    small, large = split_hot(present, SITE_YEAR, ["tree"], max_group, sizes)
+    small, large = split_hot(present, SITE_YEAR, ["tree"], max_group)
     result = _others_in_arrays(small, value)
-    if large is None:
-        return result
     return result.unionByName(_others_distributed(large, value, max_group))
 
 
@@ -283,7 +280,6 @@ def interseries_cor(
     prewhitened: bool = True,
     method: str = "spearman",
     max_group: int = MAX_GROUP,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Correlation of each tree with the others' chronology, with a one-sided p value."""
     clean = rwi.select(*TREE, "year", finite_or_null(F.col("rwi")).alias("rwi")).filter(
@@ -292,11 +288,9 @@ def interseries_cor(
     series = scaled_to_mean(clean)
     if prewhitened:
         series = prewhiten(series)
-        # Prewhitening only loses years, so the input bounds the group sizes.
-        sizes = clean if sizes is None else sizes
     # One shuffle by tree serves the ranks and the final aggregation.
     pairs = (
-        others_chronology(series, "rwi", max_group, sizes)
+        others_chronology(series, "rwi", max_group)
         .select(
             *TREE,
             F.round("rwi", RANK_DECIMALS).alias("x"),

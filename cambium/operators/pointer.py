@@ -58,7 +58,12 @@ def lowpass13(widths: DataFrame, mode: str = "ratio") -> DataFrame:
 
 
 def growth_z(index: DataFrame, window: int = 13) -> DataFrame:
-    """z score of every ring within a centred moving window that must be complete."""
+    """z score of every ring within a centred moving window that must be complete.
+
+    The window has as many years before the ring as after it, so it is odd.
+    """
+    if window % 2 == 0:
+        raise ValueError("a centred window has an odd number of years")
     reach = window // 2
     around = Window.partitionBy(*TREE).orderBy("year").rangeBetween(-reach, reach)
     moving = index.select(

@@ -13,8 +13,6 @@ DEFAULT_SALTS = 16
 
 # Largest group that may be turned into one in-memory array.
 MAX_GROUP = 50_000
-# Most keys of oversized groups that are held on the driver and broadcast.
-MAX_HOT_KEYS = 10_000
 
 
 def as_list(keys: str | Sequence[str]) -> list[str]:
@@ -68,35 +66,18 @@ def lookup_join(
 
 
 def split_hot(
-    df: DataFrame,
-    keys: Sequence[str],
-    spread_by: str | Sequence[str],
-    max_group: int = MAX_GROUP,
-    sizes: DataFrame | None = None,
-    max_hot_keys: int = MAX_HOT_KEYS,
-) -> tuple[DataFrame, DataFrame | None]:
-    """Separate the groups that have more than ``max_group`` rows.
-
-    One partially aggregated count decides the plan: no oversized group gives
-    ``(df, None)`` and the plain plan; up to ``max_hot_keys`` oversized groups
-    are broadcast by key, their number being known by then; more are joined
-    with salting.  The count reads ``sizes`` if given, a cheaper table with at
-    least the same rows per group (the stored widths behind a computed index).
+    df: DataFrame, keys: Sequence[str], spread_by: str | Sequence[str], max_group: int = MAX_GROUP
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups of up to ``max_group`` rows, and those of larger ones.
+
+    Both are part of the plan whatever the sizes are; nothing runs while it is
+    built.  Groups are counted with partial aggregation, and rows find their
+    group's size by a salted join, so that a large group never meets in one
+    task.  Where no group is large, adaptive execution drops the second part.
+    Both parts must lead to the same results: the split is about memory only.
     """
     keys = list(keys)
-    hot = (
-        (df if sizes is None else sizes)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > max_group)
-        .select(*keys)
-    )
-    sample = hot.limit(max_hot_keys + 1).collect()
-    if not sample:
-        return df, None
-    if len(sample) <= max_hot_keys:
-        known = F.broadcast(df.sparkSession.createDataFrame(sample, hot.schema))
-        return df.join(known, keys, "left_anti"), df.join(known, keys, "left_semi")
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group).select(*keys)
     return (
         lookup_join(df, hot, keys, spread_by, "left_anti"),
         lookup_join(df, hot, keys, spread_by, "left_semi"),

@@ -25,7 +25,7 @@ def site_clim_correlation(metadata: DataFrame, coefs: DataFrame) -> DataFrame:
 
 
 def site_spei_correlation(metadata: DataFrame, spei_coefs: DataFrame) -> DataFrame:
-    return metadata.join(spei_coefs, "rwl", "left")
+    return metadata.join(spei_coefs.drop("month_order"), "rwl", "left")
 
 
 def site_year_chronologies(chronologies: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from cambium.operators.grid import COVARIATE_LAYERS, GridGeometry
 # Half-degree grid over the study window: 80 rows, 90 columns.
 GRID = GridGeometry(xmin=-10.0, ymax=75.0, xres=0.5, yres=0.5, nrow=80, ncol=90)
 # Target of the resampling query: quarter of a degree, same window.
+# Every layer that the monthly grid can have: the months of 1992 to 1998.
+LAYERS = range(-35, 49)
 FINE_GRID = GridGeometry(xmin=-10.0, ymax=75.0, xres=0.25, yres=0.25, nrow=160, ncol=180)
 
 

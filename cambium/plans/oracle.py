@@ -428,9 +428,18 @@ query(
     "rwi",
     "SELECT rwl, CAST(year AS BIGINT) AS year, round(avg(rwi), 6) AS std, count(rwi) AS samp_depth FROM rwi GROUP BY rwl, year",
 )
+view("gaps", "rwi", "SELECT rwl, tree, year, CASE WHEN year % 10 <> 0 THEN rwi END AS rwi FROM rwi")
+view(
+    "gaps_robust",
+    "gaps",
+    f"""SELECT rwl, year, coalesce(n, 0) AS samp_depth, robust AS std FROM (SELECT DISTINCT rwl, year FROM gaps)
+    LEFT JOIN ({biweight('(SELECT * FROM gaps WHERE rwi IS NOT NULL)', 'rwl, year', 'rwi')}) USING (rwl, year)""",
+)
+query("chronology_distributed", "gaps_robust", f"SELECT {out('rwl', 'year samp_depth', 'std')} FROM gaps_robust")
 query("chronology_cv", "cv", f"SELECT {out('rwl', '', 'sd cv')} FROM cv")
 query("site_trend", "site_slopes", f"SELECT {out('rwl', 'n_years', 'growth_slope', 8)} FROM site_slopes")
 query("others_chronology", "master", f"SELECT {out('rwl tree', 'year n_others', 'rwi master')} FROM master")
+query("others_chronology_distributed", "master", f"SELECT {out('rwl tree', 'year n_others', 'rwi master')} FROM master")
 query("interseries_cor", "cor_spearman", f"SELECT {out(*COR)} FROM cor_spearman")
 query("interseries_pearson", "cor_pearson", f"SELECT {out(*COR)} FROM cor_pearson")
 query("interseries_prewhitened", "white_cor_spearman", f"SELECT {out(*COR)} FROM white_cor_spearman")
@@ -590,8 +599,8 @@ query(
 query("resilience_site", "res_site", f"SELECT {out('rwl flag', 'pointer_year ' + RES_WHOLE, RES_REAL)} FROM res_site")
 query("resilience_flags", "guards", "SELECT rwl, guard AS flag FROM guards WHERE guard IS NOT NULL")
 _full = [
-    f"(SELECT rwl, pointer_year, {n}, {n}_sd, {n}_series FROM res_year WHERE pointer_year % 4 <> {k})"
-    for k, n in enumerate(RES_PARTS)
+    f"(SELECT rwl, pointer_year, {n}, {n}_sd, {n}_series FROM res_year WHERE {n}_series > 0)"
+    for n in RES_PARTS
 ]
 query(
     "component_full_join",
@@ -623,12 +632,28 @@ def lagged(variables: list[str]) -> str:
     )
 
 
+view(
+    "months_wide",
+    "",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"({i - 8}, '{_MONTHS[i - 1]}', {i}, true)" for i in range(9, 13))
+    + ", "
+    + ", ".join(f"({i + 4}, '{_MONTHS[i - 1].upper()}', {i}, false)" for i in range(1, 13))
+    + ") AS t(month_order, label, month, is_prev)",
+)
+view("lagged_wide", "climate months_wide", lagged(VARIABLES).replace("JOIN months ", "JOIN months_wide "))
+view("lagged_spei_wide", "climate months_wide", lagged(["spei"]).replace("JOIN months ", "JOIN months_wide "))
 view("lagged", "climate months", lagged(VARIABLES))
 view("lagged_spei", "climate months", lagged(["spei"]))
-view("lagged_two", "climate months", lagged(["pre", "spei"]))
+view("lagged_all", "climate months", lagged([*VARIABLES, "spei"]))
 COEF_KEYS = "rwl, var_order, varname, month_order, month, is_prev"
 WINDOW = "varname || '.' || (CASE WHEN is_prev THEN 'prev' ELSE 'curr' END) || '.' || lower(month) AS window, var_order * 16 + month_order AS id"
-for name, source in (("coefs", "lagged"), ("spei_coefs", "lagged_spei")):
+for name, source in (
+    ("coefs", "lagged"),
+    ("spei_coefs", "lagged_spei"),
+    ("coefs_wide", "lagged_wide"),
+    ("spei_coefs_wide", "lagged_spei_wide"),
+):
     view(
         name,
         f"chron {source}",
@@ -637,51 +662,57 @@ for name, source in (("coefs", "lagged"), ("spei_coefs", "lagged_spei")):
         FROM (SELECT {COEF_KEYS}, {correlation('value', 'std')} AS coef FROM {source} JOIN chron USING (rwl, year)
             WHERE std IS NOT NULL AND value IS NOT NULL GROUP BY ALL)""",
     )
-view(
-    "spei",
-    "spei_coefs",
-    """SELECT rwl, "window" AS spei_window, id AS spei_id, varname AS spei_var, month AS spei_month, month_order,
-        coef AS spei_coef, significant AS spei_significant, ci_lower AS spei_ci_lower, ci_upper AS spei_ci_upper
-    FROM spei_coefs""",
-)
-view("placed", "spei meta", "SELECT spei.*, latitude, longitude FROM spei JOIN meta USING (rwl) WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
+for wide in ("", "_wide"):
+    view(
+        f"spei{wide}",
+        f"spei_coefs{wide}",
+        f"""SELECT rwl, "window" AS spei_window, id AS spei_id, varname AS spei_var, month AS spei_month, month_order,
+            coef AS spei_coef, significant AS spei_significant, ci_lower AS spei_ci_lower, ci_upper AS spei_ci_upper
+        FROM spei_coefs{wide}""",
+    )
+    view(
+        f"placed{wide}",
+        f"spei{wide} meta",
+        f"""SELECT s.*, latitude, longitude FROM spei{wide} s JOIN meta USING (rwl)
+        WHERE latitude IS NOT NULL AND longitude IS NOT NULL""",
+    )
 COEF = ('rwl "window" varname month significant', "id month_order", "coef ci_lower ci_upper")
 SPEI = ("rwl spei_window spei_var spei_month spei_significant", "spei_id", "spei_coef spei_ci_lower spei_ci_upper")
 query(
     "climate_long",
     "climate",
-    f"""SELECT {out('rwl', 'year month', 'pre')},
-        CASE WHEN month <> 1 THEN tmp END AS tmp, CASE WHEN month <> 2 THEN tmn END AS tmn,
-        CASE WHEN month <> 3 THEN tmx END AS tmx FROM climate""",
+    f"SELECT {out('rwl', 'year month', 'pre tmp tmn tmx')} FROM climate",
 )
 view(
     "samples",
     "cells grid_monthly",
-    "SELECT rwl, variable, row, col, layer, value FROM cells JOIN grid_monthly USING (row, col)",
+    """SELECT rwl, l.variable, c.row, c.col, l.layer, value
+    FROM cells c CROSS JOIN (SELECT DISTINCT variable, layer FROM grid_monthly) l
+    LEFT JOIN grid_monthly g ON g.row = c.row AND g.col = c.col AND g.variable = l.variable AND g.layer = l.layer""",
 )
 query(
     "climate_samples_long",
     "samples",
-    """SELECT rwl, CAST(1901 + (layer - 1) // 12 AS BIGINT) AS year, CAST((layer - 1) % 12 + 1 AS BIGINT) AS month,
+    """SELECT rwl, CAST(1901 + floor((layer - 1) / 12) AS BIGINT) AS year, CAST((layer + 119) % 12 + 1 AS BIGINT) AS month,
         round(max(value) FILTER (variable = 'pre'), 6) AS pre,
         round(max(value) FILTER (variable = 'spei' AND layer > 12), 6) AS spei
     FROM samples GROUP BY rwl, layer HAVING count(*) FILTER (variable = 'pre') > 0""",
 )
-_labels = [(k, f"{1901 + (k - 1) // 12}_{_MONTHS[(k - 1) % 12]}") for k in range(1, 25)]
+_labels = [(k, f"{1901 + (k - 1) // 12}_{_MONTHS[(k - 1) % 12]}") for k in range(-35, 49)]
 query(
     "climate_wide",
     "samples",
     "SELECT rwl, "
     + ", ".join(f'round(max(value) FILTER (layer = {k}), 6) AS "{label}"' for k, label in _labels)
-    + " FROM samples WHERE variable = 'pre' AND layer BETWEEN 1 AND 24 GROUP BY rwl",
+    + " FROM samples WHERE variable = 'pre' GROUP BY rwl",
 )
 query(
     "climate_wide_to_long",
     "samples",
-    f"""SELECT s.rwl, CAST(1901 + (k - 1) // 12 AS BIGINT) AS year, {_MONTHS!r}[(k - 1) % 12 + 1] AS month,
-        round(value, 6) AS pre, CAST((k - 1) % 12 + 1 AS BIGINT) AS month_number
-    FROM (SELECT DISTINCT rwl FROM samples WHERE variable = 'pre' AND layer BETWEEN 1 AND 24) s
-    CROSS JOIN (SELECT unnest(generate_series(1, 24)) AS k)
+    f"""SELECT s.rwl, CAST(1901 + floor((k - 1) / 12) AS BIGINT) AS year, {_MONTHS!r}[(k + 119) % 12 + 1] AS month,
+        round(value, 6) AS pre, CAST((k + 119) % 12 + 1 AS BIGINT) AS month_number
+    FROM (SELECT DISTINCT rwl FROM samples WHERE variable = 'pre') s
+    CROSS JOIN (SELECT unnest(generate_series(-35, 48)) AS k)
     LEFT JOIN samples v ON v.rwl = s.rwl AND v.layer = k AND v.variable = 'pre'""",
 )
 query(
@@ -693,10 +724,10 @@ query("climate_correlation", "coefs", f"SELECT {out(*COEF)} FROM coefs")
 query("spei_correlation", "spei", f"SELECT {out(*SPEI)} FROM spei")
 view(
     "numbered",
-    "chron lagged_two",
+    "chron lagged_all",
     f"""SELECT {COEF_KEYS}, value, std, row_number() OVER (PARTITION BY {COEF_KEYS} ORDER BY year) AS i,
         count(*) OVER (PARTITION BY {COEF_KEYS}) AS n
-    FROM lagged_two JOIN chron USING (rwl, year) WHERE std IS NOT NULL AND value IS NOT NULL""",
+    FROM lagged_all JOIN chron USING (rwl, year) WHERE std IS NOT NULL AND value IS NOT NULL""",
 )
 view(
     "draws",
@@ -728,7 +759,14 @@ query(
     SELECT varname, month, month_order, avg(coef) AS mean_coef, avg(CAST(significant AS DOUBLE)) AS prop_sig,
         avg(CAST(significant AS DOUBLE)) >= 0.1 AS mark_sig FROM coefs GROUP BY ALL)""",
 )
-query("significant_coefs", "coefs", f"SELECT {out(*COEF)} FROM coefs WHERE significant")
+query(
+    "signature_wide_window",
+    "coefs_wide",
+    f"""SELECT {out('varname month mark_sig', 'month_order', 'mean_coef prop_sig')} FROM (
+    SELECT varname, month, month_order, avg(coef) AS mean_coef, avg(CAST(significant AS DOUBLE)) AS prop_sig,
+        avg(CAST(significant AS DOUBLE)) >= 0.1 AS mark_sig FROM coefs_wide GROUP BY ALL)""",
+)
+query("significant_coefs", "coefs", f"SELECT {out(*COEF)} FROM coefs WHERE significant IS NOT NULL")
 query(
     "spei_mean_map",
     "placed",
@@ -742,6 +780,13 @@ query(
     CASE WHEN spei_coef >= 0 THEN 'Positive' WHEN spei_coef < 0 THEN 'Negative' END AS cor_sign,
     row_number() OVER (PARTITION BY rwl ORDER BY abs(spei_coef) DESC NULLS LAST, month_order) AS k FROM placed) WHERE k = 1""",
 )
+query(
+    "strongest_month_wide_window",
+    "placed_wide",
+    f"""SELECT {out(SPEI[0] + ' cor_sign', SPEI[1], SPEI[2] + ' latitude longitude')} FROM (SELECT *,
+    CASE WHEN spei_coef >= 0 THEN 'Positive' WHEN spei_coef < 0 THEN 'Negative' END AS cor_sign,
+    row_number() OVER (PARTITION BY rwl ORDER BY abs(spei_coef) DESC NULLS LAST, month_order) AS k FROM placed_wide) WHERE k = 1""",
+)
 query(
     "significant_by_month",
     "placed",
@@ -764,6 +809,7 @@ query(
         max(spei_coef) FILTER ({_INSIDE}) AS whisker_high, count(*) FILTER (NOT ({_INSIDE})) AS n_outliers
     FROM placed JOIN boxes USING (spei_month) GROUP BY ALL)""",
 )
+ORACLE["month_distribution_distributed"] = ORACLE["month_distribution"]
 query(
     "month_outliers",
     "boxes",
@@ -912,7 +958,7 @@ query(
     "extended_metadata",
     "meta",
     f"""SELECT {with_meta('rwl con_broad')} FROM meta LEFT JOIN (SELECT substr(r_name, 1, 4) AS species_code,
-    CASE WHEN r_regionkey % 2 = 0 THEN 'conifer' ELSE 'broadleaf' END AS con_broad FROM region WHERE r_regionkey < 4)
+    CASE WHEN r_regionkey % 2 = 0 THEN 'conifer' ELSE 'broadleaf' END AS con_broad FROM region)
     USING (species_code)""",
 )
 query(
@@ -949,8 +995,8 @@ query(
 query(
     "site_month_climate",
     "climate meta",
-    f"""SELECT {with_meta('rwl', 'year month', 'pre tmp tmn tmx spei')} FROM (SELECT rwl, year, month, pre, tmp, tmn, tmx,
-    CASE WHEN year % 2 = 0 THEN spei END AS spei FROM climate) LEFT JOIN meta USING (rwl)""",
+    f"""SELECT {with_meta('rwl', 'year month', 'pre tmp tmn tmx spei')} FROM climate
+    LEFT JOIN meta USING (rwl)""",
 )
 query(
     "site_growth_trend",

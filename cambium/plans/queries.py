@@ -128,11 +128,11 @@ class Inputs:
 
     @cached_property
     def chronology(self) -> DataFrame:
-        return chron.chronology(self.rwi, sizes=self.widths)
+        return chron.chronology(self.rwi)
 
     @cached_property
     def interseries(self) -> DataFrame:
-        return interseries.interseries_cor(self.rwi, prewhitened=False, sizes=self.widths)
+        return interseries.interseries_cor(self.rwi, prewhitened=False)
 
     @cached_property
     def coefs(self) -> DataFrame:
@@ -148,12 +148,6 @@ class Inputs:
     def placed(self) -> DataFrame:
         return clim.with_coordinates(self.spei, self.metadata)
 
-    @cached_property
-    def month_sizes(self) -> DataFrame:
-        """Every site in every month: at least the group sizes of ``placed``."""
-        labels = F.array(*[F.lit(row[1]) for row in months.window_labels()])
-        return self.table("nation").select(F.explode(labels).alias("spei_month"))
-
     @cached_property
     def samples(self) -> DataFrame:
         return grid.sample_grid(self.points, self.grid_monthly, fx.GRID)
@@ -247,7 +241,7 @@ def detrend_spline(x):
 @query
 def spline_chronology(x):
     widths = x.widths
-    return rounded(chron.chronology(spline.detrend_spline(widths), sizes=widths))
+    return rounded(chron.chronology(spline.detrend_spline(widths)))
 
 
 # ---- chronologies and inter-series correlation ----------------------------------------------
@@ -258,6 +252,13 @@ def chronology(x):
     return rounded(x.chronology)
 
 
+@query
+def chronology_distributed(x):
+    """The route of oversized groups for every group, on an index with years in which no tree has a value."""
+    gaps = x.rwi.withColumn("rwi", F.when(F.col("year") % 10 != 0, F.col("rwi")))
+    return rounded(chron.chronology(gaps, max_group=1))
+
+
 @query
 def chronology_mean(x):
     return rounded(chron.chronology(x.rwi, biweight=False))
@@ -270,7 +271,12 @@ def chronology_cv(x):
 
 @query
 def others_chronology(x):
-    return rounded(interseries.others_chronology(x.rwi, sizes=x.widths))
+    return rounded(interseries.others_chronology(x.rwi))
+
+
+@query
+def others_chronology_distributed(x):
+    return rounded(interseries.others_chronology(x.rwi, max_group=1))
 
 
 @query
@@ -280,7 +286,7 @@ def interseries_cor(x):
 
 @query
 def interseries_pearson(x):
-    return rounded(interseries.interseries_cor(x.rwi, prewhitened=False, method="pearson", sizes=x.widths))
+    return rounded(interseries.interseries_cor(x.rwi, prewhitened=False, method="pearson"))
 
 
 @query
@@ -295,7 +301,7 @@ def interseries_flags(x):
 
 @query
 def interseries_prewhitened(x):
-    return rounded(interseries.interseries_cor(x.rwi, sizes=x.widths))
+    return rounded(interseries.interseries_cor(x.rwi))
 
 
 # ---- pointer years and resilience -----------------------------------------------------------
@@ -363,13 +369,12 @@ def resilience_flags(x):
 
 @query
 def component_full_join(x):
-    """Component tables kept apart, each with its own years, then joined in full."""
+    """Component tables kept apart, each with the years it has a value for, then joined in full."""
     site_years = resilience.resilience_site_year(resilience.resilience_tree(x.index))
-    parts = []
-    for k, (mean, sd, count) in enumerate(resilience.COMPONENTS.values()):
-        parts.append(
-            site_years.filter(F.col("pointer_year") % 4 != k).select("rwl", "pointer_year", mean, sd, count)
-        )
+    parts = [
+        site_years.filter(F.col(count) > 0).select("rwl", "pointer_year", mean, sd, count)
+        for mean, sd, count in resilience.COMPONENTS.values()
+    ]
     return rounded(resilience.full_outer_components(parts))
 
 
@@ -380,7 +385,7 @@ def component_full_join(x):
 def climate_long(x):
     """One-variable tables joined on site, year and month."""
     base = x.climate
-    parts = [base.filter(F.col("month") != k).select("rwl", "year", "month", v) for k, v in enumerate(clim.CLIMATE_VARIABLES)]
+    parts = [base.select("rwl", "year", "month", v) for v in clim.CLIMATE_VARIABLES]
     return rounded(clim.join_variables(parts))
 
 
@@ -393,13 +398,13 @@ def climate_samples_long(x):
 
 @query
 def climate_wide(x):
-    wide = grid.climate_wide(x.samples, "pre", range(1, 25))
+    wide = grid.climate_wide(x.samples, "pre", fx.LAYERS)
     return rounded(wide)
 
 
 @query
 def climate_wide_to_long(x):
-    wide = grid.climate_wide(x.samples, "pre", range(1, 25))
+    wide = grid.climate_wide(x.samples, "pre", fx.LAYERS)
     long = grid.wide_to_long(wide, "pre")
     return rounded(long.withColumn("month_number", months.month_number(F.col("month"))))
 
@@ -416,13 +421,13 @@ def climate_correlation(x):
 
 @query
 def spei_correlation(x):
-    return rounded(x.spei)
+    return rounded(x.spei.drop("month_order"))
 
 
 @query
 def bootstrap_ci(x):
     coefs = clim.climate_coef(
-        x.chronology, x.climate, ["pre", "spei"], replicates=REPLICATES, seed=SEED
+        x.chronology, x.climate, [*clim.CLIMATE_VARIABLES, "spei"], replicates=REPLICATES, seed=SEED
     )
     return rounded(coefs)
 
@@ -440,9 +445,17 @@ def signature(x):
     return rounded(clim.signature(x.coefs, mark=0.1))
 
 
+@query
+def signature_wide_window(x):
+    coefs = clim.climate_coef(x.chronology, x.climate, threshold=R_LIMIT, first=-9, last=12)
+    return rounded(clim.signature(coefs, mark=0.1))
+
+
 @query
 def significant_coefs(x):
-    return rounded(clim.split_by_significance(x.coefs)[0])
+    """Both halves, told apart by ``significant``."""
+    yes, no = clim.split_by_significance(x.coefs)
+    return rounded(yes.unionByName(no))
 
 
 @query
@@ -455,6 +468,12 @@ def strongest_month(x):
     return rounded(clim.strongest_month(x.placed))
 
 
+@query
+def strongest_month_wide_window(x):
+    coefs = clim.climate_coef(x.chronology, x.climate, ["spei"], threshold=R_LIMIT, first=-9, last=12)
+    return rounded(clim.strongest_month(clim.with_coordinates(clim.spei_names(coefs), x.metadata)))
+
+
 @query
 def significant_by_month(x):
     return rounded(clim.significant_by_month(x.placed))
@@ -462,12 +481,17 @@ def significant_by_month(x):
 
 @query
 def month_distribution(x):
-    return rounded(clim.month_distribution(x.placed, sizes=x.month_sizes))
+    return rounded(clim.month_distribution(x.placed))
+
+
+@query
+def month_distribution_distributed(x):
+    return rounded(clim.month_distribution(x.placed, max_group=1))
 
 
 @query
 def month_outliers(x):
-    return rounded(clim.month_outliers(x.placed, sizes=x.month_sizes))
+    return rounded(clim.month_outliers(x.placed))
 
 
 # ---- grids ----------------------------------------------------------------------------------
@@ -600,7 +624,7 @@ def path_site_ids(x):
 @query
 def extended_metadata(x):
     region = x.table("region")
-    groups = region.filter("r_regionkey < 4").select(
+    groups = region.select(
         F.substring("r_name", 1, 4).alias("species_code"),
         F.when(F.col("r_regionkey") % 2 == 0, "conifer").otherwise("broadleaf").alias("con_broad"),
     )
@@ -636,7 +660,7 @@ def site_year_resilience(x):
 @query
 def site_month_climate(x):
     base = x.climate
-    spei = base.filter(F.col("year") % 2 == 0).select("rwl", "year", "month", "spei")
+    spei = base.select("rwl", "year", "month", "spei")
     return rounded(final.site_month_climate(base.drop("spei"), spei, x.metadata))
 
 

@@ -98,15 +98,31 @@ def test_mean_chronology_and_nulls(spark):
         assert got[2]["std"] is None and got[2]["samp_depth"] == 0
 
 
-def test_split_hot_beyond_the_broadcast_limit(index):
-    small, hot = split_hot(index, ["rwl", "year"], ["tree"], max_group=5, max_hot_keys=2)
+def test_split_hot_is_part_of_the_plan(spark, index):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job may run")
+    small, hot = split_hot(index, ["rwl", "year"], ["tree"], max_group=5)
+    _, none = split_hot(index, ["rwl", "year"], ["tree"])
+    chron.chronology(index)
+    interseries.interseries_cor(index)
+    assert tracker.getJobIdsForGroup("building") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert small.count() + hot.count() == index.count()
     assert hot.groupBy("rwl", "year").count().filter("count <= 5").count() == 0
     assert small.groupBy("rwl", "year").count().filter("count > 5").count() == 0
+    assert none.count() == 0
     plan = hot._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan
-    _, none = split_hot(index, ["rwl", "year"], ["tree"])
-    assert none is None
+
+
+def test_groups_of_nulls_keep_their_row_on_both_routes(spark):
+    rows = [("a", f"t{i}", y, None if y == 2 else float(i + y)) for i in range(5) for y in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "rwl string, tree string, year int, rwi double")
+    small, large = (sorted(map(tuple, chron.chronology(df, max_group=n).collect())) for n in (50_000, 2))
+    assert [r[:2] + r[3:] for r in small] == [r[:2] + r[3:] for r in large] == [("a", 1, 5), ("a", 2, 0), ("a", 3, 5)]
+    assert [r[2] is None for r in large] == [False, True, False]
+    boxes = [sorted(map(tuple, climate.quartiles(df, ["year"], "rwi", ["tree"], n).collect())) for n in (50_000, 2)]
+    assert boxes[0] == boxes[1] and boxes[0][1] == (2, 0, None, None, None)
 
 
 def test_exact_ranks_with_a_narrow_bracket(spark):

@@ -32,7 +32,10 @@ def test_edges_and_outside(spark, plane):
     rows = [("corner", 5.0, 0.0), ("origin", 0.0, 4.0), ("west", -0.1, 2.0), ("north", 1.0, 4.1), ("none", None, 1.0)]
     points = spark.createDataFrame(rows, "rwl string, longitude double, latitude double")
     got = by(grid.sample_grid(points, plane, GEO), "rwl")
-    assert {k[0]: r["value"] for k, r in got.items()} == {"corner": 34.0, "origin": 0.0}
+    assert {k[0]: r["value"] for k, r in got.items()} == {"corner": 34.0, "origin": 0.0, "west": None, "north": None, "none": None}
+    assert got[("west",)]["row"] is None and got[("corner",)]["col"] == 4
+    gap = by(grid.sample_grid(points, plane.filter("row = 0").unionByName(plane.filter("row = 3").withColumn("layer", F.lit("b"))), GEO), "rwl", "layer")
+    assert len(gap) == 10 and gap[("corner", "a")]["value"] is None and gap[("corner", "b")]["value"] == 34.0
     wide = grid.site_covariates(points, plane, GEO, ["a", "b"])
     kept = by(wide, "rwl")
     assert len(kept) == 5 and kept[("west",)]["a"] is None and kept[("corner",)]["b"] is None
@@ -105,8 +108,8 @@ def test_layers_wide_and_long(spark):
 
 def test_month_functions(spark):
     df = spark.createDataFrame([("Jan", 1), ("Dec", 12), ("xx", 13)], "m string, k int")
-    got = df.select(months.month_number(F.col("m")), months.layer_label(F.col("k")), months.month_order(F.lit("SEP"))).collect()
-    assert [tuple(r) for r in got] == [(1, "1901_Jan", 16), (12, "1901_Dec", 16), (None, "1902_Jan", 16)]
+    got = df.select(months.month_number(F.col("m")), months.layer_label(F.col("k"))).collect()
+    assert [tuple(r) for r in got] == [(1, "1901_Jan"), (12, "1901_Dec"), (None, "1902_Jan")]
     assert [r[1] for r in months.window_labels()] == (
         "Jun Jul Aug Sep Oct Nov Dec JAN FEB MAR APR MAY JUN JUL AUG SEP".split()
     )
@@ -215,8 +218,8 @@ def test_too_short_sites_have_no_response(season):
 
 
 def test_signature_and_significance(spark):
-    rows = [("a", "pre", "Jun", 0.4, True), ("b", "pre", "Jun", 0.2, False), ("c", "pre", "Jun", None, None)]
-    coefs = spark.createDataFrame(rows, "rwl string, varname string, month string, coef double, significant boolean")
+    rows = [("a", "pre", "Jun", 1, 0.4, True), ("b", "pre", "Jun", 1, 0.2, False), ("c", "pre", "Jun", 1, None, None)]
+    coefs = spark.createDataFrame(rows, "rwl string, varname string, month string, month_order int, coef double, significant boolean")
     r = climate.signature(coefs).collect()[0]
     assert r["mean_coef"] == pytest.approx(0.3) and r["prop_sig"] == 0.5 and r["mark_sig"]
     yes, no = climate.split_by_significance(coefs)
@@ -225,9 +228,9 @@ def test_signature_and_significance(spark):
 
 @pytest.fixture
 def placed(spark):
-    rows = [("a", "Jun", 0.5, True), ("a", "SEP", -0.5, False), ("a", "JAN", 0.1, None), ("b", "Jun", None, None)]
-    rows += [(f"x{i}", "MAR", float(v), True) for i, v in enumerate([1, 2, 3, 4, 100])]
-    df = spark.createDataFrame(rows, "rwl string, spei_month string, spei_coef double, spei_significant boolean")
+    rows = [("a", "Jun", 1, 0.5, True), ("a", "SEP", 16, -0.5, False), ("a", "JAN", 8, 0.1, None), ("b", "Jun", 1, None, None)]
+    rows += [(f"x{i}", "MAR", 10, float(v), True) for i, v in enumerate([1, 2, 3, 4, 100])]
+    df = spark.createDataFrame(rows, "rwl string, spei_month string, month_order int, spei_coef double, spei_significant boolean")
     return df.withColumns({"latitude": F.lit(1.0), "longitude": F.lit(2.0)})
 
 

@@ -161,3 +161,9 @@ def test_site_means(spark):
     assert (r["resistance"], r["resistance_sd"], r["resistance_series"]) == (2.0, 1.0, 3)
     for name in ("recovery", "resilience", "rel_resilience"):
         assert r[name] is None and r[f"{name}_sd"] is None and r[f"{name}_series"] == 0
+
+
+def test_even_windows_are_rejected(spark):
+    index = spark.createDataFrame([("a", "t", 1, 1.0)], "rwl string, tree string, year int, index double")
+    with pytest.raises(ValueError, match="odd number"):
+        pointer.growth_z(index, window=12)

@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 from cambium.operators import grid, growth, pointer, resilience
-from cambium.plans import run
+from cambium.plans import oracle, queries, run
 from cambium.sources import ring_text
 
 
@@ -108,9 +108,9 @@ def test_a_plain_run_writes_folders(spark, rings, tmp_path):
 
 
 def test_contract():
-    queries, oracle = entry.queries(), entry.oracle_sql()
-    assert set(oracle) <= set(queries)
-    assert set(queries) - set(oracle) == {"climate_response"}
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(queries.QUERIES) <= set(entry.queries())
+    assert set(queries.QUERIES) - set(oracle.oracle_sql()) == {"climate_response"}
 
 
 def test_entry_runs(spark):
