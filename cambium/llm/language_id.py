@@ -198,14 +198,20 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(sizes, 1)[:, None]
 
 
-def training_sample(labelled: DataFrame, per_label: int, chars: int) -> list:
+def training_sample(labelled: DataFrame, per_label: int, chars: int, max_labels: int = 1000) -> list:
     """Rows (label, text): for each label at most ``per_label`` documents by hash order, ``chars`` characters from a hashed place of each.
 
-    Labels are counted first, so that only about twice as many rows as wanted are ranked, however many there are.
+    Labels are counted first (one row per label comes to the driver, at most ``max_labels``), so that only about twice as many rows
+    as wanted leave their task, however many there are.
     """
-    counts = labelled.groupBy("label").agg(F.count("*").alias("n"))
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} languages")
+    if not counts:
+        return []
     share = hashed_share(F.col("id"))
-    few = labelled.join(counts.withColumnRenamed("label", "l"), F.col("label") == F.col("l")).where(share < F.lit(2.0 * per_label + 100) / F.col("n"))
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], (2.0 * per_label + 100) / r["n"])])
+    few = labelled.where(share < F.element_at(rate, F.col("label")))
     nth = F.row_number().over(Window.partitionBy("label").orderBy(share, "id"))
     spot = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.char_length("text") - chars + 1)) + 1
     piece = F.substring("text", spot.cast("int"), F.lit(chars)).alias("text")
