@@ -38,18 +38,16 @@ def hashed_share(column: Column) -> Column:
     return F.xxhash64(column).cast("double") / 2.0**64 + 0.5
 
 
-def salted(rows: int, column: Column) -> Column:
-    """A salt for keys that may hold many of ``rows`` rows."""
-    return F.pmod(F.xxhash64(column), F.lit(max(1, -(-rows // ROWS_PER_SALT)))).cast("int")
-
-
-def running(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, rows: int) -> DataFrame:
+def running(
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, rows: int, rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of the same keys that come before, as ``name``.
 
     Rows of a key are ordered by salt and then by ``order``. Every (key, salt) is summed by its own task, and the sums of the
-    salts before it are added, so that no key has to fit into one task. Keys may be null.
+    salts before it are added, so that no key has to fit into one task. Keys may be null. ``rows``: how many there are in all.
     """
-    spread = df.withColumn("_salt", salted(rows, F.struct(*order)))
+    salts = max(1, -(-rows // rows_per_salt))
+    spread = df.withColumn("_salt", F.pmod(F.xxhash64(F.struct(*order)), F.lit(salts)).cast("int"))
     part = [*keys, "_salt"]
     sums = spread.groupBy(*part).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

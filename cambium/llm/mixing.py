@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from cambium.llm.common import running, settle
 
+#: Rows of a source that a task puts in order; they may carry whole texts.
+ROWS_PER_TASK = 10_000
+
 _ROUND = "source string, kind int, at int, slot_in_round int, first_round long, first_slot long, slots_per_round long"
 
 
@@ -127,7 +130,7 @@ def mix_sources(
     # at most (2 * sources + 1) * slots rows, whatever the number of documents
     plan = F.broadcast(spark.createDataFrame(places, _ROUND))
     total = sum(r["n"] for r in sizes.values())
-    placed = running(rows, ["source"], [F.col("id"), F.col("tid")], F.col("size"), "at", total).withColumn("block", F.floor(F.col("at") / block_bytes))
+    placed = running(rows, ["source"], [F.col("id"), F.col("tid")], F.col("size"), "at", total, ROWS_PER_TASK).withColumn("block", F.floor(F.col("at") / block_bytes))
     share_of = F.element_at(share, F.col("source"))
     placed = placed.withColumn("k", F.floor(F.col("block") / share_of)).withColumn("at_in_round", F.pmod("block", share_of).cast("int"))
     kind = F.size(F.filter(F.array(*[F.lit(k).cast("long") for k in firsts]), lambda first: first <= F.col("k"))) - 1

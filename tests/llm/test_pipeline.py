@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cambium.llm.common import running
 from test_line_dedup import brute as brute_lines
 from test_packing import ids_of
 from test_simhash import brute as brute_groups
@@ -52,16 +53,10 @@ def test_empty_documents(spark, docs, tmp_path):
 
 
 def test_running_sums_do_not_need_whole_keys(spark):
-    from cambium.llm import common
-
-    before, common.ROWS_PER_SALT = common.ROWS_PER_SALT, 10
-    try:
-        rng = np.random.default_rng(0)
-        data = [(None if i % 3 == 0 else "k", i, int(rng.integers(1, 9))) for i in range(200)]
-        df = spark.createDataFrame(data, "k string, i int, v long")
-        rows = common.running(df, ["k"], [F.col("i")], F.col("v"), "sum", 200).collect()
-    finally:
-        common.ROWS_PER_SALT = before
+    rng = np.random.default_rng(0)
+    data = [(None if i % 3 == 0 else "k", i, int(rng.integers(1, 9))) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, i int, v long")
+    rows = running(df, ["k"], [F.col("i")], F.col("v"), "sum", 200, rows_per_salt=10).collect()
     for k in (None, "k"):
         own = sorted((r for r in rows if r.k == k), key=lambda r: r["sum"])
         assert [r["sum"] for r in own] == list(np.cumsum([0, *(r.v for r in own)])[:-1])
