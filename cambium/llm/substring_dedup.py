@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,21 +132,22 @@ def units_of(words: list[bytes], window: int, salts: int) -> list[tuple[int, int
     return out
 
 
-def _group(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= GROUP_BYTES or i + 1 == len(texts):
-            yield lo, i + 1
-            lo, size = i + 1, 0
-
-
 def _encoded(column: pa.Array) -> list[bytes]:
     return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
 
 
+def _groups(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about GROUP_BYTES of text (column ``text``) each, so that a task holds little more than those."""
+    sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.float64)))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + GROUP_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def remove_repeats(
-    docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard_fragments: int = 2000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard_fragments: int = 1000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed and kept, the words that are left, joined by one space.
 
@@ -170,11 +172,10 @@ def remove_repeats(
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tids, texts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _encoded(batch.column(2))
-            for lo, hi in _group(texts):
-                found = leaders(texts[lo:hi], window, anchor)
-                at = found["text"].astype(np.int64) + lo
-                columns = [ids[at], tids[at], found["anchor"], found["fragment"], found["lo"].astype(np.int32), found["windows"].astype(np.int32)]
+            for part in _groups(batch, 2):
+                found = leaders(_encoded(part.column(2)), window, anchor)
+                at = found["text"].astype(np.int64)
+                columns = [np.asarray(part.column(0))[at], np.asarray(part.column(1))[at], found["anchor"], found["fragment"], found["lo"].astype(np.int32), found["windows"].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "tid", "anchor", "fragment", "lo", "windows"])
 
     led = texts.where("doc_id is not null").mapInArrow(lead, "doc_id long, tid int, anchor long, fragment long, lo int, windows int")
@@ -189,9 +190,9 @@ def remove_repeats(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "salt", "doc_id", "tid", "lo", "words"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for batch in batches:
+        for part in (part for batch in batches for part in _groups(batch, 2)):
             out: list[tuple] = []
-            for doc_id, tid, text, fragments in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for doc_id, tid, text, fragments in zip(*(part.column(i) for i in range(4)), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 for f in fragments.as_py():
                     own = words[f["lo"] : f["lo"] + f["windows"] + window - 1]
@@ -228,9 +229,9 @@ def remove_repeats(
     gone = earlier.unionByName(again).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("lo", "windows")).alias("gone"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in _groups(batch, 1)):
             totals, removed, kept = [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+            for text, spans in zip(part.column(1), part.column(2), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 if spans.is_valid:
                     change = np.zeros(len(words) + 1, np.int64)
@@ -244,7 +245,7 @@ def remove_repeats(
                 removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
+                [part.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
             )
 
     joined = texts.join(gone.withColumnRenamed("doc_id", "d").withColumnRenamed("tid", "t"), (F.col("doc_id") == F.col("d")) & (F.col("tid") == F.col("t")), "left")
