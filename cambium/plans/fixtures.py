@@ -246,3 +246,15 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 10 == 0, F.array(site(1), site(2))).otherwise(F.array(site(1))).alias("site"),
     )
     return base.select(F.to_json(F.struct(F.array(study).alias("study"))).alias("document"))
+
+
+def plain_lines(widths: DataFrame, id_width: int = 8, year_width: int = 4) -> DataFrame:
+    """Decade lines in hundredths made field by field, blank where a year has no ring; no stop marker."""
+    decade = F.floor(F.col("year") / 10).cast("int")
+    fields = [
+        F.coalesce(F.max(F.when(F.pmod(F.col("year"), F.lit(10)) == i, F.format_string("%6d", F.round(F.col("width") * 100).cast("int")))), F.lit(" " * 6))
+        for i in range(10)
+    ]
+    cut = widths.groupBy("rwl", "tree", decade.alias("decade")).agg(F.concat(*fields).alias("_fields"))
+    start = F.format_string(f"%-{id_width}s%{year_width}d", "tree", F.col("decade") * 10)
+    return cut.select("rwl", "tree", "decade", F.concat(start, "_fields").alias("line"))

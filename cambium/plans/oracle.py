@@ -927,11 +927,37 @@ query(
     """SELECT rwl, tree, CAST(year AS BIGINT) AS year, round(round(width * per_mm) / per_mm, 6) AS width
     FROM rings3 JOIN precision USING (rwl)""",
 )
+view(
+    "decades",
+    "ring_width",
+    "SELECT DISTINCT rwl, tree, CAST(floor(year / 10) AS INT) AS decade FROM ring_width",
+)
 query(
     "ring_file_status",
+    "decades",
+    """SELECT rwl, CASE WHEN bad THEN 'Error' ELSE 'Good' END AS status, CASE WHEN bad THEN 0 ELSE n END AS n_data,
+        CASE WHEN bad THEN n ELSE 0 END AS n_header, 0::BIGINT AS n_damaged, 0::BIGINT AS n_overlap
+    FROM (SELECT rwl, CAST(substr(rwl, 2) AS INT) % 5 = 0 AS bad, count(*) AS n FROM decades GROUP BY rwl)""",
+)
+query(
+    "ring_text_blank_fields",
     "ring_width",
-    """SELECT DISTINCT rwl, CASE WHEN CAST(substr(rwl, 2) AS INT) % 5 = 0 THEN 'Error' ELSE 'Good' END AS status
-    FROM ring_width""",
+    """SELECT rwl, tree, CAST(year AS BIGINT) AS year, round(round(width * 100) / 100, 6) AS width FROM ring_width
+    WHERE year % 7 <> 3""",
+)
+query(
+    "ring_text_damaged_lines",
+    "decades",
+    """SELECT rwl, CASE WHEN count(*) FILTER (bad) > 0 OR count(*) FILTER (NOT bad) = 0 THEN 'Error' ELSE 'Good' END AS status,
+        count(*) FILTER (NOT bad) AS n_data, 3 + count(*) FILTER (bad AND alone) AS n_header,
+        count(*) FILTER (bad AND NOT alone) AS n_damaged, 0::BIGINT AS n_overlap
+    FROM (SELECT *, bool_and(bad) OVER (PARTITION BY rwl, tree) AS alone FROM
+        (SELECT *, CAST(substr(tree, 2) AS INT) % 5 = 0 AND decade % 3 = 0 AS bad FROM decades)) GROUP BY rwl""",
+)
+query(
+    "ring_text_long_variant",
+    "ring_width",
+    """SELECT rwl, tree, CAST(year - 5000 AS BIGINT) AS year, round(round(width * 100) / 100, 6) AS width FROM ring_width""",
 )
 query("width_decimals", "rings3", f"SELECT {_DECIMALS} AS n_decimals, count(*) AS n FROM rings3 GROUP BY 1")
 query("species_table", "meta", "SELECT species_code, count(*) AS n FROM meta GROUP BY species_code")

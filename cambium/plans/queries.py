@@ -574,10 +574,35 @@ def ring_text_round_trip(x):
 
 @query
 def ring_file_status(x):
-    """Read status where every fifth site's lines are damaged."""
+    """Read status and line counts where every fifth site's lines are damaged."""
     bad = F.col("rwl").substr(2, 2).cast("int") % 5 == 0
-    lines = x.lines.withColumn("line", F.when(bad, F.translate("line", "0123", "abcd")).otherwise(F.col("line")))
-    return rounded(ring_text.file_status(ring_text.scan_lines(lines)).select("rwl", "status"))
+    lines = fx.plain_lines(x.widths).withColumn("line", F.when(bad, F.translate("line", "0123", "abcd")).otherwise(F.col("line")))
+    return rounded(ring_text.file_status(ring_text.scan_lines(lines)))
+
+
+@query
+def ring_text_blank_fields(x):
+    """Rings of decade lines in which every seventh year, and whatever a tree lacks, is a blank field."""
+    return rounded(ring_text.parse_ring_lines(fx.plain_lines(x.widths.filter("year % 7 <> 3"))))
+
+
+@query
+def ring_text_damaged_lines(x):
+    """Status and counts of files with a header and, in every fifth tree, lines with a damaged field."""
+    bad = (F.col("tree").substr(2, 5).cast("int") % 5 == 0) & (F.col("decade") % 3 == 0)
+    broken = F.regexp_replace("line", r"\d( *)$", "x$1")
+    lines = fx.plain_lines(x.widths).withColumn("line", F.when(bad, broken).otherwise(F.col("line"))).select("rwl", "line")
+    sites = x.metadata.select("rwl", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("i"), "country")
+    header = sites.select("rwl", F.format_string("%-7s%d %s", F.upper("rwl"), "i", "country").alias("line"))
+    return rounded(ring_text.file_status(ring_text.scan_lines(header.unionByName(lines))))
+
+
+@query
+def ring_text_long_variant(x):
+    """Rings of years before -999: the long variant, told by the sites' years."""
+    old = x.widths.withColumn("year", F.col("year") - 5000)
+    lines = fx.plain_lines(old, id_width=7, year_width=5)
+    return rounded(ring_text.parse_ring_lines(lines, ring_text.long_sites(old)))
 
 
 @query

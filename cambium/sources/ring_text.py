@@ -3,7 +3,8 @@
 A data line holds the tree id (8 characters), the first year of the line
 (4 characters) and up to ten values of 6 characters.  The value after the last
 ring is a stop marker that also tells the unit.  In the long variant the id is
-one character shorter and the year one longer.
+one character shorter and the year one longer.  A blank field is a year without
+a ring.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from cambium.operators.skew import lookup_join
 ID_WIDTH, YEAR_WIDTH, VALUE_WIDTH, VALUES_PER_LINE = 8, 4, 6, 10
 STOP_HUNDREDTHS, STOP_THOUSANDTHS = 999, -9999
 MISSING = -999
-MAX_HEADER_LINES = 3
 FLAG_READ = "reading rwl file failed"
 
 
@@ -32,12 +32,17 @@ def site_of_path(path: Column) -> Column:
 
 
 def read_ring_lines(spark: SparkSession, path: str, suffix: str = "*.rwl") -> DataFrame:
-    """All text lines below a folder with the site they belong to."""
+    """All text lines below a folder with the site they belong to and their place in its file.
+
+    Places grow along a file: splits are ordered by where they begin, lines of
+    a split by the order in which its task reads them.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
     return (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", suffix)
         .text(path)
-        .select(site_of_path(F.col("_metadata.file_path")).alias("rwl"), F.col("value").alias("line"))
+        .select(site_of_path(F.col("_metadata.file_path")).alias("rwl"), F.col("value").alias("line"), place.alias("place"))
     )
 
 
@@ -47,10 +52,11 @@ def _fields(line: Column, id_width: int) -> Column:
     raw = F.array(
         *[F.trim(F.substring(line, start + VALUE_WIDTH * i, VALUE_WIDTH)) for i in range(VALUES_PER_LINE)]
     )
+    last = F.array_max(F.transform(raw, lambda v, i: F.when(v != "", i + 1).otherwise(0)))
     return F.struct(
         F.trim(F.substring(line, 1, id_width)).alias("tree"),
         F.trim(F.substring(line, id_width + 1, year_width)).alias("year"),
-        F.filter(raw, lambda v: v != "").alias("values"),
+        F.slice(raw, F.lit(1), last).alias("values"),
     )
 
 
@@ -59,29 +65,33 @@ def scan_lines(lines: DataFrame, long_sites: DataFrame | None = None) -> DataFra
 
     Equal lines of a site collapse into one with a count before anything is
     grouped by tree, so copies of a file, however many, never pile up in one
-    task; a line found more than once makes the file faulty later on.
+    task; a data line found more than once makes the file faulty later on.  Of
+    the ten fields of a line those after its last value are no years; a blank
+    one before it is a year without a ring.  Lines may have a ``place``; a
+    line found more than once keeps its last.
     """
+    place = F.col("place") if "place" in lines.columns else F.lit(None).cast("struct<split: bigint, nth: bigint>")
     once = (
-        lines.select("rwl", F.rtrim("line").alias("line"))
+        lines.select("rwl", F.rtrim("line").alias("line"), place.alias("place"))
         .filter(F.length("line") > 0)
         .groupBy("rwl", "line")
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("place").alias("first_place"), F.max("place").alias("last_place"))
     )
     line = F.col("line")
     if long_sites is None:
-        cut = once.select("rwl", _fields(line, ID_WIDTH).alias("f"), "copies")
+        cut = once.select("rwl", _fields(line, ID_WIDTH).alias("f"), "copies", "first_place", "last_place")
     else:
         marked = lookup_join(
             once, long_sites.select("rwl", F.lit(True).alias("_long")), "rwl", "line", "left"
         )
         fields = F.when(F.col("_long"), _fields(line, ID_WIDTH - 1)).otherwise(_fields(line, ID_WIDTH))
-        cut = marked.select("rwl", fields.alias("f"), "copies")
+        cut = marked.select("rwl", fields.alias("f"), "copies", "first_place", "last_place")
     whole = r"^-?\d+$"
     is_data = (
         (F.col("f.tree") != "")
         & F.col("f.year").rlike(whole)
         & (F.size("f.values") >= 1)
-        & F.forall("f.values", lambda v: v.rlike(whole))
+        & F.forall("f.values", lambda v: (v == "") | v.rlike(whole))
     )
     return cut.select(
         "rwl",
@@ -90,6 +100,8 @@ def scan_lines(lines: DataFrame, long_sites: DataFrame | None = None) -> DataFra
         F.transform("f.values", lambda v: v.try_cast("int")).alias("values"),
         is_data.alias("is_data"),
         "copies",
+        "first_place",
+        "last_place",
     )
 
 
@@ -125,19 +137,28 @@ def decade_lines(scanned: DataFrame) -> DataFrame:
 
 
 def file_status(scanned: DataFrame) -> DataFrame:
-    """``Good`` or ``Error`` per file: no data, too many odd lines, or overlapping lines."""
-    counted = scanned.groupBy("rwl").agg(
-        F.sum(F.when(F.col("is_data"), F.col("copies")).otherwise(0)).alias("n_data"),
-        F.sum(F.when(F.col("is_data"), 0).otherwise(F.col("copies"))).alias("n_other"),
+    """``Good`` or ``Error`` per file: no data, damaged lines, or overlapping lines.
+
+    A line that is no data is damaged if its tree id stands on data lines of
+    the file, or if it comes after a data line (where lines have a place);
+    otherwise it is part of the header.  Both are counted.
+    """
+    firsts = scanned.groupBy("rwl").agg(F.min(F.when(F.col("is_data"), F.col("first_place"))).alias("_begin"))
+    ids = scanned.filter("is_data").select(*TREE).distinct().withColumn("_known", F.lit(True))
+    other = lookup_join(scanned.filter("NOT is_data"), firsts, "rwl", ["tree", "year"], "left").join(ids, TREE, "left")
+    late = F.coalesce(F.col("last_place") > F.col("_begin"), F.lit(False))
+    damaged = F.coalesce("_known", F.lit(False)) | late
+    others = other.groupBy("rwl").agg(
+        F.sum(F.when(damaged, F.col("copies")).otherwise(0)).alias("n_damaged"),
+        F.sum(F.when(damaged, 0).otherwise(F.col("copies"))).alias("n_header"),
     )
+    counted = scanned.groupBy("rwl").agg(F.sum(F.when(F.col("is_data"), F.col("copies")).otherwise(0)).alias("n_data"))
     overlaps = decade_lines(scanned).groupBy("rwl").agg(F.count_if("overlap").alias("n_overlap"))
-    failed = (
-        (F.col("n_data") == 0)
-        | (F.col("n_other") > MAX_HEADER_LINES)
-        | (F.coalesce("n_overlap", F.lit(0)) > 0)
-    )
-    return counted.join(overlaps, "rwl", "left").select(
-        "rwl", F.when(failed, "Error").otherwise("Good").alias("status"), "n_data", "n_other"
+    known = counted.join(others, "rwl", "left").join(overlaps, "rwl", "left")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_data", "n_header", "n_damaged", "n_overlap")]
+    failed = (F.col("n_data") == 0) | (F.col("n_damaged") > 0) | (F.col("n_overlap") > 0)
+    return known.select("rwl", *numbers).select(
+        "rwl", F.when(failed, "Error").otherwise("Good").alias("status"), "n_data", "n_header", "n_damaged", "n_overlap"
     )
 
 
@@ -175,15 +196,28 @@ def site_precision(widths: DataFrame) -> DataFrame:
     )
 
 
+def long_sites(widths: DataFrame) -> DataFrame:
+    """Sites with a year that four characters cannot hold: they are written, and have to be read, in the long variant."""
+    span = widths.groupBy("rwl").agg(F.min("year").alias("_lo"), F.max("year").alias("_hi"))
+    return span.filter((F.col("_lo") < -999) | (F.col("_hi") >= 9999)).select("rwl")
+
+
+def _exactly(text: Column, width: Column, pad: Column, what: str) -> Column:
+    """``pad`` where the text fits into the width; anything longer stops the job."""
+    too_long = F.raise_error(F.lit(f"{what} longer than the text format allows")).cast("string")
+    return F.when(F.length(text) > width, too_long).otherwise(pad)
+
+
 def format_ring_lines(widths: DataFrame, precision: DataFrame | None = None) -> DataFrame:
-    """``(rwl, tree, year, width)`` to text lines, one per tree and decade."""
+    """``(rwl, tree, year, width)`` to text lines, one per tree and decade; sites of `long_sites` in the long variant."""
     measured = widths.filter(F.col("width").isNotNull())
     units = site_precision(measured) if precision is None else precision
+    units = units.join(long_sites(measured).withColumn("_long", F.lit(True)), "rwl", "left")
     scaled = lookup_join(measured, units, "rwl", "tree")
     decade = F.floor(F.col("year") / 10).cast("int")
     ring = F.struct("year", F.round(F.col("width") * F.col("per_mm")).cast("int").alias("v"))
     lines = (
-        scaled.groupBy(*TREE, "per_mm", decade.alias("decade"))
+        scaled.groupBy(*TREE, "per_mm", "_long", decade.alias("decade"))
         .agg(F.map_from_entries(F.collect_list(ring)).alias("_v"), F.min("year").alias("lo"), F.max("year").alias("hi"))
         .withColumn("_end", F.max("hi").over(Window.partitionBy(*TREE)))
     )
@@ -198,15 +232,20 @@ def format_ring_lines(widths: DataFrame, precision: DataFrame | None = None) ->
         F.when(is_last & ~full, F.array_append(values, stop)).otherwise(values).alias("values"),
     )
     extra = F.struct((F.col("hi") + 1).alias("year"), F.array(stop).alias("values"))
-    emitted = lines.select(*TREE, F.inline(F.when(is_last & full, F.array(own, extra)).otherwise(F.array(own))))
-    too_long = F.raise_error(F.lit("tree id longer than the text format allows"))
-    name = F.when(F.length("tree") > ID_WIDTH, too_long).otherwise(F.rpad("tree", ID_WIDTH, " "))
+    emitted = lines.select(*TREE, "_long", F.inline(F.when(is_last & full, F.array(own, extra)).otherwise(F.array(own))))
+    shift = F.when(F.col("_long"), 1).otherwise(0)
+    id_width, year_width = F.lit(ID_WIDTH) - shift, F.lit(YEAR_WIDTH) + shift
+    year = F.col("year").cast("string")
+    name = _exactly(F.col("tree"), id_width, F.rpad("tree", id_width, " "), "tree id")
+    begin = _exactly(year, year_width, F.lpad(year, year_width, " "), "year")
     cells = F.array_join(
-        F.transform("values", lambda v: F.lpad(v.cast("string"), VALUE_WIDTH, " ")), ""
-    )
-    return emitted.select(
-        *TREE, "year", F.concat(name, F.lpad(F.col("year").cast("string"), YEAR_WIDTH, " "), cells).alias("line")
+        F.transform(
+            F.transform("values", lambda v: v.cast("string")),
+            lambda v: _exactly(v, F.lit(VALUE_WIDTH), F.lpad(v, VALUE_WIDTH, " "), "width"),
+        ),
+        "",
     )
+    return emitted.select(*TREE, "year", F.concat(name, begin, cells).alias("line"))
 
 
 def write_ring_files(widths: DataFrame, path: str) -> None:

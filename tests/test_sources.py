@@ -56,15 +56,45 @@ def test_status_of_good_and_bad_files(spark):
     frames = [
         lines_of(spark, good, "good"),
         lines_of(spark, ["not a ring file"] * 2, "text"),
-        lines_of(spark, good[:2] * 3 + good[3:], "garbled"),
+        lines_of(spark, good[:2] * 3 + good[3:], "headed"),
+        lines_of(spark, [*good, data("T1", 2000, 100, "1x5", 102)], "damaged"),
         lines_of(spark, [data("T1", 1990, 100, 101, 102), data("T1", 1991, 100, 999)], "overlap"),
         lines_of(spark, [data("T1", 1990, 100, 999)] * 500, "copies"),
     ]
     lines = frames[0]
     for f in frames[1:]:
         lines = lines.unionByName(f)
-    status = {r["rwl"]: r["status"] for r in ring_text.file_status(ring_text.scan_lines(lines)).collect()}
-    assert status == {"good": "Good", "text": "Error", "garbled": "Error", "overlap": "Error", "copies": "Error"}
+    rows = {r["rwl"]: r for r in ring_text.file_status(ring_text.scan_lines(lines)).collect()}
+    status = {k: r["status"] for k, r in rows.items()}
+    assert status == {"good": "Good", "text": "Error", "headed": "Good", "damaged": "Error", "overlap": "Error", "copies": "Error"}
+    assert (rows["damaged"]["n_data"], rows["damaged"]["n_header"], rows["damaged"]["n_damaged"]) == (1, 2, 1)
+    assert rows["headed"]["n_header"] == 6 and rows["copies"]["n_data"] == 500
+
+
+def test_blank_fields_are_years_without_a_ring(spark):
+    text = [data("T1", 1980, 101, "", 103, 104), data("T1", 1990, "", 100, 999)]
+    got = widths_of(ring_text.parse_ring_lines(lines_of(spark, text)))
+    assert got == {("a", "T1", 1980): 1.01, ("a", "T1", 1982): 1.03, ("a", "T1", 1983): 1.04, ("a", "T1", 1991): 1.0}
+
+
+def test_text_after_data_is_damage(spark, tmp_path):
+    (tmp_path / "ok.rwl").write_text("\n".join(["some header", data("T1", 1990, 100, 999)]) + "\n")
+    (tmp_path / "cut.rwl").write_text("\n".join([data("T1", 1990, 100, 999), "some trailer"]) + "\n")
+    _, status = ring_text.read_ring_files(spark, str(tmp_path))
+    got = {r["rwl"]: (r["status"], r["n_header"], r["n_damaged"]) for r in status.collect()}
+    assert got == {"ok": ("Good", 1, 0), "cut": ("Error", 0, 1)}
+
+
+def test_years_before_minus_999_are_written_in_the_long_variant(spark, rings):
+    widths = rings({("old", "t1"): (-1234, [1.25] * 12), ("old", "t2"): (1990, [1.0, 2.0]), ("new", "t1"): (1990, [1.25] * 3)})
+    lines = ring_text.format_ring_lines(widths).select("rwl", "line")
+    assert widths_of(ring_text.parse_ring_lines(lines, ring_text.long_sites(widths))) == widths_of(widths)
+    with pytest.raises(Exception, match="tree id longer"):
+        ring_text.format_ring_lines(rings({("a", "eight888"): (-1234, [1.0])})).collect()
+    with pytest.raises(Exception, match="year longer"):
+        ring_text.format_ring_lines(rings({("a", "t"): (-12345, [1.0])})).collect()
+    with pytest.raises(Exception, match="width longer"):
+        ring_text.format_ring_lines(rings({("a", "t"): (1990, [12345.678])})).collect()
 
 
 def test_round_trip_through_files(spark, rings, tmp_path):
