@@ -77,6 +77,10 @@ def lagged_months(
     ).select("rwl", "year", "month_order", "month", "is_prev", "_v.var_order", "_v.varname", "_v.value")
 
 
+FLAG_NO_YEAR = "no year with all predictors"
+FLAG_FEW_YEARS = "too few years with all predictors"
+FLAG_CONSTANT = "growth does not vary"
+
 COEF_KEYS = ["rwl", "var_order", "varname", "month_order", "month", "is_prev"]
 
 
@@ -217,6 +221,32 @@ def response_coefficients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return result
 
 
+# A single component and its residual need that many years.
+MIN_RESPONSE_YEARS = 3
+
+
+def response_flags(chronologies: DataFrame, lagged: DataFrame, min_years: int = MIN_RESPONSE_YEARS) -> DataFrame:
+    """Sites without a response function, their complete years, and the reason."""
+    wanted = lagged.select("var_order", "month_order").distinct().agg(F.count(F.lit(1)))
+    growth = chronologies.select("rwl", "year", finite_or_null(F.col("std")).alias("std"))
+    complete = (
+        lagged.filter(F.col("value").isNotNull())
+        .groupBy("rwl", "year")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .join(growth.filter(F.col("std").isNotNull()), ["rwl", "year"])
+        .withColumn("_wanted", wanted.scalar())
+        .filter(F.col("_n") == F.col("_wanted"))
+        .groupBy("rwl")
+        .agg(F.count(F.lit(1)).alias("n_years"), F.stddev_pop("std").alias("_sd"))
+    )
+    years = F.coalesce("n_years", F.lit(0))
+    reason = (
+        F.when(years == 0, FLAG_NO_YEAR).when(years < min_years, FLAG_FEW_YEARS).when(F.col("_sd") == 0.0, FLAG_CONSTANT)
+    )
+    sites = chronologies.select("rwl").distinct().join(complete, "rwl", "left")
+    return sites.select("rwl", years.alias("n_years"), reason.alias("flag")).filter(F.col("flag").isNotNull())
+
+
 def climate_response(
     chronologies: DataFrame,
     lagged: DataFrame,
@@ -224,13 +254,14 @@ def climate_response(
     seed: int = 1,
     level: float = 0.95,
     mean_block: float | None = None,
-    min_years: int = 10,
+    min_years: int = MIN_RESPONSE_YEARS,
 ) -> DataFrame:
     """Response function per site: all variables and months enter one regression.
 
     Years count when the chronology and every predictor are present.  Sites
-    with too few years give no rows.  A site is bounded by years times
-    predictors, so one grouped pandas call per site is safe.
+    with too few of them have no row here and one in ``response_flags``.  A
+    site is bounded by years times predictors, so one grouped pandas call per
+    site is safe.
     """
     low, high = 50.0 * (1.0 - level), 50.0 * (1.0 + level)
     keys = COEF_KEYS[1:]
@@ -244,13 +275,11 @@ def climate_response(
         if len(x) < min_years:
             return empty
         coef = response_coefficients(x, growth)
-        samples = []
-        for draw in resample_draws(seed, replicates, len(x), mean_block):
-            try:
-                samples.append(response_coefficients(x[draw], growth[draw]))
-            except np.linalg.LinAlgError:
-                continue
-        limits = np.nanpercentile(np.array(samples), [low, high], axis=0) if samples else np.full((2, len(coef)), np.nan)
+        # A replicate whose growth does not vary gives NaN and does not count.
+        samples = [response_coefficients(x[draw], growth[draw]) for draw in resample_draws(seed, replicates, len(x), mean_block)]
+        limits = np.full((2, len(coef)), np.nan)
+        usable = ~np.isnan(samples).all(axis=0)
+        limits[:, usable] = np.nanpercentile(np.array(samples)[:, usable], [low, high], axis=0)
         out = pd.DataFrame(list(table.columns), columns=["var_order", "month_order"])
         out["rwl"] = site["rwl"].iloc[0]
         for name in ["varname", "month", "is_prev"]:
@@ -280,6 +309,7 @@ def climate_coef(
     seed: int = 1,
     threshold: float | None = None,
     mean_block: float | None = None,
+    min_years: int = MIN_RESPONSE_YEARS,
 ) -> DataFrame:
     """Coefficients of growth on monthly climate.
 
@@ -288,7 +318,7 @@ def climate_coef(
     """
     lagged = lagged_months(climate, variables, first, last)
     if method == "response":
-        coefs = climate_response(chronologies, lagged, replicates, seed, mean_block=mean_block)
+        coefs = climate_response(chronologies, lagged, replicates, seed, mean_block=mean_block, min_years=min_years)
     elif threshold is not None:
         coefs = climate_correlation(chronologies, lagged, threshold)
     else:

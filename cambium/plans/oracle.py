@@ -720,6 +720,17 @@ query(
     "lagged",
     f"SELECT {out('rwl month is_prev varname', 'year month_order var_order', 'value')} FROM lagged",
 )
+query(
+    "climate_response_flags",
+    "chron lagged",
+    """SELECT rwl, coalesce(n_years, 0) AS n_years, CASE WHEN n_years IS NULL THEN 'no year with all predictors'
+        WHEN n_years < 30 THEN 'too few years with all predictors' WHEN sd = 0 THEN 'growth does not vary' END AS flag
+    FROM (SELECT DISTINCT rwl FROM chron) LEFT JOIN (
+        SELECT rwl, count(*) AS n_years, stddev_pop(std) AS sd FROM (
+            SELECT rwl, year FROM lagged WHERE value IS NOT NULL GROUP BY rwl, year HAVING count(*) = 64)
+        JOIN chron USING (rwl, year) WHERE std IS NOT NULL GROUP BY rwl) USING (rwl)
+    WHERE n_years IS NULL OR n_years < 30 OR sd = 0""",
+)
 query("climate_correlation", "coefs", f"SELECT {out(*COEF)} FROM coefs")
 query("spei_correlation", "spei", f"SELECT {out(*SPEI)} FROM spei")
 view(

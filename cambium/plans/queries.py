@@ -435,11 +435,18 @@ def bootstrap_ci(x):
 @query
 def climate_response(x):
     coefs = clim.climate_coef(
-        x.chronology, x.climate, ["spei"], method="response", replicates=REPLICATES, seed=SEED
+        x.chronology, x.climate, method="response", replicates=REPLICATES, seed=SEED
     )
     return rounded(coefs)
 
 
+@query
+def climate_response_flags(x):
+    """Why sites have no response function of all four variables, or one of few years."""
+    lagged = clim.lagged_months(x.climate, clim.CLIMATE_VARIABLES)
+    return clim.response_flags(x.chronology, lagged, min_years=30)
+
+
 @query
 def signature(x):
     return rounded(clim.signature(x.coefs, mark=0.1))

@@ -41,6 +41,8 @@ class Settings:
     # Ring tables bucketed by tree, as catalogue tables with this prefix; 0 writes plain folders.
     tree_buckets: int = 0
     table_prefix: str = "cambium_"
+    # Write the final tables as CSV too, to ``<name>_csv``.
+    csv: bool = False
 
 
 @dataclass
@@ -79,6 +81,13 @@ class Store:
         self.tables[name] = tables.store_by_tree(df, table, f"{self.path}/{name}", self.conf.tree_buckets)
         return self.tables[name]
 
+    def put_final(self, name: str, df: DataFrame) -> DataFrame:
+        """Tables that analysts start from, as CSV too if that is asked for."""
+        stored = self.put(name, df)
+        if self.conf.csv:
+            tables.write_table(stored, f"{self.path}/{name}_csv", "csv")
+        return stored
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
@@ -161,16 +170,16 @@ def final_stage(src: Sources, out: Store, conf: Settings) -> None:
     meta = final.extended_metadata(out["metadata_age"], src.species_groups)
     meta = out.put("site_metadata", _covariates(src, meta, conf))
     trees, chron = out["interseries_tree"], out["chronology"]
-    out.put("site_growth_data", final.site_growth_data(meta, out["interseries_site"], out["chronology_cv"]))
-    out.put("site_year_chronologies", final.site_year_chronologies(chron, meta))
-    out.put("site_year_resilience", final.site_year_resilience(out["resilience"], meta))
-    out.put("site_growth_trend", final.site_growth_trend(chron, meta, conf.trend_years))
-    out.put("tree_year_growth", final.tree_year_growth(out["bai"], out["tree_age"], trees))
-    out.put("tree_growth_trend", final.tree_growth_trend(out["bai"], meta, trees, conf.trend_years))
+    out.put_final("site_growth_data", final.site_growth_data(meta, out["interseries_site"], out["chronology_cv"]))
+    out.put_final("site_year_chronologies", final.site_year_chronologies(chron, meta))
+    out.put_final("site_year_resilience", final.site_year_resilience(out["resilience"], meta))
+    out.put_final("site_growth_trend", final.site_growth_trend(chron, meta, conf.trend_years))
+    out.put_final("tree_year_growth", final.tree_year_growth(out["bai"], out["tree_age"], trees))
+    out.put_final("tree_growth_trend", final.tree_growth_trend(out["bai"], meta, trees, conf.trend_years))
     if "climate_coefs" in out.tables:
-        out.put("site_clim_correlation", final.site_clim_correlation(meta, out["climate_coefs"]))
-        out.put("site_spei_correlation", final.site_spei_correlation(meta, out["spei_coefs"]))
-        out.put(
+        out.put_final("site_clim_correlation", final.site_clim_correlation(meta, out["climate_coefs"]))
+        out.put_final("site_spei_correlation", final.site_spei_correlation(meta, out["spei_coefs"]))
+        out.put_final(
             "site_month_climate", final.site_month_climate(out["climate_long"], out["spei_long"], meta)
         )
 

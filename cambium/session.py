@@ -29,13 +29,3 @@ def local_session(app: str = "cambium", cpus: str = "*", partitions: int = 8) ->
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared checkpoint folder named by the cluster; ``fallback`` only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if fallback is not None:
-        spark.conf.set("spark.checkpoint.dir", fallback)
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback

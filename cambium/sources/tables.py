@@ -39,13 +39,13 @@ def read_static_grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_point_grid_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Climate-class points; numbers that do not parse become NULL."""
+    """Climate-class points with their place in the file (``seq``); numbers that do not parse become NULL."""
     text = "lon STRING, lat STRING, climate STRING, `main.climate` STRING, `mainc.code` STRING, KG STRING"
     return cast_points(
         spark.read.csv(path, schema=text, header=True, nullValue="NA").withColumnsRenamed(
             {"main.climate": "main_climate", "mainc.code": "mainc_code", "KG": "kg"}
         )
-    )
+    ).withColumn("seq", F.monotonically_increasing_id())
 
 
 def cast_points(points: DataFrame) -> DataFrame:

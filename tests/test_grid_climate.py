@@ -213,8 +213,14 @@ def test_blocks_keep_neighbouring_years_together():
 
 def test_too_short_sites_have_no_response(season):
     chron, clim = season
-    few = climate.climate_coef(chron.filter("year < 1956"), clim, ["pre"], method="response", replicates=5)
+    short = chron.filter("year < 1953")
+    few = climate.climate_coef(short, clim, ["pre"], method="response", replicates=5)
     assert few.count() == 0
+    flags = climate.response_flags(short, climate.lagged_months(clim, ["pre"])).collect()
+    assert [tuple(r) for r in flags] == [("s", 2, climate.FLAG_FEW_YEARS)]
+    enough = chron.filter("year < 1956")
+    assert climate.climate_coef(enough, clim, ["pre"], method="response", replicates=5).count() == 16
+    assert climate.response_flags(enough, climate.lagged_months(clim, ["pre"])).count() == 0
 
 
 def test_signature_and_significance(spark):

@@ -102,7 +102,8 @@ def test_a_plain_run_writes_folders(spark, rings, tmp_path):
     metadata = spark.createDataFrame(
         [("a", "X", 1.0, 2.0, "PISY")], "rwl string, country string, latitude double, longitude double, species_code string"
     )
-    out = run.run(spark, run.Sources(widths, metadata, sites=metadata), str(tmp_path / "out"))
+    out = run.run(spark, run.Sources(widths, metadata, sites=metadata), str(tmp_path / "out"), run.Settings(csv=True))
+    assert spark.read.csv(str(tmp_path / "out" / "site_growth_data_csv"), header=True).count() == 1
     assert "climate_coefs" not in out and out["tree_year_growth"].count() == 135
     assert spark.read.parquet(str(tmp_path / "out" / "ring_width")).count() == 135
 
