@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -118,15 +120,16 @@ def _with_site_years(values: DataFrame, spans: DataFrame) -> tuple[DataFrame, Wi
     return joined, Window.partitionBy("rwl", SALT, "tree").orderBy("year")
 
 
-def _fill_years(values: DataFrame, tree: WindowSpec, column: str) -> DataFrame:
+def _fill_years(values: DataFrame, tree: WindowSpec, column: str, of_tree: Sequence[str] = ()) -> DataFrame:
     """Every tree over every year of its site; years without a value are NULL.
 
     Each row also emits the empty years up to the next row of its tree, the
     first row those before it, the last row those up to the site's end.  No
-    table of years is joined.
+    table of years is joined.  Columns ``of_tree`` are the same in all its rows.
     """
     bounded = values.select(
         *TREE,
+        *of_tree,
         "year",
         column,
         F.coalesce(F.lead("year").over(tree) - 1, F.col("site_last")).alias("_to"),
@@ -135,23 +138,31 @@ def _fill_years(values: DataFrame, tree: WindowSpec, column: str) -> DataFrame:
         .alias("_from"),
     )
     return bounded.select(
-        *TREE, F.explode(F.sequence("_from", "_to")).alias("_y"), "year", column
+        *TREE, *of_tree, F.explode(F.sequence("_from", "_to")).alias("_y"), "year", column
     ).select(
         *TREE,
         F.col("_y").alias("year"),
         F.when(F.col("_y") == F.col("year"), F.col(column)).alias(column),
+        *of_tree,
     )
 
 
-def bai_dense(widths: DataFrame) -> DataFrame:
-    """Basal area increment for all years of the site, NULL outside a tree's life."""
+def bai_dense(widths: DataFrame, trees: DataFrame | None = None) -> DataFrame:
+    """Basal area increment for all years of the site, NULL outside a tree's life.
+
+    The columns of ``trees``, one row per tree, are joined to the measured
+    rings before the years are filled, so that the dense rows are not shuffled.
+    """
     measured = clean_widths(widths).filter(F.col("width").isNotNull())
+    of_tree = [] if trees is None else [c for c in trees.columns if c not in TREE]
+    if trees is not None:
+        measured = measured.join(trees, TREE, "left")
     bounded, tree = _with_site_years(measured, site_years(widths))
     radius = F.sum("width").over(tree.rowsBetween(Window.unboundedPreceding, 0))
     areas = bounded.withColumn("radius", radius).withColumn(
         "bai", _ring_area(F.col("radius"), F.col("width"))
     )
-    return _fill_years(areas, tree, "bai")
+    return _fill_years(areas, tree, "bai", of_tree)
 
 
 def dense_widths(widths: DataFrame) -> DataFrame:

@@ -46,9 +46,10 @@ def site_growth_trend(
     return growth.site_trend(chronologies, years).join(metadata, "rwl", "left")
 
 
-def tree_year_growth(bai: DataFrame, tree_age: DataFrame, interseries_tree: DataFrame) -> DataFrame:
-    """All years of every tree with its age and correlation; keyed by tree, so never skewed."""
-    return bai.join(tree_age, growth.TREE, "left").join(interseries_tree, growth.TREE, "left")
+def tree_year_growth(widths: DataFrame, tree_age: DataFrame, interseries_tree: DataFrame) -> DataFrame:
+    """All years of every tree with its age and correlation, which are joined once per tree before the years are filled."""
+    trees = tree_age.join(interseries_tree, growth.TREE, "left")
+    return growth.bai_dense(widths, trees)
 
 
 def tree_growth_trend(

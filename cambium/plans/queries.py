@@ -703,8 +703,7 @@ def site_growth_trend(x):
 
 @query
 def tree_year_growth(x):
-    dense = growth.bai_dense(x.widths)
-    return rounded(final.tree_year_growth(dense, x.ages, x.interseries))
+    return rounded(final.tree_year_growth(x.widths, x.ages, x.interseries))
 
 
 @query

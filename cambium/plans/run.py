@@ -92,13 +92,19 @@ class Store:
         return self.tables[name]
 
 
+def _usable(out: Store) -> DataFrame:
+    """Rings of the sites without a growth flag."""
+    flagged = out["growth_trend_flags"].select("rwl").distinct()
+    return lookup_join(out["ring_width"], flagged, "rwl", "tree", "left_anti")
+
+
 def growth_stage(src: Sources, out: Store, conf: Settings) -> None:
     widths = src.widths if src.sites is None else pointer.select_sites(src.widths, src.sites)
     widths = out.put_rings("ring_width", widths)
     ages = out.put("tree_age", growth.tree_age(growth.tree_stats(widths), src.read_flags))
     out.put("metadata_age", growth.metadata_age(ages, src.metadata))
     flags = out.put("growth_trend_flags", growth.growth_trend_flags(widths, src.read_flags))
-    usable = lookup_join(widths, flags.select("rwl").distinct(), "rwl", "tree", "left_anti")
+    usable = _usable(out)
     rwi = out.put_rings("rwi", spline.detrend_spline(usable))
     chron = out.put("chronology", chronology.chronology(rwi))
     out.put("chronology_cv", growth.chronology_cv(chron))
@@ -174,7 +180,7 @@ def final_stage(src: Sources, out: Store, conf: Settings) -> None:
     out.put_final("site_year_chronologies", final.site_year_chronologies(chron, meta))
     out.put_final("site_year_resilience", final.site_year_resilience(out["resilience"], meta))
     out.put_final("site_growth_trend", final.site_growth_trend(chron, meta, conf.trend_years))
-    out.put_final("tree_year_growth", final.tree_year_growth(out["bai"], out["tree_age"], trees))
+    out.put_final("tree_year_growth", final.tree_year_growth(_usable(out), out["tree_age"], trees))
     out.put_final("tree_growth_trend", final.tree_growth_trend(out["bai"], meta, trees, conf.trend_years))
     if "climate_coefs" in out.tables:
         out.put_final("site_clim_correlation", final.site_clim_correlation(meta, out["climate_coefs"]))
