@@ -107,6 +107,43 @@ def _pairs(chronologies: DataFrame, lagged: DataFrame) -> DataFrame:
     )
 
 
+def climate_pairs(
+    chronologies: DataFrame, climate: DataFrame, variables: Sequence[str], first: int = -6, last: int = 9
+) -> DataFrame:
+    """What ``lagged_months`` joined to the chronologies gives, with whole-number keys only.
+
+    The wide climate rows meet the chronology first and become one row per
+    variable after that; names are added to the results (``_named``).
+    """
+    months = F.broadcast(month_dimension(climate.sparkSession, first, last).select("month", "month_order", "is_prev"))
+    target = F.col("year") + F.when(F.col("is_prev"), 1).otherwise(0)
+    growth = chronologies.select("rwl", "year", finite_or_null(F.col("std")).alias("std")).filter("std IS NOT NULL")
+    values = F.array(
+        *[F.struct(F.lit(i).alias("var_order"), finite_or_null(F.col(v)).alias("value")) for i, v in enumerate(variables)]
+    )
+    wide = climate.join(months, "month").select("rwl", target.alias("year"), "month_order", values.alias("_values"))
+    return wide.join(growth, ["rwl", "year"]).select("rwl", "year", "std", "month_order", F.inline("_values")).filter("value IS NOT NULL")
+
+
+PAIR_KEYS = ["rwl", "var_order", "month_order"]
+
+
+def _named(coefs: DataFrame, variables: Sequence[str], first: int, last: int) -> DataFrame:
+    """Variable, month and year side of the whole-number keys."""
+    labels = window_labels(first, last)
+
+    def pick(values: Sequence, at: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), at)
+
+    return coefs.withColumns(
+        {
+            "varname": pick(list(variables), F.col("var_order") + 1),
+            "month": pick([x[1] for x in labels], F.col("month_order")),
+            "is_prev": pick([x[3] for x in labels], F.col("month_order")),
+        }
+    )
+
+
 @lru_cache(maxsize=256)
 def resample_draws(
     seed: int, replicates: int, n: int, mean_block: float | None = None
@@ -157,6 +194,12 @@ def bootstrap_ci(
     in year order; the resampling is vectorised inside Arrow batches and the
     pairs are never multiplied by the number of replicates in a shuffle.
     """
+    return _bootstrap(_pairs(chronologies, lagged), COEF_KEYS, replicates, seed, level, mean_block)
+
+
+def _bootstrap(
+    pairs: DataFrame, keys: list[str], replicates: int, seed: int, level: float = 0.95, mean_block: float | None = None
+) -> DataFrame:
     low, high = 50.0 * (1.0 - level), 50.0 * (1.0 + level)
 
     def limits(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
@@ -173,14 +216,13 @@ def bootstrap_ci(
     )
     # A fixed number of partitions: the work is in the kernel, not in the bytes
     # by which adaptive execution would merge them.
-    pairs = _pairs(chronologies, lagged)
-    grouped = pairs.repartition(shuffle_partitions(pairs), *COEF_KEYS).groupBy(*COEF_KEYS).agg(
+    grouped = pairs.repartition(shuffle_partitions(pairs), *keys).groupBy(*keys).agg(
         safe_corr(F.col("value"), F.col("std")).alias("coef"),
         F.sort_array(F.collect_list(F.struct("year", "value", "std"))).alias("_p"),
     )
     limited = grouped.withColumn("_ci", kernel("_p.value", "_p.std"))
     return limited.select(
-        *COEF_KEYS,
+        *keys,
         "coef",
         finite_or_null(F.col("_ci.lo")).alias("ci_lower"),
         finite_or_null(F.col("_ci.hi")).alias("ci_upper"),
@@ -191,9 +233,11 @@ def climate_correlation(
     chronologies: DataFrame, lagged: DataFrame, threshold: float | None = None
 ) -> DataFrame:
     """Plain monthly correlations; significance by a fixed limit on abs(r) if given."""
-    coefs = _pairs(chronologies, lagged).groupBy(*COEF_KEYS).agg(
-        safe_corr(F.col("value"), F.col("std")).alias("coef")
-    )
+    return _correlation(_pairs(chronologies, lagged), COEF_KEYS, threshold)
+
+
+def _correlation(pairs: DataFrame, keys: list[str], threshold: float | None) -> DataFrame:
+    coefs = pairs.groupBy(*keys).agg(safe_corr(F.col("value"), F.col("std")).alias("coef"))
     null = F.lit(None).cast("double")
     significant = F.lit(None).cast("boolean") if threshold is None else F.abs("coef") >= threshold
     return coefs.withColumns({"significant": significant, "ci_lower": null, "ci_upper": null})
@@ -263,13 +307,19 @@ def climate_response(
     site is bounded by years times predictors, so one grouped pandas call per
     site is safe.
     """
+    pairs = _pairs(chronologies, lagged)
+    names = lagged.select(*COEF_KEYS[1:]).distinct()
+    return _response(pairs, replicates, seed, level, mean_block, min_years).join(names, ["var_order", "month_order"])
+
+
+def _response(
+    pairs: DataFrame, replicates: int, seed: int, level: float = 0.95, mean_block: float | None = None, min_years: int = MIN_RESPONSE_YEARS
+) -> DataFrame:
     low, high = 50.0 * (1.0 - level), 50.0 * (1.0 + level)
-    keys = COEF_KEYS[1:]
 
     def per_site(site: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame(columns=[*COEF_KEYS, "coef", "ci_lower", "ci_upper"])
+        empty = pd.DataFrame(columns=[*PAIR_KEYS, "coef", "ci_lower", "ci_upper"])
         table = site.pivot(index="year", columns=["var_order", "month_order"], values="value").dropna()
-        names = site[keys].drop_duplicates().set_index(["var_order", "month_order"])
         growth = site.groupby("year")["std"].first().reindex(table.index).to_numpy()
         x = table.to_numpy()
         if len(x) < min_years:
@@ -282,19 +332,14 @@ def climate_response(
         limits[:, usable] = np.nanpercentile(np.array(samples)[:, usable], [low, high], axis=0)
         out = pd.DataFrame(list(table.columns), columns=["var_order", "month_order"])
         out["rwl"] = site["rwl"].iloc[0]
-        for name in ["varname", "month", "is_prev"]:
-            out[name] = [names.loc[tuple(k), name] for k in table.columns]
         out["coef"], out["ci_lower"], out["ci_upper"] = coef, limits[0], limits[1]
-        return out[[*COEF_KEYS, "coef", "ci_lower", "ci_upper"]]
+        return out[[*PAIR_KEYS, "coef", "ci_lower", "ci_upper"]]
 
-    schema = (
-        "rwl string, var_order int, varname string, month_order int, month string, is_prev boolean, "
-        "coef double, ci_lower double, ci_upper double"
-    )
-    pairs = _pairs(chronologies, lagged).select(*COEF_KEYS, "year", "value", "std")
+    schema = "rwl string, var_order int, month_order int, coef double, ci_lower double, ci_upper double"
+    pairs = pairs.select(*PAIR_KEYS, "year", "value", "std")
     spread = pairs.repartition(shuffle_partitions(pairs), "rwl")
     fitted = spread.groupBy("rwl").applyInPandas(per_site, schema)
-    clean = fitted.select(*COEF_KEYS, *[finite_or_null(F.col(c)).alias(c) for c in ("coef", "ci_lower", "ci_upper")])
+    clean = fitted.select(*PAIR_KEYS, *[finite_or_null(F.col(c)).alias(c) for c in ("coef", "ci_lower", "ci_upper")])
     return clean.withColumn("significant", (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))
 
 
@@ -316,14 +361,14 @@ def climate_coef(
     ``method`` is ``correlation`` (bootstrap limits, or a fixed ``threshold``
     on abs(r) without limits) or ``response``.
     """
-    lagged = lagged_months(climate, variables, first, last)
+    pairs = climate_pairs(chronologies, climate, variables, first, last)
     if method == "response":
-        coefs = climate_response(chronologies, lagged, replicates, seed, mean_block=mean_block, min_years=min_years)
+        coefs = _response(pairs, replicates, seed, mean_block=mean_block, min_years=min_years)
     elif threshold is not None:
-        coefs = climate_correlation(chronologies, lagged, threshold)
+        coefs = _correlation(pairs, PAIR_KEYS, threshold)
     else:
-        coefs = bootstrap_ci(chronologies, lagged, replicates, seed, mean_block=mean_block)
-    return _labelled(coefs, len(window_labels(first, last)))
+        coefs = _bootstrap(pairs, PAIR_KEYS, replicates, seed, mean_block=mean_block)
+    return _labelled(_named(coefs, variables, first, last), len(window_labels(first, last)))
 
 
 def signature(coefs: DataFrame, mark: float = 0.5) -> DataFrame:
