@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from cambium.functions.months import month_dimension, window_labels
 from cambium.functions.numeric import finite_or_null, safe_corr
-from cambium.operators.skew import MAX_GROUP, exact_ranks, lookup_join, shuffle_partitions, split_hot
+from cambium.operators.skew import MAX_GROUP, exact_ranks, lookup_join, shuffle_partitions
 
 CLIMATE_VARIABLES = ["pre", "tmp", "tmn", "tmx"]
 SITE_MONTH = ["rwl", "year", "month"]
@@ -456,17 +456,13 @@ def quartiles(
     spread_by: Sequence[str],
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
-    """Exact linear-interpolated quartiles per group, distributed for large groups."""
+    """Exact linear-interpolated quartiles per group, by one plan for groups of every size.
+
+    ``exact_ranks`` counts groups of up to ``max_group`` values whole and reads larger ones through brackets.
+    """
     keys = list(keys)
     names = ["q1", "q2", "q3"]
-    small, large = split_hot(values, keys, spread_by, max_group)
-    result = (
-        small.groupBy(*keys)
-        .agg(F.percentile(value, QUARTILES).alias("_q"), F.count(value).alias("n"))
-        .select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-    )
-    counted = large.groupBy(*keys).agg(F.count(value).alias("n"))
-    found = exact_ranks(large, keys, value, spread_by, QUARTILES, _quartile_ranks, max_group)
+    found = exact_ranks(values, keys, value, spread_by, QUARTILES, _quartile_ranks, max_group)
     n = F.col("n")
     interpolated = []
     for i, p in enumerate(QUARTILES):
@@ -474,8 +470,8 @@ def quartiles(
         low, high = F.col(f"v{i}_0"), F.col(f"v{i}_1")
         interpolated.append((low + (high - low) * share).alias(names[i]))
     # A group of NULLs alone keeps its row.
-    boxes = counted.join(found.select(*keys, *interpolated), keys, "left")
-    return result.unionByName(boxes.select(*keys, "n", *names))
+    counted = values.groupBy(*keys).agg(F.count(value).alias("n"))
+    return counted.join(found.select(*keys, *interpolated), keys, "left").select(*keys, "n", *names)
 
 
 def month_distribution(
