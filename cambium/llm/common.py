@@ -44,18 +44,18 @@ def running(
     """``df`` with the sum of ``value`` over the rows of the same keys that come before, as ``name``.
 
     Rows of a key are ordered by salt and then by ``order``. Every (key, salt) is summed by its own task, and the sums of the
-    salts before it are added, so that no key has to fit into one task. Keys may be null. ``rows``: how many there are in all.
+    salts before it are added, so that no key has to fit into one task. Keys must not be null, so that the sums can be joined
+    where the rows already are. ``rows``: how many there are in all.
     """
     salts = max(1, -(-rows // rows_per_salt))
     spread = df.withColumn("_salt", F.pmod(F.xxhash64(F.struct(*order)), F.lit(salts)).cast("int"))
     part = [*keys, "_salt"]
-    sums = spread.groupBy(*part).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(part)], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    sums = spread.groupBy(*part).agg(F.sum(value).alias("_sum"))
+    starts = sums.select(*part, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     here = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = spread.withColumn("_within", F.coalesce(F.sum(value).over(here), F.lit(0)))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(part)]
-    return within.join(starts, same).select(*df.columns, (F.col("_start") + F.col("_within")).alias(name))
+    return within.join(starts, part).select(*df.columns, (F.col("_start") + F.col("_within")).alias(name))
 
 
 #: Tasks that share the links of one well-connected node.
