@@ -66,18 +66,20 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def cell_links(table: int, unit: np.ndarray, cells: np.ndarray, position: np.ndarray, across: np.ndarray | None, cosine: float, needed: int) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(
+    table: int, unit: np.ndarray, cells: np.ndarray, position: np.ndarray, across: np.ndarray | None, cosine: float, needed: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked pairs of one cell of one table that collide in no table before it, so that every pair is met once.
 
     Vectors are sorted by their position; each looks at those in its window. A pair's collisions are counted over the tables, and
     pairs with enough of them are verified by cosine. ``across``: block of each vector, if only pairs of different blocks count.
+    Pairs come in portions, as a cell of near copies has very many.
     """
     order = np.argsort(position[:, table], kind="stable")
     line = position[order, table]
-    ends = np.searchsorted(line, line + HALF_WIDTH + 1e-9, "right")
+    ends = np.searchsorted(line, line + HALF_WIDTH + 1e-6, "right")
     number = ends - np.arange(len(line)) - 1
     stops = np.cumsum(number)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     lo = 0
     collide = lambda s, a, b: (cells[a, s] == cells[b, s]) & (np.abs(position[a, s] - position[b, s]) <= HALF_WIDTH)
     while lo < len(line):
@@ -98,19 +100,20 @@ def cell_links(table: int, unit: np.ndarray, cells: np.ndarray, position: np.nda
             count += collide(s, a, b)
         a, b = a[count >= needed], b[count >= needed]
         near = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
-        found.append((a[near], b[near]))
+        yield a[near], b[near]
         lo = hi
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2  # type: ignore[return-value]
 
 
-def _roots(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    root = nodes.copy()
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the least index of each component) after the links (a, b) have been added."""
     while True:
-        before = root.copy()
-        np.minimum.at(root, a, before[b])
-        np.minimum.at(root, b, before[a])
-        if (root == before).all():
-            return root
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def embedding_groups(
@@ -140,47 +143,47 @@ def embedding_groups(
             "node", F.when(F.col("vec_id").isNotNull() & usable(F.col("vector")), F.xxhash64("vector"))
         )
     )
-    distinct = settle(
-        rows.where("node is not null").groupBy("node").agg(F.first("vector").cast("array<double>").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    )
+    distinct = settle(rows.where("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
     n = distinct.count()
     planes = max(0, math.ceil(math.log2(max(1, n) / cell_rows)))
     projections = Projections(tables_for(cosine, planes, recall), planes)
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
+    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
             for size, part in frame.groupby(frame["vector"].map(len)):
-                unit = _unit(np.stack(part["vector"].to_numpy()))
-                cells, position = projections.codes(unit)
-                codes = [np.concatenate([c, p]).tobytes() for c, p in zip(cells.astype(np.float64), position, strict=True)]
-                data = [u.tobytes() for u in unit]
-                for table in range(projections.tables):
-                    yield pd.DataFrame(
-                        {"size": size, "table": table, "cell": cells[:, table], "node": part["node"].to_numpy(), "copies": part["copies"].to_numpy(), "unit": data, "codes": codes}
-                    )
-
-    placed = distinct.select("node", "vector", "copies").mapInPandas(spread, "size int, table int, cell long, node long, copies long, unit binary, codes binary")
-    if n > cell_rows:
-        placed = settle(placed)  # read twice, and computed once
+                cells, position = projections.codes(_unit(np.stack(part["vector"].to_numpy()).astype(np.float64)))
+                yield part.assign(size=size, cells=list(cells.astype(np.int32)), position=list(position.astype(np.float32)))
+
+    vector_type = distinct.schema["vector"].dataType.simpleString()
+    coded = settle(
+        distinct.select("node", "copies", "vector").mapInPandas(
+            code, f"node long, copies long, vector {vector_type}, size int, cells array<int>, position array<float>"
+        )
+    )
     cell = ["size", "table", "cell"]
-    crowded = placed.groupBy(*cell).count().where(F.col("count") > block_rows).withColumn("blocks", F.ceil(F.col("count") / block_rows)).drop("count")
+    crowded = coded.select("size", F.posexplode("cells").alias("table", "cell")).groupBy(*cell).count().where(F.col("count") > block_rows)
+    crowded = crowded.withColumn("blocks", F.ceil(F.col("count") / block_rows)).drop("count")
+    placed = coded.select("*", F.posexplode("cells").alias("table", "cell"))
     blocked = placed.join(crowded, cell, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node", "table"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     paired = blocked.select("*", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
 
     def link(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         table, x, y = key[1], key[3], key[4]
-        unit = np.frombuffer(b"".join(frame["unit"]), np.float64).reshape(len(frame), -1)
-        codes = np.frombuffer(b"".join(frame["codes"]), np.float64).reshape(len(frame), 2, -1)
+        frame = frame.sort_values("node")
+        unit = _unit(np.stack(frame["vector"].to_numpy()).astype(np.float64))
+        cells, position = np.stack(frame["cells"].to_numpy()), np.stack(frame["position"].to_numpy()).astype(np.float64)
         across = frame["block"].to_numpy() if x != y else None
-        a, b = cell_links(table, unit, codes[:, 0], codes[:, 1], across, cosine, NEEDED)
         node, copies = frame["node"].to_numpy(), frame["copies"].to_numpy()
-        links = np.bincount(a, copies[b], len(frame)) + np.bincount(b, copies[a], len(frame))
-        root = _roots(node, a, b)
+        links, label = np.zeros(len(frame)), np.arange(len(frame))
+        for a, b in cell_links(table, unit, cells, position, across, cosine, NEEDED):
+            links += np.bincount(a, copies[b], len(frame)) + np.bincount(b, copies[a], len(frame))
+            label = join_labels(label, a, b)
         some = links > 0
-        return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "root": root[some]})
+        return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "root": node[label][some]})
 
-    met = settle(paired.select(*cell, "x", "y", "block", "node", "copies", "unit", "codes").groupBy(*cell, "x", "y").applyInPandas(link, "node long, links long, root long"))
+    columns = [*cell, "x", "y", "block", "node", "copies", "vector", "cells", "position"]
+    met = settle(paired.select(*columns).groupBy(*cell, "x", "y").applyInPandas(link, "node long, links long, root long"))
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     found = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     labelled = distinct.select("node", "copies", "least").join(links, "node", "left").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
