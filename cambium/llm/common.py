@@ -33,22 +33,35 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a file that a single task numbers where the order of the rows counts.
+ROWS_PER_BLOCK = 10_000
+
+
+def file_order() -> Column:
+    """The place of a row in a table read from written files, in the order of their names: ``block`` and ``at``, the row in its file."""
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    part = F.coalesce(F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    block = F.struct(part.alias("part"), name.alias("file"), F.floor(row / ROWS_PER_BLOCK).alias("chunk"))
+    return F.struct(block.alias("block"), row.alias("at"))
+
+
 def hashed_share(column: Column) -> Column:
     """A number from 0 to 1, spread evenly over the values of ``column``: what is below x is a sample of that rate."""
     return F.xxhash64(column).cast("double") / 2.0**64 + 0.5
 
 
 def running(
-    df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, rows: int, rows_per_salt: int = ROWS_PER_SALT
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, rows: int, rows_per_salt: int = ROWS_PER_SALT, salt: Column | None = None
 ) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of the same keys that come before, as ``name``.
 
     Rows of a key are ordered by salt and then by ``order``. Every (key, salt) is summed by its own task, and the sums of the
     salts before it are added, so that no key has to fit into one task. Keys must not be null, so that the sums can be joined
-    where the rows already are. ``rows``: how many there are in all.
+    where the rows already are. ``rows``: how many there are in all. ``salt``: in place of a hash, what rows are ordered by first.
     """
-    salts = max(1, -(-rows // rows_per_salt))
-    spread = df.withColumn("_salt", F.pmod(F.xxhash64(F.struct(*order)), F.lit(salts)).cast("int"))
+    if salt is None:
+        salt = F.pmod(F.xxhash64(F.struct(*order)), F.lit(max(1, -(-rows // rows_per_salt)))).cast("int")
+    spread = df.withColumn("_salt", salt)
     part = [*keys, "_salt"]
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = spread.groupBy(*part).agg(F.sum(value).alias("_sum"))

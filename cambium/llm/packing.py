@@ -12,8 +12,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
 from cambium.llm.common import running, settle
@@ -80,24 +81,37 @@ def text_ids(text: str | None, path: str) -> bytes:
     return b"".join(map(_chunks[path].__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32): every document's ids and ``end_id``, cut only where longer than ``capacity``."""
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def pieces(
+    docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None
+) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32): every document's ids and ``end_id``, cut only where longer than ``capacity``.
+
+    With ``order``, each piece has its document's as a column of that name.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, source = [], []
+            for at_row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 ids = memoryview(text_ids(text.as_py(), tokenizer) + end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    source.append(at_row)
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            arrays += [c.take(pa.array(source, pa.int64())) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", *batch.schema.names[2:]])
 
-    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return ids.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    kept = [] if order is None else [order.alias("order")]
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *kept)
+    schema = StructType.fromDDL(_PIECE)
+    return ids.mapInArrow(run, StructType([*schema.fields, *ids.schema.fields[2:]]))
 
 
 class Plan:
@@ -237,7 +251,16 @@ def plan_packing(counts: Mapping[int, int], capacity: int = CAPACITY) -> Plan:
     return plan
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    *,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    order: Column | None = None,
+) -> DataFrame:
     """One row per piece of a document with its sequence and place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents are tokenised once. Bins depend on lengths alone, and there are at most ``capacity`` of those: the driver gets the
@@ -245,14 +268,21 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAPAC
     sends back at most some rows per length. Pieces are numbered within their length by salted windows and find bin and offset
     by binary search in that table.
 
+    ``order`` is a struct of ``block`` and ``at``, different for every row of ``docs`` (`file_order`). With it, pieces are numbered
+    within their length in that order, and sequences in the order of their first piece; a (length, block) is numbered by one task.
+
     A null or empty text is the end id alone. Rows that repeat an id are packed each by itself; an empty table gives an empty result.
     """
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    cut = settle(pieces(docs, tokenizer, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col))
+    cut = settle(pieces(docs, tokenizer, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, order=order))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = np.array(plan_packing(counts, capacity).runs, np.int64).reshape(-1, 6)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    ranked = running(cut, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.lit(1).cast("long"), "rank", sum(counts.values()))
+    one, total = F.lit(1).cast("long"), sum(counts.values())
+    if order is None:
+        ranked = running(cut, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], one, "rank", total)
+    else:
+        ranked = running(cut, ["length"], [F.col("order.at"), F.col("piece")], one, "rank", total, salt=F.col("order.block"))
     span = max(counts.values(), default=0) + 1
     keys = runs[:, 0] * span + runs[:, 1]
 
@@ -264,4 +294,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAPAC
             sequence, offset = run[:, 4] + nth // run[:, 3], run[:, 5] + nth % run[:, 3] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    schema = StructType([*cut.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
+    placed = ranked.mapInArrow(place, schema)
+    if order is None:
+        return placed
+    placed = settle(placed)
+    bins = placed.groupBy(F.col("sequence_id").alias("bin")).agg(F.min(F.struct("order.block", "order.at", "piece")).alias("first"))
+    bins = bins.withColumn("all", F.lit(0))
+    number = running(bins, ["all"], [F.col("first.at"), F.col("first.piece")], one, "number", total, salt=F.col("first.block"))
+    found = placed.join(number.select("bin", "number"), F.col("sequence_id") == F.col("bin"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("number").alias("sequence_id"), "offset")

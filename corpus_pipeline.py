@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.llm.common import settle, table
+from cambium.llm.common import file_order, settle, table
 from cambium.llm.language_id import UNDETERMINED, identify_languages
 from cambium.llm.line_dedup import line_dedup
 from cambium.llm.mixing import mixed_order
@@ -45,8 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their sequences and places."""
-    return pack(docs)
+    """The pieces of the documents with their sequences and places; sequences follow the rows of the stage before."""
+    return pack(docs, order=file_order())
 
 
 STAGES = [

@@ -4,7 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cambium.llm.common import running
+from cambium.llm.common import file_order, running, settle
+from cambium.llm.mixing import mix_sources, mixed_order
+from cambium.llm.packing import pack
 from test_line_dedup import brute as brute_lines
 from test_packing import ids_of
 from test_simhash import brute as brute_groups
@@ -61,3 +63,31 @@ def test_running_sums_do_not_need_whole_keys(spark):
         own = sorted((r for r in rows if r.k == k), key=lambda r: r["sum"])
         assert [r["sum"] for r in own] == list(np.cumsum([0, *(r.v for r in own)])[:-1])
     assert len(rows) == 200
+
+
+def test_sequences_follow_the_mix(spark, docs, prose, monkeypatch):
+    monkeypatch.setattr("cambium.llm.common.ROWS_PER_BLOCK", 3)
+    texts = [prose((30, 30, 7, 90)[i % 4], i) for i in range(60)]
+    df = docs(texts, sources=["aab"[i % 3] for i in range(60)])
+
+    def sequences(rows, **options):
+        out = corpus_pipeline.packing(spark, rows, "") if not options else pack(rows, order=file_order(), **options)
+        return {(r.doc_id, r.piece): r.sequence_id for r in out.collect()}
+
+    plain, even, uneven = settle(df), settle(mixed_order(df, weights={"a": 1, "b": 1}, block_bytes=50)), settle(mixed_order(df, weights={"a": 1, "b": 9}, block_bytes=50))
+    found = [sequences(rows, capacity=64) for rows in (plain, even, uneven)]
+    assert found[0] != found[1] != found[2] != found[0]
+    places = {r.doc_id: n for n, r in enumerate(mix_sources(df, {"a": 1, "b": 9}, block_bytes=50).orderBy("mix.slot", "mix.at").select("doc_id").collect())}
+    first = {}
+    for (doc_id, piece), sequence in found[2].items():
+        first[sequence] = min(first.get(sequence, (99, 0)), (places[doc_id], piece))
+    assert [first[n] for n in range(len(first))] == sorted(first.values()) and len(first) > 5
+    # long documents: no two share a sequence, and the stage itself keeps the order of the mix
+    long = docs([prose(3500, i, 3000) for i in range(8)], sources=[*"aaaabbbb"])
+    for weights in ({"a": 1, "b": 1}, {"a": 1, "b": 9}):
+        rows = settle(mixed_order(long, weights=weights, block_bytes=1000))
+        order = [r.doc_id for r in mix_sources(long, weights, block_bytes=1000).orderBy("mix.slot", "mix.at").select("doc_id").collect()]
+        got = sequences(rows)
+        heads = sorted(range(8), key=lambda i: got[i, 0])
+        assert heads == order
+    assert set(sequences(plain, capacity=64)) == set(found[1])
