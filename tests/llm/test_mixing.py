@@ -1,10 +1,11 @@
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cambium.llm.mixing import edf_round, mix_sources, mixed_order, schedule, whole_shares
+from cambium.llm.mixing import edf, edf_round, mix_sources, mixed_order, schedule, whole_shares, whole_weights
 
 SHARES = st.dictionaries(st.sampled_from("abcdefgh"), st.integers(1, 40), min_size=1)
 
@@ -75,3 +76,47 @@ def test_order_and_limits(docs, spark):
         mix_sources(docs(texts, sources=[str(i % 4) for i in range(50)]), max_sources=3)
     with pytest.raises(ValueError, match="positive"):
         mix_sources(docs(texts), {"s": 0})
+
+
+def fluid(blocks, weights, slots):
+    """What each source has had after ``slots`` slots if all that last are served at once, by weight."""
+    had, left = dict.fromkeys(blocks, Fraction(0)), Fraction(slots)
+    while left and (lasting := [s for s in blocks if had[s] < blocks[s]]):
+        total = sum(weights[s] for s in lasting)
+        step = min([left / total] + [(blocks[s] - had[s]) / weights[s] for s in lasting])
+        for s in lasting:
+            had[s] += step * weights[s]
+        left -= step * total
+    return had
+
+
+@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(1, 15), st.floats(1e-3, 1e3)), min_size=1))
+@settings(max_examples=100, deadline=None)
+def test_deviation_from_the_weights_themselves_is_below_one_block(drawn):
+    blocks, weights = {s: b for s, (b, _) in drawn.items()}, whole_weights({s: w for s, (_, w) in drawn.items()})
+    had = Counter()
+    for t, (s, i) in enumerate(edf(blocks, weights), 1):
+        assert i == had[s]
+        had[s] += 1
+        assert all(abs(had[x] - f) < 1 for x, f in fluid(blocks, weights, t).items())
+    assert had == blocks
+
+
+def test_weights_hold_with_many_sources():
+    for n in (1000, 1500, 3000):
+        weights = whole_weights({"big": 1 / 3} | {f"s{i}": 2 / 3 / (n - 1) for i in range(n - 1)})
+        blocks = {s: 400 if s == "big" else 1 for s in weights}
+        big, share = 0, Fraction(weights["big"], sum(weights.values()))
+        order = [s for s, _ in edf(blocks, weights)]
+        for t, s in enumerate(order[:1000], 1):
+            big += s == "big"
+            assert abs(big - t * share) < 1
+        assert Counter(order) == blocks
+
+
+def test_more_sources_than_slots_of_a_round(docs):
+    texts = ["x" * 10] * 2100 + ["y" * 10] * 300
+    rows = mix_sources(docs(texts, sources=[f"s{i}" for i in range(2100)] + ["big"] * 300), {"big": 2100} | {f"s{i}": 2 for i in range(2100)}, block_bytes=10).collect()
+    assert len({r.mix.slot for r in rows}) == len(rows) == len(texts)
+    own = sorted(r.mix.slot for r in rows if r.source == "big")
+    assert all(abs(n - slot / 3) <= 1 for n, slot in enumerate(own))
