@@ -18,6 +18,8 @@ WINDOW = 20
 #: Words of an anchor; a window holds WINDOW - ANCHOR + 1 of them and is led by the one of the least hash.
 ANCHOR = 8
 GROUP_BYTES = 2_000_000
+#: Windows that come more often than this are joined without a shuffle of their rows.
+HOT_WINDOWS = 10_000
 
 #: Fixed value: the bytes [\x20\x09-\x0D] separate words.
 _KIND = np.where(np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)]), 0, 1).astype(np.uint8)
@@ -118,18 +120,12 @@ def repeated_starts(units: list[list[bytes]], window: int) -> list[list[int]]:
     return out
 
 
-def units_of(words: list[bytes], window: int, salts: int) -> list[tuple[int, int, int]]:
-    """The windows of a fragment as units (salt, first start, windows): all in one, or runs of windows of one salt by their words."""
+def units_of(words: list[bytes], window: int, salts: int) -> list[tuple[bytes, int, int]]:
+    """The windows of a fragment as units (key, first start, windows): all in one, or each by itself, its key a hash of 128 bits."""
+    n = len(words) - window + 1
     if salts == 1:
-        return [(0, 0, len(words) - window + 1)]
-    out: list[tuple[int, int, int]] = []
-    for i in range(len(words) - window + 1):
-        salt = int.from_bytes(hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=6).digest(), "big") % salts
-        if out and out[-1][0] == salt:
-            out[-1] = (salt, out[-1][1], out[-1][2] + 1)
-        else:
-            out.append((salt, i, 1))
-    return out
+        return [(b"", 0, n)]
+    return [(hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest(), i, 1) for i in range(n)]
 
 
 def _encoded(column: pa.Array) -> list[bytes]:
@@ -146,6 +142,20 @@ def _groups(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
+def repeated_windows(units: DataFrame) -> DataFrame:
+    """Rows (doc_id, tid, lo) of the windows (anchor, key, doc_id, tid, lo) that are not the first of their anchor and key.
+
+    There are fewer than a row in HOT_WINDOWS of windows that come more often than that; those are joined by broadcast, so that
+    their rows stay where they are.
+    """
+    place, window = F.struct("doc_id", "tid", "lo"), ["anchor", "key"]
+    first = settle(units.groupBy(*window).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    hot = F.broadcast(first.where(F.col("n") > HOT_WINDOWS).select(*window, F.col("first").alias("hot")))
+    rest = units.join(hot, window, "left")
+    cold = rest.where("hot is null").join(first.where(F.col("n") <= HOT_WINDOWS), window).where(place != F.col("first"))
+    return rest.where(place != F.col("hot")).select("doc_id", "tid", "lo").unionByName(cold.select("doc_id", "tid", "lo"))
+
+
 def remove_repeats(
     docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard_fragments: int = 1000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -159,8 +169,10 @@ def remove_repeats(
        fragment is only looked at where it comes first, and large groups of copies are gone before any text is compared.
     3. The reference shards are the distinct fragments of one anchor. Those of an anchor that has several are put in order, and each
        is streamed over the suffix automaton of those before it: where the matching statistic reaches ``window`` words, the
-       window occurs earlier. Words are compared, not hashes. Anchors with more than ``shard_fragments`` are split by the words of
-       their windows into shards of bounded size. A shard goes to its task by a shuffle, as it has no bound to be broadcast by.
+       window occurs earlier. Words are compared, not hashes. A shard has at most ``shard_fragments`` fragments; it goes to its task
+       by a shuffle, as it has no bound to be broadcast by. Of an anchor with more fragments, every window is a unit by itself,
+       known by a hash of 128 bits: the least place of each is found by partial aggregation, and all other places are
+       repeats, found by a join. Such distinct windows cannot hold one another, so no automaton is needed for them.
     4. The windows found are gathered per document and their words removed.
 
     A null or empty text has no words. Rows that repeat id and text are one document; other rows under one id are documents of
@@ -188,16 +200,17 @@ def remove_repeats(
     by_doc = firsts.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("anchor", "salts", "lo", "windows")).alias("fragments"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "salt", "doc_id", "tid", "lo", "words"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["anchor", "key", "doc_id", "tid", "lo", "words"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for part in (part for batch in batches for part in _groups(batch, 2)):
             out: list[tuple] = []
             for doc_id, tid, text, fragments in zip(*(part.column(i) for i in range(4)), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 for f in fragments.as_py():
                     own = words[f["lo"] : f["lo"] + f["windows"] + window - 1]
-                    for salt, start, n in units_of(own, window, f["salts"]):
-                        out.append((f["anchor"], salt, doc_id.as_py(), tid.as_py(), f["lo"] + start, b" ".join(own[start : start + n + window - 1])))
+                    for key, start, n in units_of(own, window, f["salts"]):
+                        unit = None if key else b" ".join(own[start : start + n + window - 1])
+                        out.append((f["anchor"], key, doc_id.as_py(), tid.as_py(), f["lo"] + start, unit))
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -206,14 +219,14 @@ def remove_repeats(
         held: list[tuple] = []
 
         def judged(shard: list[tuple]) -> pa.RecordBatch:
-            starts = repeated_starts([r[5].split() for r in shard], window)
-            found = [(r[2], r[3], r[4] + s) for r, some in zip(shard, starts, strict=True) for s in some]
+            starts = repeated_starts([r[4].split() for r in shard], window)
+            found = [(r[1], r[2], r[3] + s) for r, some in zip(shard, starts, strict=True) for s in some]
             columns = list(zip(*found, strict=True)) or [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.int32()], strict=True)], ["doc_id", "tid", "lo"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][:2] != row[:2]:
+                if held and held[-1][0] != row[0]:
                     yield judged(held)
                     held = []
                 if not held or held[-1] != row:  # repeated rows of the input
@@ -222,9 +235,10 @@ def remove_repeats(
             yield judged(held)
 
     once = texts.join(by_doc, ["doc_id", "tid"]).select("doc_id", "tid", "text", "fragments")
-    units = once.mapInArrow(cut, "anchor long, salt int, doc_id long, tid int, lo int, words binary")
-    ordered = units.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id", "tid", "lo")
-    earlier = ordered.mapInArrow(match, "doc_id long, tid int, lo int").withColumn("windows", F.lit(1))
+    units = settle(once.mapInArrow(cut, "anchor long, key binary, doc_id long, tid int, lo int, words binary"))
+    ordered = units.where("words is not null").select("anchor", "doc_id", "tid", "lo", "words")
+    ordered = ordered.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "tid", "lo")
+    earlier = ordered.mapInArrow(match, "doc_id long, tid int, lo int").unionByName(repeated_windows(units.where("words is null"))).withColumn("windows", F.lit(1))
     again = placed.join(distinct.select("anchor", "fragment", "first"), ["anchor", "fragment"]).where(place != F.col("first")).select("doc_id", "tid", "lo", "windows")
     gone = earlier.unionByName(again).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("lo", "windows")).alias("gone"))
 

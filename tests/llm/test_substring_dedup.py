@@ -83,3 +83,20 @@ def test_rows_under_one_id(docs, prose):
     a, b = prose(40, 1), prose(50, 2)
     rows = remove_repeats(docs([f"{a} {b}", f"{b} {a}", b], ids=[1, 1, 0])).collect()
     assert sorted(r.n_removed for r in rows) == [0, 50, 90] and remove_repeats(docs([])).collect() == []
+
+
+def test_windows_of_large_shards_are_units_of_their_own(prose):
+    passage = prose(40, 1).split()
+    a, b = ([w.encode() for w in [*prose(9, 2 + i).split(), *passage, *prose(9, 5 + i).split()]] for i in range(2))
+    keys = [{tuple(x[s : s + 20]): k for k, s, n in units_of(x, 20, 2) if n == 1} for x in (a, b)]
+    assert [len(k) for k in keys] == [39, 39] and len({*keys[0].values(), *keys[1].values()}) == 39 + 39 - 21
+    assert all(keys[0][w] == keys[1][w] for w in keys[0].keys() & keys[1].keys())
+
+
+def test_shared_passage_in_other_words(docs, prose, monkeypatch):
+    passage = prose(45, 1)
+    texts = [f"{prose(25, 10 + i)} {passage} {prose(25, 90 + i)}" for i in range(40)] + [prose(60, 7)] * 2
+    rows = list(enumerate(texts))
+    for hot in (10_000, 5):
+        monkeypatch.setattr("cambium.llm.substring_dedup.HOT_WINDOWS", hot)
+        assert sorted(map(tuple, remove_repeats(docs(texts), shard_fragments=4).collect()), key=repr) == brute(rows)
