@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from cambium.llm.common import table
 from cambium.llm.embedding_dedup import embedding_groups
+from cambium.llm.filter_audit import filter_audit
 from cambium.llm.language_id import identify_languages
+from cambium.llm.license_scan import BASE, NOTICES, license_scan
 from cambium.llm.line_dedup import line_dedup
 from cambium.llm.mixing import mix_sources
 from cambium.llm.packing import pack
@@ -64,6 +66,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    return found.select("doc_id", *[f"licences.{c}" for c in columns])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,12 +89,85 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_simhash,
         op10_packing,
+        op12_filter_audit,
+        op13_license_scan,
     )
 }
 
+
+
+def _license_sql() -> str:
+    """All places at which a template's first mandatory phrase begins, kept where all of its phrases stand."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = []
+    for number, template in enumerate([*BASE, *NOTICES]):
+        phrases = template.mandatory()
+        held = ", ".join(f"{{'place': {at}, 'words': {listed(words)}}}" for at, words in phrases)
+        rows.append(f"({number}, '{template.label}', {number < len(BASE)}, {phrases[0][0]}, '{phrases[0][1][0]}', [{held}], {listed(template.words)})")
+    return rf"""
+        WITH template(number, label, base, place, word, phrases, ws) AS (VALUES {", ".join(rows)}), split AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+            FROM documents
+        ), word AS (
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM split
+        ), begin AS (
+            SELECT doc_id, template.*, pos - place AS spot FROM word JOIN template USING (word)
+        ), found AS (
+            SELECT begin.*, list_sum(list_transform(range(len(ws)), lambda i: CASE WHEN spot + i >= 0 AND words[spot + i + 1] = ws[i + 1] THEN 1 ELSE 0 END)) / len(ws) AS share
+            FROM begin JOIN split USING (doc_id)
+            WHERE list_bool_and(list_transform(phrases, lambda p: spot + p.place >= 0 AND words[spot + p.place + 1 : spot + p.place + len(p.words)] = p.words))
+        ), summed AS (
+            SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(spot) FILTER (WHERE base) AS first_word, max(spot) FILTER (WHERE base) AS last_word,
+                   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+                   CAST(max(share) AS DOUBLE) AS score
+            FROM found GROUP BY doc_id
+        )
+        SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+               coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+        FROM split LEFT JOIN summed USING (doc_id)
+    """
+
+
 _BLANKS = r"[\x20\x09-\x0D]"
 
 ORACLE = {
+    "op13_license_scan": _license_sql(),
+    "op12_filter_audit": r"""
+        WITH flagged AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+        ), failing AS (
+            SELECT part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic, list_filter([
+                CASE WHEN len(words) < 100 THEN 'A' END, CASE WHEN 100 * list_unique(words) < 80 * len(words) THEN 'B' END,
+                CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' END,
+                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+                CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END], lambda f: f IS NOT NULL) AS fails
+            FROM flagged LEFT JOIN labels l USING (doc_id)
+        ), counted AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM failing GROUP BY ALL
+        ), letter(f) AS (
+            VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+        ), ordered AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+            WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+        ), step AS (
+            SELECT filter_order, CAST(s AS INTEGER) AS step, filter_order[s] AS f, string_split(left(filter_order, s - 1), '') AS before FROM ordered, range(1, 6) r(s)
+        ), audited AS (
+            SELECT part, filter_order, step, f,
+                   coalesce(sum(n) FILTER (WHERE NOT list_contains(fails, f) AND NOT list_has_any(fails, before)), 0) AS kept,
+                   coalesce(sum(n) FILTER (WHERE list_contains(fails, f) AND NOT list_has_any(fails, before)), 0) AS removed,
+                   coalesce(sum(n) FILTER (WHERE list_contains(fails, f) AND list_has_any(fails, before)), 0) AS redundant,
+                   coalesce(sum(n) FILTER (WHERE fails = [f]), 0) AS unique_fails,
+                   coalesce(sum(good) FILTER (WHERE list_contains(fails, f) AND NOT list_has_any(fails, before)), 0) AS good_lost,
+                   coalesce(sum(toxic) FILTER (WHERE list_contains(fails, f) AND NOT list_has_any(fails, before)), 0) AS toxic_lost
+            FROM counted, step GROUP BY ALL
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+        FROM audited
+    """,
     "op4_topk_search": """
         WITH whole AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
