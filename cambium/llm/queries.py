@@ -17,6 +17,7 @@ from cambium.llm.mixing import mix_sources
 from cambium.llm.packing import pack
 from cambium.llm.quality import score_quality
 from cambium.llm.simhash import simhash_groups
+from cambium.llm.spelling_variants import spelling_variants
 from cambium.llm.substring_dedup import remove_repeats
 from cambium.llm.topk_search import top_k
 from cambium.llm.warc import round_trip
@@ -66,6 +67,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_simhash,
         op10_packing,
+        op11_spelling_variants,
         op12_filter_audit,
         op13_license_scan,
     )
@@ -133,6 +139,39 @@ _BLANKS = r"[\x20\x09-\x0D]"
 
 ORACLE = {
     "op13_license_scan": _license_sql(),
+    # crc32 bit by bit over the bytes of each run; words one letter apart meet where one letter of either, or of both at one place, is left out
+    "op11_spelling_variants": """
+        WITH RECURSIVE run AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+        ), counted AS (
+            SELECT doc_id, run, count(*) AS n FROM run GROUP BY ALL
+        ), bytes AS (
+            SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+                lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b FROM counted
+        ), hashed AS (
+            SELECT doc_id, run, n, xor(4294967295, list_reduce(
+                list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(b, lambda x: [CAST(x AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)))) AS h FROM bytes
+        ), damaged AS (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+        ), word AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+        ), cut AS (
+            SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM word, range(1, length(word) + 1) r(i)
+        ), near AS (
+            SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cut a JOIN word b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM cut a JOIN word b ON a.rest = b.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, max(n) AS form_n, arg_min(other, (-n, other)) AS form FROM near GROUP BY word
+        ), formed AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+            FROM word LEFT JOIN best USING (word)
+        ), walk AS (
+            SELECT word, word AS spot, form FROM formed UNION ALL SELECT walk.word, walk.form, formed.form FROM walk JOIN formed ON formed.word = walk.form
+        )
+        SELECT formed.word, formed.form, walk.spot AS root, n, n_near, form_n FROM formed JOIN walk ON walk.word = formed.word AND walk.form IS NULL
+    """,
     "op12_filter_audit": r"""
         WITH flagged AS (
             SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
