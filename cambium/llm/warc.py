@@ -62,6 +62,11 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _name(value: Column) -> Column:
+    """What a piece is known by wherever it is read: 256 bits of digest of its bytes."""
+    return F.unhex(F.sha2(value.cast("binary"), 256))
+
+
 def _value(header: Column, name: str) -> Column:
     found = F.regexp_extract(header, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*$", 1)
     return F.when(found != "", found)
@@ -92,20 +97,21 @@ def _fields(df: DataFrame) -> DataFrame:
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """A row for every magic of every archive: its offset, the offset at which its record would end, and what its header says.
 
-    A piece's offset is the length of what comes before it: summed by split, and over the splits of a file.
+    A piece's offset is the length of what comes before it: summed by split, and over the splits of a file. Splits may differ the
+    next time that the archives are read (they follow the number of cores), so they are used within this one pass only.
     """
-    cut = _pieces(spark, path)
-    rows = settle(_fields(cut.withColumn("size", (F.octet_length("value") + len(MAGIC)).cast("long"))))
-    splits = rows.groupBy("file", "split").agg(F.sum("size").alias("total"), F.min("nth").alias("first"))
+    cut = _pieces(spark, path).withColumns({"size": (F.octet_length("value") + len(MAGIC)).cast("long"), "piece": _name(F.col("value"))})
+    rows = settle(_fields(cut))
+    splits = rows.groupBy("file", "split").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("file", "split", "first", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    splits = splits.select("file", "split", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     here = Window.partitionBy("file", "split").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("within", F.coalesce(F.sum("size").over(here), F.lit(0))).join(splits, ["file", "split"])
     at = F.col("base") + F.col("within") - len(MAGIC)
-    found = placed.select("*", at.alias("at"), (F.col("nth") - F.col("first")).alias("place")).where("at >= 0")
+    found = placed.select("*", at.alias("at")).where("at >= 0")
     end = F.col("at") + len(MAGIC) + F.col("head") + F.col("length") + len(END)
     whole = F.col("size") == len(MAGIC) + F.col("head") + F.col("length") + len(END)
-    return settle(found.withColumn("next", end).withColumn("whole", F.coalesce(whole, F.lit(False))).drop("base", "within", "first", "nth", "size"))
+    return settle(found.withColumn("next", end).withColumn("whole", F.coalesce(whole, F.lit(False))).drop("base", "within", "nth", "size"))
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -137,8 +143,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives: record_id, type, refers, declared (digest), declared_bytes, bytes and digest of the payload.
 
     Every magic is a candidate (`candidates`); the boundary chain tells records from bytes that only look like one
-    (`reachable`). A payload that holds a magic lies in several pieces, which are read again and joined in order; all others are
-    digested where they are read. Records behind a broken boundary are not reachable and left out.
+    (`reachable`). A payload that holds a magic lies in several pieces. These are read again, by digest and not by place, so that
+    other splits give the same, and joined in order; all others are digested where they are read. Records behind a broken boundary
+    are not reachable and left out.
     """
     found = candidates(spark, path)
     records = settle(reachable(found))
@@ -149,12 +156,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     starts = records.select("file", "at", F.col("at").alias("start"), "whole")
     line = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     owned = found.drop("whole").join(starts, ["file", "at"], "left").select(
-        "file", "split", "place", "at", F.last("start", True).over(line).alias("start"), F.last("whole", True).over(line).alias("whole")
+        "file", "piece", "at", F.last("start", True).over(line).alias("start"), F.last("whole", True).over(line).alias("whole")
     )
-    cut = _pieces(spark, path)
-    first = cut.groupBy("file", "split").agg(F.min("nth").alias("first"))
-    again = cut.join(first, ["file", "split"]).withColumn("place", F.col("nth") - F.col("first"))
-    parts = again.join(owned.where("not whole"), ["file", "split", "place"]).groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
+    owned = settle(owned.where("not whole").drop("whole"))
+    cut = _pieces(spark, path).select(_name(F.col("value")).alias("piece"), "value")
+    again = cut.join(owned.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.max("value").alias("value"))
+    parts = owned.join(again, "piece").groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
     joined = parts.select(F.array_join(F.col("parts.value"), MAGIC).alias("value"))
     return result.unionByName(_fields(joined).select(*fields))
 

@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 
+from cambium.llm import warc
 from cambium.llm.warc import MAGIC, read_archives, round_trip
 
 RECORD = f"{MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:pages:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
@@ -52,3 +53,26 @@ def test_foreign_archive(spark, tmp_path):
 
 def test_empty(spark):
     assert round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_splits_that_change_between_passes(spark, tmp_path, monkeypatch):
+    """Executors come and go, and with them the number and the size of the splits of the next pass."""
+    pages = [(i, "u", "p" * (i * 37 % 900) + (RECORD * (i % 4) if i % 3 == 0 else "") + "q" * (i % 50)) for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    splits, read = ["90000", "7000", "31000"], warc._pieces
+
+    def pieces(session, path):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", splits.pop(0))
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        found = read(session, path)
+        assert found.rdd.getNumPartitions() > 1
+        return found
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    monkeypatch.setattr(warc, "_pieces", pieces)
+    try:
+        assert sorted(map(tuple, round_trip(df).collect()), key=repr) == expected(pages)
+        assert len(splits) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
