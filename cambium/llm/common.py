@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,11 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
+
+    A cluster's executors do not share local folders, so without the setting a local warehouse is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="cambium-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
+        own = spark.conf.get("spark.master", "").split("[")[0] == "local"
+        if not own and (folder.startswith("file:") or ":/" not in folder):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share: stages are written there")
     return f"{folder.rstrip('/')}/cambium-{uuid.uuid4().hex}"
 
 

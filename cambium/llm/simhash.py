@@ -8,8 +8,9 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cambium.llm.common import components, settle
 
@@ -40,16 +41,18 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(spans)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint of each whole text as a signed long."""
+def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """Rows (doc_id, fp): the fingerprint of each whole text as a signed long; and ``carry``, a column that goes along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "carried"][: len(columns)])
 
-    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return ids.mapInArrow(run, "doc_id long, fp long")
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *([] if carry is None else [carry.alias("carried")]))
+    kind = StructType().add("doc_id", "long").add("fp", "long")
+    return ids.mapInArrow(run, kind if carry is None else kind.add(ids.schema["carried"]))
 
 
 def posting_masks() -> list[np.uint64]:
@@ -133,9 +136,11 @@ def posting_links(members: DataFrame) -> DataFrame:
     return postings.mapInArrow(run, "a long, b long").distinct()
 
 
-def simhash_groups(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id, the least id reachable by links.
 
+    ``carry``, a column of ``docs``, comes back as ``carried`` beside them.
+
     Fingerprints are linked at two or fewer differing bits. Equal fingerprints are first brought down to one with the least id.
     Two differing bits touch at most two of the eight bytes, so linked fingerprints share six positional bytes at least. The
     inverted index of positional bytes is kept by the intersections of six of its lists (28 for each fingerprint): exactly the
@@ -145,11 +150,12 @@ def simhash_groups(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id",
     A null or empty text has fingerprint 0 and is linked like any other. A row without an id gets its fingerprint and a null
     component, and links with nothing. Rows that repeat an id are grouped each by its own fingerprint. An empty table gives an empty result.
     """
-    prints = settle(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col))
+    prints = settle(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col, carry=carry))
     members = settle(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = components(posting_links(members))
     labelled = members.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     groups = settle(labelled.join(least, "root").select("fp", "component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    return prints.join(groups, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component)
+    columns = ["doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component]
+    return prints.join(groups, "fp", "left").select(*columns, *([] if carry is None else ["carried"]))
