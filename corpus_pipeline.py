@@ -17,9 +17,14 @@ def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+#: A document stays if the network gives one language at least this much of the probability.
+LEAST_SCORE = 0.5
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter go."""
-    return identify_languages(docs).where(F.col("language.lang_pred") != UNDETERMINED).select(*_columns(docs))
+    """Documents whose language can be told: those without a letter go, and those in which no language has half of the probability."""
+    told = (F.col("language.lang_pred") != UNDETERMINED) & (F.col("language.score") >= LEAST_SCORE)
+    return identify_languages(docs).where(told).select(*_columns(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +38,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near duplicates; documents without an id stay."""
-    groups = simhash_groups(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*_columns(docs))
+    """One row of each group of near duplicates: of those with the group's least id the first by what it holds; rows without an id stay.
+
+    Rows are told apart by their place in the written table (``docs`` must come from one), not by their ids, so that
+    rows that repeat an id are judged each by its own text, and of equal rows one is left.
+    """
+    place = F.struct(F.xxhash64(*_columns(docs)).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    groups = simhash_groups(docs, carry=place)
+    stay = groups.where("component_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "carried")).alias("first")).select("first.carried.*")
+    unnamed = groups.where("component_id is null").select("carried.*")
+    stay = stay.unionByName(unnamed).select(F.col("file").alias("_file"), F.col("at").alias("_at"))
+    placed = docs.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+    return placed.join(stay, ["_file", "_at"], "left_semi").select(*_columns(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
