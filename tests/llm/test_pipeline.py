@@ -1,10 +1,12 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cambium.llm.common import file_order, running, settle
+from cambium.llm.language_id import identify_languages
 from cambium.llm.mixing import mix_sources, mixed_order
 from cambium.llm.packing import pack
 from test_line_dedup import brute as brute_lines
@@ -27,7 +29,9 @@ def test_stages_equal_brute_force(spark, docs, prose, tmp_path):
         stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         out = spark.read.parquet(f"{tmp_path}/{name}")
         if name == "language_id":
-            rows = [(i, t) for i, t in rows if t and any(map(str.isalpha, t))]
+            told = {r.doc_id for r in identify_languages(now).where("language.score >= 0.5").collect()}
+            rows = [(i, t) for i, t in rows if i in told]
+            assert told <= {i for i, t in zip(range(len(texts)), texts) if t and any(map(str.isalpha, t))}
         elif name == "line_dedup":
             rows = [(i, t) for i, _, _, t in brute_lines(rows)]
             assert out.where(F.col("n_chars") != F.char_length("text")).isEmpty()
@@ -91,3 +95,36 @@ def test_sequences_follow_the_mix(spark, docs, prose, monkeypatch):
         heads = sorted(range(8), key=lambda i: got[i, 0])
         assert heads == order
     assert set(sequences(plain, capacity=64)) == set(found[1])
+
+
+def test_near_duplicates_are_rows_and_not_ids(spark, docs, prose, tmp_path):
+    one, other, third = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(3, one), (5, one), (5, other), (7, third), (7, third), (None, third), (None, third), (9, one.upper()), (2, other[:-1] + "q " + prose(200, 9))]
+    docs([t for _, t in rows], ids=[i for i, _ in rows]).repartition(3).write.parquet(f"{tmp_path}/in")
+    out = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/in"), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted([(3, one), (5, other), (7, third), (None, third), (None, third), rows[-1]], key=repr)
+
+
+def test_the_network_decides_who_stays(spark, docs, monkeypatch):
+    """Texts in three sets of letters; a network that has learned nothing rejects what a trained one keeps."""
+    texts = [w * 40 for i in range(20) for w in (f"abc{'abc'[i % 3]} ", f"xyz{'xyz'[i % 3]} ", f"klm{'klm'[i % 3]} ")] + ["123", None]
+    df = docs(texts, langs=[("en", "fr", "de")[i % 3] for i in range(len(texts))])
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, df, "").collect()}
+    assert kept == set(range(60))
+    monkeypatch.setattr(corpus_pipeline, "identify_languages", lambda d: identify_languages(d, steps=1, rate=0.0))
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, df, "").collect()} < kept
+
+
+def test_shared_folder(spark, monkeypatch):
+    from cambium.llm import common
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    warehouse = {"spark_sql_warehouse_dir": "file:/w"}
+    assert common.shared_dir(Session(spark_checkpoint_dir="s3://a/b/", **warehouse)).startswith("s3://a/b/cambium-")
+    assert common.shared_dir(Session(spark_master="local[4]", **warehouse)).startswith("file:/w/stages/cambium-")
+    assert common.shared_dir(Session(spark_master="yarn", spark_sql_warehouse_dir="hdfs://w")).startswith("hdfs://w/stages/")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session(spark_master="spark://host:7077", **warehouse))
