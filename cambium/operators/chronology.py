@@ -117,14 +117,16 @@ def biweight_mean(
     value: str,
     spread_by: Sequence[str],
     max_group: int = MAX_GROUP,
+    stored: bool = False,
 ) -> DataFrame:
     """Robust mean per group as ``(keys, n, robust)``.
 
     Ordinary groups take one array; groups beyond ``max_group`` take the
-    distributed route.  Both give the same rows and numbers.
+    distributed route.  Both give the same rows and numbers.  ``df`` is computed
+    once (``split_hot``).
     """
     keys = list(keys)
-    small, large = split_hot(df, keys, spread_by, max_group)
+    small, large = split_hot(df, keys, spread_by, max_group, stored)
     # As a generated row the mean is computed once, even where later steps filter on it.
     robust = F.struct(
         F.size("_v").cast("bigint").alias("n"), array_biweight(F.col("_v")).alias("robust")
@@ -134,6 +136,8 @@ def biweight_mean(
         .agg(F.sort_array(F.collect_list(value)).alias("_v"))
         .select(*keys, F.inline(F.array(robust)))
     )
+    if large is None:
+        return result
     return result.unionByName(large_biweight(large, keys, value, list(spread_by), max_group))
 
 
@@ -141,12 +145,16 @@ def chronology(
     rwi: DataFrame,
     biweight: bool = True,
     max_group: int = MAX_GROUP,
+    stored: bool = False,
 ) -> DataFrame:
-    """Site chronology: yearly mean index and the number of trees behind it."""
+    """Site chronology: yearly mean index and the number of trees behind it.
+
+    ``stored``: ``rwi`` is a stored table, and reading it again is cheap.
+    """
     values = rwi.select("rwl", "tree", "year", finite_or_null(F.col("rwi")).alias("rwi"))
     if not biweight:
         return values.groupBy(*SITE_YEAR).agg(
             F.avg("rwi").alias("std"), F.count("rwi").alias("samp_depth")
         )
-    means = biweight_mean(values, SITE_YEAR, "rwi", ["tree"], max_group)
+    means = biweight_mean(values, SITE_YEAR, "rwi", ["tree"], max_group, stored)
     return means.select("rwl", "year", F.col("robust").alias("std"), F.col("n").alias("samp_depth"))

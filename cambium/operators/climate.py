@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from cambium.functions.months import month_dimension, window_labels
 from cambium.functions.numeric import finite_or_null, safe_corr
-from cambium.operators.skew import MAX_GROUP, exact_ranks, lookup_join, shuffle_partitions
+from cambium.operators.skew import MAX_GROUP, exact_ranks, lookup_join, shuffle_partitions, split_hot
 
 CLIMATE_VARIABLES = ["pre", "tmp", "tmn", "tmx"]
 SITE_MONTH = ["rwl", "year", "month"]
@@ -449,6 +449,32 @@ def _quartile_ranks(n: Column) -> list[list[Column]]:
     return ranks
 
 
+def _interpolated(n: Column, p: float, low: Column, high: Column) -> Column:
+    share = (n - 1) * p - F.floor((n - 1) * p)
+    return low + (high - low) * share
+
+
+def _array_quartiles(values: Column) -> list[Column]:
+    """The same quartiles of a sorted array, NULL if it is empty."""
+    n = F.size(values)
+    at = lambda rank: F.get(values, rank.cast("int") - 1)
+    return [_interpolated(n, p, at(low), at(high)) for p, (low, high) in zip(QUARTILES, _quartile_ranks(n), strict=True)]
+
+
+BOX = ["q1", "q2", "q3"]
+
+
+def _large_quartiles(
+    values: DataFrame, keys: list[str], value: str, spread_by: Sequence[str], max_group: int
+) -> DataFrame:
+    """Groups too large for an array, by ``exact_ranks``."""
+    found = exact_ranks(values, keys, value, spread_by, QUARTILES, _quartile_ranks, max_group)
+    boxes = [_interpolated(F.col("n"), p, F.col(f"v{i}_0"), F.col(f"v{i}_1")).alias(BOX[i]) for i, p in enumerate(QUARTILES)]
+    # A group of NULLs alone keeps its row.
+    counted = values.groupBy(*keys).agg(F.count(value).alias("n"))
+    return counted.join(found.select(*keys, *boxes), keys, "left").select(*keys, "n", *BOX)
+
+
 def quartiles(
     values: DataFrame,
     keys: Sequence[str],
@@ -456,22 +482,17 @@ def quartiles(
     spread_by: Sequence[str],
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
-    """Exact linear-interpolated quartiles per group, by one plan for groups of every size.
+    """Exact linear-interpolated quartiles per group.
 
-    ``exact_ranks`` counts groups of up to ``max_group`` values whole and reads larger ones through brackets.
+    ``values`` are computed once.  Ordinary groups take one sorted array;
+    groups beyond ``max_group`` are read through brackets.
     """
     keys = list(keys)
-    names = ["q1", "q2", "q3"]
-    found = exact_ranks(values, keys, value, spread_by, QUARTILES, _quartile_ranks, max_group)
-    n = F.col("n")
-    interpolated = []
-    for i, p in enumerate(QUARTILES):
-        share = (n - 1) * p - F.floor((n - 1) * p)
-        low, high = F.col(f"v{i}_0"), F.col(f"v{i}_1")
-        interpolated.append((low + (high - low) * share).alias(names[i]))
-    # A group of NULLs alone keeps its row.
-    counted = values.groupBy(*keys).agg(F.count(value).alias("n"))
-    return counted.join(found.select(*keys, *interpolated), keys, "left").select(*keys, "n", *names)
+    small, large = split_hot(values.select(*keys, *spread_by, value), keys, spread_by, max_group)
+    arrays = small.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_v"))
+    boxes = [q.alias(name) for q, name in zip(_array_quartiles(F.col("_v")), BOX, strict=True)]
+    result = arrays.select(*keys, F.size("_v").cast("bigint").alias("n"), *boxes)
+    return result if large is None else result.unionByName(_large_quartiles(large, keys, value, spread_by, max_group))
 
 
 def month_distribution(
@@ -481,13 +502,28 @@ def month_distribution(
     value: str = "spei_coef",
 ) -> DataFrame:
     """Box-plot numbers per month: quartiles, whiskers at 1.5 IQR, outlier count."""
-    fenced = _with_fences(placed, max_group, keys, value)
+    keys = list(keys)
+    small, large = _with_fences(placed, max_group, keys, value)
+    v = F.transform("_members", lambda m: m["_value"])
+    inside = F.filter(v, lambda x: x.between(F.col("_low"), F.col("_high")))
+    result = small.select(
+        *keys,
+        "n",
+        *BOX,
+        F.array_min(inside).alias("whisker_low"),
+        F.array_max(inside).alias("whisker_high"),
+        (F.col("n") - F.size(inside)).alias("n_outliers"),
+    )
+    if large is None:
+        return result
     v = F.col("_value")
     inside = v.between(F.col("_low"), F.col("_high"))
-    return fenced.groupBy(*keys, "n", "q1", "q2", "q3").agg(
-        F.min(F.when(inside, v)).alias("whisker_low"),
-        F.max(F.when(inside, v)).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
+    return result.unionByName(
+        large.groupBy(*keys, "n", *BOX).agg(
+            F.min(F.when(inside, v)).alias("whisker_low"),
+            F.max(F.when(inside, v)).alias("whisker_high"),
+            F.count_if(~inside).alias("n_outliers"),
+        )
     )
 
 
@@ -498,20 +534,32 @@ def month_outliers(
     value: str = "spei_coef",
 ) -> DataFrame:
     """The single sites a box plot draws beyond its whiskers."""
-    fenced = _with_fences(placed, max_group, keys, value)
+    keys = list(keys)
+    small, large = _with_fences(placed, max_group, keys, value)
+    outside = F.filter("_members", lambda m: ~m["_value"].between(F.col("_low"), F.col("_high")))
+    result = small.select(*keys, F.inline(outside)).select("rwl", *keys, F.col("_value").alias(value))
+    if large is None:
+        return result
     outside = ~F.col("_value").between(F.col("_low"), F.col("_high"))
-    return fenced.filter(outside).select("rwl", *keys, F.col("_value").alias(value))
+    return result.unionByName(large.filter(outside).select("rwl", *keys, F.col("_value").alias(value)))
 
 
 def _with_fences(
-    placed: DataFrame, max_group: int, keys: Sequence[str], value: str
-) -> DataFrame:
-    keys = list(keys)
-    values = placed.select(*keys, "rwl", finite_or_null(F.col(value)).alias("_value"))
-    boxes = quartiles(values, keys, "_value", ["rwl"], max_group)
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return (
-        lookup_join(values.filter(F.col("_value").isNotNull()), boxes, keys, "rwl", "inner")
-        .withColumn("_low", F.col("q1") - reach)
-        .withColumn("_high", F.col("q3") + reach)
-    )
+    placed: DataFrame, max_group: int, keys: list[str], value: str
+) -> tuple[DataFrame, DataFrame | None]:
+    """Ordinary months as one row with their members, and the members of larger ones, each with box and fences."""
+
+    def fenced(df: DataFrame) -> DataFrame:
+        reach = 1.5 * (F.col("q3") - F.col("q1"))
+        return df.withColumn("_low", F.col("q1") - reach).withColumn("_high", F.col("q3") + reach)
+
+    values = placed.select(*keys, "rwl", finite_or_null(F.col(value)).alias("_value")).filter(F.col("_value").isNotNull())
+    small, large = split_hot(values, keys, ["rwl"], max_group)
+    members = F.sort_array(F.collect_list(F.struct("_value", "rwl"))).alias("_members")
+    arrays = small.groupBy(*keys).agg(members).withColumn("n", F.size("_members").cast("bigint"))
+    boxes = dict(zip(BOX, _array_quartiles(F.transform("_members", lambda m: m["_value"])), strict=True))
+    small = fenced(arrays.withColumns(boxes))
+    if large is None:
+        return small, None
+    boxes = _large_quartiles(large, keys, "_value", ["rwl"], max_group)
+    return small, fenced(lookup_join(large, boxes, keys, "rwl", "inner"))

@@ -204,18 +204,20 @@ def others_chronology(
     series: DataFrame,
     value: str = "rwi",
     max_group: int = MAX_GROUP,
+    stored: bool = False,
 ) -> DataFrame:
     """For every tree and year, the robust mean of the other trees of the site.
 
     Work and shuffle grow with the number of trees, not with its square: the
-    mean without a tree follows from group sums and the tree's own share.
+    mean without a tree follows from group sums and the tree's own share.  The
+    series are computed once (``split_hot``; ``stored``: they are a stored table).
     """
     present = series.select(*TREE, "year", finite_or_null(F.col(value)).alias(value)).filter(
         F.col(value).isNotNull()
     )
-    small, large = split_hot(present, SITE_YEAR, ["tree"], max_group)
+    small, large = split_hot(present, SITE_YEAR, ["tree"], max_group, stored)
     result = _others_in_arrays(small, value)
-    return result.unionByName(_others_distributed(large, value, max_group))
+    return result if large is None else result.unionByName(_others_distributed(large, value, max_group))
 
 
 def average_rank(column: str, group: list[str]) -> Column:

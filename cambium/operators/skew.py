@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cambium.stages import stage
+
 SALT = "_salt"
 DEFAULT_SALTS = 16
 
@@ -66,21 +68,26 @@ def lookup_join(
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], spread_by: str | Sequence[str], max_group: int = MAX_GROUP
-) -> tuple[DataFrame, DataFrame]:
-    """The rows of groups of up to ``max_group`` rows, and those of larger ones.
-
-    Both are part of the plan whatever the sizes are; nothing runs while it is
-    built.  Groups are counted with partial aggregation, and rows find their
-    group's size by a salted join, so that a large group never meets in one
-    task.  Where no group is large, adaptive execution drops the second part.
-    Both parts must lead to the same results: the split is about memory only.
+    df: DataFrame, keys: Sequence[str], spread_by: str | Sequence[str], max_group: int = MAX_GROUP, stored: bool = False
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups of up to ``max_group`` rows, and those of larger ones, if there are any.
+
+    ``df`` is computed once, into a stage (``stored``: it is a stored table
+    already).  The groups are counted there with partial aggregation, by
+    columns that a scan reads alone.  Where no group is large the stage itself
+    comes back, so that what follows is one plan over one scan.  Otherwise rows
+    find their group's size by a salted join, so that a large group never meets
+    in one task, and the rows of large groups become a stage of their own.  Both
+    parts must lead to the same results: the split is about memory only.
     """
     keys = list(keys)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group).select(*keys)
+    rows = df if stored else stage(df)
+    hot = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group).select(*keys))
+    if hot.isEmpty():
+        return rows, None
     return (
-        lookup_join(df, hot, keys, spread_by, "left_anti"),
-        lookup_join(df, hot, keys, spread_by, "left_semi"),
+        lookup_join(rows, hot, keys, spread_by, "left_anti"),
+        stage(lookup_join(rows, hot, keys, spread_by, "left_semi")),
     )
 
 

@@ -440,6 +440,20 @@ query("chronology_cv", "cv", f"SELECT {out('rwl', '', 'sd cv')} FROM cv")
 query("site_trend", "site_slopes", f"SELECT {out('rwl', 'n_years', 'growth_slope', 8)} FROM site_slopes")
 query("others_chronology", "master", f"SELECT {out('rwl tree', 'year n_others', 'rwi master')} FROM master")
 query("others_chronology_distributed", "master", f"SELECT {out('rwl tree', 'year n_others', 'rwi master')} FROM master")
+# All sites of one half of the nations are one site: some fifty trees to a year.
+view("regions", "rwi", "SELECT 'r' || CAST(CAST(substr(rwl, 2) AS INT) % 2 AS VARCHAR) AS rwl, tree, year, rwi FROM rwi")
+view("regions_robust", "regions", biweight("regions", "rwl, year", "rwi"))
+interseries("regions_", "regions")
+query(
+    "chronology_brackets",
+    "regions_robust",
+    f"SELECT {out('rwl', 'year samp_depth', 'std')} FROM (SELECT rwl, year, n AS samp_depth, robust AS std FROM regions_robust)",
+)
+query(
+    "others_chronology_brackets",
+    "regions_master",
+    f"SELECT {out('rwl tree', 'year n_others', 'rwi master')} FROM regions_master",
+)
 query("interseries_cor", "cor_spearman", f"SELECT {out(*COR)} FROM cor_spearman")
 query("interseries_pearson", "cor_pearson", f"SELECT {out(*COR)} FROM cor_pearson")
 query("interseries_prewhitened", "white_cor_spearman", f"SELECT {out(*COR)} FROM white_cor_spearman")
@@ -821,6 +835,7 @@ query(
     FROM placed JOIN boxes USING (spei_month) GROUP BY ALL)""",
 )
 ORACLE["month_distribution_distributed"] = ORACLE["month_distribution"]
+ORACLE["month_distribution_brackets"] = ORACLE["month_distribution"]
 query(
     "month_outliers",
     "boxes",

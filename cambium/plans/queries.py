@@ -279,6 +279,25 @@ def others_chronology_distributed(x):
     return rounded(interseries.others_chronology(x.rwi, max_group=1))
 
 
+# Groups several times larger than the limit, so that the brackets of their order statistics hold a part of them only.
+BRACKET_GROUP = 20
+
+
+def regions(rwi: DataFrame) -> DataFrame:
+    """The sites of either half of the nations as one site."""
+    return rwi.withColumn("rwl", F.concat(F.lit("r"), (F.substring("rwl", 2, 9).cast("int") % 2).cast("string")))
+
+
+@query
+def chronology_brackets(x):
+    return rounded(chron.chronology(regions(x.rwi), max_group=BRACKET_GROUP))
+
+
+@query
+def others_chronology_brackets(x):
+    return rounded(interseries.others_chronology(regions(x.rwi), max_group=BRACKET_GROUP))
+
+
 @query
 def interseries_cor(x):
     return rounded(x.interseries)
@@ -496,6 +515,11 @@ def month_distribution_distributed(x):
     return rounded(clim.month_distribution(x.placed, max_group=1))
 
 
+@query
+def month_distribution_brackets(x):
+    return rounded(clim.month_distribution(x.placed, max_group=BRACKET_GROUP))
+
+
 @query
 def month_outliers(x):
     return rounded(clim.month_outliers(x.placed))

@@ -106,7 +106,7 @@ def growth_stage(src: Sources, out: Store, conf: Settings) -> None:
     flags = out.put("growth_trend_flags", growth.growth_trend_flags(widths, src.read_flags))
     usable = _usable(out)
     rwi = out.put_rings("rwi", spline.detrend_spline(usable))
-    chron = out.put("chronology", chronology.chronology(rwi))
+    chron = out.put("chronology", chronology.chronology(rwi, stored=True))
     out.put("chronology_cv", growth.chronology_cv(chron))
     out.put("bai", growth.bai_dense(usable))
     trees = out.put("interseries_tree", interseries.interseries_cor(rwi))

@@ -98,21 +98,37 @@ def test_mean_chronology_and_nulls(spark):
         assert got[2]["std"] is None and got[2]["samp_depth"] == 0
 
 
-def test_split_hot_is_part_of_the_plan(spark, index):
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("building", "no job may run")
-    small, hot = split_hot(index, ["rwl", "year"], ["tree"], max_group=5)
-    _, none = split_hot(index, ["rwl", "year"], ["tree"])
-    chron.chronology(index)
-    interseries.interseries_cor(index)
-    assert tracker.getJobIdsForGroup("building") == []
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+def scans(df):
+    """Leaves of the plan that read something, before any exchange is reused."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan.count("FileScan") + plan.count("Scan ExistingRDD") + plan.count("InMemoryTableScan")
+
+
+def test_split_hot_computes_the_input_once(spark, index):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    once = index.coalesce(1).mapInArrow(counted, index.schema)
+    small, none = split_hot(once, ["rwl", "year"], ["tree"])
+    assert none is None and small.count() == index.count()
+    assert reads.value == 1
+    small, hot = split_hot(once, ["rwl", "year"], ["tree"], max_group=5)
+    assert reads.value == 2
     assert small.count() + hot.count() == index.count()
     assert hot.groupBy("rwl", "year").count().filter("count <= 5").count() == 0
     assert small.groupBy("rwl", "year").count().filter("count > 5").count() == 0
-    assert none.count() == 0
-    plan = hot._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
+    assert reads.value == 2
+
+
+def test_ordinary_groups_are_one_plan_over_one_scan(spark, index):
+    for df in (chron.chronology(index), interseries.others_chronology(index), climate.quartiles(index, ["rwl"], "rwi", ["tree"])):
+        assert scans(df) == 1
+    stored, hot = split_hot(index, ["rwl", "year"], ["tree"])
+    again, _ = split_hot(stored, ["rwl", "year"], ["tree"], stored=True)
+    assert again is stored and hot is None
 
 
 def test_groups_of_nulls_keep_their_row_on_both_routes(spark):
