@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cambium.operators.growth import TREE, clean_widths
+from cambium.operators.series import LOWPASS_WEIGHTS
 from cambium.operators.skew import lookup_join
 
-# Binomial weights of the 13-year filter, in 1/4096.
-LOWPASS_WEIGHTS = [1, 12, 66, 220, 495, 792, 924, 792, 495, 220, 66, 12, 1]
-
 # Z limits of the three intensity classes.
 WEAK, STRONG, EXTREME = 1.0, 1.28, 1.645
 
@@ -220,8 +218,12 @@ def pointer_year_freq(negative: DataFrame) -> DataFrame:
 
 
 def most_frequent(frequency: DataFrame) -> DataFrame:
-    """The frequency report in reading order; one row per year, so sorting is cheap."""
-    return frequency.orderBy(F.desc("n"), "pointer_year")
+    """The frequency report in reading order, with the ``place`` of each year.
+
+    One row per calendar year (and one for the flag rows), so one task may order it.
+    """
+    reading = Window.orderBy(F.desc("n"), "pointer_year")
+    return frequency.withColumn("place", F.row_number().over(reading)).orderBy("place")
 
 
 def frequent_years(negative: DataFrame, min_n: int = 10) -> DataFrame:

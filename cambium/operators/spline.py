@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cambium.operators.growth import TREE, clean_widths
+from cambium.operators.growth import TREE
+from cambium.operators.series import rows, tree_series
 
 
 # Series solved together; bounds the memory of one solve.
@@ -109,10 +110,8 @@ def explode_series(arrays: DataFrame, result: str) -> DataFrame:
     )
 
 
-def detrend_spline(
-    widths: DataFrame, nyrs: float | None = None, zero_as: float = 0.001
-) -> DataFrame:
-    """Growth index of every tree: width over its smoothing spline.
+def detrend_series(series: DataFrame, nyrs: float | None = None, zero_as: float = 0.001) -> DataFrame:
+    """Adds ``rwi`` to trees as one row each (``tree_series``): width over its smoothing spline.
 
     The default stiffness keeps half the amplitude at 67 % of the series
     length.  Series travel as arrays in Arrow batches, so Python is entered
@@ -124,6 +123,11 @@ def detrend_spline(
             detrended([np.asarray(v, dtype=float) for v in values], nyrs, zero_as), index=values.index
         )
 
-    kernel = F.pandas_udf(ratio, T.ArrayType(T.DoubleType()))
-    arrays = series_arrays(clean_widths(widths), "width")
-    return explode_series(arrays.withColumn("_result", kernel("_value")), "rwi")
+    return series.withColumn("rwi", F.pandas_udf(ratio, T.ArrayType(T.DoubleType()))("width"))
+
+
+def detrend_spline(
+    widths: DataFrame, nyrs: float | None = None, zero_as: float = 0.001
+) -> DataFrame:
+    """Growth index of every tree, one row per ring (``detrend_series``)."""
+    return rows(detrend_series(tree_series(widths), nyrs, zero_as), "year", "rwi")

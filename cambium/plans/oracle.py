@@ -591,6 +591,11 @@ query("missing_rings", "missing", f"SELECT {out('rwl', 'total_year ' + COUNT_COL
 query("pointer_flags", "flags", f"SELECT {out('rwl flag', 'total_year ' + COUNT_COLUMNS)} FROM flags")
 NEG = ("rwl flag", "pointer_year py_series nature total_year " + COUNT_COLUMNS, "perc_neg_extreme perc_neg_strong perc_neg_weak")
 query("negative_pointer_years", "negative", f"SELECT {out(*NEG)} FROM negative")
+query(
+    "pointer_year_report",
+    "freq",
+    f"SELECT {out('', 'pointer_year n place')} FROM (SELECT *, row_number() OVER (ORDER BY n DESC, pointer_year NULLS FIRST) AS place FROM freq)",
+)
 query("pointer_year_freq", "freq", f"SELECT {out('', 'pointer_year n')} FROM freq")
 query(
     "frequent_years",
@@ -598,6 +603,8 @@ query(
     "SELECT CAST(pointer_year AS BIGINT) AS pointer_year FROM freq WHERE n > 1 AND pointer_year IS NOT NULL",
 )
 query("resilience_tree", "res", f"SELECT {out('rwl tree', 'year', 'resist recov resil rel_resil')} FROM res")
+for _name in ("tree_stats", "detrend_spline", "lowpass13", "growth_z", "resilience_tree"):
+    ORACLE[f"series_{_name}"] = ORACLE[_name]
 query(
     "recovery_period",
     "idx",

@@ -13,7 +13,7 @@ from cambium.functions import months
 from cambium.functions.numeric import decimals
 from cambium.operators import chronology as chron
 from cambium.operators import climate as clim
-from cambium.operators import grid, growth, interseries, pointer, resilience, spline
+from cambium.operators import grid, growth, interseries, pointer, resilience, series, spline
 from cambium.plans import final_tables as final
 from cambium.plans import fixtures as fx
 from cambium.sources import catalogue as cat
@@ -101,13 +101,19 @@ class Inputs:
     def ages(self) -> DataFrame:
         return growth.tree_age(self.stats)
 
+    @cached_property
+    def series(self) -> DataFrame:
+        """One row per tree, written once for all that is computed on single trees."""
+        return series.store_series(self.widths)
+
     @cached_property
     def index(self) -> DataFrame:
-        return pointer.lowpass13(self.widths)
+        return series.rows(self.series, "index_year", "index")
 
     @cached_property
     def pointers(self) -> DataFrame:
-        return pointer.pointer_years(pointer.growth_z(self.index), THRESH)
+        z = series.rows(self.series, "index_year", "z").filter(F.col("z").isNotNull())
+        return pointer.pointer_years(z, THRESH)
 
     @cached_property
     def guards(self) -> DataFrame:
@@ -120,7 +126,8 @@ class Inputs:
     @cached_property
     def resilience(self) -> DataFrame:
         years = pointer.frequent_years(self.negative, MIN_N)
-        return resilience.resilience_site(resilience.resilience_tree(self.index), self.guards, years)
+        trees = series.rows(self.series, "index_year", *series.RESILIENCE)
+        return resilience.resilience_site(trees, self.guards, years)
 
     @cached_property
     def rwi(self) -> DataFrame:
@@ -323,17 +330,45 @@ def interseries_prewhitened(x):
     return rounded(interseries.interseries_cor(x.rwi))
 
 
+# ---- trees as one row each ------------------------------------------------------------------
+
+
+@query
+def series_tree_stats(x):
+    return rounded(series.statistics(x.series))
+
+
+@query
+def series_detrend_spline(x):
+    return rounded(series.rows(spline.detrend_series(x.series), "year", "rwi"))
+
+
+@query
+def series_lowpass13(x):
+    return rounded(series.rows(x.series, "index_year", "index"))
+
+
+@query
+def series_growth_z(x):
+    return rounded(series.rows(x.series, "index_year", "z").filter(F.col("z").isNotNull()))
+
+
+@query
+def series_resilience_tree(x):
+    return rounded(series.rows(x.series, "index_year", *series.RESILIENCE))
+
+
 # ---- pointer years and resilience -----------------------------------------------------------
 
 
 @query
 def lowpass13(x):
-    return rounded(x.index)
+    return rounded(pointer.lowpass13(x.widths))
 
 
 @query
 def growth_z(x):
-    return rounded(pointer.growth_z(x.index))
+    return rounded(pointer.growth_z(pointer.lowpass13(x.widths)))
 
 
 @query
@@ -366,9 +401,14 @@ def frequent_years(x):
     return rounded(pointer.frequent_years(x.negative, MIN_N))
 
 
+@query
+def pointer_year_report(x):
+    return rounded(pointer.most_frequent(pointer.pointer_year_freq(x.negative)))
+
+
 @query
 def resilience_tree(x):
-    return rounded(resilience.resilience_tree(x.index))
+    return rounded(resilience.resilience_tree(pointer.lowpass13(x.widths)))
 
 
 @query

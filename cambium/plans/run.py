@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.operators import chronology, climate, grid, growth, interseries, pointer, resilience, spline
+from cambium.operators import chronology, climate, grid, growth, interseries, pointer, resilience, series, spline
 from cambium.operators.skew import lookup_join
 from cambium.plans import final_tables as final
 from cambium.sources import tables
@@ -143,19 +143,20 @@ def climate_stage(src: Sources, out: Store, conf: Settings) -> None:
 
 def pointer_stage(src: Sources, out: Store, conf: Settings) -> None:
     widths = out["ring_width"]
-    index = out.put_rings("lowpass_index", pointer.lowpass13(widths))
+    options = {"window": conf.pointer_window, "pre": conf.years_before, "post": conf.years_after}
+    trees = out.put("tree_series", series.measured(series.tree_series(widths), **options))
+    index = out.put_rings("lowpass_index", series.rows(trees, "index_year", "index"))
     guards = out.put("site_guards", pointer.site_guards(widths, index))
-    shares = out.put(
-        "pointer_shares",
-        pointer.pointer_years(pointer.growth_z(index, conf.pointer_window), conf.pointer_share),
-    )
+    z = series.rows(trees, "index_year", "z").filter(F.col("z").isNotNull())
+    shares = out.put("pointer_shares", pointer.pointer_years(z, conf.pointer_share))
     negative = out.put(
         "pointer_years", pointer.negative_pointer_years(guards, shares, conf.from_year, src.read_flags)
     )
-    out.put("pointer_year_frequency", pointer.pointer_year_freq(negative))
+    frequency = out.put("pointer_year_frequency", pointer.pointer_year_freq(negative))
+    out.put("pointer_year_report", pointer.most_frequent(frequency))
     years = pointer.frequent_years(negative, conf.frequent_min_sites)
-    trees = resilience.resilience_tree(index, conf.years_before, conf.years_after)
-    out.put("resilience", resilience.resilience_site(trees, guards, years, src.read_flags))
+    components = series.rows(trees, "index_year", *series.RESILIENCE)
+    out.put("resilience", resilience.resilience_site(components, guards, years, src.read_flags))
 
 
 def _covariates(src: Sources, metadata: DataFrame, conf: Settings) -> DataFrame:
