@@ -144,25 +144,32 @@ def _named(coefs: DataFrame, variables: Sequence[str], first: int, last: int) ->
     )
 
 
-@lru_cache(maxsize=256)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers that spreads every bit (the finaliser of MurmurHash3)."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+@lru_cache(maxsize=64)
 def resample_draws(
-    seed: int, replicates: int, n: int, mean_block: float | None = None
+    seed: int, site: str, replicates: int, n: int, mean_block: float | None = None
 ) -> np.ndarray:
-    """Years drawn for each replicate, from a hash of (seed, replicate, position).
+    """Years drawn for each replicate, counted out from (seed, site, replicate, position).
 
-    The draw does not depend on the site, the partition or the engine.  With
+    No state is carried, so a draw does not depend on the partition, the retry
+    or the engine, and sites draw independently of each other.  With
     ``mean_block`` neighbouring years stay together in blocks of geometric
     length (stationary bootstrap), otherwise draws are independent.
     """
-    digests = [
-        hashlib.md5(f"{seed}/{b}/{i}".encode()).hexdigest()
-        for b in range(1, replicates + 1)
-        for i in range(1, n + 1)
-    ]
-    draws = np.array([int(h[:8], 16) % n for h in digests], dtype=np.int64).reshape(replicates, n)
+    key = np.uint32(int(hashlib.md5(f"{seed}/{site}".encode()).hexdigest()[:8], 16))
+    replicate = np.arange(1, replicates + 1, dtype=np.uint32)[:, None]
+    position = np.arange(1, n + 1, dtype=np.uint32)[None, :]
+    number = _mixed(key ^ _mixed(replicate ^ _mixed(position)))
+    draws = (number % np.uint32(max(n, 1))).astype(np.int64)
     if mean_block is None:
         return draws
-    restart = np.array([int(h[8:16], 16) / 2.0**32 for h in digests]).reshape(replicates, n)
+    restart = _mixed(number ^ np.uint32(0x9E3779B9)) / 2.0**32
     for i in range(1, n):
         follow = restart[:, i] >= 1.0 / mean_block
         draws[follow, i] = (draws[follow, i - 1] + 1) % n
@@ -202,11 +209,11 @@ def _bootstrap(
 ) -> DataFrame:
     low, high = 50.0 * (1.0 - level), 50.0 * (1.0 + level)
 
-    def limits(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    def limits(sites: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
         rows = []
-        for x, y in zip(xs, ys):
+        for site, x, y in zip(sites, xs, ys):
             x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
-            r = bootstrap_correlations(x, y, resample_draws(seed, replicates, len(x), mean_block))
+            r = bootstrap_correlations(x, y, resample_draws(seed, site, replicates, len(x), mean_block))
             r = r[~np.isnan(r)]
             rows.append(tuple(np.percentile(r, [low, high])) if len(r) else (None, None))
         return pd.DataFrame(rows, columns=["lo", "hi"], dtype=float)
@@ -220,7 +227,7 @@ def _bootstrap(
         safe_corr(F.col("value"), F.col("std")).alias("coef"),
         F.sort_array(F.collect_list(F.struct("year", "value", "std"))).alias("_p"),
     )
-    limited = grouped.withColumn("_ci", kernel("_p.value", "_p.std"))
+    limited = grouped.withColumn("_ci", kernel("rwl", "_p.value", "_p.std"))
     return limited.select(
         *keys,
         "coef",
@@ -243,26 +250,51 @@ def _correlation(pairs: DataFrame, keys: list[str], threshold: float | None) ->
     return coefs.withColumns({"significant": significant, "ci_lower": null, "ci_upper": null})
 
 
-def response_coefficients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Principal-component regression of y on the columns of x, rotated back.
+# Bytes of resampled predictors that are solved together.
+STACK_BYTES = 32_000_000
+
 
-    Components are kept while the cumulative product of eigenvalues exceeds 1.
+def response_stack(x: np.ndarray, y: np.ndarray, every: bool = False) -> np.ndarray:
+    """Principal-component regressions of samples (sample, year, predictor) on (sample, year), rotated back.
+
+    Components are kept while the cumulative product of eigenvalues exceeds 1,
+    and all of them with ``every``.  All samples are one stacked eigenproblem.
+    A predictor without variance gives NaN, as does growth without variance.
     """
-    sx, sy = x.std(axis=0, ddof=1), y.std(ddof=1)
-    if sy == 0.0:
-        return np.full(x.shape[1], np.nan)
-    usable = sx > 0.0
-    result = np.full(x.shape[1], np.nan)
-    z = (x[:, usable] - x[:, usable].mean(axis=0)) / sx[usable]
-    g = (y - y.mean()) / sy
-    values, vectors = np.linalg.eigh(z.T @ z / (len(y) - 1))
-    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
-    kept = int(np.argmax(np.append(np.cumprod(values) <= 1.0, True)))
-    kept = max(1, min(kept, len(y) - 2))
-    scores = z @ vectors[:, :kept]
-    beta = (scores.T @ g) / (scores * scores).sum(axis=0)
-    result[usable] = vectors[:, :kept] @ beta
-    return result
+    years, predictors = x.shape[1:]
+    # Equal values may have a deviation by rounding, so their range tells.
+    vx, vy = np.ptp(x, axis=1) > 0.0, np.ptp(y, axis=1) > 0.0
+    sx, sy = np.where(vx, x.std(axis=1, ddof=1), 1.0), np.where(vy, y.std(axis=1, ddof=1), 1.0)
+    usable = vx & vy[:, None]
+    z = (x - x.mean(axis=1, keepdims=True)) / sx[:, None, :] * vx[:, None, :]
+    g = (y - y.mean(axis=1, keepdims=True)) / sy[:, None]
+    turned = z.transpose(0, 2, 1)
+    values, vectors = np.linalg.eigh(turned @ z / (years - 1))
+    values, vectors = np.maximum(values[:, ::-1], 0.0), vectors[:, :, ::-1]
+    if every:
+        kept = (values > 1e-9 * values[:, :1]).sum(axis=1)
+    else:
+        falling = np.cumprod(values, axis=1) <= 1.0
+        kept = np.where(falling.any(axis=1), falling.argmax(axis=1), predictors)
+    kept = np.clip(kept, 1, max(1, years - 2))
+    first = np.arange(predictors) < kept[:, None]
+    covariance = (turned @ g[:, :, None])[:, :, 0] / (years - 1)
+    along = (vectors.transpose(0, 2, 1) @ covariance[:, :, None])[:, :, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        along = np.where(first, along / values, 0.0)
+    return np.where(usable, (vectors @ along[:, :, None])[:, :, 0], np.nan)
+
+
+def response_coefficients(x: np.ndarray, y: np.ndarray, every: bool = False) -> np.ndarray:
+    """The regression of one sample (``response_stack``)."""
+    return response_stack(x[None], y[None], every)[0]
+
+
+def response_samples(x: np.ndarray, y: np.ndarray, draws: np.ndarray, every: bool = False) -> np.ndarray:
+    """Coefficients of every resample; as many are solved together as ``STACK_BYTES`` hold."""
+    together = max(1, STACK_BYTES // max(1, x.nbytes))
+    parts = [response_stack(x[d], y[d], every) for d in (draws[i : i + together] for i in range(0, len(draws), together))]
+    return np.concatenate([np.zeros((0, x.shape[1])), *parts])
 
 
 # A single component and its residual need that many years.
@@ -299,21 +331,29 @@ def climate_response(
     level: float = 0.95,
     mean_block: float | None = None,
     min_years: int = MIN_RESPONSE_YEARS,
+    every: bool = False,
 ) -> DataFrame:
     """Response function per site: all variables and months enter one regression.
 
     Years count when the chronology and every predictor are present.  Sites
     with too few of them have no row here and one in ``response_flags``.  A
     site is bounded by years times predictors, so one grouped pandas call per
-    site is safe.
+    site is safe.  With ``every`` all components are kept, which is the least
+    squares regression; no ``replicates`` give no limits.
     """
     pairs = _pairs(chronologies, lagged)
     names = lagged.select(*COEF_KEYS[1:]).distinct()
-    return _response(pairs, replicates, seed, level, mean_block, min_years).join(names, ["var_order", "month_order"])
+    return _response(pairs, replicates, seed, level, mean_block, min_years, every).join(names, ["var_order", "month_order"])
 
 
 def _response(
-    pairs: DataFrame, replicates: int, seed: int, level: float = 0.95, mean_block: float | None = None, min_years: int = MIN_RESPONSE_YEARS
+    pairs: DataFrame,
+    replicates: int,
+    seed: int,
+    level: float = 0.95,
+    mean_block: float | None = None,
+    min_years: int = MIN_RESPONSE_YEARS,
+    every: bool = False,
 ) -> DataFrame:
     low, high = 50.0 * (1.0 - level), 50.0 * (1.0 + level)
 
@@ -324,12 +364,14 @@ def _response(
         x = table.to_numpy()
         if len(x) < min_years:
             return empty
-        coef = response_coefficients(x, growth)
+        coef = response_coefficients(x, growth, every)
         # A replicate whose growth does not vary gives NaN and does not count.
-        samples = [response_coefficients(x[draw], growth[draw]) for draw in resample_draws(seed, replicates, len(x), mean_block)]
+        draws = resample_draws(seed, site["rwl"].iloc[0], replicates, len(x), mean_block)
+        samples = response_samples(x, growth, draws, every)
         limits = np.full((2, len(coef)), np.nan)
-        usable = ~np.isnan(samples).all(axis=0)
-        limits[:, usable] = np.nanpercentile(np.array(samples)[:, usable], [low, high], axis=0)
+        usable = ~np.isnan(samples).all(axis=0) if len(samples) else np.zeros(len(coef), bool)
+        if usable.any():
+            limits[:, usable] = np.nanpercentile(samples[:, usable], [low, high], axis=0)
         out = pd.DataFrame(list(table.columns), columns=["var_order", "month_order"])
         out["rwl"] = site["rwl"].iloc[0]
         out["coef"], out["ci_lower"], out["ci_upper"] = coef, limits[0], limits[1]
@@ -359,11 +401,12 @@ def climate_coef(
     """Coefficients of growth on monthly climate.
 
     ``method`` is ``correlation`` (bootstrap limits, or a fixed ``threshold``
-    on abs(r) without limits) or ``response``.
+    on abs(r) without limits), ``response``, or ``regression`` (the response
+    function with all its components).
     """
     pairs = climate_pairs(chronologies, climate, variables, first, last)
-    if method == "response":
-        coefs = _response(pairs, replicates, seed, mean_block=mean_block, min_years=min_years)
+    if method in ("response", "regression"):
+        coefs = _response(pairs, replicates, seed, mean_block=mean_block, min_years=min_years, every=method == "regression")
     elif threshold is not None:
         coefs = _correlation(pairs, PAIR_KEYS, threshold)
     else:

@@ -761,19 +761,30 @@ view(
         count(*) OVER (PARTITION BY {COEF_KEYS}) AS n
     FROM lagged_all JOIN chron USING (rwl, year) WHERE std IS NOT NULL AND value IS NOT NULL""",
 )
-view(
-    "draws",
-    "numbered",
-    """SELECT n, b, i, ('0x' || substr(md5('1/' || b || '/' || i), 1, 8))::BIGINT % n + 1 AS pick
-    FROM (SELECT DISTINCT n FROM numbered) d, (SELECT unnest(generate_series(1, 100)) AS b),
-        (SELECT unnest(generate_series(1, 200)) AS i) WHERE i <= n""",
-)
+
+
+def mixed(x: str) -> str:
+    """The finaliser of MurmurHash3, step by step."""
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = f"list_transform([{x}], lambda h: (xor(h, h >> {shift}) * {factor}::UBIGINT) & 4294967295::UBIGINT)[1]"
+    return f"list_transform([{x}], lambda h: xor(h, h >> 16))[1]"
+
+
+def draws(source: str, replicates: int) -> str:
+    """Years drawn for each site (with its number of years n), replicate and position; replicate 0 takes every year once."""
+    return f"""SELECT rwl, n, b, i, CASE WHEN b = 0 THEN i ELSE CAST({mixed(f"xor(('0x' || substr(md5('1/' || rwl), 1, 8))::UBIGINT, m)")} % n AS BIGINT) + 1 END AS pick
+    FROM (SELECT DISTINCT rwl, n FROM {source}),
+        (SELECT b, i, {mixed(f"xor(b::UBIGINT, {mixed('i::UBIGINT')})")} AS m
+            FROM (SELECT unnest(generate_series(0, {replicates})) AS b), (SELECT unnest(generate_series(1, 200)) AS i)) WHERE i <= n"""
+
+
+view("draws", "numbered", f"SELECT * FROM ({draws('numbered', 100)}) WHERE b > 0")
 view(
     "resampled",
     "draws",
     f"""SELECT {COEF_KEYS}, b, covar_pop(value, std) / sqrt(nullif(var_pop(value) * var_pop(std), 0)) AS r,
         var_pop(value) * var_pop(std) * v.n * v.n AS spread
-    FROM numbered v JOIN draws d ON v.n = d.n AND v.i = d.pick GROUP BY {COEF_KEYS}, b, v.n, d.n""",
+    FROM numbered v JOIN draws d USING (rwl, n) WHERE v.i = d.pick GROUP BY {COEF_KEYS}, b, v.n, d.n""",
 )
 query(
     "bootstrap_ci",
@@ -784,6 +795,106 @@ query(
         LEFT JOIN (SELECT {COEF_KEYS}, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM resampled
             WHERE sqrt(spread) > 1e-12 GROUP BY {COEF_KEYS}) USING ({COEF_KEYS}))""",
 )
+
+
+def standardised(prefix: str, source: str, replicates: int, least_years: int) -> None:
+    """Correlations of all predictors (x, flat, by row) and of each with growth (y), of every site and resample."""
+    size = 16
+    view(
+        f"{prefix}years",
+        f"chron {source}",
+        f"""SELECT rwl, std, x, row_number() OVER (PARTITION BY rwl ORDER BY year) AS i, count(*) OVER (PARTITION BY rwl) AS n FROM (
+            SELECT rwl, year, std, list(value ORDER BY var_order, month_order) AS x FROM {source} JOIN chron USING (rwl, year)
+            WHERE std IS NOT NULL AND value IS NOT NULL GROUP BY rwl, year, std HAVING count(*) = {size})""",
+    )
+    view(f"{prefix}draws", f"{prefix}years", draws(f"{prefix}years", replicates))
+    view(
+        f"{prefix}cells",
+        f"{prefix}draws",
+        f"""SELECT rwl, b, d.i, k, std, x[k] AS v, x FROM {prefix}years y JOIN {prefix}draws d USING (rwl, n), range(1, {size + 1}) r(k)
+        WHERE y.i = d.pick AND n >= {least_years}""",
+    )
+    view(
+        f"{prefix}correlations",
+        f"{prefix}cells",
+        f"""SELECT rwl, b, list(CASE WHEN isnan(r) THEN 0 ELSE r END ORDER BY k, j) AS x, list(CASE WHEN isnan(g) THEN 0 ELSE g END ORDER BY k) FILTER (j = 1) AS y,
+            list(NOT isnan(g) ORDER BY k) FILTER (j = 1) AS varies FROM (
+            SELECT rwl, b, k, j, coalesce(corr(v, x[j]), 'nan') AS r, coalesce(corr(v, std), 'nan') AS g FROM {prefix}cells, range(1, {size + 1}) r(j)
+            GROUP BY rwl, b, k, j)
+        GROUP BY rwl, b""",
+    )
+
+
+view("lagged_spei", "lagged_all", "SELECT * REPLACE (0 AS var_order) FROM lagged_all WHERE varname = 'spei'")
+# All components kept is least squares: elimination of one predictor after another from the bordered matrix, by row.
+standardised("all_", "lagged_spei", 0, 18)
+view(
+    "eliminated",
+    "all_correlations",
+    """SELECT rwl, b, 0 AS k, flatten(list_transform(range(1, 17), lambda r: list_append(x[16 * (r - 1) + 1 : 16 * r], y[r]))) AS m FROM all_correlations
+    UNION ALL
+    SELECT rwl, b, k + 1, list_transform(m, lambda v, ix: CASE WHEN (ix - 1) // 17 = k THEN v / m[18 * k + 1]
+        ELSE v - m[17 * ((ix - 1) // 17) + k + 1] * m[17 * k + (ix - 1) % 17 + 1] / m[18 * k + 1] END) FROM eliminated WHERE k < 16""",
+)
+RESPONSE = f"SELECT rwl, {WINDOW}, varname, month, month_order, coef, ci_lower, ci_upper, ci_lower > 0 OR ci_upper < 0 AS significant"
+query(
+    "spei_regression",
+    "eliminated lagged_spei",
+    f"""SELECT {out(*COEF)} FROM ({RESPONSE} FROM (
+        SELECT rwl, m[17 * month_order] AS coef, CAST(NULL AS DOUBLE) AS ci_lower, CAST(NULL AS DOUBLE) AS ci_upper,
+            var_order, varname, month_order, month, is_prev
+        FROM eliminated, (SELECT DISTINCT var_order, varname, month_order, month, is_prev FROM lagged_spei) WHERE k = 16))""",
+)
+# The response function itself: eigenvectors by Jacobi rotations of all pairs in turn, the matrix and the vectors in one flat list.
+standardised("pc_", "lagged_spei", 4, 3)
+_AT = "s[16 * {} + {} + 1]".format
+_P, _Q = "CAST(e[1] AS INT)", "CAST(e[2] AS INT)"
+_THETA = f"({_AT(_Q, _Q)} - {_AT(_P, _P)}) / (2 * {_AT(_P, _Q)})"
+_ANGLE = f"CASE WHEN abs({_AT(_P, _Q)}) < 1e-150 THEN 0 ELSE atan(CASE WHEN {_THETA} >= 0 THEN 1 ELSE -1 END / (abs({_THETA}) + sqrt({_THETA} * {_THETA} + 1))) END"
+_TURN = f"list_transform([{_ANGLE}], lambda a: [cos(a), sin(a), e[1], e[2]])[1]"
+# Columns p and q of both halves are turned first, then rows p and q of the matrix.
+_COLUMNS = """list_transform(s, lambda v, ix: CASE
+    WHEN (ix - 1) % 16 = t[3] THEN t[1] * v - t[2] * s[ix + CAST(t[4] - t[3] AS INT)]
+    WHEN (ix - 1) % 16 = t[4] THEN t[2] * s[ix - CAST(t[4] - t[3] AS INT)] + t[1] * v ELSE v END)"""
+_ROWS = """list_transform(u, lambda v, ix: CASE
+    WHEN ix <= 256 AND (ix - 1) // 16 = t[3] THEN t[1] * v - t[2] * u[ix + 16 * CAST(t[4] - t[3] AS INT)]
+    WHEN ix <= 256 AND (ix - 1) // 16 = t[4] THEN t[2] * u[ix - 16 * CAST(t[4] - t[3] AS INT)] + t[1] * v ELSE v END)"""
+_ROTATED = f"list_transform([{_TURN}], lambda t: list_transform([{_COLUMNS}], lambda u: {_ROWS})[1])[1]"
+view(
+    "rotated",
+    "pc_correlations",
+    f"""SELECT rwl, b, y, varies, list_reduce(list_prepend(list_concat(x, list_transform(range(256), lambda i: CASE WHEN i // 16 = i % 16 THEN 1.0::DOUBLE ELSE 0 END)),
+        flatten(list_transform(range(8), lambda sweep: list_filter(flatten(list_transform(range(16), lambda p: list_transform(range(16),
+            lambda q: [p::DOUBLE, q::DOUBLE]))), lambda e: e[1] < e[2])))), lambda s, e: {_ROTATED}) AS s FROM pc_correlations""",
+)
+view(
+    "components",
+    "rotated",
+    """SELECT rwl, b, c, s[17 * (c - 1) + 1] AS value, list_transform(range(16), lambda r: s[256 + 16 * r + c]) AS vector, y, varies
+    FROM rotated, range(1, 17) r(c)""",
+)
+view(
+    "kept",
+    "components pc_years",
+    """SELECT rwl, b, value, vector, y, varies FROM (
+        SELECT *, sum(ln(greatest(value, 1e-300))) OVER w AS falling, row_number() OVER w AS place FROM components
+        JOIN (SELECT DISTINCT rwl, n FROM pc_years) USING (rwl) WINDOW w AS (PARTITION BY rwl, b ORDER BY value DESC))
+    WHERE place <= greatest(1, n - 2) AND (falling > 0 OR place = 1)""",
+)
+view(
+    "responses",
+    "kept",
+    """SELECT rwl, b, j AS month_order, CASE WHEN any_value(varies)[j] THEN sum(vector[j] * list_inner_product(vector, y) / nullif(value, 0)) END AS coef
+    FROM kept, range(1, 17) r(j) GROUP BY rwl, b, j""",
+)
+query(
+    "spei_response",
+    "responses lagged_spei",
+    f"""SELECT {out(*COEF)} FROM ({RESPONSE} FROM (
+        SELECT rwl, month_order, any_value(coef) FILTER (b = 0) AS coef, quantile_cont(coef, 0.025) FILTER (b > 0) AS ci_lower,
+            quantile_cont(coef, 0.975) FILTER (b > 0) AS ci_upper FROM responses GROUP BY rwl, month_order)
+    JOIN (SELECT DISTINCT var_order, varname, month_order, month, is_prev FROM lagged_spei) USING (month_order))""",
+)
 query(
     "signature",
     "coefs",

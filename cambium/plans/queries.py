@@ -499,6 +499,20 @@ def climate_response(x):
     return rounded(coefs)
 
 
+@query
+def spei_regression(x):
+    """The response function with all components, which is least squares, of sites with years enough for it; without limits."""
+    coefs = clim.climate_coef(x.chronology, x.climate, ["spei"], method="regression", replicates=0, min_years=18)
+    return rounded(coefs)
+
+
+@query
+def spei_response(x):
+    """The response function of the drought index with limits; few replicates, for the sake of its SQL."""
+    coefs = clim.climate_coef(x.chronology, x.climate, ["spei"], method="response", replicates=4, seed=SEED)
+    return rounded(coefs)
+
+
 @query
 def climate_response_flags(x):
     """Why sites have no response function of all four variables, or one of few years."""

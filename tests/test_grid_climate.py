@@ -201,8 +201,8 @@ def test_response_without_variance_is_missing():
 
 
 def test_blocks_keep_neighbouring_years_together():
-    free = climate.resample_draws(3, 200, 50)
-    blocks = climate.resample_draws(3, 200, 50, 10.0)
+    free = climate.resample_draws(3, "s", 200, 50)
+    blocks = climate.resample_draws(3, "s", 200, 50, 10.0)
     assert free.min() >= 0 and free.max() < 50 and blocks.max() < 50
 
     def follows(d):
@@ -211,6 +211,36 @@ def test_blocks_keep_neighbouring_years_together():
     assert follows(free) < 0.05 and follows(blocks) == pytest.approx(0.9, abs=0.02)
 
 
+def test_sites_draw_independently():
+    a, b = (climate.resample_draws(3, site, 400, 50) for site in ("a", "b"))
+    assert (a == climate.resample_draws(3, "a", 400, 50)).all() and (a != climate.resample_draws(4, "a", 400, 50)).any()
+    assert np.mean(a == b) == pytest.approx(1 / 50, abs=0.005)
+    assert np.bincount(a.ravel(), minlength=50) == pytest.approx(np.full(50, 400), rel=0.25)
+    # positions, replicates and sites are uncorrelated
+    for x, y in ((a[:, 0], a[:, 1]), (a[:-1].ravel(), a[1:].ravel()), (a.ravel(), b.ravel())):
+        assert abs(np.corrcoef(x, y)[0, 1]) < 0.15 if len(x) < 1000 else abs(np.corrcoef(x, y)[0, 1]) < 0.03
+
+
+def test_stacked_responses_equal_single_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(30, 12)), rng.normal(size=30)
+    x[:, 3] = np.arange(30) == 7  # without variance in the samples that miss this year
+    y[:25] = 1.0
+    draws = np.concatenate([climate.resample_draws(1, "s", 40, 30), np.zeros((1, 30), int)])
+    monkeypatch.setattr(climate, "STACK_BYTES", 5 * x.nbytes)
+    for every in (False, True):
+        got = climate.response_samples(x, y, draws, every)
+        want = np.array([climate.response_coefficients(x[d], y[d], every) for d in draws])
+        assert np.allclose(got, want, equal_nan=True) and np.isnan(got[-1]).all() and 0 < np.isnan(got[:-1, 3]).sum() < 40
+
+
+def test_all_components_are_least_squares():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(50, 9)) @ rng.normal(size=(9, 9)), rng.normal(size=50)
+    z, g = (x - x.mean(0)) / x.std(0, ddof=1), (y - y.mean()) / y.std(ddof=1)
+    assert climate.response_coefficients(x, y, every=True) == pytest.approx(np.linalg.lstsq(z, g, rcond=None)[0])
+
+
 def test_too_short_sites_have_no_response(season):
     chron, clim = season
     short = chron.filter("year < 1953")
