@@ -29,7 +29,7 @@ def test_stages_equal_brute_force(spark, docs, prose, tmp_path):
         stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         out = spark.read.parquet(f"{tmp_path}/{name}")
         if name == "language_id":
-            told = {r.doc_id for r in identify_languages(now).where("language.score >= 0.5").collect()}
+            told = {r.doc_id for r in identify_languages(now).where(F.col("language.score") >= corpus_pipeline.LEAST_SCORE).collect()}
             rows = [(i, t) for i, t in rows if i in told]
             assert told <= {i for i, t in zip(range(len(texts)), texts) if t and any(map(str.isalpha, t))}
         elif name == "line_dedup":
@@ -109,6 +109,7 @@ def test_the_network_decides_who_stays(spark, docs, monkeypatch):
     """Texts in three sets of letters; a network that has learned nothing rejects what a trained one keeps."""
     texts = [w * 40 for i in range(20) for w in (f"abc{'abc'[i % 3]} ", f"xyz{'xyz'[i % 3]} ", f"klm{'klm'[i % 3]} ")] + ["123", None]
     df = docs(texts, langs=[("en", "fr", "de")[i % 3] for i in range(len(texts))])
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 0.5)
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, df, "").collect()}
     assert kept == set(range(60))
     monkeypatch.setattr(corpus_pipeline, "identify_languages", lambda d: identify_languages(d, steps=1, rate=0.0))
