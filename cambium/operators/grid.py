@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cambium.functions.months import FIRST_GRID_YEAR, MONTHS, SPEI_SKIPPED_LAYERS, layer_label, layer_month, layer_year
 from cambium.operators.skew import SALT, as_list, lookup_join
@@ -22,6 +25,9 @@ OUTSIDE = -1
 # Points per cell and salt when a cell's time series is repeated for its points.
 POINTS_PER_SALT = 1_000
 
+# Grids of up to so many cells have their lists of cells broadcast: a few bytes per cell, some 20 MB.
+BROADCAST_CELLS = 1_000_000
+
 
 @dataclass(frozen=True)
 class GridGeometry:
@@ -73,26 +79,49 @@ def cells_of(points: DataFrame, geometry: GridGeometry, lon: str = "longitude",
     return points.withColumn("row", row).withColumn("col", col)
 
 
-def sample_grid(
+def _layer_keys(grid: DataFrame) -> tuple[list[str], str]:
+    """What a series of layers is told apart by besides its cell, and what orders it: the last key."""
+    *names, layer = [c for c in grid.columns if c not in (*CELL, "value")]
+    return names, layer
+
+
+def pack_grid(grid: DataFrame) -> DataFrame:
+    """One row per cell and variable, with its layers and values as the array ``series``.
+
+    A cell has at most a value per layer, so the arrays are bounded by the
+    length of the record.  Written as a table (``tables.store_grid``), a grid of
+    this form is sampled without moving single layers.
+    """
+    names, layer = _layer_keys(grid)
+    series = F.sort_array(F.collect_list(F.struct(layer, "value"))).alias("series")
+    return grid.groupBy(*CELL, *names).agg(series)
+
+
+def _bounded(cells: DataFrame, geometry: GridGeometry) -> DataFrame:
+    """A list of cells, sent to every task where the size of the grid says that it is short."""
+    return F.broadcast(cells) if geometry.nrow * geometry.ncol <= BROADCAST_CELLS else cells
+
+
+def sample_series(
     points: DataFrame,
-    grid: DataFrame,
+    packed: DataFrame,
     geometry: GridGeometry,
     id_column: str = "rwl",
     lon: str = "longitude",
     lat: str = "latitude",
     points_per_salt: int = POINTS_PER_SALT,
+    layers: DataFrame | None = None,
 ) -> DataFrame:
-    """Value of the containing cell for every point and every layer of the grid.
-
-    Every point has a row for every layer: points outside the grid, and layers
-    that a cell lacks, give NULL.  The list of layers is one small array (the
-    distinct keys of the grid besides the cell), read inside the plan.  Cells
-    are deduplicated first and only cells with points are taken from the grid.
-    A cell with very many points repeats its series once per
-    ``points_per_salt`` of them, so its output is spread over as many tasks;
-    the points outside count as one more cell.
+    """The series of the containing cell for every point and variable of a packed grid (``pack_grid``).
+
+    Every point has a row for every variable (of ``layers``, else of the grid);
+    it has no ``series`` outside the grid and where the cell lacks the variable.
+    Cells are deduplicated and only cells with points are taken from the grid.
+    A point meets one row per variable.  A cell with very many points repeats its series once per
+    ``points_per_salt`` of them, so its output is spread over as many tasks; the
+    points outside count as one more cell.
     """
-    layer_keys = [c for c in grid.columns if c not in (*CELL, "value")]
+    names = [c for c in packed.columns if c not in (*CELL, "series")]
     placed = cells_of(points.select(id_column, lon, lat), geometry, lon, lat)
     placed = placed.select(id_column, *[F.coalesce(F.col(c), F.lit(OUTSIDE)).alias(c) for c in CELL])
     cells = (
@@ -100,17 +129,77 @@ def sample_grid(
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*CELL, F.ceil(F.col("_n") / points_per_salt).cast("int").alias("_salts"))
     )
-    layers = grid.agg(F.collect_set(F.struct(*layer_keys)))
-    wanted = cells.withColumn("_layers", layers.scalar()).select(*CELL, "_salts", F.inline("_layers"))
-    series = wanted.join(grid, [*CELL, *layer_keys], "left").withColumn(
-        SALT, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
-    )
+    salts = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias(SALT)
+    series = packed.join(_bounded(cells, geometry), CELL).select(*packed.columns, salts)
     salted = lookup_join(placed, cells, CELL, id_column, "inner").withColumn(
         SALT, F.pmod(F.xxhash64(id_column), F.col("_salts")).cast("int")
-    )
-    sampled = salted.drop("_salts").join(series.drop("_salts"), [*CELL, SALT])
+    ).drop("_salts")
+    if names:
+        variables = (packed if layers is None else layers).agg(F.sort_array(F.collect_set(F.struct(*names))))
+        salted = salted.withColumn("_variables", variables.scalar()).select(*salted.columns, F.inline("_variables"))
+    sampled = salted.join(series, [*CELL, SALT, *names], "left")
     cell = [F.nullif(F.col(c), F.lit(OUTSIDE)).alias(c) for c in CELL]
-    return sampled.select(id_column, *cell, *layer_keys, "value")
+    return sampled.select(id_column, *cell, *names, "series")
+
+
+def series_layers(packed: DataFrame) -> DataFrame:
+    """The layers that any cell has, one row per variable."""
+    names = [c for c in packed.columns if c not in (*CELL, "series")]
+    layer = packed.schema["series"].dataType.elementType.fieldNames()[0]
+    single = packed.select(*names, F.explode(F.col(f"series.{layer}")).alias(layer))
+    return single.groupBy(*names).agg(F.sort_array(F.collect_set(layer)).alias("layers"))
+
+
+def unfold_series(samples: DataFrame, layers: DataFrame) -> DataFrame:
+    """Sampled series as one row per layer of their variable (``series_layers``); layers that one lacks give NULL.
+
+    The list of layers is one small array per variable, read inside the plan.
+    """
+    names = [c for c in layers.columns if c != "layers"]
+    entry = samples.schema["series"].dataType.elementType
+    layer, value = entry.fieldNames()
+    known = layers.agg(F.collect_list(F.struct(*names, "layers"))).scalar()
+
+    def of_variable(candidate: Column) -> Column:
+        matches = F.lit(True)
+        for c in names:
+            matches = matches & candidate[c].eqNullSafe(F.col(c))
+        return matches
+
+    held = F.coalesce("series", F.array().cast(samples.schema["series"].dataType))
+    listed = samples.withColumns({"_known": known, "series": held})
+    listed = listed.withColumn("_every", F.get(F.filter("_known", of_variable), F.lit(0))["layers"])
+    absent = F.transform(
+        F.array_except("_every", F.col(f"series.{layer}")),
+        lambda k: F.struct(k.alias(layer), F.lit(None).cast(entry[value].dataType).alias(value)),
+    )
+    kept = [c for c in samples.columns if c != "series"]
+    return listed.select(*kept, F.inline(F.concat("series", absent)))
+
+
+def sample_grid(
+    points: DataFrame,
+    grid: DataFrame,
+    geometry: GridGeometry,
+    id_column: str = "rwl",
+    lon: str = "longitude",
+    lat: str = "latitude",
+    points_per_salt: int = POINTS_PER_SALT,
+) -> DataFrame:
+    """Value of the containing cell for every point and every layer of the grid.
+
+    Every point has a row for every layer: points outside the grid, and layers
+    that a cell lacks, give NULL.  The cells with points are taken from the grid
+    first and packed to a row per cell and variable, which the points meet
+    (``sample_series``); layers are unfolded last and take part in no join.
+    """
+    names, layer = _layer_keys(grid)
+    placed = cells_of(points.select(lon, lat), geometry, lon, lat).select(*CELL).distinct()
+    packed = pack_grid(grid.join(_bounded(placed, geometry), CELL, "left_semi"))
+    # Variables and layers that only other cells have count too.
+    layers = grid.groupBy(*names).agg(F.sort_array(F.collect_set(layer)).alias("layers"))
+    samples = sample_series(points, packed, geometry, id_column, lon, lat, points_per_salt, layers)
+    return unfold_series(samples, layers)
 
 
 def sample_layer(
@@ -147,49 +236,94 @@ def rasterize_last(
     )
 
 
+# Cells along either side of a tile, besides its halo.
+TILE = 128
+
+
+def _between(position: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell before each position, and how far beyond its centre the position lies."""
+    clamped = np.clip(position, 0.0, float(size - 1))
+    low = np.minimum(np.floor(clamped), max(size - 2, 0)).astype(int)
+    return low, clamped - low
+
+
+def tiles(grid: DataFrame, keys: Sequence[str], side: int = TILE) -> DataFrame:
+    """The cells with a value as one row per tile (and ``keys``): arrays ``row``, ``col``, ``value``.
+
+    A tile has the first row and column of its neighbours to the south and east
+    as a halo, so a cell is in one tile, and in two or four where it is such an
+    edge.  A tile is bounded by its side.
+    """
+
+    def owners(cell: Column) -> Column:
+        tile = F.floor(cell / side).cast("int")
+        return F.when((cell % side == 0) & (cell > 0), F.array(tile - 1, tile)).otherwise(F.array(tile))
+
+    present = F.col("value").isNotNull() & F.col("row").isNotNull() & F.col("col").isNotNull()
+    held = grid.filter(present).select(*keys, *CELL, "value", F.explode(owners(F.col("row"))).alias("tile_row"))
+    held = held.select("*", F.explode(owners(F.col("col"))).alias("tile_col"))
+    cells = F.collect_list(F.struct(*CELL, "value")).alias("_cells")
+    packed = held.groupBy(*keys, "tile_row", "tile_col").agg(cells)
+    return packed.select(*keys, "tile_row", "tile_col", *[F.col(f"_cells.{c}").alias(c) for c in (*CELL, "value")])
+
+
 def resample_bilinear(
-    grid: DataFrame, source: GridGeometry, target: GridGeometry, layer: str | None = "layer"
+    grid: DataFrame, source: GridGeometry, target: GridGeometry, layer: str | None = "layer", side: int = TILE
 ) -> DataFrame:
     """Values at the target cell centres, weighted from the four cells around.
 
     Centres beyond the outermost source centres take the nearest row or
     column.  Missing neighbours drop out and the other weights are rescaled.
+    The four cells of a centre are in one tile (``tiles``), so the grid is
+    shuffled once, with the halos, and no cell is looked up; the centres of a
+    tile follow from the two geometries.
     """
-    spark = grid.sparkSession
     keys = [layer] if layer else []
-    centres = spark.range(target.nrow * target.ncol).select(
-        F.floor(F.col("id") / target.ncol).cast("int").alias("trow"),
-        (F.col("id") % target.ncol).cast("int").alias("tcol"),
-    )
-
-    def split(position: Column, size: int, name: str) -> list[Column]:
-        clamped = F.greatest(F.lit(0.0), F.least(position, F.lit(float(size - 1))))
-        low = F.least(F.floor(clamped), F.lit(max(size - 2, 0))).cast("int")
-        return [low.alias(f"{name}0"), (clamped - low).alias(f"{name}f")]
-
-    y = (F.lit(source.ymax) - target.lat_of(F.col("trow"))) / source.yres - 0.5
-    x = (target.lon_of(F.col("tcol")) - F.lit(source.xmin)) / source.xres - 0.5
-    located = centres.select("trow", "tcol", *split(y, source.nrow, "y"), *split(x, source.ncol, "x"))
-    corners = F.array(
-        *[
-            F.struct(
-                (F.col("y0") + dy).alias("row"),
-                (F.col("x0") + dx).alias("col"),
-                (
-                    (F.col("yf") if dy else 1.0 - F.col("yf")) * (F.col("xf") if dx else 1.0 - F.col("xf"))
-                ).alias("w"),
-            )
-            for dy in (0, 1)
-            for dx in (0, 1)
-        ]
-    )
-    lookups = located.select("trow", "tcol", F.inline(corners)).filter(F.col("w") > 0.0)
-    return (
-        grid.filter(F.col("value").isNotNull())
-        .join(lookups, CELL)
-        .groupBy(*keys, F.col("trow").alias("row"), F.col("tcol").alias("col"))
-        .agg(F.try_divide(F.sum(F.col("value") * F.col("w")), F.sum("w")).alias("value"))
-    )
+    rows, cols = np.arange(target.nrow), np.arange(target.ncol)
+    lat, lon = target.ymax - (rows + 0.5) * target.yres, target.xmin + (cols + 0.5) * target.xres
+    y0, yf = _between((source.ymax - lat) / source.yres - 0.5, source.nrow)
+    x0, xf = _between((lon - source.xmin) / source.xres - 0.5, source.ncol)
+
+    def values(tile_row: int, tile_col: int, row: np.ndarray, col: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+        known = np.full((side + 1, side + 1), np.nan)
+        known[row - tile_row * side, col - tile_col * side] = value
+        r, c = np.flatnonzero(y0 // side == tile_row), np.flatnonzero(x0 // side == tile_col)
+        total, weight = np.zeros((len(r), len(c))), np.zeros((len(r), len(c)))
+        for down in (0, 1):
+            for right in (0, 1):
+                at = known[np.ix_(y0[r] - tile_row * side + down, x0[c] - tile_col * side + right)]
+                w = np.outer(yf[r] if down else 1.0 - yf[r], xf[c] if right else 1.0 - xf[c])
+                w = np.where(np.isnan(at), 0.0, w)
+                total += np.where(w > 0.0, at, 0.0) * w
+                weight += w
+        i, j = np.nonzero(weight > 0.0)
+        return r[i], c[j], total[i, j] / weight[i, j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tile = [batch.column(len(keys) + i)[k].as_py() for i in (0, 1)]
+                cells = [batch.column(len(keys) + i)[k].values.to_numpy(zero_copy_only=False) for i in (2, 3, 4)]
+                r, c, v = values(*tile, *cells)
+                same = [pa.repeat(batch.column(i)[k], len(r)) for i in range(len(keys))]
+                columns = [*same, pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(v)]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, *CELL, "value"])
+
+    packed = tiles(grid.withColumn("value", F.col("value").cast("double")), keys, side)
+    kind = T.StructType([packed.schema[k] for k in keys]).add("row", T.IntegerType()).add("col", T.IntegerType()).add("value", T.DoubleType())
+    return packed.mapInArrow(run, kind)
+
+
+def morton(row: Column, col: Column) -> Column:
+    """Place of a cell on the Z-order curve: the bits of row and column in turn, for up to 65,536 of either."""
+
+    def spread(value: Column) -> Column:
+        value = value.cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
+        return value
+
+    return F.shiftleft(spread(row), 1).bitwiseOR(spread(col))
 
 
 def layers_to_columns(grid: DataFrame, layers: Sequence[str]) -> DataFrame:

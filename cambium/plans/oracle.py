@@ -1187,3 +1187,7 @@ query(
     f"""SELECT {with_meta('rwl tree', 'n_years', 'growth_slope res_cor p_val')} FROM tree_slopes
     LEFT JOIN meta USING (rwl) LEFT JOIN cor_spearman USING (rwl, tree)""",
 )
+
+# Stored otherwise, the same rows.
+for _name, _stored in (("crop_grid", "crop_stored_grid"), ("sample_grid", "sample_stored_grid")):
+    ORACLE[_stored] = ORACLE[_name]

@@ -18,6 +18,7 @@ from cambium.plans import final_tables as final
 from cambium.plans import fixtures as fx
 from cambium.sources import catalogue as cat
 from cambium.sources import ring_text, tables
+from cambium.stages import stage_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +90,11 @@ class Inputs:
     def grid_monthly(self) -> DataFrame:
         return fx.grid_monthly(self.spark, self.sf_dir)
 
+    @cached_property
+    def stored_grid(self) -> DataFrame:
+        packed = grid.pack_grid(self.grid_monthly)
+        return tables.store_grid(packed, stage_folder(self.spark), row_group_bytes=1 << 14)
+
     @cached_property
     def grid_static(self) -> DataFrame:
         return fx.grid_static(self.spark, self.sf_dir)
@@ -587,11 +593,24 @@ def crop_grid(x):
     return rounded(grid.crop(x.grid_monthly, fx.GRID, (0.0, 20.0, 40.0, 60.0)))
 
 
+@query
+def crop_stored_grid(x):
+    """The same box out of a grid that is stored packed, along the Z-order curve."""
+    cells = grid.crop(x.stored_grid, fx.GRID, (0.0, 20.0, 40.0, 60.0))
+    return rounded(cells.select("variable", *grid.CELL, F.inline("series")))
+
+
 @query
 def sample_grid(x):
     return rounded(x.samples)
 
 
+@query
+def sample_stored_grid(x):
+    samples = grid.sample_series(x.points, x.stored_grid, fx.GRID)
+    return rounded(grid.unfold_series(samples, grid.series_layers(x.stored_grid)))
+
+
 @query
 def distinct_points(x):
     return rounded(grid.distinct_points(x.points))

@@ -48,6 +48,22 @@ def read_point_grid_csv(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("seq", F.monotonically_increasing_id())
 
 
+def store_grid(grid: DataFrame, path: str, files: int | None = None, row_group_bytes: int = 1 << 20) -> DataFrame:
+    """Write a packed grid (``grid.pack_grid``) along the Z-order curve, and go on from the table.
+
+    Files and row groups then hold compact patches of cells, so that a box of
+    rows and columns (``grid.crop``) is told from their least and greatest
+    values, and the others are not read.
+    """
+    from cambium.operators.grid import morton
+
+    place = morton(F.col("row"), F.col("col"))
+    dealt = grid.repartitionByRange(files, place) if files else grid.repartitionByRange(place)
+    ordered = dealt.withColumn("_place", place).sortWithinPartitions("_place").drop("_place")
+    ordered.write.mode("overwrite").option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", 100).parquet(path)
+    return read_table(grid.sparkSession, path)
+
+
 def cast_points(points: DataFrame) -> DataFrame:
     number = ["lon", "lat", "mainc_code", "kg"]
     return points.select(

@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from cambium.functions import months
 from cambium.operators import climate, grid
+from cambium.sources import tables
 
 GEO = grid.GridGeometry(xmin=0.0, ymax=4.0, xres=1.0, yres=1.0, nrow=4, ncol=5)
 
@@ -48,6 +50,75 @@ def test_a_crowded_cell_keeps_all_its_points(spark, plane):
     assert got.filter("value <> 0").count() == 0
 
 
+def test_no_layer_is_joined_or_lost(spark):
+    """Cells without some layers, cells without points, points without cells, and a variable that no point has."""
+    rng = np.random.default_rng(2)
+    rows = [(v, r, c, k, float(rng.normal())) for v in ("pre", "tmp") for r in range(4) for c in range(5) for k in range(1, 13) if rng.random() < 0.6]
+    rows += [("far", 0, 0, 99, 1.0), ("pre", 1, 1, 7, None), ("pre", 1, 1, 7, 5.0)]
+    cells = spark.createDataFrame(rows, "variable string, row int, col int, layer int, value double")
+    spots = [(f"p{i:02d}", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0.5, 6.0, (30, 2)))] + [("none", None, None)]
+    points = spark.createDataFrame(spots, "rwl string, longitude double, latitude double")
+    inside = {p: (int(4.0 - y), int(x)) for p, x, y in spots if x is not None and x <= 5.0 and y <= 4.0}
+    layers = {(v, k) for v, _, _, k, _ in rows}
+    want = []
+    for p, _, _ in spots:
+        for v, k in layers:
+            own = [z for w, r, c, m, z in rows if (w, m) == (v, k) and (r, c) == inside.get(p)]
+            want += [(p, v, k, z) for z in own or [None]]
+    packed = grid.pack_grid(cells)
+    unfolded = grid.unfold_series(grid.sample_series(points, packed, GEO, points_per_salt=2), grid.series_layers(packed))
+    for got in (grid.sample_grid(points, cells, GEO, points_per_salt=2), unfolded):
+        found = sorted((tuple(r) for r in got.select("rwl", "variable", "layer", "value").collect()), key=repr)
+        assert found == sorted(want, key=repr)
+        joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+        assert joins and not any("layer" in line for line in joins)
+
+
+def test_a_box_of_a_stored_grid_skips_files_and_row_groups(spark, tmp_path):
+    cells = spark.range(128 * 128).selectExpr("'pre' AS variable", "int(id div 128) AS row", "int(id % 128) AS col", "int(1) AS layer", "double(id) AS value")
+    wide = grid.GridGeometry(xmin=0.0, ymax=128.0, xres=1.0, yres=1.0, nrow=128, ncol=128)
+    stored = tables.store_grid(grid.pack_grid(cells), str(tmp_path / "g"), files=4, row_group_bytes=1 << 13)
+    box = grid.crop(stored, wide, (70.0, 90.0, 20.0, 40.0))
+    assert box.count() == 400
+    groups = touched = 0
+    for path in (tmp_path / "g").glob("*.parquet"):
+        meta = pq.ParquetFile(path).metadata
+        for i in range(meta.num_row_groups):
+            spans = {meta.row_group(i).column(j).path_in_schema: meta.row_group(i).column(j).statistics for j in range(3)}
+            groups += 1
+            touched += spans["row"].max >= 88 and spans["row"].min <= 107 and spans["col"].max >= 70 and spans["col"].min <= 89
+    assert groups > 10 and 0 < touched < groups / 3
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = grid.crop(stored, wide, (70.0, 90.0, 20.0, 40.0))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan.split("PushedFilters:")[1]
+    assert "GreaterThanOrEqual(row,88)" in pushed and "LessThanOrEqual(col,89)" in pushed
+
+
+@pytest.mark.parametrize("side", [1, 3, 4, 128])
+def test_tiles_of_any_side_give_the_same(spark, side):
+    rng = np.random.default_rng(side)
+    source = grid.GridGeometry(xmin=-3.0, ymax=9.0, xres=1.5, yres=1.0, nrow=9, ncol=7)
+    target = grid.GridGeometry(xmin=-4.0, ymax=10.0, xres=0.7, yres=0.45, nrow=24, ncol=20)
+    known = {(k, r, c): float(rng.normal()) for k in "ab" for r in range(9) for c in range(7) if rng.random() < 0.8}
+    cells = spark.createDataFrame([(*k, v) for k, v in known.items()] + [("a", 0, 0, None), ("a", None, 1, 2.0)], "layer string, row int, col int, value double")
+    got = {(r["layer"], r["row"], r["col"]): r["value"] for r in grid.resample_bilinear(cells, source, target, side=side).collect()}
+    want = {}
+    for k in "ab":
+        for i in range(24):
+            for j in range(20):
+                y = min(max((9.0 - (10.0 - (i + 0.5) * 0.45)) / 1.0 - 0.5, 0.0), 8.0)
+                x = min(max((-4.0 + (j + 0.5) * 0.7 + 3.0) / 1.5 - 0.5, 0.0), 6.0)
+                y0, x0 = min(int(y), 7), min(int(x), 5)
+                near = [((k, y0 + a, x0 + b), (y - y0 if a else 1 - y + y0) * (x - x0 if b else 1 - x + x0)) for a in (0, 1) for b in (0, 1)]
+                near = [(known[c], w) for c, w in near if w > 0 and c in known]
+                if near:
+                    want[k, i, j] = sum(v * w for v, w in near) / sum(w for _, w in near)
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
+
+
 def test_crop_by_cell_centre(plane):
     cells = {(r["row"], r["col"]) for r in grid.crop(plane, GEO, (1.0, 3.0, 0.0, 1.5)).collect()}
     assert cells == {(2, 1), (2, 2), (3, 1), (3, 2)}
