@@ -248,6 +248,25 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(F.to_json(F.struct(F.array(study).alias("study"))).alias("document"))
 
 
+def ragged_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with a field more in every study, and with the first ``variables`` a text, missing, null or a number."""
+    key = F.regexp_extract("document", r'"NOAAStudyId":"(\d+)"', 1).cast("bigint")
+    first = r'^(.*?)"variables":\[[^\]]*\],?'
+
+    def changed(to: str) -> Column:
+        return F.regexp_replace("document", first, f"$1{to}")
+
+    ragged = (
+        F.when(key % 6 == 1, changed('"variables":"width"'))
+        .when(key % 6 == 2, changed('"was":"variables"'))
+        .when(key % 6 == 3, changed('"variables":null'))
+        .when(key % 6 == 4, changed('"variables":[7,{"cvWhat":["x"]}]'))
+        .otherwise(F.col("document"))
+    )
+    noted = F.regexp_replace(ragged, r'"NOAAStudyId":', F.concat(F.lit('"note":{"of":'), key.cast("string"), F.lit('},"NOAAStudyId":')))
+    return catalogue(spark, sf_dir).select(noted.alias("document"))
+
+
 def plain_lines(widths: DataFrame, id_width: int = 8, year_width: int = 4) -> DataFrame:
     """Decade lines in hundredths made field by field, blank where a year has no ring; no stop marker."""
     decade = F.floor(F.col("year") / 10).cast("int")

@@ -1056,6 +1056,12 @@ query(
     "studies",
     f"SELECT DISTINCT {_FILE}, 'Good' AS status FROM studies WHERE key % 4 <> 0 AND key % 13 <> 0",
 )
+query(
+    "catalogue_variant",
+    "studies",
+    """SELECT CAST(key AS VARCHAR) AS NOAAStudyId, number || '-' || key AS NOAASiteId, c_name || CASE WHEN key % 6 = 0 THEN ' - other' ELSE ' - ITRDB' END AS studyName,
+        CAST(key AS BIGINT) AS note, CAST(key % 4 <> 0 AND (number = 2 OR key % 6 NOT IN (1, 2, 3, 4)) AS BIGINT) AS n_files FROM studies""",
+)
 view("rings3", "ring_width", "SELECT rwl, tree, year, round(width, 3) AS width FROM ring_width")
 _DECIMALS = "length(rtrim(split_part(CAST(CAST(width AS DECIMAL(38, 9)) AS VARCHAR), '.', 2), '0'))"
 view(
@@ -1191,3 +1197,32 @@ query(
 # Stored otherwise, the same rows.
 for _name, _stored in (("crop_grid", "crop_stored_grid"), ("sample_grid", "sample_stored_grid")):
     ORACLE[_stored] = ORACLE[_name]
+
+# ---- sources and sinks ----------------------------------------------------------------------
+
+query(
+    "ring_files_chosen",
+    "rings3 precision meta",
+    """SELECT rwl, tree, CAST(year AS BIGINT) AS year, round(round(width * per_mm) / per_mm, 6) AS width
+    FROM rings3 JOIN precision USING (rwl) WHERE rwl IN (SELECT rwl FROM meta WHERE species_code = 'EURO')""",
+)
+query("ring_file_inventory", "ring_width", "SELECT DISTINCT rwl, true AS has_text FROM ring_width")
+query(
+    "rerun_after_failure",
+    "ring_width",
+    f"""SELECT {out('rwl tree', 'year n_versions n_rows', 'width')} FROM (SELECT *, 2 AS n_versions, count(*) OVER () AS n_rows FROM ring_width WHERE year >= 1950)""",
+)
+query(
+    "csv_round_trip",
+    "ring_width",
+    f"""SELECT {out('rwl tree', 'year', 'width')} FROM (SELECT rwl, tree, year, CASE WHEN year % 25 = 0 OR (CAST(substr(tree, 2) AS BIGINT) % 10 = 0 AND year % 20 = 0)
+        THEN NULL ELSE width END AS width FROM ring_width)""",
+)
+query(
+    "grid_tables",
+    "grid_monthly grid_static",
+    f"""SELECT {out('name', 'n row col', 'total')} FROM (
+        SELECT variable || ' ' || layer AS name, count(value) AS n, max(row) AS row, max(col) AS col, sum(value) AS total FROM grid_monthly GROUP BY 1
+        UNION ALL SELECT layer, count(value), max(row), max(col), sum(value) FROM grid_static GROUP BY 1)""",
+)
+ORACLE["bucketed_tree_stats"] = ORACLE["tree_stats"]

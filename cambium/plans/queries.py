@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cambium import schemas
 from cambium.functions import months
 from cambium.functions.numeric import decimals
 from cambium.operators import chronology as chron
@@ -18,7 +19,7 @@ from cambium.plans import final_tables as final
 from cambium.plans import fixtures as fx
 from cambium.sources import catalogue as cat
 from cambium.sources import ring_text, tables
-from cambium.stages import stage_folder
+from cambium.stages import stage, stage_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -663,6 +664,18 @@ def raw_file_list(x):
     return rounded(cat.raw_files(x.sites))
 
 
+@query
+def catalogue_variant(x):
+    """Sites and their raw files in documents whose fields vary in shape, with a field that no schema names."""
+    documents = fx.ragged_catalogue(x.spark, x.sf_dir).union(x.spark.range(1).select(F.lit("no {json").alias("document")))
+    sites = cat.explode_sites(cat.parse_variants(documents, "document"))
+    files = cat.raw_files(sites.withColumn("NOAAStudyId", F.col("NOAASiteId")))
+    counted = files.groupBy(F.col("NOAAStudyId").alias("NOAASiteId")).agg(F.count(F.lit(1)).alias("n_files"))
+    note = F.try_variant_get("study", "$.note.of", "bigint").alias("note")
+    listed = sites.select("NOAAStudyId", "NOAASiteId", "studyName", note).join(counted, "NOAASiteId", "left")
+    return rounded(listed.withColumn("n_files", F.coalesce("n_files", F.lit(0))))
+
+
 @query
 def usable_files(x):
     files = cat.raw_files(x.sites)
@@ -681,7 +694,68 @@ def ring_file_status(x):
     """Read status and line counts where every fifth site's lines are damaged."""
     bad = F.col("rwl").substr(2, 2).cast("int") % 5 == 0
     lines = fx.plain_lines(x.widths).withColumn("line", F.when(bad, F.translate("line", "0123", "abcd")).otherwise(F.col("line")))
-    return rounded(ring_text.file_status(ring_text.scan_lines(lines)))
+    return rounded(ring_text.file_status(stage(ring_text.scan_lines(lines))))
+
+
+@query
+def ring_files_chosen(x):
+    """Ring files written to the shared folder, of which only those of the chosen sites are read."""
+    folder = stage_folder(x.spark)
+    ring_text.write_ring_files(x.widths.withColumn("width", F.round("width", 3)), folder)
+    chosen = ring_text.named_sites(cat.site_filter(x.metadata, species="EURO"))
+    widths, _ = ring_text.read_ring_files(x.spark, folder, suffix="*.txt", sites=chosen)
+    return rounded(widths)
+
+
+@query
+def ring_file_inventory(x):
+    """Sites of the files of a folder, told from the listing alone."""
+    folder = stage_folder(x.spark)
+    ring_text.write_ring_files(x.widths.withColumn("width", F.round("width", 3)), folder)
+    files = tables.file_inventory(x.spark, folder, "*.txt")
+    return files.groupBy("rwl").agg((F.sum("length") > 0).alias("has_text"))
+
+
+@query
+def rerun_after_failure(x):
+    """A stored table after a rerun that failed halfway, and one that read the table it wrote."""
+    path = stage_folder(x.spark)
+    stored = tables.store(x.widths, path)
+    broken = stored.withColumn("width", F.when(F.col("year") % 50 == 0, F.raise_error(F.lit("stopped"))).otherwise(F.col("width")))
+    try:
+        tables.store(broken, path)
+    except Exception as e:  # noqa: BLE001
+        if "stopped" not in str(e):
+            raise
+    tables.store(tables.read_version(x.spark, path).filter("year >= 1950"), path)
+    current = tables.read_version(x.spark, path)
+    kept = tables.versions(x.spark, path).agg(F.count(F.lit(1)).alias("n_versions"), F.max_by("n_rows", "sequence").alias("n_rows"))
+    return rounded(current.withColumn("_k", F.lit(1)).join(kept.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+
+
+@query
+def csv_round_trip(x):
+    folder = stage_folder(x.spark)
+    tables.write_table(x.coded.withColumn("width", F.when(F.col("width") > 0.01, F.col("width"))), folder, "csv")
+    return rounded(tables.read_table_csv(x.spark, folder, schemas.RING_WIDTH))
+
+
+@query
+def grid_tables(x):
+    """Both kinds of grid tables written and read with their schemas."""
+    monthly, static = stage_folder(x.spark), stage_folder(x.spark)
+    tables.write_table(x.grid_monthly, monthly)
+    tables.write_table(x.grid_static, static)
+    read = tables.read_monthly_grid(x.spark, monthly).withColumn("name", F.concat("variable", F.lit(" "), "layer")).drop("variable", "layer")
+    both = read.unionByName(tables.read_static_grid(x.spark, static).withColumnRenamed("layer", "name"))
+    return rounded(both.groupBy("name").agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.max("row").alias("row"), F.max("col").alias("col")))
+
+
+@query
+def bucketed_tree_stats(x):
+    """Statistics of trees from a table that is bucketed by tree."""
+    stored = tables.store_by_tree(x.widths, "cambium_query_rings", stage_folder(x.spark), 4)
+    return rounded(growth.tree_stats(stored))
 
 
 @query
@@ -733,7 +807,7 @@ def last_year_range(x):
 @query
 def filter_counts(x):
     meta = x.metadata
-    return rounded(tables.filter_counts(meta, cat.site_filter(meta, species="EURO")))
+    return rounded(tables.condition_counts(meta, cat.site_condition(species="EURO"), "rwl"))
 
 
 @query

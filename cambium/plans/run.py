@@ -2,12 +2,13 @@
 
 Each stage is written once and the next one reads the written table.  That cuts
 the lineage, so a lost executor never recomputes earlier stages, and every
-table is computed once however many later ones use it.
+table is computed once however many later ones use it.  Tables are stored in
+versions, so a run that fails leaves those of the run before, and may read them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from cambium.operators import chronology, climate, grid, growth, interseries, pointer, resilience, series, spline
 from cambium.operators.skew import lookup_join
 from cambium.plans import final_tables as final
-from cambium.sources import tables
+from cambium.sources import catalogue, ring_text, tables
 
 
 @dataclass(frozen=True)
@@ -43,14 +44,22 @@ class Settings:
     table_prefix: str = "cambium_"
     # Write the final tables as CSV too, to ``<name>_csv``.
     csv: bool = False
+    # Names of ring files, and whether the rings of an import are written as text again, to ``rings``.
+    ring_suffix: str = "*.rwl"
+    rewrite_rings: bool = True
 
 
 @dataclass
 class Sources:
-    """What a run reads.  ``read_flags`` lists the files that could not be read."""
+    """What a run reads.
 
-    widths: DataFrame
-    metadata: DataFrame
+    Either ``studies`` of a catalogue and the folder ``rings`` of its ring
+    files, or ``widths`` and ``metadata`` as tables; ``read_flags`` then lists
+    the files that could not be read.
+    """
+
+    widths: DataFrame | None = None
+    metadata: DataFrame | None = None
     grid_monthly: DataFrame | None = None
     grid_static: DataFrame | None = None
     geometry: grid.GridGeometry | None = None
@@ -59,6 +68,8 @@ class Sources:
     species_groups: DataFrame | None = None
     sites: DataFrame | None = None
     read_flags: DataFrame | None = None
+    studies: DataFrame | None = None
+    rings: str | None = None
 
 
 @dataclass
@@ -92,6 +103,30 @@ class Store:
         return self.tables[name]
 
 
+def import_stage(spark: SparkSession, src: Sources, out: Store, conf: Settings) -> Sources:
+    """From a catalogue and a folder of ring files to widths, metadata and the two tables of the catalogue.
+
+    Files of other sites are not opened.  A study with a file that cannot be
+    read, or is not there, is dropped as a whole; the rings of the others are
+    written as text again, each site in the precision of its first series.
+    """
+    sites = catalogue.filter_catalogue(catalogue.explode_sites(src.studies))
+    listed = out.put_final("site_catalogue", catalogue.site_metadata(sites))
+    files = out.put_final("raw_files", catalogue.raw_files(sites))
+    named = files.select(catalogue.site_of_file().alias("rwl"))
+    widths, status = ring_text.read_ring_files(
+        spark, src.rings, catalogue.long_sites(files), conf.ring_suffix, ring_text.named_sites(named)
+    )
+    checked = out.put("file_checks", catalogue.file_checks(files, status))
+    usable = catalogue.usable_files(files, checked).select(catalogue.site_of_file().alias("rwl")).distinct()
+    widths = out.put("imported_widths", lookup_join(widths, usable, "rwl", "tree", "left_semi"))
+    if conf.rewrite_rings:
+        ring_text.write_ring_files(widths, f"{out.path}/rings")
+    metadata = catalogue.analysis_metadata(listed)
+    failed = status.join(named.distinct(), "rwl", "left_semi")
+    return replace(src, widths=widths, metadata=metadata, read_flags=ring_text.read_flags(failed))
+
+
 def _usable(out: Store) -> DataFrame:
     """Rings of the sites without a growth flag."""
     flagged = out["growth_trend_flags"].select("rwl").distinct()
@@ -194,6 +229,8 @@ def final_stage(src: Sources, out: Store, conf: Settings) -> None:
 def run(spark: SparkSession, src: Sources, path: str, conf: Settings = Settings()) -> dict[str, DataFrame]:
     """Run all stages and return the written tables by name."""
     out = Store(path, conf)
+    if src.studies is not None:
+        src = import_stage(spark, src, out, conf)
     growth_stage(src, out, conf)
     if src.grid_monthly is not None:
         climate_stage(src, out, conf)

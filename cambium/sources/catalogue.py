@@ -18,12 +18,18 @@ EXCLUDED_LINK = "-noaa"
 RING_WIDTH_VARIABLE = "physical property>width>total ring width"
 
 
-def read_catalogue(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
-    """Studies from a search response, or from JSON lines (one study each, splittable)."""
+def read_catalogue(spark: SparkSession, path: str, one_document: bool = True, tolerant: bool = False) -> DataFrame:
+    """Studies from a search response, or from JSON lines (one study each, splittable).
+
+    ``tolerant`` takes documents whose fields vary in shape (``parse_variants``).
+    """
+    text = spark.read.text(path, wholetext=one_document)
+    if tolerant:
+        wrapped = F.col("value") if one_document else F.concat(F.lit('{"study":['), F.col("value"), F.lit("]}"))
+        return parse_variants(text.select(wrapped.alias("value")), "value")
     if not one_document:
-        return spark.read.text(path).select(F.from_json("value", schemas.STUDY).alias("s")).select("s.*")
-    document = spark.read.text(path, wholetext=True)
-    return parse_documents(document, "value")
+        return text.select(F.from_json("value", schemas.STUDY).alias("s")).select("s.*")
+    return parse_documents(text, "value")
 
 
 def parse_documents(documents: DataFrame, column: str) -> DataFrame:
@@ -32,6 +38,66 @@ def parse_documents(documents: DataFrame, column: str) -> DataFrame:
     return parsed.select(F.explode("d.study").alias("s")).select("s.*")
 
 
+def _part(of: Column, path: str, kind: str) -> Column:
+    """A field of a variant in the kind that is wanted, NULL where it is missing or is something else."""
+    return F.try_variant_get(of, f"$.{path}", kind)
+
+
+def _struct(of: Column, **kinds: str) -> Column:
+    return F.struct(*[_part(of, name, kind).alias(name) for name, kind in kinds.items()])
+
+
+def _variant_data_set(data: Column) -> Column:
+    def data_file(file: Column) -> Column:
+        variables = F.transform(_part(file, "variables", "array<variant>"), lambda v: _struct(v, cvWhat="string", cvUnit="string"))
+        texts = [_part(file, name, "string").alias(name) for name in ("linkText", "urlDescription", "fileUrl")]
+        return F.struct(*texts, variables.alias("variables"))
+
+    species = F.transform(_part(data, "species", "array<variant>"), lambda s: _struct(s, speciesCode="string", scientificName="string"))
+    files = F.transform(_part(data, "dataFile", "array<variant>"), data_file)
+    return F.struct(_part(data, "timeUnit", "string").alias("timeUnit"), species.alias("species"), files.alias("dataFile"))
+
+
+def _variant_site(site: Column) -> Column:
+    coordinates = F.struct(_part(site, "geo.geometry.coordinates", "array<string>").alias("coordinates")).alias("geometry")
+    elevation = F.struct(_part(site, "geo.properties.minElevationMeters", "string").alias("minElevationMeters")).alias("properties")
+    data = F.transform(_part(site, "paleoData", "array<variant>"), _variant_data_set)
+    texts = [_part(site, name, "string").alias(name) for name in ("NOAASiteId", "siteName", "locationName")]
+    return F.struct(*texts, F.struct(coordinates, elevation).alias("geo"), data.alias("paleoData"))
+
+
+# The fields of a study besides its publications and sites, with their kinds.
+STUDY_FIELDS = {
+    "NOAAStudyId": "string",
+    "studyName": "string",
+    "studyCode": "string",
+    "investigators": "string",
+    "doi": "string",
+    "contributionDate": "date",
+    "onlineResourceLink": "string",
+    "earliestYearCE": "int",
+    "mostRecentYearCE": "int",
+}
+
+
+def parse_variants(documents: DataFrame, column: str) -> DataFrame:
+    """Catalogue documents of varying shape to one row per study, as ``parse_documents`` has them.
+
+    Every field is taken by itself out of a VARIANT.  One that is missing or
+    has another shape, like ``variables`` that are no list, is NULL and takes
+    nothing else with it; fields that no one asks for stay in ``study``.  Text
+    that is no JSON gives no study.
+    """
+    parsed = documents.select(F.try_parse_json(column).alias("d"))
+    study = parsed.select(F.explode(_part(F.col("d"), "study", "array<variant>")).alias("study"))
+    s = F.col("study")
+    publications = F.transform(_part(s, "publication", "array<variant>"), lambda p: _struct(p, citation="string"))
+    sites = F.transform(_part(s, "site", "array<variant>"), _variant_site)
+    return study.select(
+        *[_part(s, name, kind).alias(name) for name, kind in STUDY_FIELDS.items()], publications.alias("publication"), sites.alias("site"), "study"
+    )
+
+
 def explode_sites(studies: DataFrame) -> DataFrame:
     """One row per study and site, the grain of everything that follows."""
     study = [c for c in studies.columns if c != "site"]
@@ -141,27 +207,39 @@ def usable_files(files: DataFrame, status: DataFrame) -> DataFrame:
     return files.distinct().join(good, ["NOAAStudyId", "linkText"])
 
 
-def site_filter(
-    metadata: DataFrame,
-    species: str | None = None,
-    country: str | None = None,
-    min_last: int | None = None,
-    max_last: int | None = None,
-) -> DataFrame:
-    """Site ids chosen by species, country and range of the last year."""
-    chosen = metadata
-    if species is not None:
-        chosen = chosen.filter(F.col("species_code") == species)
-    if country is not None:
-        chosen = chosen.filter(F.col("country") == country)
-    if min_last is not None:
-        chosen = chosen.filter(F.col("last_year") >= min_last)
-    if max_last is not None:
-        chosen = chosen.filter(F.col("last_year") <= max_last)
-    return chosen.select("rwl").distinct()
+def site_condition(
+    species: str | None = None, country: str | None = None, min_last: int | None = None, max_last: int | None = None
+) -> Column:
+    """Choice of sites by species, country and range of the last year; what is not given does not matter."""
+    wanted = {
+        "species_code": species and (F.col("species_code") == species),
+        "country": country and (F.col("country") == country),
+        "first": None if min_last is None else F.col("last_year") >= min_last,
+        "last": None if max_last is None else F.col("last_year") <= max_last,
+    }
+    chosen = F.lit(True)
+    for condition in wanted.values():
+        chosen = chosen if condition is None else chosen & condition
+    return chosen
+
+
+def site_filter(metadata: DataFrame, **wanted) -> DataFrame:
+    """Site ids chosen by ``site_condition``."""
+    return metadata.filter(site_condition(**wanted)).select("rwl").distinct()
+
+
+def site_of_file() -> Column:
+    """Site id of a listed file: its name without the suffix, as ``ring_text.site_of_path`` has it."""
+    return F.lower(F.regexp_replace("linkText", r"\.[^.]*$", ""))
 
 
 def long_sites(files: DataFrame, before: int = -999) -> DataFrame:
     """Sites whose files use the long text variant: those that start before -999."""
-    name = F.lower(F.regexp_replace("linkText", r"\.[^.]*$", ""))
-    return files.filter(F.col("first_year") < before).select(name.alias("rwl")).distinct()
+    return files.filter(F.col("first_year") < before).select(site_of_file().alias("rwl")).distinct()
+
+
+def file_checks(files: DataFrame, status: DataFrame) -> DataFrame:
+    """``(NOAAStudyId, linkText, status)`` of every listed file from the status by site; what was not found is an error."""
+    listed = files.select("NOAAStudyId", "linkText", site_of_file().alias("rwl")).distinct()
+    checked = listed.join(status.select("rwl", "status"), "rwl", "left")
+    return checked.select("NOAAStudyId", "linkText", F.coalesce("status", F.lit("Error")).alias("status"))

@@ -9,6 +9,8 @@ a ring.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,12 +18,15 @@ from pyspark.sql.window import Window
 from cambium.functions.numeric import decimals
 from cambium.operators.growth import TREE
 from cambium.operators.skew import lookup_join
+from cambium.sources.tables import file_inventory
+from cambium.stages import stage
 
 # Fixed values of the text format.
 ID_WIDTH, YEAR_WIDTH, VALUE_WIDTH, VALUES_PER_LINE = 8, 4, 6, 10
 STOP_HUNDREDTHS, STOP_THOUSANDTHS = 999, -9999
 MISSING = -999
 FLAG_READ = "reading rwl file failed"
+COUNTS = ["n_data", "n_header", "n_damaged", "n_overlap"]
 
 
 def site_of_path(path: Column) -> Column:
@@ -31,19 +36,30 @@ def site_of_path(path: Column) -> Column:
     return F.lower(F.when(folder != "", folder).otherwise(name))
 
 
-def read_ring_lines(spark: SparkSession, path: str, suffix: str = "*.rwl") -> DataFrame:
+# Sites that may be named in a plan; a longer choice reads all files and drops rows.
+SITES_NAMED = 20_000
+
+
+def named_sites(sites: DataFrame) -> list[str] | None:
+    """The ids of a choice of sites, for files to be chosen by, unless there are more than ``SITES_NAMED``."""
+    found = [r.rwl for r in sites.select("rwl").distinct().limit(SITES_NAMED + 1).collect()]
+    return found if len(found) <= SITES_NAMED else None
+
+
+def read_ring_lines(
+    spark: SparkSession, path: str, suffix: str = "*.rwl", sites: Sequence[str] | None = None
+) -> DataFrame:
     """All text lines below a folder with the site they belong to and their place in its file.
 
     Places grow along a file: splits are ordered by where they begin, lines of
-    a split by the order in which its task reads them.
+    a split by the order in which its task reads them.  Given ``sites``, files
+    of others are left out when files are listed, and never opened.
     """
     place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
-    return (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", suffix)
-        .text(path)
-        .select(site_of_path(F.col("_metadata.file_path")).alias("rwl"), F.col("value").alias("line"), place.alias("place"))
-    )
+    site = site_of_path(F.col("_metadata.file_path"))
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).text(path)
+    chosen = text if sites is None else text.filter(site.isin(list(sites)))
+    return chosen.select(site.alias("rwl"), F.col("value").alias("line"), place.alias("place"))
 
 
 def _fields(line: Column, id_width: int) -> Column:
@@ -155,10 +171,10 @@ def file_status(scanned: DataFrame) -> DataFrame:
     counted = scanned.groupBy("rwl").agg(F.sum(F.when(F.col("is_data"), F.col("copies")).otherwise(0)).alias("n_data"))
     overlaps = decade_lines(scanned).groupBy("rwl").agg(F.count_if("overlap").alias("n_overlap"))
     known = counted.join(others, "rwl", "left").join(overlaps, "rwl", "left")
-    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_data", "n_header", "n_damaged", "n_overlap")]
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS]
     failed = (F.col("n_data") == 0) | (F.col("n_damaged") > 0) | (F.col("n_overlap") > 0)
     return known.select("rwl", *numbers).select(
-        "rwl", F.when(failed, "Error").otherwise("Good").alias("status"), "n_data", "n_header", "n_damaged", "n_overlap"
+        "rwl", F.when(failed, "Error").otherwise("Good").alias("status"), *COUNTS
     )
 
 
@@ -166,9 +182,9 @@ def read_flags(status: DataFrame) -> DataFrame:
     return status.filter(F.col("status") == "Error").select("rwl", F.lit(FLAG_READ).alias("flag"))
 
 
-def parse_ring_lines(lines: DataFrame, long_sites: DataFrame | None = None) -> DataFrame:
-    """Lines to ``(rwl, tree, year, width)``; rings coded as missing have no row."""
-    decades = decade_lines(scan_lines(lines, long_sites))
+def ring_rows(scanned: DataFrame) -> DataFrame:
+    """Scanned lines to ``(rwl, tree, year, width)``; rings coded as missing have no row."""
+    decades = decade_lines(scanned)
     return (
         decades.select(*TREE, "year", "per_mm", F.posexplode("values").alias("_i", "_v"))
         .filter(F.col("_v") >= 0)
@@ -176,15 +192,33 @@ def parse_ring_lines(lines: DataFrame, long_sites: DataFrame | None = None) -> D
     )
 
 
+def parse_ring_lines(lines: DataFrame, long_sites: DataFrame | None = None) -> DataFrame:
+    """Lines to ``(rwl, tree, year, width)`` (``ring_rows``)."""
+    return ring_rows(scan_lines(lines, long_sites))
+
+
 def read_ring_files(
-    spark: SparkSession, path: str, long_sites: DataFrame | None = None, suffix: str = "*.rwl"
+    spark: SparkSession,
+    path: str,
+    long_sites: DataFrame | None = None,
+    suffix: str = "*.rwl",
+    sites: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Widths of all readable files below ``path`` and the status of every file."""
-    lines = read_ring_lines(spark, path, suffix)
-    status = file_status(scan_lines(lines, long_sites))
-    widths = lookup_join(
-        parse_ring_lines(lines, long_sites), read_flags(status).select("rwl"), "rwl", "tree", "left_anti"
+    """Widths of all readable files below ``path`` (those of ``sites``) and the status of every file.
+
+    The files are read once: their scanned lines become a stage, from which
+    status and widths are taken.  A file of blank lines is an error too; it is
+    known from the listing of the folder (which leaves out files of no bytes).
+    """
+    scanned = stage(scan_lines(read_ring_lines(spark, path, suffix, sites), long_sites))
+    listed = file_inventory(spark, path, suffix).select("rwl").distinct()
+    listed = listed if sites is None else listed.filter(F.col("rwl").isin(list(sites)))
+    found = file_status(scanned)
+    empty = listed.join(found.select("rwl"), "rwl", "left_anti").select(
+        "rwl", F.lit("Error").alias("status"), *[F.lit(0).cast("bigint").alias(c) for c in COUNTS]
     )
+    status = stage(found.unionByName(empty))
+    widths = lookup_join(ring_rows(scanned), read_flags(status).select("rwl"), "rwl", "tree", "left_anti")
     return widths, status
 
 

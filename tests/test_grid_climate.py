@@ -81,7 +81,7 @@ def test_a_box_of_a_stored_grid_skips_files_and_row_groups(spark, tmp_path):
     box = grid.crop(stored, wide, (70.0, 90.0, 20.0, 40.0))
     assert box.count() == 400
     groups = touched = 0
-    for path in (tmp_path / "g").glob("*.parquet"):
+    for path in (tmp_path / "g").rglob("part-*.parquet"):
         meta = pq.ParquetFile(path).metadata
         for i in range(meta.num_row_groups):
             spans = {meta.row_group(i).column(j).path_in_schema: meta.row_group(i).column(j).statistics for j in range(3)}

@@ -1,10 +1,13 @@
+import json
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cambium.operators import grid, growth, pointer, resilience
 from cambium.plans import oracle, queries, run
-from cambium.sources import ring_text
+from cambium.sources import catalogue, ring_text, tables
 
 
 @pytest.fixture(scope="module")
@@ -108,6 +111,64 @@ def test_a_plain_run_writes_folders(spark, rings, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "ring_width")).count() == 135
 
 
+def catalogue_of(names, missing=()):
+    """A search response with a study per pair of names, each a site with one raw file per name."""
+    studies = []
+    for i, pair in enumerate(names):
+        files = [
+            {"linkText": f"{n.upper()}.rwl", "urlDescription": "Raw Measurements", "fileUrl": "u", "variables": [{"cvWhat": "physical property>width>total ring width", "cvUnit": "mm"}]}
+            for n in pair
+        ]
+        files.append({"linkText": "notes.txt", "urlDescription": "Notes", "fileUrl": "u", "variables": "none"})
+        site = {
+            "NOAASiteId": str(i), "siteName": pair[0], "locationName": "Continent>Europe>Northern Europe>Norway",
+            "geo": {"geometry": {"coordinates": [60 + i, 10.5]}, "properties": {"minElevationMeters": 100}},
+            "paleoData": [{"timeUnit": "CE", "species": [{"speciesCode": "PISY", "scientificName": "p"}], "dataFile": files}],
+        }
+        studies.append({
+            "NOAAStudyId": str(i), "studyName": "x - ITRDB", "studyCode": pair[0].upper(), "contributionDate": "2001-05-04",
+            "earliestYearCE": -1500 if pair[0] == "old" else 1900, "mostRecentYearCE": 1990, "publication": [], "site": [site],
+        })
+    return json.dumps({"study": studies})
+
+
+def test_from_a_catalogue_to_the_final_tables(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(site, f"t{t}", first + i, float(round(w, 3))) for site, first in (("aa", 1900), ("old", -1500), ("bad2", 1900), ("other", 1900)) for t in range(4) for i, w in enumerate(rng.random(60) + 0.5)]
+    widths = spark.createDataFrame(rows, "rwl string, tree string, year int, width double")
+    ring_text.write_ring_files(widths, str(tmp_path / "made"))
+    (tmp_path / "files").mkdir()
+    for site in ("aa", "old", "bad2", "other"):
+        text = "".join(p.read_text() for p in sorted((tmp_path / "made" / f"rwl={site}").glob("part-*")))
+        (tmp_path / "files" / f"{site}.rwl").write_text(text)
+    (tmp_path / "files" / "bad1.rwl").write_text("<html>\n")
+    (tmp_path / "c.json").write_text(catalogue_of([("aa",), ("old",), ("bad1", "bad2"), ("gone",)]))
+    studies = catalogue.read_catalogue(spark, str(tmp_path / "c.json"), tolerant=True)
+    src = run.Sources(studies=studies, rings=str(tmp_path / "files"))
+    conf = run.Settings(csv=True)
+    out = run.run(spark, src, str(tmp_path / "out"), conf)
+    assert {r["linkText"]: r["status"] for r in out["file_checks"].collect()} == {"AA.rwl": "Good", "OLD.rwl": "Good", "BAD1.rwl": "Error", "BAD2.rwl": "Good", "GONE.rwl": "Error"}
+    # a study with a file that cannot be read goes as a whole; files that no study lists are not read
+    want = {(s, t, y): w for s, t, y, w in rows if s in ("aa", "old")}
+    assert {(r["rwl"], r["tree"], r["year"]): round(r["width"], 6) for r in out["ring_width"].collect()} == want
+    assert spark.read.csv(str(tmp_path / "out" / "raw_files_csv"), header=True).count() == 5
+    assert spark.read.csv(str(tmp_path / "out" / "site_catalogue_csv"), header=True).count() == 4
+    again, _ = ring_text.read_ring_files(spark, str(tmp_path / "out" / "rings"), spark.createDataFrame([("old",)], "rwl string"), "*.txt")
+    assert {(r["rwl"], r["tree"], r["year"]): round(r["width"], 6) for r in again.collect()} == want
+    nine = {"site_growth_data", "site_year_chronologies", "site_year_resilience", "site_growth_trend", "tree_year_growth", "tree_growth_trend"}
+    assert nine <= set(out) and out["tree_year_growth"].count() == 480
+    assert {r["flag"] for r in out["tree_age"].filter("rwl = 'bad1'").collect()} == {"reading rwl file failed"}
+    # a run that fails leaves the tables of the run before, and the next may start from those
+    broken = run.Sources(widths=out["ring_width"].withColumn("width", F.raise_error(F.lit("stopped")).cast("double")), metadata=src.metadata)
+    with pytest.raises(Exception, match="stopped"):
+        run.run(spark, broken, str(tmp_path / "out"), conf)
+    kept = tables.read_version(spark, str(tmp_path / "out" / "ring_width"))
+    assert kept.count() == 480
+    sites = catalogue.analysis_metadata(out["site_catalogue"])
+    rerun = run.run(spark, run.Sources(widths=kept.filter("rwl = 'aa'"), metadata=sites), str(tmp_path / "out"), run.Settings())
+    assert rerun["ring_width"].count() == 240 and tables.versions(spark, str(tmp_path / "out" / "ring_width")).count() == 2
+
+
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(queries.QUERIES) <= set(entry.queries())

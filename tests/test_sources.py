@@ -243,3 +243,121 @@ def test_grid_tables_are_read_with_their_schema(spark, tmp_path):
     tables.write_table(static, str(tmp_path / "s"))
     assert tables.read_monthly_grid(spark, str(tmp_path / "m")).collect() == monthly.collect()
     assert tables.read_static_grid(spark, str(tmp_path / "s")).collect() == static.collect()
+
+
+def files_read(df):
+    """How many files the scans of a plan have opened, by their own metric."""
+    total = 0
+
+    def walk(node):
+        nonlocal total
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        if node.nodeName().startswith("Scan "):
+            total += node.metrics().get("numFiles").get().value()
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return total
+
+
+def test_files_of_other_sites_are_not_opened(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"Site{i:02d}.rwl").write_text(data("T1", 1990, 100 + i, 999) + "\n")
+    lines = ring_text.read_ring_lines(spark, str(tmp_path), sites=["site03", "site07", "nowhere"])
+    assert sorted(r["rwl"] for r in lines.collect()) == ["site03", "site07"]
+    assert files_read(lines) == 2
+    everything = ring_text.read_ring_lines(spark, str(tmp_path))
+    everything.collect()
+    assert files_read(everything) == 12
+    widths, status = ring_text.read_ring_files(spark, str(tmp_path), sites=["site03", "site07"])
+    assert widths_of(widths) == {("site03", "T1", 1990): 1.03, ("site07", "T1", 1990): 1.07}
+    assert {r["rwl"] for r in status.collect()} == {"site03", "site07"}
+    assert ring_text.named_sites(spark.createDataFrame([("a",), ("a",), ("b",)], "rwl string")) in (["a", "b"], ["b", "a"])
+
+
+def test_a_choice_of_too_many_sites_is_not_named(spark, monkeypatch):
+    monkeypatch.setattr(ring_text, "SITES_NAMED", 3)
+    assert ring_text.named_sites(spark.range(4).selectExpr("string(id) AS rwl")) is None
+
+
+def test_files_without_a_line_are_errors(spark, tmp_path):
+    (tmp_path / "empty.rwl").write_text("\n \n")
+    (tmp_path / "good.rwl").write_text(data("T1", 1990, 100, 999) + "\n")
+    _, status = ring_text.read_ring_files(spark, str(tmp_path))
+    assert {r["rwl"]: (r["status"], r["n_data"]) for r in status.collect()} == {"empty": ("Error", 0), "good": ("Good", 1)}
+
+
+def test_a_folder_is_read_once(spark, tmp_path):
+    (tmp_path / "good.rwl").write_text(data("T1", 1990, 100, 999) + "\n")
+    widths, status = ring_text.read_ring_files(spark, str(tmp_path))
+    for df in (widths, status):
+        assert "Scan text" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        tables.read_version(spark, path)
+    first = spark.range(10).withColumn("x", F.col("id") * 2)
+    assert tables.store(first, path).count() == 10
+    broken = tables.read_version(spark, path).withColumn("x", F.when(F.col("id") == 7, F.raise_error(F.lit("stopped"))).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="stopped"):
+        tables.store(broken, path)
+    assert tables.read_version(spark, path).count() == 10
+    # a rerun may read the table that it writes
+    assert tables.store(tables.read_version(spark, path).filter("id < 4"), path).count() == 4
+    assert tables.store(first.filter("id < 0"), path).count() == 0
+    known = tables.versions(spark, path).collect()
+    assert [(r["sequence"], r["n_rows"]) for r in known] == [(1, 10), (2, 4), (3, 0)]
+    assert tables.read_version(spark, path, known[0]["version"]).count() == 10
+    rings = spark.createDataFrame([("a", f"t{i % 3}", 1900 + i, 1.0) for i in range(9)], schemas.RING_WIDTH)
+    for n in (9, 5):
+        stored = tables.store_by_tree(rings.limit(n), "test_versions_rings", str(tmp_path / "b"), 2)
+        assert stored.count() == tables.read_version(spark, str(tmp_path / "b")).count() == n
+
+
+def test_condition_counts(spark):
+    df = spark.createDataFrame([("x", 1), ("x", 3), ("y", 2), ("y", None)], "k string, v int")
+    assert tuple(tables.condition_counts(df, F.col("v") > 1).first()) == (4, 2)
+    assert tuple(tables.condition_counts(df, F.col("v") > 0, "k").first()) == (4, 2)
+
+
+RAGGED = [
+    None,
+    "physical property>width>total ring width",
+    7,
+    {"cvWhat": "physical property>width>total ring width", "cvUnit": "mm"},
+    [],
+    [1, None, {"cvUnit": "mm"}, {"cvWhat": ["x"]}],
+]
+
+
+@pytest.mark.parametrize("one_document", [True, False])
+def test_variables_of_any_shape_drop_their_file_only(spark, tmp_path, one_document):
+    studies = []
+    for i, variables in enumerate([*RAGGED, "missing"]):
+        changed = study(NOAAStudyId=str(i), unknown={"of": i})
+        first = json.loads(json.dumps(changed["site"][0]))
+        file = first["paleoData"][0]["dataFile"][0]
+        file.pop("variables") if variables == "missing" else file.update(variables=variables)
+        changed["site"][0] = first
+        studies.append(changed)
+    studies += [study(NOAAStudyId=77, earliestYearCE="-12", site="none"), study(NOAAStudyId="78", site=[1, None]), 5, None]
+    text = json.dumps({"study": studies, "more": 1}) if one_document else "\n".join([*[json.dumps(s) for s in studies], "{broken"])
+    (tmp_path / "c.json").write_text(text)
+    read = cat.read_catalogue(spark, str(tmp_path / "c.json"), one_document, tolerant=True)
+    rows = {r["NOAAStudyId"]: r for r in read.selectExpr("*", "try_variant_get(study, '$.unknown.of', 'int') AS of").drop("study").collect()}
+    assert rows["3"]["of"] == 3 and rows["77"]["earliestYearCE"] == -12 and rows["77"]["site"] is None
+    sites = cat.explode_sites(read)
+    files = cat.raw_files(sites).groupBy("NOAAStudyId").count().collect()
+    # of two sites the second keeps its file; the first has lost its one raw file
+    assert {r["NOAAStudyId"]: r["count"] for r in files} == {str(i): 1 for i in range(7)}
+    strict = cat.explode_sites(cat.read_catalogue(spark, str(tmp_path / "good.json"))) if (tmp_path / "good.json").write_text(json.dumps({"study": [study()]})) else None
+    tolerant = cat.explode_sites(cat.read_catalogue(spark, str(tmp_path / "good.json"), tolerant=True))
+    for view in (cat.site_metadata, cat.raw_files):
+        assert view(tolerant).collect() == view(strict).collect()
