@@ -10,7 +10,7 @@ from fractions import Fraction
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm.common import running, settle
@@ -21,7 +21,8 @@ ROWS_PER_TASK = 10_000
 #: Slots that the task that schedules gives out at a time.
 SLOTS_PER_BATCH = 100_000
 
-_ROUND = "source string, kind int, at int, slot_in_round int, first_round long, first_slot long, slots_per_round long"
+#: Blocks that one task schedules, in a minute or two; of more bytes than these hold, each block holds more.
+MOST_BLOCKS = 20_000_000
 
 
 def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
@@ -72,48 +73,8 @@ def edf(blocks: Mapping[str, int], weights: Mapping[str, int]) -> Iterator[tuple
             heapq.heappush(waiting, (served(i + 1, weights[s]) // weights[s], s, i + 1))
 
 
-def edf_round(shares: Mapping[str, int]) -> list[str]:
-    """The source of each slot of one round, in which source s gets ``shares[s]`` of all slots (`edf`)."""
-    return [s for s, _ in edf(shares, shares)]
-
-
-def whole_shares(weights: Mapping[str, float], slots: int) -> dict[str, int]:
-    """Weights as whole numbers of at least 1 that sum to ``slots`` (largest remainders) or to the number of sources."""
-    slots = max(slots, len(weights))
-    total = math.fsum(weights.values())
-    spare = slots - len(weights)
-    exact = {s: max(0.0, w / total * slots - 1) for s, w in weights.items()}
-    scale = spare / s if (s := math.fsum(exact.values())) > 0 else 0
-    shares = {s: 1 + math.floor(x * scale) for s, x in exact.items()}
-    rest = sorted(exact, key=lambda s: (math.floor(exact[s] * scale) - exact[s] * scale, s))
-    for s in rest[: slots - sum(shares.values())]:
-        shares[s] += 1
-    return shares
-
-
-def schedule(blocks: Mapping[str, int], shares: Mapping[str, int]) -> tuple[list[int], list[tuple]]:
-    """Rounds of the mix: the first round of every kind, and a row for each slot of each kind of round.
-
-    Source s enters round k with min(share, what it has left) blocks. A round's make-up only changes where a source begins its
-    last blocks or has none left, so there are at most two kinds of round for each source and one more.
-    """
-    left = lambda s, k: max(0, min(shares[s], blocks[s] - shares[s] * k))
-    firsts = sorted({0} | {k for s in blocks for k in (blocks[s] // shares[s], -(-blocks[s] // shares[s])) if any(left(x, k) for x in blocks)})
-    rows, slot = [], 0
-    for kind, first in enumerate(firsts):
-        parts = {s: left(s, first) for s in blocks if left(s, first)}
-        n = sum(parts.values())
-        taken: dict[str, int] = dict.fromkeys(parts, 0)
-        for place, s in enumerate(edf_round(parts)):
-            rows.append((s, kind, taken[s], place, first, slot, n))
-            taken[s] += 1
-        if kind + 1 < len(firsts):
-            slot += n * (firsts[kind + 1] - first)
-    return firsts, rows
-
-
-def _by_weights(placed: DataFrame, blocks: Mapping[str, int], weights: Mapping[str, int]) -> tuple[DataFrame, Column]:
-    """``placed`` joined with the schedule of all blocks, and its column of slots."""
+def _scheduled(placed: DataFrame, blocks: Mapping[str, int], weights: Mapping[str, int]) -> DataFrame:
+    """``placed`` joined with the slot of every block, ``slot_of``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,22 +87,7 @@ def _by_weights(placed: DataFrame, blocks: Mapping[str, int], weights: Mapping[s
                     slot += len(part)
 
     plan = settle(placed.sparkSession.range(1, numPartitions=1).mapInArrow(run, "s string, b long, slot_of long"))
-    return placed.join(plan, (F.col("source") == F.col("s")) & (F.col("block") == F.col("b"))), F.col("slot_of")
-
-
-def _by_rounds(placed: DataFrame, blocks: Mapping[str, int], shares: Mapping[str, int]) -> tuple[DataFrame, Column]:
-    """``placed`` joined with the rounds of a schedule that repeats, and the column of slots."""
-    firsts, places = schedule(blocks, shares) if blocks else ([0], [])
-    share = F.create_map(*[F.lit(x) for s, q in shares.items() for x in (s, q)]) if shares else F.create_map(F.lit(""), F.lit(1))
-    # at most (2 * sources + 1) * slots rows, whatever the number of documents
-    plan = F.broadcast(placed.sparkSession.createDataFrame(places, _ROUND))
-    share_of = F.element_at(share, F.col("source"))
-    placed = placed.withColumn("k", F.floor(F.col("block") / share_of)).withColumn("at_in_round", F.pmod("block", share_of).cast("int"))
-    kind = F.size(F.filter(F.array(*[F.lit(k).cast("long") for k in firsts]), lambda first: first <= F.col("k"))) - 1
-    placed = placed.withColumn("kind_of", kind)
-    plan = plan.select(F.col("source").alias("s"), F.col("kind"), F.col("at").alias("p"), "slot_in_round", "first_round", "first_slot", "slots_per_round")
-    found = placed.join(plan, (F.col("source") == F.col("s")) & (F.col("kind_of") == F.col("kind")) & (F.col("at_in_round") == F.col("p")))
-    return found, F.col("first_slot") + (F.col("k") - F.col("first_round")) * F.col("slots_per_round") + F.col("slot_in_round")
+    return placed.join(plan, (F.col("source") == F.col("s")) & (F.col("block") == F.col("b")))
 
 
 def mix_sources(
@@ -150,7 +96,6 @@ def mix_sources(
     *,
     exponent: float = 0.5,
     block_bytes: int = 65_536,
-    slots: int | None = None,
     max_sources: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -158,14 +103,12 @@ def mix_sources(
 ) -> DataFrame:
     """Every document with its place in a mix in which sources come up by weight.
 
-    The bytes of a source (a document counts 1 at least) are cut into blocks of ``block_bytes``; a document belongs to the block
-    in which it begins. Blocks are scheduled as proportionately fair tasks by earliest deadline first, from the weights
-    themselves (`edf`); when a source runs out, the rest share by the same weights. No document is dropped or repeated. One task
-    makes the schedule from nothing but the sources' sizes and weights and writes it, a row per block; it keeps some numbers per
-    source, takes some microseconds a block, and sees no document. Every block finds its slot by a join.
-
-    ``slots``: only where that is given, weights are first rounded to whole shares of at least 1 that sum to it (`whole_shares`),
-    and the schedule, which then repeats after that many slots, is made round by round on the driver.
+    The bytes of a source (a document counts 1 at least) are cut into blocks of ``block_bytes``, or of as many bytes as make
+    MOST_BLOCKS blocks of all sources together, if those are more (5 MB of 100 TB). A document belongs to the block in which it
+    begins. Blocks are scheduled as proportionately fair tasks by earliest deadline first, from the weights themselves (`edf`);
+    when a source runs out, the rest share by the same weights. No document is dropped or repeated. One task makes the schedule
+    from nothing but the sources' sizes and weights and writes it, a row per block; it keeps some numbers per source, takes some
+    microseconds a block, and sees no document. Every block finds its slot by a join.
 
     ``weights`` holds a positive number per source (None: the null source); sources that it lacks get the least of them. Without
     it, a source's weight is its size to the power ``exponent``. Returns the columns of ``docs`` plus ``mix``, a struct of ``block``
@@ -195,14 +138,13 @@ def mix_sources(
         if not given or not all(0 < w < math.inf for w in given.values()):
             raise ValueError("weights must be positive")
         target = {s: given.get(s, min(given.values())) for s in sizes}
+    block_bytes = max(block_bytes, -(-sum(r["size"] for r in sizes.values()) // MOST_BLOCKS))
     blocks = {s: -(-r["size"] // block_bytes) for s, r in sizes.items()}
     total = sum(r["n"] for r in sizes.values())
     placed = running(rows, ["source"], [F.col("id"), F.col("tid")], F.col("size"), "at", total, ROWS_PER_TASK).withColumn("block", F.floor(F.col("at") / block_bytes))
-    if slots is None:
-        found, slot = _by_weights(placed, blocks, whole_weights(target))
-    else:
-        found, slot = _by_rounds(placed, blocks, whole_shares(target, slots) if sizes else {})
-    return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)], F.struct("block", slot.alias("slot"), "at").alias("mix"))
+    found = _scheduled(placed, blocks, whole_weights(target))
+    own_columns = [F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)]
+    return found.select(*own_columns, F.struct("block", F.col("slot_of").alias("slot"), "at").alias("mix"))
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:

@@ -19,12 +19,20 @@ SHARD_ROWS = 8192
 BLOCK_QUERIES = 4096
 #: Whole numbers up to this are exact in double precision.
 EXACT = 2.0**53
+#: Squared length from which on inner products of two vectors may not fit into a long.
+LONGEST = 2.0**62
 
 
 def whole_components(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of every component; null if the vector is null or empty, or has a null or non-finite component."""
+    """floor(scale * x) of every component; null if the vector is null or empty, or has a null or non-finite component.
+
+    A vector whose squared length would not fit into 62 bits stops the job: its inner products could be wrong without notice.
+    """
     fine = F.forall(vector, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
-    return F.when(fine & (F.size(vector) > 0), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    length = F.aggregate(vector, F.lit(0.0), lambda total, x: total + F.pow(F.floor(x.cast("double") * scale).cast("double"), 2))
+    too_long = F.raise_error(F.lit("a vector is too long for whole-number inner products: lower the scale")).cast("array<bigint>")
+    whole = F.when(length < LONGEST, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))).otherwise(too_long)
+    return F.when(fine & (F.size(vector) > 0), whole)
 
 
 @dataclass

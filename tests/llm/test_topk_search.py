@@ -47,6 +47,14 @@ def test_equals_brute_force(spark):
     assert {r[0] for r in got} >= {405, 406, 408} and max(r[1] for r in got if r[0] == 406) == 1
 
 
+def test_products_beyond_a_long_stop_the_job(spark):
+    df = spark.createDataFrame([(1, [1e9, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too long for whole-number"):
+        top_k(df, df).collect()
+    fits = spark.createDataFrame([(1, [8e6, 0.0]), (2, [8e6, 1.0]), (3, [-8e6, 0.0])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id): r.score for r in top_k(fits, fits, k=1).collect()}[1, 2] == (256 * 8_000_000) ** 2
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(df, df).collect() == []
