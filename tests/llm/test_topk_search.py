@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from cambium.llm import topk_search
 from cambium.llm.topk_search import BallTree, search, top_k
 
 
@@ -47,6 +48,39 @@ def test_equals_brute_force(spark):
     assert {r[0] for r in got} >= {405, 406, 408} and max(r[1] for r in got if r[0] == 406) == 1
 
 
+def test_far_shards_see_no_queries(spark, monkeypatch):
+    """Clusters far apart: the balls of whole shards keep queries away, and the result is still exact."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(12, 8)) * 40
+    rows = [(i, [float(x) for x in centers[i % 12] + rng.normal(size=8)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    seen = []
+    settled = topk_search.settle
+
+    def watched(frame):
+        out = settled(frame)
+        if {"q_kth", "part"} <= set(out.columns):
+            seen.append(sum(len(r.q_ids) // 8 for r in out.select("q_ids").collect()))
+        return out
+
+    monkeypatch.setattr(topk_search, "settle", watched)
+    got = sorted(map(tuple, top_k(df, df.where("vec_id % 7 = 0"), shard_rows=100, block_queries=30).collect()))
+    assert got == brute(rows, {i for i, _ in rows if i % 7 == 0}, 5)
+    queries, shards = len({r[0] for r in got}), 12
+    assert queries <= seen[0] < queries * shards / 2
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_balls_are_sent_or_joined(spark, monkeypatch, limit):
+    monkeypatch.setattr(topk_search, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(topk_search, "REGIONS", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(400)] + [(1000 + i, [1.0, 1.0, 1.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(df, df.where("vec_id % 10 = 0"), shard_rows=25, block_queries=7).collect()))
+    assert got == brute(rows, {i for i, _ in rows if i % 10 == 0}, 5)
+
+
 def test_products_beyond_a_long_stop_the_job(spark):
     df = spark.createDataFrame([(1, [1e9, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too long for whole-number"):
