@@ -1,11 +1,13 @@
 import string
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cambium.llm import simhash
 from cambium.llm.simhash import MIN_SHARED, fingerprint, link_postings, posting_masks, shared_bytes, simhash_groups
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -56,6 +58,65 @@ def test_linked_prints_meet_in_a_posting(x, bits):
     assert len(moved) == 1 and {int(moved[0]), int(root[0])} == {int(a[0]), int(b[0])}
 
 
+@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), min_size=1, max_size=2))
+@settings(max_examples=100, deadline=None)
+def test_linked_prints_meet_in_a_list(x, bits):
+    a, b = np.array([x], np.uint64), np.array([x ^ sum(1 << i for i in bits)], np.uint64)
+    assert any((a & m == b & m).all() for m in simhash.list_masks())
+
+
+def prints_in_clusters(n, seed):
+    """Fingerprints around few centers, a list of the index with many members, and pairs that share four or five bytes only."""
+    rng = np.random.default_rng(seed)
+    centers = rng.integers(0, 2**64, 6, np.uint64)
+    found = {int(c) for c in centers}
+    for _ in range(n):
+        x = int(rng.choice(centers)) if rng.random() < 0.5 else int(rng.choice(sorted(found)))
+        for bit in rng.choice(64, rng.integers(1, 5), replace=False).tolist():
+            x ^= 1 << bit
+        found.add(x)
+    found |= {int(centers[0]) & ~0xFFFFFFFF | int(v) for v in rng.integers(0, 2**32, n)}
+    return np.array(sorted(found), np.uint64)
+
+
+def groups_of(fp):
+    apart = np.bitwise_count(fp[:, None] ^ fp[None]) <= 2
+    label = np.arange(len(fp))
+    while True:
+        new = np.where(apart, label[None], len(fp)).min(1)
+        if (new == label).all():
+            return {int(x): int(fp[i]) for x, i in zip(fp, label, strict=True)}
+        label = new
+
+
+@pytest.mark.parametrize("short, longest", [(64, 65_536), (3, 65_536), (64, 40), (2, 5)])
+def test_lists_of_any_length(spark, monkeypatch, short, longest):
+    from cambium.llm.common import components
+
+    monkeypatch.setattr(simhash, "SHORT_LIST", short)
+    monkeypatch.setattr(simhash, "LONGEST_LIST", longest)
+    fp = prints_in_clusters(150, short)
+    members = spark.createDataFrame([(int(v),) for v in fp.view(np.int64)], "fp long")
+    found = {r.id % 2**64: r.root for r in components(simhash.posting_links(members)).collect()}
+    want = groups_of(fp)
+    got = {x: found.get(x, np.array([x], np.uint64).view(np.int64)[0]) for x in want}
+    for x, y in zip(want, list(want)[1:]):
+        assert (want[x] == want[y]) == (got[x] == got[y])
+    assert len(set(got.values())) == len(set(want.values()))
+
+
+def test_the_tally_rejects_pairs(monkeypatch):
+    """Most pairs that meet in a list share too few positional bytes, and are dropped before any bits are compared."""
+    fp = prints_in_clusters(60, 1)
+    mask = simhash.list_masks()[-1]
+    members = fp[(fp & mask) == max(set((fp & mask).tolist()), key=(fp & mask).tolist().count)]
+    tallied = []
+    monkeypatch.setattr(simhash, "shared_bytes", lambda a, b: tallied.append(shared_bytes(a, b)) or tallied[-1])
+    simhash.link_lists(np.array([len(members)]), members)
+    assert len(tallied[0]) == len(members) * (len(members) - 1) // 2 > 100
+    assert 0 < (tallied[0] >= MIN_SHARED).sum() < len(tallied[0]) / 2
+
+
 def test_equals_brute_force(docs, prose):
     texts = [prose(60, i) for i in range(40)]
     for i in range(40):
