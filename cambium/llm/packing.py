@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -25,7 +26,12 @@ END_ID = 1
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks of text below U+0250 and without "<|" need no other normalisation than lower case, if they are in normal form C.
 _OUTSIDE = re.compile("[^\0-ɏ]|<\\||İ")
+#: Chunks that are kept, and their longest: together some 100 MB at the very most.
 CACHED_CHUNKS = 300_000
+LONGEST_KEPT = 64
+#: How the file, for which texts may be cut at blanks, normalises and cuts them.
+NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT = {"type": "Split", "pattern": {"Regex": PIECES.pattern}, "behavior": "Removed", "invert": True}
 
 
 def byte_letters() -> list[str]:
@@ -40,17 +46,23 @@ class ChunkIds(dict):
 
     No token reaches across ASCII blanks, so the ids of a text are those of its chunks in turn. A new chunk that needs no other
     normalisation than lower case is cut by the tokenizer's own pattern and given to its BPE model; any other to the whole
-    tokenizer. At CACHED_CHUNKS the chunks become the old ones, from which those that come again are taken back.
+    tokenizer. At CACHED_CHUNKS the chunks become the old ones, from which those that come again are taken back. All this holds for
+    files that normalise and cut texts in one way (``fits``); texts are given whole to any other tokenizer.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        says = json.loads(self.tokenizer.to_str())
+        normal, cut = (says.get(c) or {} for c in ("normalizer", "pre_tokenizer"))
+        self.fits = normal.get("normalizers") == NORMALISED and (cut.get("pretokenizers") or [None])[0] == CUT and says["model"]["type"] == "BPE"
         self.letters = byte_letters()
         self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
+        if len(chunk) > LONGEST_KEPT:
+            return self.encode(chunk)
         if len(self) >= CACHED_CHUNKS:
             self.old = dict(self)
             self.clear()
@@ -78,7 +90,11 @@ def text_ids(text: str | None, path: str) -> bytes:
     """Ids of the whole text, little-endian unsigned 32 bit."""
     if path not in _chunks:
         _chunks[path] = ChunkIds(path)
-    return b"".join(map(_chunks[path].__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
+    chunks = _chunks[path]
+    if not chunks.fits:
+        ids = chunks.tokenizer.encode(text or "", add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+    return b"".join(map(chunks.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
 
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -32,6 +32,20 @@ def test_chunks_are_kept_over_a_change(monkeypatch):
     assert text_ids(text, PATH) == np.array(ids_of(text), "<u4").tobytes()
 
 
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    for text in ("", None, " Hello  the world\n\nIt's ÉTÉ", "a b" * 50):
+        assert text_ids(text, path) == np.array(other.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing._chunks[PATH].fits and not packing._chunks[path].fits
+
+
+def test_long_chunks_are_not_kept():
+    text = "x" * 5000 + " " + "yé" * 3000 + " short"
+    assert text_ids(text, PATH) == np.array(ids_of(text), "<u4").tobytes()
+    assert max(map(len, packing._chunks[PATH])) <= packing.LONGEST_KEPT and b"short" in packing._chunks[PATH]
+
+
 def bins_of(plan):
     fill, number = np.zeros(plan.bins, int), {}
     places = []
