@@ -125,7 +125,9 @@ def near_words(words: DataFrame) -> DataFrame:
     parts = F.coalesce("parts", F.lit(1))
     dealt = F.when(F.col("role") == 1, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("word"), parts).cast("int")))
     rows = rows.select("side", "key", F.explode(dealt).alias("part"), "role", "word", "n")
-    rows = rows.repartition("side", "key", "part").sortWithinPartitions("side", "key", "part", "role")
+    # a fixed number: the work is in the searches, not in the bytes by which adaptive execution would merge partitions
+    partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(partitions, "side", "key", "part").sortWithinPartitions("side", "key", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side, kept, sought, letters, index, last = 0, {}, [], 0, None, None
