@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -116,6 +117,11 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def numbered(seed: int) -> Column:
+    """A number for each vector; two vectors may share one, though hardly with the next seed too."""
+    return F.xxhash64(F.lit(seed), "vector")
+
+
 def embedding_groups(
     vectors: DataFrame,
     *,
@@ -128,7 +134,7 @@ def embedding_groups(
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (the least id reachable by links) and kept (whether that is its own).
 
-    Equal vectors are first brought down to one. Every table sorts the vectors along a random direction, within the cells of some
+    Equal vectors, compared in all components, are first brought down to one. Every table sorts the vectors along a random direction, within the cells of some
     random planes so that the lists stay short as the input grows; the number of planes follows the number of vectors, and the
     number of tables is calibrated so that a pair of exactly ``cosine`` passes the count with chance ``recall``, closer pairs with
     more. A row carries its codes in all tables, so the pair's collisions are counted where it is met, without a shuffle of pairs,
@@ -138,13 +144,13 @@ def embedding_groups(
     Vectors that are null, zero or hold null or non-finite components have no link, nor have rows without an id; vectors of
     different length don't link. Rows that repeat an id are each judged by their own vector. Empty input: empty result.
     """
-    rows = settle(
-        vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("vector")).withColumn(
-            "node", F.when(F.col("vec_id").isNotNull() & usable(F.col("vector")), F.xxhash64("vector"))
-        )
-    )
-    distinct = settle(rows.where("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
-    n = distinct.count()
+    for seed in itertools.count():
+        node = F.when(F.col("vec_id").isNotNull() & usable(F.col("vector")), numbered(seed))
+        rows = settle(vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("vector")).withColumn("node", node))
+        distinct = settle(rows.where("node is not null").groupBy("node", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")))
+        n, named = distinct.agg(F.count("*"), F.count_distinct("node")).first()
+        if n == named:  # else two vectors share a number, and all are numbered anew
+            break
     planes = max(0, math.ceil(math.log2(max(1, n) / cell_rows)))
     projections = Projections(tables_for(cosine, planes, recall), planes)
 

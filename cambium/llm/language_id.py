@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cambium.llm.common import hashed_share
+from cambium.llm.common import hashed_share, settle
 
 UNDETERMINED = "und"
 #: Bytes of a segment; the network runs over every segment of a text in both directions.
@@ -198,20 +198,25 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(sizes, 1)[:, None]
 
 
-def training_sample(labelled: DataFrame, per_label: int, chars: int, max_labels: int = 1000) -> list:
+def training_sample(labelled: DataFrame, per_label: int, chars: int, listed: int = 1000) -> list:
     """Rows (label, text): for each label at most ``per_label`` documents by hash order, ``chars`` characters from a hashed place of each.
 
-    Labels are counted first (one row per label comes to the driver, at most ``max_labels``), so that only about twice as many rows
-    as wanted leave their task, however many there are.
+    Labels are counted first, so that only about twice as many rows as wanted leave their task, however many there are. Up to
+    ``listed`` labels their counts come to the driver and are part of the plan. Of more labels the counts are joined, and the
+    documents of each are fewer, so that the sample stays as large as that of ``listed`` labels (one of each at least).
     """
-    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()
-    if len(counts) > max_labels:
-        raise ValueError(f"more than {max_labels} languages")
-    if not counts:
+    counts = settle(labelled.groupBy("label").agg(F.count("*").alias("n")))
+    labels = counts.count()
+    if not labels:
         return []
     share = hashed_share(F.col("id"))
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], (2.0 * per_label + 100) / r["n"])])
-    few = labelled.where(share < F.element_at(rate, F.col("label")))
+    per_label = max(1, per_label * min(listed, labels) // labels)
+    wanted = 2.0 * per_label + 100
+    if labels <= listed:
+        rate = F.create_map(*[F.lit(x) for r in counts.collect() for x in (r["label"], wanted / r["n"])])
+        few = labelled.where(share < F.element_at(rate, F.col("label")))
+    else:
+        few = labelled.join(counts, "label").where(share < wanted / F.col("n"))
     nth = F.row_number().over(Window.partitionBy("label").orderBy(share, "id"))
     spot = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.char_length("text") - chars + 1)) + 1
     piece = F.substring("text", spot.cast("int"), F.lit(chars)).alias("text")

@@ -1,7 +1,9 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from cambium.llm import embedding_dedup
 from cambium.llm.embedding_dedup import collision_chance, embedding_groups, tables_for
 
 
@@ -44,6 +46,21 @@ def test_equals_brute_force_with_hot_cell(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(data)
 
 
+def test_vectors_that_share_a_number_are_numbered_anew(spark, monkeypatch):
+    by_hash, seeds = embedding_dedup.numbered, []
+
+    def clumsy(seed):
+        seeds.append(seed)
+        return F.pmod(by_hash(seed), F.lit(3)) if seed < 2 else by_hash(seed)
+
+    monkeypatch.setattr(embedding_dedup, "numbered", clumsy)
+    rng = np.random.default_rng(8)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((20, 4)).repeat(2, 0))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embedding_groups(df).collect()), key=repr) == brute(data)
+    assert seeds == [0, 1, 2]
+
+
 def test_calibration():
     for planes in (0, 5, 12):
         p, n = collision_chance(0.95, planes), tables_for(0.95, planes, 0.999)

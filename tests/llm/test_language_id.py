@@ -54,3 +54,14 @@ def test_edge_cases(docs):
     assert identify_languages(docs([])).collect() == []
     unknown = identify_languages(docs(["words"], langs=[None]), keep=["doc_id"]).collect()
     assert [(r.doc_id, r.language.lang_pred, r.language.score) for r in unknown] == [(0, "und", 0.0)]
+
+
+def test_more_languages_than_are_listed(docs):
+    texts, langs = [f"text {i} of some length" for i in range(300)], [f"l{i % 30}" for i in range(300)]
+    known = docs(texts, langs=langs).selectExpr("doc_id AS id", "text", "lang AS label")
+    few = language_id.training_sample(known, 4, 10, listed=60)
+    assert len(few) == 120 and {r["nth"] for r in few} == {1, 2, 3, 4}
+    many = language_id.training_sample(known, 4, 10, listed=15)
+    assert len(many) == 60 and {r["label"] for r in many} == set(langs)
+    assert [r for r in few if r["nth"] <= 2] == many
+    assert len(language_id.training_sample(known, 4, 10, listed=2)) == 30
