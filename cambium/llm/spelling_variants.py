@@ -52,7 +52,7 @@ def word_counts(docs: DataFrame, *, modulus: int = 199, min_chars: int = 6, id_c
                 prefix = crc32(f"{id_}:".encode())
                 raw = text.as_buffer()
                 lowered = b"" if raw is None else raw.to_pybytes().lower()
-                for word, n in Counter(letters.findall(lowered.decode())).items():
+                for word, n in Counter(letters.findall(lowered.decode("utf-8", "replace"))).items():
                     if len(word) >= min_chars:
                         word = damaged(word, crc32(word.encode(), prefix), modulus)
                         if len(word) >= min_chars:
