@@ -9,7 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm.common import settle
@@ -22,8 +22,8 @@ HELD = 300_000
 #: Letters of the words of one index, and words that are looked up in it at a time.
 BLOCK_LETTERS = 1 << 19
 BLOCK_QUERIES = 1 << 16
-#: Words of one key that one index holds at most, roughly; those of larger keys are dealt over several.
-KEY_WORDS = 20_000
+#: Postings that a key may keep (up to three of a word); larger keys are halved again.
+KEY_WORDS = 30_000
 
 
 def damaged(run: str, number: int, modulus: int) -> str:
@@ -67,41 +67,69 @@ def word_counts(docs: DataFrame, *, modulus: int = 199, min_chars: int = 6, id_c
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _half(length: Column) -> Column:
-    return F.floor(length / 2).cast("int")
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the ``key`` of the words that share the first ``begin`` and the last ``end`` letters."""
+    shared = F.substring(F.col("word"), F.lit(1), F.col("begin")), F.substring(F.col("word"), F.char_length("word") - F.col("end") + 1, F.col("end"))
+    return rows.withColumn("key", F.xxhash64("begin", "end", *shared))
+
+
+def _halved(rows: DataFrame) -> DataFrame:
+    """Every row twice: with the first half of its open letters closed, and with the second.
+
+    An error within the open letters leaves one of their halves as it is, so what is found by neither is not near. What has the
+    first half in common (``skip`` letters from the beginning) is found there and dropped where the second half is closed.
+    """
+    half = F.floor(F.col("open") / 2).cast("int")
+    first = F.struct((F.col("begin") + half).alias("begin"), F.col("end"), F.col("skip"), (F.col("open") - half).alias("open"))
+    second = F.struct(F.col("begin"), (F.col("end") + F.col("open") - half).alias("end"), (F.col("begin") + half).alias("skip"), half.alias("open"))
+    # of a single letter there is but one part
+    return _keyed(rows.select("role", "word", "n", F.inline(F.when(half > 0, F.array(first, second)).otherwise(F.array(first)))))
 
 
 def postings(words: DataFrame) -> DataFrame:
-    """Rows (side, key, role, word, n): where each word is kept (role 0) and where it is looked up (role 1).
+    """Rows (role, word, n, begin, end, skip, open, key): where each word is kept (role 0) and where it is looked up (role 1).
+
+    A word is looked up by its first half and by its second; it is kept wherever a word one letter shorter, as long, or one letter
+    longer that is near it would look. Keys are hashes; a collision only puts words into one index that need not be.
 
-    A word that is one error away from another agrees with it in the first or in the second half of that. So a word is looked up
-    by its first half (side 0) and by its second (side 1), and kept by every beginning and end that is a half of a word one letter
-    shorter, as long, or one letter longer. Keys are hashes; a collision only puts words into one index that need not be.
+    A key that keeps more than KEY_WORDS is halved again, for the words that it keeps and those it looks up: either half of the
+    letters that are still open is closed. So no index has to hold a large group, and no word goes through all of it; with one open
+    letter a group holds what differs in that letter.
     """
     size = F.char_length("word")
-    key = lambda side, part: F.struct(F.lit(side).alias("side"), F.xxhash64(F.lit(side), part).alias("key"))
-    begin = lambda n: F.substring("word", 1, n)
-    end = lambda n: F.substring(F.col("word"), size - n + 1, n)
-    firsts = F.array_distinct(F.array(*[_half(size + d) for d in (-1, 0, 1)]))
-    lasts = F.array_distinct(F.array(*[size + d - _half(size + d) for d in (-1, 0, 1)]))
-    kept = F.concat(F.transform(firsts, lambda n: key(0, begin(n))), F.transform(lasts, lambda n: key(1, end(n))))
-    sought = F.array(key(0, begin(_half(size))), key(1, end(size - _half(size))))
-    role = lambda keys, number: F.transform(keys, lambda k: F.struct(k.side.alias("side"), k.key.alias("key"), F.lit(number).alias("role")))
-    return words.select(F.explode(F.concat(role(kept, 0), role(sought, 1))).alias("k"), "word", "n").select("k.*", "word", "n")
-
-
-def _search(side: int, words: list[str], n: np.ndarray, index: Index, sought: list[str]) -> pa.RecordBatch:
-    """A row for each word of ``sought`` with a word near it: how many are found here, and the most frequent of them."""
-    lengths = np.fromiter(map(len, sought), np.int64, len(sought))
-    who, what = index.one_error(sought, lengths // 2 if side == 0 else lengths - lengths // 2)
-    if side:  # those that share the first half too are found by it
-        other = [not words[b].startswith(sought[a][: len(sought[a]) // 2]) for a, b in zip(who.tolist(), what.tolist(), strict=True)]
-        who, what = who[other], what[other]
+    lengths = F.array(*[F.struct(F.lit(role).alias("role"), (size + d).alias("open")) for role, d in ((1, 0), (0, -1), (0, 0), (0, 1))])
+    whole = words.select("word", "n", F.inline(lengths)).where("open > 0")
+    rows = settle(_halved(whole.withColumns({c: F.lit(0) for c in ("begin", "end", "skip")})))
+    while True:
+        wide = F.col("open") > 1
+        large = settle(rows.where(wide & (F.col("role") == 0)).groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > KEY_WORDS).select("key"))
+        if large.isEmpty():
+            return rows
+        marked = rows.join(large.withColumn("large", F.lit(True)), "key", "left").withColumn("large", F.coalesce(F.col("large") & wide, F.lit(False)))
+        rows = settle(marked.where("not large").select(*rows.columns).unionByName(_halved(marked.where("large"))))
+
+
+def _search(words: list[str], n: np.ndarray, index: Index, sought: list[tuple[str, int, int, int]]) -> pa.RecordBatch:
+    """A row for each word of ``sought`` (word, begin, end, skip) with a word near it: how many are found here, and the most
+    frequent of them.
+
+    The index holds the words of other keys too, so the end that both must share is compared where the search does not match it
+    first; and what has ``skip`` letters in common is found elsewhere.
+    """
+    texts = [w for w, *_ in sought]
+    who, what = index.one_error(texts, np.fromiter((begin or end for _, begin, end, _ in sought), np.int64, len(sought)))
+
+    def own(a: int, b: int) -> bool:
+        (word, begin, end, skip), other = sought[a], words[b]
+        return not (skip and other[:skip] == word[:skip]) and (not begin or not end or other[-end:] == word[-end:])
+
+    kept = [own(a, b) for a, b in zip(who.tolist(), what.tolist(), strict=True)]
+    who, what = who[kept], what[kept]
     order = np.lexsort((_alphabetical(words)[what], -n[what], who))
     who, what = who[order], what[order]
     who, first, count = np.unique(who, return_index=True, return_counts=True)
     best = what[first].tolist()
-    columns = [pa.array([sought[i] for i in who.tolist()], pa.string()), pa.array(count), pa.array(n[best] if best else [], pa.int64()), pa.array([words[i] for i in best], pa.string())]
+    columns = [pa.array([texts[i] for i in who.tolist()], pa.string()), pa.array(count), pa.array(n[best] if best else [], pa.int64()), pa.array([words[i] for i in best], pa.string())]
     return pa.RecordBatch.from_arrays(columns, ["word", "n_near", "form_n", "form"])
 
 
@@ -114,44 +142,38 @@ def _alphabetical(words: list[str]) -> np.ndarray:
 def near_words(words: DataFrame) -> DataFrame:
     """Rows (word, n_near, form_n, form) for every word with words one inserted, deleted or replaced letter away.
 
-    ``words`` has distinct words with n. The postings of a key meet in one task; the words kept by it and by its neighbours form an
-    index of bounded size (`Index`: forwards for second halves, backwards for first halves), in which the words sought by these
-    keys are matched exactly in their half and with one error beyond it. The words kept by a key of more than ``KEY_WORDS`` are
-    dealt over several indexes, and the words sought by it go to each. Pairs of words are made only where they are near.
+    ``words`` has distinct words with n. The `postings` of a key meet in one task; the words kept by it and by its neighbours form
+    an index of bounded size (`Index`, backwards where a beginning is shared, else forwards), in which the words that these keys
+    look up are matched exactly from that end and with one error beyond it. Pairs of words are made only where they are near.
     """
-    rows = settle(postings(words))
-    sizes = rows.where("role = 0").groupBy("side", "key").agg(F.count("*").alias("held")).where(F.col("held") > KEY_WORDS)
-    rows = rows.join(sizes.select("side", "key", F.ceil(F.col("held") / KEY_WORDS).cast("int").alias("parts")), ["side", "key"], "left")
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = F.when(F.col("role") == 1, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("word"), parts).cast("int")))
-    rows = rows.select("side", "key", F.explode(dealt).alias("part"), "role", "word", "n")
     # a fixed number: the work is in the searches, not in the bytes by which adaptive execution would merge partitions
     partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(partitions, "side", "key", "part").sortWithinPartitions("side", "key", "part", "role")
+    rows = postings(words).select((F.col("begin") == 0).alias("forwards"), "key", "role", "word", "n", "begin", "end", "skip")
+    rows = rows.repartition(partitions, "forwards", "key").sortWithinPartitions("forwards", "key", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side, kept, sought, letters, index, last = 0, {}, [], 0, None, None
+        ahead, kept, sought, letters, index, last = False, {}, [], 0, None, None
 
         def look_up() -> pa.RecordBatch:
             nonlocal index
             held = list(kept)
-            index = index or Index(held, backwards=side == 0)
-            return _search(side, held, np.fromiter(kept.values(), np.int64, len(kept)), index, sought)
+            index = index or Index(held, backwards=not ahead)
+            return _search(held, np.fromiter(kept.values(), np.int64, len(kept)), index, sought)
 
         for batch in batches:
-            for s, key, part, role, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (s, key, part) != last:
-                    last = (s, key, part)
-                    if s != side or letters > BLOCK_LETTERS or len(sought) > BLOCK_QUERIES:
+            for forwards, key, role, word, n, begin, end, skip in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (forwards, key) != last:
+                    last = (forwards, key)
+                    if forwards != ahead or letters > BLOCK_LETTERS or len(sought) > BLOCK_QUERIES:
                         if sought and kept:
                             yield look_up()
-                        side, kept, sought, letters, index = s, {}, [], 0, None
+                        ahead, kept, sought, letters, index = forwards, {}, [], 0, None
                 if role == 0:
                     if word not in kept:
                         kept[word] = n
                         letters += len(word) + 1
                 else:
-                    sought.append(word)
+                    sought.append((word, begin, end, skip))
                     if len(sought) > 2 * BLOCK_QUERIES and kept:
                         yield look_up()
                         sought = []

@@ -6,6 +6,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cambium.llm import spelling_variants as sv
 from cambium.llm.fm_index import Index
@@ -101,9 +102,14 @@ def test_empty_table_and_long_chains(spark, docs):
     assert got == {w: "w20" for w, _ in chain}
 
 
-def test_common_half(spark):
-    """A third of all words begin alike, and ties go to the least word."""
+@pytest.mark.parametrize("most", [2, 10, 30_000])
+def test_common_half(spark, monkeypatch, most):
+    """A third of all words begin alike, and ties go to the least word; keys of many words are halved again and again."""
+    monkeypatch.setattr(sv, "KEY_WORDS", most)
     words = [f"prefix{a}{b}" for a in "abcdefgh" for b in "abcdefgh"] + [f"{a}{b}{a}{b}x{c}" for a in "mno" for b in "pqr" for c in "stu"]
+    words += ["a" * i + "b" * j for i in range(1, 9) for j in range(4)]
+    held = {r["held"] for r in sv.postings(spark.createDataFrame([(w, 7) for w in words], "word string, n long")).where("role = 0 and open > 1").groupBy("key").agg(F.count("*").alias("held")).collect()}
+    assert max(held) <= most
     rows = {r.word: r for r in near_words(spark.createDataFrame([(w, 7) for w in words], "word string, n long")).collect()}
     for w in words:
         others = sorted(v for v in words if near(w, v))
