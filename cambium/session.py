@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime settings, safe to apply to a session somebody else built.
@@ -19,7 +16,8 @@ RUNTIME_CONF = {
 def local_session(app: str = "cambium", cpus: str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own.
 
-    Its stages go to a folder of this machine, which all its threads share.
+    Its stages go below ``spark.checkpoint.dir`` of the environment, or below
+    the local warehouse, which all its threads share.
     """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -27,7 +25,6 @@ def local_session(app: str = "cambium", cpus: str = "*", partitions: int = 8) ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .config("spark.checkpoint.dir", f"file:{tempfile.gettempdir()}/cambium-stages-{os.getpid()}")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in RUNTIME_CONF.items():
