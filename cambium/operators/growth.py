@@ -14,6 +14,9 @@ from cambium.operators.skew import SALT, lookup_join, window_salts
 TREE = ["rwl", "tree"]
 TREND_YEARS = (1975, 2025)
 
+# Fixed value: flag of a site whose widths cannot be detrended.
+FLAG_DETREND = "detrend failed"
+
 
 def clean_widths(widths: DataFrame) -> DataFrame:
     """Missing, NaN and infinite widths all become NULL."""
@@ -226,6 +229,6 @@ def growth_trend_flags(widths: DataFrame, read_flags: DataFrame | None = None) -
         .filter("gap")
         .select("rwl")
         .distinct()
-        .withColumn("flag", F.lit("detrend failed"))
+        .withColumn("flag", F.lit(FLAG_DETREND))
     )
     return gapped if read_flags is None else read_flags.select("rwl", "flag").unionByName(gapped)

@@ -15,6 +15,9 @@ from cambium.operators.growth import TREE
 from cambium.operators.skew import MAX_GROUP, exact_ranks, lookup_join, split_hot
 from cambium.operators.spline import explode_series, series_arrays
 
+# Fixed value: flag of a site where no tree has another one to be compared with.
+FLAG_ALONE = "Interseries Correlation failed"
+
 # Decimal places kept before ranking, so that equal means stay equal ranks.
 RANK_DECIMALS = 10
 
@@ -337,6 +340,6 @@ def interseries_flags(trees: DataFrame, read_flags: DataFrame | None = None) ->
         trees.groupBy("rwl")
         .agg(F.count("res_cor").alias("_n"))
         .filter("_n = 0")
-        .select("rwl", F.lit("Interseries Correlation failed").alias("flag"))
+        .select("rwl", F.lit(FLAG_ALONE).alias("flag"))
     )
     return failed if read_flags is None else read_flags.select("rwl", "flag").unionByName(failed)

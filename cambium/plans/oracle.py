@@ -632,7 +632,8 @@ query(
 
 # ---- climate --------------------------------------------------------------------------------
 
-_MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+# Month labels in the order of the year.
+_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 view(
     "months",
     "",
