@@ -102,6 +102,14 @@ def _bounded(cells: DataFrame, geometry: GridGeometry) -> DataFrame:
     return F.broadcast(cells) if geometry.nrow * geometry.ncol <= BROADCAST_CELLS else cells
 
 
+def cells_with_points(
+    points: DataFrame, grid: DataFrame, geometry: GridGeometry, lon: str = "longitude", lat: str = "latitude"
+) -> DataFrame:
+    """The rows of the cells that hold points."""
+    placed = cells_of(points.select(lon, lat), geometry, lon, lat).select(*CELL).distinct()
+    return grid.join(_bounded(placed, geometry), CELL, "left_semi")
+
+
 def sample_series(
     points: DataFrame,
     packed: DataFrame,
@@ -142,6 +150,12 @@ def sample_series(
     return sampled.select(id_column, *cell, *names, "series")
 
 
+def grid_layers(grid: DataFrame) -> DataFrame:
+    """The layers that any cell of a long grid has, one row per variable."""
+    names, layer = _layer_keys(grid)
+    return grid.groupBy(*names).agg(F.sort_array(F.collect_set(layer)).alias("layers"))
+
+
 def series_layers(packed: DataFrame) -> DataFrame:
     """The layers that any cell has, one row per variable."""
     names = [c for c in packed.columns if c not in (*CELL, "series")]
@@ -193,11 +207,9 @@ def sample_grid(
     first and packed to a row per cell and variable, which the points meet
     (``sample_series``); layers are unfolded last and take part in no join.
     """
-    names, layer = _layer_keys(grid)
-    placed = cells_of(points.select(lon, lat), geometry, lon, lat).select(*CELL).distinct()
-    packed = pack_grid(grid.join(_bounded(placed, geometry), CELL, "left_semi"))
+    packed = pack_grid(cells_with_points(points, grid, geometry, lon, lat))
     # Variables and layers that only other cells have count too.
-    layers = grid.groupBy(*names).agg(F.sort_array(F.collect_set(layer)).alias("layers"))
+    layers = grid_layers(grid)
     samples = sample_series(points, packed, geometry, id_column, lon, lat, points_per_salt, layers)
     return unfold_series(samples, layers)
 

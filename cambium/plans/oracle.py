@@ -1196,7 +1196,7 @@ query(
 )
 
 # Stored otherwise, the same rows.
-for _name, _stored in (("crop_grid", "crop_stored_grid"), ("sample_grid", "sample_stored_grid")):
+for _name, _stored in (("crop_grid", "crop_stored_grid"), ("sample_grid", "sample_stored_grid"), ("climate_samples_long", "climate_series_long")):
     ORACLE[_stored] = ORACLE[_name]
 
 # ---- sources and sinks ----------------------------------------------------------------------

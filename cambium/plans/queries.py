@@ -455,6 +455,13 @@ def climate_long(x):
     return rounded(clim.join_variables(parts))
 
 
+@query
+def climate_series_long(x):
+    """The same months out of series that meet as arrays."""
+    samples = grid.sample_series(x.points, x.stored_grid, fx.GRID)
+    return rounded(clim.climate_from_series(samples, grid.series_layers(x.stored_grid), ["pre", "spei"]))
+
+
 @query
 def climate_samples_long(x):
     """Grid samples at points, by month and variable."""

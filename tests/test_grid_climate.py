@@ -74,6 +74,21 @@ def test_no_layer_is_joined_or_lost(spark):
         assert joins and not any("layer" in line for line in joins)
 
 
+def test_months_from_series(spark):
+    """Series of sites beside one another, with gaps, a site outside, layers that only one variable has, and values that are no numbers."""
+    rng = np.random.default_rng(6)
+    rows = [(v, r, c, k, float(rng.normal())) for v in ("tmp", "pre", "spei") for r in range(2) for c in range(2) for k in range(1, 31) if rng.random() < 0.7]
+    rows += [("pre", 0, 0, 40, float("nan")), ("tmp", 0, 0, 50, 1.0), ("pre", 1, 1, 31, 2.0), ("pre", 1, 1, 31, 5.0)]
+    cells = spark.createDataFrame(rows, "variable string, row int, col int, layer int, value double")
+    points = spark.createDataFrame([(f"p{i}", 0.5 + i % 3, 3.5 - i // 3 % 2) for i in range(7)] + [("none", None, None)], "rwl string, longitude double, latitude double")
+    samples, layers = grid.sample_series(points, grid.pack_grid(cells), GEO), grid.grid_layers(cells)
+    for variables in (["pre", "tmp"], ["pre", "spei"], ["spei"], ["tmp", "none"]):
+        got = climate.climate_from_series(samples, layers, variables)
+        want = climate.climate_long(grid.layer_to_month(grid.sample_grid(points, cells, GEO).drop("row", "col")), variables)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 def test_a_box_of_a_stored_grid_skips_files_and_row_groups(spark, tmp_path):
     cells = spark.range(128 * 128).selectExpr("'pre' AS variable", "int(id div 128) AS row", "int(id % 128) AS col", "int(1) AS layer", "double(id) AS value")
     wide = grid.GridGeometry(xmin=0.0, ymax=128.0, xres=1.0, yres=1.0, nrow=128, ncol=128)
