@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cambium.functions.months import FIRST_GRID_YEAR, MONTHS, SPEI_SKIPPED_LAYERS, layer_label, layer_month, layer_year
+from cambium.functions.numeric import let
 from cambium.operators.skew import SALT, as_list, lookup_join
 
 CELL = ["row", "col"]
@@ -119,13 +120,16 @@ def sample_series(
     lat: str = "latitude",
     points_per_salt: int = POINTS_PER_SALT,
     layers: DataFrame | None = None,
+    together: bool = False,
 ) -> DataFrame:
     """The series of the containing cell for every point and variable of a packed grid (``pack_grid``).
 
     Every point has a row for every variable (of ``layers``, else of the grid);
     it has no ``series`` outside the grid and where the cell lacks the variable.
+    With ``together`` a point is one row, with those of its variables in the
+    array ``variables``.
     Cells are deduplicated and only cells with points are taken from the grid.
-    A point meets one row per variable.  A cell with very many points repeats its series once per
+    A point meets one row, with all variables of its cell.  A cell with very many points repeats its series once per
     ``points_per_salt`` of them, so its output is spread over as many tasks; the
     points outside count as one more cell.
     """
@@ -138,16 +142,34 @@ def sample_series(
         .select(*CELL, F.ceil(F.col("_n") / points_per_salt).cast("int").alias("_salts"))
     )
     salts = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias(SALT)
-    series = packed.join(_bounded(cells, geometry), CELL).select(*packed.columns, salts)
+    held = packed.join(_bounded(cells, geometry), CELL).groupBy(*CELL, "_salts")
+    held = held.agg(F.collect_list(F.struct(*names, "series")).alias("_held")).select(*CELL, "_held", salts)
     salted = lookup_join(placed, cells, CELL, id_column, "inner").withColumn(
         SALT, F.pmod(F.xxhash64(id_column), F.col("_salts")).cast("int")
     ).drop("_salts")
+    met = salted.join(held, [*CELL, SALT], "left")
+    lacking = F.lit(None).cast(packed.schema["series"].dataType).alias("series")
+
+    def own(variable: Column | None = None) -> Column:
+        """What the cell holds of a variable, else the variable without a series."""
+
+        def same(held: Column) -> Column:
+            matches = F.lit(True)
+            for c in names:
+                matches = matches & (held[c] == variable[c])
+            return matches
+
+        alone = F.array(F.struct(*[variable[c].alias(c) for c in names], lacking))
+        return let(F.filter("_held", same), lambda f: F.when(F.size(f) > 0, f).otherwise(alone))
+
     if names:
-        variables = (packed if layers is None else layers).agg(F.sort_array(F.collect_set(F.struct(*names))))
-        salted = salted.withColumn("_variables", variables.scalar()).select(*salted.columns, F.inline("_variables"))
-    sampled = salted.join(series, [*CELL, SALT, *names], "left")
+        known = (packed if layers is None else layers).agg(F.sort_array(F.collect_set(F.struct(*names))))
+        met = met.withColumn("_variables", known.scalar())
+        variables = F.flatten(F.transform("_variables", lambda v: own(v)))
+    else:
+        variables = own()
     cell = [F.nullif(F.col(c), F.lit(OUTSIDE)).alias(c) for c in CELL]
-    return sampled.select(id_column, *cell, *names, "series")
+    return met.select(id_column, *cell, variables.alias("variables") if together else F.inline(variables))
 
 
 def grid_layers(grid: DataFrame) -> DataFrame:
@@ -377,6 +399,26 @@ def layer_to_month(samples: DataFrame, spei_variable: str = "spei") -> DataFrame
     )
 
 
+def values_at(series: Column, layers: Column, kind: str | T.DataType = "double") -> Column:
+    """The value that a series has of each of ``layers`` (distinct and ascending), as an array; NULL where it has none.
+
+    Sorted together with the layers asked for, a value stands right before its
+    layer, the largest of several last.
+    """
+    known = F.transform(series, lambda s: F.struct(s["layer"].alias("layer"), F.lit(0).alias("k"), s["value"].alias("value")))
+    asked = F.transform(layers, lambda x: F.struct(x.alias("layer"), F.lit(1).alias("k"), F.lit(None).cast(kind).alias("value")))
+
+    def picked(merged: Column) -> Column:
+        def value(entry: Column, i: Column) -> Column:
+            before = F.get(merged, i - 1)
+            found = F.when((before["layer"] == entry["layer"]) & (before["k"] == 0), before["value"])
+            return F.struct(entry["k"].alias("k"), found.alias("value"))
+
+        return F.transform(F.filter(F.transform(merged, value), lambda e: e["k"] == 1), lambda e: e["value"])
+
+    return let(F.sort_array(F.concat(known, asked)), picked)
+
+
 def climate_wide(samples: DataFrame, variable: str, layers: Sequence[int], id_column: str = "rwl") -> DataFrame:
     """One row per site with one ``1901_Jan`` style column per layer (export view)."""
     labelled = samples.filter((F.col("variable") == variable) & F.col("layer").isin(list(layers)))

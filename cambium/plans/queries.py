@@ -458,7 +458,7 @@ def climate_long(x):
 @query
 def climate_series_long(x):
     """The same months out of series that meet as arrays."""
-    samples = grid.sample_series(x.points, x.stored_grid, fx.GRID)
+    samples = grid.sample_series(x.points, x.stored_grid, fx.GRID, together=True)
     return rounded(clim.climate_from_series(samples, grid.series_layers(x.stored_grid), ["pre", "spei"]))
 
 

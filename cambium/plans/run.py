@@ -154,11 +154,11 @@ def climate_stage(src: Sources, out: Store, conf: Settings) -> None:
     if conf.one_site_per_coordinate:
         placed = grid.distinct_points(placed)
     cropped = grid.crop(src.grid_monthly, src.geometry, conf.box)
-    # One row per site and variable: layers unfold into months where the variables are laid side by side.
+    # One row per site: layers unfold into months where the variables are laid side by side.
     packed = grid.pack_grid(grid.cells_with_points(placed, cropped, src.geometry))
     packed = out.put("climate_cells", packed)
     layers = out.put("climate_layers", grid.grid_layers(cropped))
-    samples = out.put("climate_series", grid.sample_series(placed, packed, src.geometry, layers=layers))
+    samples = out.put("climate_series", grid.sample_series(placed, packed, src.geometry, layers=layers, together=True))
     monthly = out.put("climate_long", climate.climate_from_series(samples, layers))
     drought = out.put("spei_long", climate.climate_from_series(samples, layers, ["spei"]))
     options = {

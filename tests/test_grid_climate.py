@@ -89,6 +89,26 @@ def test_months_from_series(spark):
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_months_from_series_that_were_sampled_together(spark):
+    """The same months without a shuffle or a sort of the series: the variables of a site never part."""
+    rng = np.random.default_rng(7)
+    rows = [(v, r, c, k, float(rng.normal())) for v in ("tmp", "pre", "spei") for r in range(2) for c in range(2) for k in range(1, 31) if rng.random() < 0.7]
+    rows += [("pre", 0, 0, 40, float("nan")), ("tmp", 0, 0, 50, 1.0), ("pre", 1, 1, 31, 2.0), ("pre", 1, 1, 31, 5.0)]
+    cells = spark.createDataFrame(rows, "variable string, row int, col int, layer int, value double")
+    points = spark.createDataFrame([(f"p{i}", 0.5 + i % 3, 3.5 - i // 3 % 2) for i in range(7)] + [("none", None, None)], "rwl string, longitude double, latitude double")
+    packed, layers = grid.pack_grid(cells), grid.grid_layers(cells)
+    samples = grid.sample_series(points, packed, GEO, together=True)
+    assert samples.count() == 8 and samples.filter("size(variables) <> 3").count() == 0
+    single = grid.sample_series(points, packed, GEO)
+    assert sorted(map(repr, samples.selectExpr("rwl", "row", "col", "inline(variables)").collect())) == sorted(map(repr, single.collect()))
+    for variables in (["pre", "tmp"], ["pre", "spei"], ["spei"], ["tmp", "none"]):
+        got = climate.climate_from_series(samples, layers, variables)
+        want = climate.climate_from_series(single, layers, variables)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+
+
 def test_a_box_of_a_stored_grid_skips_files_and_row_groups(spark, tmp_path):
     cells = spark.range(128 * 128).selectExpr("'pre' AS variable", "int(id div 128) AS row", "int(id % 128) AS col", "int(1) AS layer", "double(id) AS value")
     wide = grid.GridGeometry(xmin=0.0, ymax=128.0, xres=1.0, yres=1.0, nrow=128, ncol=128)
