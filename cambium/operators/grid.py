@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from cambium.functions.months import FIRST_GRID_YEAR, MONTHS, SPEI_SKIPPED_LAYERS, layer_label, layer_month, layer_year
 from cambium.functions.numeric import let
-from cambium.operators.skew import SALT, as_list, lookup_join
+from cambium.operators.skew import SALT, as_list, lookup_join, shuffle_partitions
 
 CELL = ["row", "col"]
 
@@ -131,7 +131,8 @@ def sample_series(
     Cells are deduplicated and only cells with points are taken from the grid.
     A point meets one row, with all variables of its cell.  A cell with very many points repeats its series once per
     ``points_per_salt`` of them, so its output is spread over as many tasks; the
-    points outside count as one more cell.
+    points outside count as one more cell.  Points are short and their series
+    long, so points are dealt over all shuffle partitions, whatever their bytes.
     """
     names = [c for c in packed.columns if c not in (*CELL, "series")]
     placed = cells_of(points.select(id_column, lon, lat), geometry, lon, lat)
@@ -147,7 +148,8 @@ def sample_series(
     salted = lookup_join(placed, cells, CELL, id_column, "inner").withColumn(
         SALT, F.pmod(F.xxhash64(id_column), F.col("_salts")).cast("int")
     ).drop("_salts")
-    met = salted.join(held, [*CELL, SALT], "left")
+    dealt = salted.repartition(shuffle_partitions(points), *CELL, SALT)
+    met = dealt.join(held, [*CELL, SALT], "left")
     lacking = F.lit(None).cast(packed.schema["series"].dataType).alias("series")
 
     def own(variable: Column | None = None) -> Column:

@@ -109,6 +109,19 @@ def test_months_from_series_that_were_sampled_together(spark):
         assert "SortAggregate" not in plan
 
 
+def test_points_are_dealt_over_all_shuffle_partitions(spark, tmp_path):
+    """A short file of points, read by one task, meets its series in as many tasks as there are shuffle partitions."""
+    cells = spark.range(20 * 12).selectExpr("'pre' AS variable", "int(id div 12 div 5) AS row", "int(id div 12 % 5) AS col", "int(id % 12 + 1) AS layer", "double(id) AS value")
+    spark.range(2000).selectExpr("concat('p', id) AS rwl", "0.5D + id % 5 AS longitude", "0.5D + id div 5 % 4 AS latitude").coalesce(1).write.parquet(str(tmp_path / "p"))
+    cells.groupBy("row", "col", "variable").agg(F.sort_array(F.collect_list(F.struct("layer", "value"))).alias("series")).coalesce(1).write.parquet(str(tmp_path / "g"))
+    points, packed = spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "g"))
+    assert points.rdd.getNumPartitions() == 1
+    rows = grid.unfold_series(grid.sample_series(points, packed, GEO), grid.series_layers(packed))
+    per_task = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("value").alias("n")).collect()
+    assert sum(r["n"] for r in per_task) == 24_000
+    assert len(per_task) > 1 and max(r["n"] for r in per_task) < 24_000 * 0.75
+
+
 def test_a_box_of_a_stored_grid_skips_files_and_row_groups(spark, tmp_path):
     cells = spark.range(128 * 128).selectExpr("'pre' AS variable", "int(id div 128) AS row", "int(id % 128) AS col", "int(1) AS layer", "double(id) AS value")
     wide = grid.GridGeometry(xmin=0.0, ymax=128.0, xres=1.0, yres=1.0, nrow=128, ncol=128)
