@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cambium.functions.months import FIRST_GRID_YEAR, MONTHS, SPEI_SKIPPED_LAYERS, layer_label, layer_month, layer_year
+from cambium.functions.months import FIRST_GRID_YEAR, MONTHS, SPEI_SKIPPED_LAYERS, layer_month, layer_year
 from cambium.functions.numeric import let
 from cambium.operators.skew import SALT, as_list, lookup_join, shuffle_partitions
 
@@ -188,8 +188,8 @@ def series_layers(packed: DataFrame) -> DataFrame:
     return single.groupBy(*names).agg(F.sort_array(F.collect_set(layer)).alias("layers"))
 
 
-def unfold_series(samples: DataFrame, layers: DataFrame) -> DataFrame:
-    """Sampled series as one row per layer of their variable (``series_layers``); layers that one lacks give NULL.
+def complete_series(samples: DataFrame, layers: DataFrame) -> DataFrame:
+    """Sampled series with every layer of their variable (``series_layers``); layers that one lacks stand last, with NULL.
 
     The list of layers is one small array per variable, read inside the plan.
     """
@@ -212,7 +212,13 @@ def unfold_series(samples: DataFrame, layers: DataFrame) -> DataFrame:
         lambda k: F.struct(k.alias(layer), F.lit(None).cast(entry[value].dataType).alias(value)),
     )
     kept = [c for c in samples.columns if c != "series"]
-    return listed.select(*kept, F.inline(F.concat("series", absent)))
+    return listed.select(*kept, F.concat("series", absent).alias("series"))
+
+
+def unfold_series(samples: DataFrame, layers: DataFrame) -> DataFrame:
+    """Sampled series as one row per layer of their variable (``complete_series``)."""
+    kept = [c for c in samples.columns if c != "series"]
+    return complete_series(samples, layers).select(*kept, F.inline("series"))
 
 
 def sample_grid(
@@ -223,6 +229,7 @@ def sample_grid(
     lon: str = "longitude",
     lat: str = "latitude",
     points_per_salt: int = POINTS_PER_SALT,
+    unfold: bool = True,
 ) -> DataFrame:
     """Value of the containing cell for every point and every layer of the grid.
 
@@ -230,12 +237,14 @@ def sample_grid(
     that a cell lacks, give NULL.  The cells with points are taken from the grid
     first and packed to a row per cell and variable, which the points meet
     (``sample_series``); layers are unfolded last and take part in no join.
+    Without ``unfold`` the same layers stay in the array ``series``, a row per
+    point and variable.
     """
     packed = pack_grid(cells_with_points(points, grid, geometry, lon, lat))
     # Variables and layers that only other cells have count too.
     layers = grid_layers(grid)
     samples = sample_series(points, packed, geometry, id_column, lon, lat, points_per_salt, layers)
-    return unfold_series(samples, layers)
+    return unfold_series(samples, layers) if unfold else complete_series(samples, layers)
 
 
 def sample_layer(
@@ -422,15 +431,23 @@ def values_at(series: Column, layers: Column, kind: str | T.DataType = "double")
 
 
 def climate_wide(samples: DataFrame, variable: str, layers: Sequence[int], id_column: str = "rwl") -> DataFrame:
-    """One row per site with one ``1901_Jan`` style column per layer (export view)."""
-    labelled = samples.filter((F.col("variable") == variable) & F.col("layer").isin(list(layers)))
-    first = labels_of(layers)
-    return (
-        labelled.withColumn("_label", layer_label(F.col("layer")))
-        .groupBy(*as_list(id_column))
-        .pivot("_label", first)
-        .agg(F.first("value", ignorenulls=True))
-    )
+    """One row per site with one ``1901_Jan`` style column per layer (export view).
+
+    ``samples`` have a row per layer, or their layers in the array ``series``
+    (``sample_grid`` without ``unfold``), which are laid out where they are, so
+    that no single layer is shuffled or kept.  Of several values the largest counts.
+    """
+    ids = as_list(id_column)
+    own = samples.filter(F.col("variable") == variable)
+    if "series" not in samples.columns:
+        own = own.filter(F.col("layer").isin(list(layers))).groupBy(*ids).agg(F.collect_list(F.struct("layer", "value")).alias("series"))
+    own = own.filter(F.exists("series", lambda s: s["layer"].isin(list(layers))))
+    entry, order = own.schema["series"].dataType.elementType, sorted(set(layers))
+    asked = F.lit(order).cast(T.ArrayType(entry["layer"].dataType))
+    laid = own.select(*ids, values_at(F.col("series"), asked, entry["value"].dataType).alias("_laid"))
+    places = {label: order.index(k) for label, k in zip(labels_of(layers), layers)}
+    columns = laid.select(*ids, *[F.get("_laid", F.lit(i)).alias(label) for label, i in places.items()])
+    return columns.groupBy(*ids).agg(*[F.max(label).alias(label) for label in places])
 
 
 def labels_of(layers: Sequence[int], first_year: int = FIRST_GRID_YEAR) -> list[str]:

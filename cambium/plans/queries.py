@@ -166,6 +166,10 @@ class Inputs:
     def samples(self) -> DataFrame:
         return grid.sample_grid(self.points, self.grid_monthly, fx.GRID)
 
+    @cached_property
+    def sampled_series(self) -> DataFrame:
+        return grid.sample_grid(self.points, self.grid_monthly, fx.GRID, unfold=False)
+
     @cached_property
     def sites(self) -> DataFrame:
         documents = fx.catalogue(self.spark, self.sf_dir)
@@ -471,7 +475,7 @@ def climate_samples_long(x):
 
 @query
 def climate_wide(x):
-    wide = grid.climate_wide(x.samples, "pre", fx.LAYERS)
+    wide = grid.climate_wide(x.sampled_series, "pre", fx.LAYERS)
     return rounded(wide)
 
 

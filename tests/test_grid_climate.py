@@ -225,6 +225,36 @@ def test_layers_wide_and_long(spark):
     assert got[(1901, 3)]["spei"] is None and got[(1902, 1)]["spei"] == 13.0
 
 
+@pytest.fixture
+def gappy(spark):
+    """Points and a grid with gaps, whole series, a site outside, two points of one site, and layers that nobody asks for."""
+    rng = np.random.default_rng(9)
+    rows = [(v, r, c, k, float(rng.normal())) for v in ("pre", "tmp") for r in range(2) for c in range(2) for k in range(1, 15) if c == 0 or rng.random() < 0.6]
+    rows += [("pre", 1, 1, 40, 1.0), ("far", 0, 0, 50, 1.0), ("pre", 0, 1, 3, None)]
+    cells = spark.createDataFrame(rows, "variable string, row int, col int, layer int, value double")
+    spots = [(f"p{i}", 0.5 + i % 2, 3.5 - i // 2 % 2) for i in range(6)] + [("out", 9.0, 9.0), ("none", None, None), ("p5", 1.5, 3.5)]
+    points = spark.createDataFrame(spots, "rwl string, longitude double, latitude double")
+    return points, cells
+
+
+def test_wide_from_series(gappy):
+    """A row per site out of series that are laid out where they are: layers take part in no shuffle."""
+    points, cells = gappy
+    whole = grid.sample_grid(points, cells, GEO, unfold=False)
+    single = grid.sample_grid(points, cells, GEO)
+    assert sorted(map(repr, whole.selectExpr("rwl", "row", "col", "variable", "inline(series)").collect())) == sorted(map(repr, single.collect()))
+    for variable, layers in (("pre", range(1, 15)), ("pre", range(0, 42)), ("tmp", [5, 2]), ("far", range(1, 15)), ("lost", [1])):
+        got, want = grid.climate_wide(whole, variable, layers), grid.climate_wide(single, variable, layers)
+        values = {(r["rwl"], r["layer"]): r["value"] for r in single.filter(f"variable = '{variable}'").collect() if r["layer"] in layers}
+        rows = by(got, "rwl")
+        assert got.columns == want.columns == ["rwl", *grid.labels_of(layers)]
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        assert rows.keys() == {(s,) for s, _ in values}
+        assert all(r[label] == values.get((s, k)) for (s,), r in rows.items() for k, label in zip(layers, grid.labels_of(layers)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "pivotfirst" not in plan and "Aggregate [rwl" in plan
+
+
 def test_month_functions(spark):
     df = spark.createDataFrame([("Jan", 1), ("Dec", 12), ("xx", 13)], "m string, k int")
     got = df.select(months.month_number(F.col("m")), months.layer_label(F.col("k"))).collect()
