@@ -255,6 +255,17 @@ def test_wide_from_series(gappy):
     assert "pivotfirst" not in plan and "Aggregate [rwl" in plan
 
 
+def test_wide_from_series_and_back(gappy):
+    points, cells = gappy
+    layers = range(1, 15)
+    wide = grid.climate_wide(grid.sample_grid(points, cells, GEO, unfold=False), "pre", layers)
+    got = {(r["rwl"], r["year"], r["month"]): r["pre"] for r in grid.wide_to_long(wide, "pre").collect()}
+    labels = dict(zip(layers, (label.split("_") for label in grid.labels_of(layers))))
+    single = grid.sample_grid(points, cells, GEO).filter("variable = 'pre' AND layer <= 14").collect()
+    assert got == {(r["rwl"], int(labels[r["layer"]][0]), labels[r["layer"]][1]): r["value"] for r in single}
+    assert len(got) == 8 * 14
+
+
 def test_month_functions(spark):
     df = spark.createDataFrame([("Jan", 1), ("Dec", 12), ("xx", 13)], "m string, k int")
     got = df.select(months.month_number(F.col("m")), months.layer_label(F.col("k"))).collect()
